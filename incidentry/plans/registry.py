@@ -207,3 +207,82 @@ def q_filtered_pipeline(spark, sf_dir):
     inc = pipelines.filtered_pipeline(log_view(spark, sf_dir), event_tags=["error", "critical", "warning"],
                                       key="source", carry=["source"])
     return _flat_incidents(inc)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# A1 / T1 error counts
+
+from incidentry.operators.aggregates import running_error_counts, tumbling_error_counts  # noqa: E402
+
+
+def _a1_sql(interval_sql: str) -> str:
+    return f"""WITH {_NORM_SQL}
+SELECT time_bucket({interval_sql}, timestamp) AS window_start,
+       time_bucket({interval_sql}, timestamp) + {interval_sql} AS window_end,
+       source, count(*) AS error_count
+FROM norm WHERE contains(lower(message), 'error') GROUP BY ALL"""
+
+
+@register("error_count_tumbling_5s", _a1_sql("INTERVAL 5 SECONDS"))
+def q_error_count_tumbling_5s(spark, sf_dir):
+    return tumbling_error_counts(normalize_logs(log_view(spark, sf_dir)), "5 seconds")
+
+
+@register("error_count_tumbling_1d", _a1_sql("INTERVAL 1 DAY"))
+def q_error_count_tumbling_1d(spark, sf_dir):
+    return tumbling_error_counts(normalize_logs(log_view(spark, sf_dir)), "1 day")
+
+
+@register("running_error_count", f"""WITH {_NORM_SQL}
+SELECT id, timestamp, source,
+       CAST(sum(CASE WHEN contains(lower(message), 'error') THEN 1 ELSE 0 END)
+            OVER (PARTITION BY source ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS error_count
+FROM norm""")
+def q_running_error_count(spark, sf_dir):
+    return running_error_counts(normalize_logs(log_view(spark, sf_dir))).select("id", "timestamp", "source",
+                                                                                 "error_count")
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# T4 / J3 failed logins
+
+from incidentry.operators.logins import login_attempt_counts  # noqa: E402
+from incidentry.sources.driver_views import login_attempts_view, users_view  # noqa: E402
+
+_ATTEMPTS_SQL = """attempts AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS username, ts, event_type = 'signup' AS password_ok,
+                         event_id AS attempt_id FROM events WHERE event_type IN ('error', 'signup')),
+users AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS username FROM events WHERE user_id % 25 <> 0),
+marked AS (SELECT a.*, u.username IS NOT NULL AS known FROM attempts a LEFT JOIN users u USING (username))"""
+
+
+def _t4_sql(ttl_seconds: int) -> str:
+    return f"""WITH {_ATTEMPTS_SQL},
+k AS (SELECT *, lag(ts) OVER (PARTITION BY username ORDER BY ts, attempt_id) AS pts FROM marked WHERE known),
+s AS (SELECT *, CASE WHEN password_ok OR (pts IS NOT NULL AND epoch_us(ts) - epoch_us(pts) >= CAST({ttl_seconds} AS BIGINT) * 1000000)
+                     THEN 1 ELSE 0 END AS rst FROM k),
+g AS (SELECT *, sum(rst) OVER (PARTITION BY username ORDER BY ts, attempt_id ROWS UNBOUNDED PRECEDING) AS seg FROM s),
+c AS (SELECT username, ts, attempt_id, password_ok, known,
+             CASE WHEN password_ok THEN 0 ELSE CAST(sum(CASE WHEN password_ok THEN 0 ELSE 1 END)
+                  OVER (PARTITION BY username, seg ORDER BY ts, attempt_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END
+             AS attempts FROM g
+      UNION ALL
+      SELECT username, ts, attempt_id, password_ok, known, CAST(0 AS BIGINT) FROM marked WHERE NOT known)
+SELECT username, ts, attempt_id, known AND password_ok AS success, attempts,
+       CASE WHEN NOT known THEN 'Unknown username' WHEN password_ok THEN 'Login successful'
+            ELSE 'Wrong password. Attempt #' || CAST(attempts AS VARCHAR) END AS message
+FROM c"""
+
+
+def _t4(spark, sf_dir, ttl):
+    out = login_attempt_counts(login_attempts_view(spark, sf_dir), users_view(spark, sf_dir), ttl_seconds=ttl)
+    return out.select("username", "ts", "attempt_id", "success", "attempts", "message")
+
+
+@register("login_attempts_1h", _t4_sql(3600))
+def q_login_attempts_1h(spark, sf_dir):
+    return _t4(spark, sf_dir, 3600)
+
+
+@register("login_attempts_2d", _t4_sql(172800))
+def q_login_attempts_2d(spark, sf_dir):
+    return _t4(spark, sf_dir, 172800)
