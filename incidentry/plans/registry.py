@@ -286,3 +286,43 @@ def q_login_attempts_1h(spark, sf_dir):
 @register("login_attempts_2d", _t4_sql(172800))
 def q_login_attempts_2d(spark, sf_dir):
     return _t4(spark, sf_dir, 172800)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# T3 brute force (error events stand in for failed logins, user_id for the ip)
+
+from incidentry.operators.bruteforce import brute_force_incidents  # noqa: E402
+
+
+def failed_login_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return ev.select(F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"),
+                     F.col("ts").alias("timestamp"), F.lit("login_failed").alias("type"),
+                     F.create_map(F.lit("ip"), F.col("user_id").cast("string")).alias("metadata"))
+
+
+def _t3_sql(window_seconds: int, threshold: int) -> str:
+    return f"""WITH RECURSIVE s AS (
+    SELECT CAST(user_id AS VARCHAR) AS key, ts, 'evt-' || CAST(event_id AS VARCHAR) AS id,
+           row_number() OVER (PARTITION BY user_id ORDER BY ts, 'evt-' || CAST(event_id AS VARCHAR)) AS rn
+    FROM events WHERE event_type = 'error'),
+r AS (SELECT key, rn, [{{'ts': ts, 'id': id}}] AS buf, CAST(NULL AS VARCHAR[]) AS fired, NULL::TIMESTAMP AS fts,
+             NULL::VARCHAR AS fid
+      FROM s WHERE rn = 1
+      UNION ALL
+      SELECT key, rn, CASE WHEN len(f) >= {threshold} THEN f[1:0] ELSE f END,
+             CASE WHEN len(f) >= {threshold} THEN list_transform(f, lambda b: b.id) END, cts, cid
+      FROM (SELECT s.key, s.rn, s.ts AS cts, s.id AS cid,
+                   list_append(list_filter(r.buf, lambda b: b.ts > s.ts - INTERVAL {window_seconds} SECONDS),
+                               {{'ts': s.ts, 'id': s.id}}) AS f
+            FROM r JOIN s ON s.key = r.key AND s.rn = r.rn + 1))
+SELECT md5('incident:brute_force:' || fid) AS id, fts AS timestamp, array_to_string(fired, ',') AS events,
+       'open' AS status, 'Brute Force Attack: ' || CAST(len(fired) AS VARCHAR) || ' failed logins from ' || key AS summary,
+       'auto-assigned' AS owner, 'brute_force' AS rule, fid AS event_id, key
+FROM r WHERE fired IS NOT NULL"""
+
+
+@register("incidents_brute_force", _t3_sql(86400, 3))
+def q_incidents_brute_force(spark, sf_dir):
+    inc, _ = brute_force_incidents(failed_login_events(spark, sf_dir), window_seconds=86400, threshold=3)
+    return _flat_incidents(inc)
