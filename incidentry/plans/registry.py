@@ -326,3 +326,191 @@ FROM r WHERE fired IS NOT NULL"""
 def q_incidents_brute_force(spark, sf_dir):
     inc, _ = brute_force_incidents(failed_login_events(spark, sf_dir), window_seconds=86400, threshold=3)
     return _flat_incidents(inc)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# T5 latest per key, X9 / J4 / J5 / P11 / F7 products
+
+from incidentry.operators import products as prod  # noqa: E402
+from incidentry.operators.upsert import latest_per_key  # noqa: E402
+from incidentry.sources.driver_views import price_updates_view, products_view  # noqa: E402
+
+
+@register("latest_event_per_user", """SELECT user_id, event_id, ts, event_type FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_latest_event_per_user(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return latest_per_key(ev, "user_id", ["ts", "event_id"])
+
+
+_PRODUCTS_SQL = """products AS (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS id, p_name AS name,
+        CAST(CAST(p_retailprice AS VARCHAR) AS DECIMAL(12,2)) AS price, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
+    FROM part WHERE p_partkey % 10 <> 0),
+updates AS (SELECT 'p' || CAST(l_partkey AS VARCHAR) AS id,
+        CASE WHEN l_quantity >= 49 THEN -l_extendedprice ELSE l_extendedprice END AS price,
+        l_shipdate AS ts, l_orderkey AS seq1, CAST(l_linenumber AS BIGINT) AS seq2 FROM lineitem),
+valid AS (SELECT * FROM updates WHERE price >= 0),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq1 DESC, seq2 DESC) AS rn
+                          FROM valid) WHERE rn = 1)"""
+
+
+def _price_merge(spark, sf_dir):
+    return prod.apply_price_updates(products_view(spark, sf_dir), price_updates_view(spark, sf_dir),
+                                    order=["ts", "seq1", "seq2"])
+
+
+@register("apply_price_updates", f"""WITH {_PRODUCTS_SQL}
+SELECT p.id, p.name, COALESCE(CAST(CAST(l.price AS VARCHAR) AS DECIMAL(12,2)), p.price) AS price,
+       COALESCE(l.ts, p.updated_at) AS updated_at
+FROM products p LEFT JOIN latest l USING (id)""")
+def q_apply_price_updates(spark, sf_dir):
+    return _price_merge(spark, sf_dir)[0]
+
+
+@register("price_updates_rejected", f"""WITH {_PRODUCTS_SQL}
+SELECT id, price, ts, seq1, seq2, 'negative price' AS reject_reason FROM updates WHERE price < 0
+UNION ALL
+SELECT id, price, ts, seq1, seq2, 'unknown id' FROM valid WHERE id NOT IN (SELECT id FROM products)""")
+def q_price_updates_rejected(spark, sf_dir):
+    return _price_merge(spark, sf_dir)[1]
+
+
+@register("seed_products", f"""WITH {_PRODUCTS_SQL},
+seed AS (SELECT * FROM (VALUES ('p1', 'Keyboard', CAST('49.99' AS DECIMAL(12,2))),
+                               ('p2', 'Monitor', CAST('199.00' AS DECIMAL(12,2))),
+                               ('p3', 'Mouse', CAST('24.50' AS DECIMAL(12,2)))) t(id, name, price))
+SELECT id, name, price, updated_at FROM products
+UNION ALL
+SELECT id, name, price, CAST(NULL AS TIMESTAMP) FROM seed s WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.id = s.id)""")
+def q_seed_products(spark, sf_dir):
+    return prod.seed_products(products_view(spark, sf_dir), prod.seed_rows(spark)) \
+        .select("id", "name", "price", "updated_at")
+
+
+@register("list_products", f"""WITH {_PRODUCTS_SQL}
+SELECT p.id, p.name, CAST(COALESCE(CAST(CAST(l.price AS VARCHAR) AS DECIMAL(12,2)), p.price) AS DOUBLE) AS price,
+       CASE WHEN microsecond(COALESCE(l.ts, p.updated_at)) % 1000000 = 0
+            THEN strftime(COALESCE(l.ts, p.updated_at), '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(COALESCE(l.ts, p.updated_at), '%Y-%m-%dT%H:%M:%S.%f') END AS updated_at
+FROM products p LEFT JOIN latest l USING (id) ORDER BY p.id""")
+def q_list_products(spark, sf_dir):
+    return prod.list_products(_price_merge(spark, sf_dir)[0])
+
+
+@register("get_product", f"""WITH {_PRODUCTS_SQL},
+req AS (SELECT DISTINCT id FROM updates)
+SELECT r.id, p.name, CAST(p.price AS DOUBLE) AS price,
+       CASE WHEN p.id IS NULL THEN NULL ELSE strftime(p.updated_at, '%Y-%m-%dT%H:%M:%S') END AS updated_at,
+       p.id IS NOT NULL AS found
+FROM req r LEFT JOIN products p USING (id)""")
+def q_get_product(spark, sf_dir):
+    return prod.get_products(products_view(spark, sf_dir), price_updates_view(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# P2 / X6, P4 / J2, X1-X5, X8
+
+from incidentry.operators.normalize import claim_check, validate_submissions  # noqa: E402
+from incidentry.operators.events import resolve_claim_checks  # noqa: E402
+from incidentry.plans import reports  # noqa: E402
+from incidentry.sources.driver_views import submissions_view  # noqa: E402
+
+
+@register("reject_invalid", f"""WITH {_NORM_SQL}
+SELECT 'log-' || CAST(event_id AS VARCHAR) AS id, 'missing message' AS reject_reason FROM events
+WHERE event_id % 50 = 0""")
+def q_reject_invalid(spark, sf_dir):
+    _, rejected = validate_submissions(submissions_view(spark, sf_dir))
+    return rejected.select("id", "reject_reason")
+
+
+@register("claim_check_resolve", f"""WITH {_TAGGED_SQL}
+SELECT 'logs/' || id || '.json' AS s3_key, id AS log_id, message, array_to_string(tags, ',') AS tags
+FROM tagged WHERE list_has_any(tags, ['error', 'warning'])""")
+def q_claim_check_resolve(spark, sf_dir):
+    tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
+    stored = tagged.withColumn("s3_key", F.concat(F.lit("logs/"), F.col("id"), F.lit(".json")))
+    messages = claim_check(etl_filter(tagged))
+    resolved, _ = resolve_claim_checks(messages, stored)
+    return resolved.select("s3_key", F.col("id").alias("log_id"), "message", F.array_join("tags", ",").alias("tags"))
+
+
+@register("fan_out_counts", f"""WITH {_TAGGED_SQL}
+SELECT COALESCE(tags[1], 'untagged') AS route, count(*) AS n FROM tagged GROUP BY ALL""")
+def q_fan_out_counts(spark, sf_dir):
+    return reports.fan_out_counts(tag_logs(normalize_logs(log_view(spark, sf_dir))))
+
+
+def conversation_logs(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"),
+                                F.col("turn").cast("string")).alias("id"),
+                       F.col("role").alias("source"), F.col("text").alias("message"), F.lit("chat").alias("feed"))
+
+
+@register("fan_in", f"""WITH {_TAGGED_SQL},
+conv AS (SELECT role AS source, text AS message FROM conversations),
+conv_tagged AS (SELECT source, list_filter([
+    CASE WHEN contains(lower(message), 'error') OR contains(lower(message), 'exception') THEN 'error' END,
+    CASE WHEN contains(lower(message), 'warn') OR contains(lower(message), 'warning') THEN 'warning' END,
+    CASE WHEN contains(lower(message), 'info') THEN 'info' END], lambda x: x IS NOT NULL) AS tags FROM conv)
+SELECT feed, COALESCE(tags[1], 'untagged') AS route, count(*) AS n FROM (
+    SELECT 'app' AS feed, tags FROM tagged UNION ALL SELECT 'chat', tags FROM conv_tagged) GROUP BY ALL""")
+def q_fan_in(spark, sf_dir):
+    app = log_view(spark, sf_dir).select("id", "timestamp", "source", "message").withColumn("feed", F.lit("app"))
+    both = reports.fan_in(app, conversation_logs(spark, sf_dir))
+    tagged = tag_logs(both)
+    return tagged.groupBy("feed", reports.route_of(F.col("tags")).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# The 7 days before a fixed as-of time (a report parameter)
+AS_OF = "2024-01-30 00:00:00"
+
+
+@register("time_range_7d", _t2_sql(f"""{_TAGGED_SQL},
+ev AS ({_EVENTS_OF} FROM tagged)""", "user_id", 3).replace(
+    "FROM ranked WHERE", "FROM ranked WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAYS AND "
+    "timestamp < TIMESTAMP '2024-01-30 00:00:00' AND"))
+def q_time_range_7d(spark, sf_dir):
+    tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
+    inc = instant_and_accumulated(create_events(tagged, carry=["user_id"]), key="user_id", threshold=3)
+    return _flat_incidents(reports.time_range(inc, AS_OF, 7))
+
+
+@register("latency_by_source", f"""WITH {_NORM_SQL},
+lat AS (SELECT source, datediff('second', timestamp, timestamp + to_seconds(event_id % 7)) AS l FROM norm)
+SELECT source, count(*) AS n, avg(l) AS avg_latency_s, max(l) AS max_latency_s,
+       quantile_cont(l, 0.5) AS p50_latency_s, quantile_cont(l, 0.95) AS p95_latency_s FROM lat GROUP BY source""")
+def q_latency_by_source(spark, sf_dir):
+    logs = normalize_logs(submissions_view(spark, sf_dir))
+    return reports.latency_by_source(logs, exact=True)
+
+
+@register("stage_funnel", f"""WITH {_TAGGED_SQL},
+ev AS ({_EVENTS_OF} FROM tagged),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS rn FROM ev)
+SELECT 'received' AS stage, count(*) AS n FROM events
+UNION ALL SELECT 'valid', count(*) FROM events WHERE event_id % 50 <> 0
+UNION ALL SELECT 'tagged', count(*) FROM tagged WHERE len(tags) > 0
+UNION ALL SELECT 'passed', count(*) FROM tagged WHERE list_has_any(tags, ['error', 'warning'])
+UNION ALL SELECT 'matched', count(*) FROM tagged
+          WHERE list_has_any(tags, ['error', 'warning']) AND list_has_any(tags, ['error', 'critical'])
+UNION ALL SELECT 'incidents', count(*) FROM ranked WHERE severity = 'high' OR rn >= 3""")
+def q_stage_funnel(spark, sf_dir):
+    subs = submissions_view(spark, sf_dir)
+    valid, _ = validate_submissions(subs)
+    tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
+    inc = instant_and_accumulated(create_events(tagged, carry=["user_id"]), key="user_id", threshold=3)
+    return reports.stage_funnel(subs, valid, tagged, inc)
+
+
+@register("open_incidents", f"""WITH {_TAGGED_SQL},
+ev AS ({_EVENTS_OF} FROM tagged),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS rn FROM ev)
+SELECT CASE WHEN severity = 'high' THEN 'instant' ELSE 'accumulated' END AS rule, CAST(timestamp AS DATE) AS day,
+       count(*) AS n
+FROM ranked WHERE severity = 'high' OR rn >= 3 GROUP BY ALL""")
+def q_open_incidents(spark, sf_dir):
+    tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
+    inc = instant_and_accumulated(create_events(tagged, carry=["user_id"]), key="user_id", threshold=3)
+    return reports.open_incidents(inc)
