@@ -10,11 +10,12 @@ keep a hot key off a single task the history is cut into time chunks of at least
 * the buffer never holds more than ``threshold - 1`` events between arrivals, and only events from the last
   ``window`` before a chunk can still be in it, so the state entering a chunk is one of ``threshold`` values
   ("the last s events before the chunk are still buffered", s = 0 .. threshold-1);
-* every chunk that can fire at all is folded once per possible entry state (pandas, one task per (key, chunk), with
-  the previous chunk's last ``window`` of events as halo) giving its fires and its exit state per entry state;
-  chunks that cannot fire get their transition from counts alone, in SQL;
-* a per-key pass over the chunk table (one row per chunk, not per event) chains the transitions and picks each
-  chunk's true entry state; the matching fires are kept with a join.
+* every chunk that can fire at all is folded once per possible entry state (pandas, with the previous chunk's last
+  ``window`` of events as halo) giving its exit state per entry state; chunks that cannot fire get their transition
+  from counts alone;
+* a per-key pass over the chunk table (one row per chunk, not per event) chains the transitions and gives each
+  chunk its true entry state;
+* each chunk is folded once more from that state and emits its incidents.
 
 Events without a key are not folded together (the reference would put them all under one ``None`` key); they are
 returned separately for quarantine.
@@ -28,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.functions import det_id, epoch_micros
-from incidentry.operators.scan import chunk_width_micros
 
 # Detector defaults and incident texts.
 DEFAULT_WINDOW_SECONDS = 60
@@ -38,9 +38,10 @@ SUMMARY_MIDDLE = " failed logins from "
 OWNER = "auto-assigned"
 RULE = "brute_force"
 
-_FOLD_SCHEMA = ("key string, chunk bigint, entry int, kind string, exit int, trigger_us long, "
-                "ids array<string>, trigger_id string")
+_EXIT_SCHEMA = "key string, chunk bigint, exits array<int>"
+_FIRE_SCHEMA = "key string, chunk bigint, trigger_id string, trigger_us long, ids array<string>"
 _CHAIN_SCHEMA = "key string, chunk bigint, entry int"
+_ROWS_PER_BUCKET = 500_000
 
 
 def _first_fire(lo: np.ndarray, start: int, b: int, k: int):
@@ -53,57 +54,82 @@ def _first_fire(lo: np.ndarray, start: int, b: int, k: int):
     return None
 
 
-def _fold_chunk(k: int, window_us: int):
+def _slices(pdf: pd.DataFrame):
+    """Yield (key, chunk, sub-frame) for each (key, chunk) of a bucket, rows in (halo first, ts, id) order."""
+    pdf = pdf.sort_values(["key", "chunk", "_halo_rank", "_us", "id"], kind="mergesort").reset_index(drop=True)
+    if pdf.empty:
+        return
+    keys, chunks = pdf["key"].to_numpy(), pdf["chunk"].to_numpy()
+    cut = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+    bounds = np.concatenate([[0], cut, [len(pdf)]])
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        yield keys[a], int(chunks[a]), pdf.iloc[a:b]
+
+
+class _Chunk:
+    """One (key, chunk): the last k-1 halo events, then the chunk's own events."""
+
+    def __init__(self, part: pd.DataFrame, k: int, window_us: int):
+        halo_mask = part["_halo"].to_numpy()
+        h_all = int(halo_mask.sum())
+        keep = max(0, h_all - max(k - 1, 0))
+        seq = part.iloc[keep:]
+        self.h = h_all - keep
+        self.ts = seq["_us"].to_numpy(dtype=np.int64)
+        self.ids = seq["id"].to_numpy()
+        self.n = len(seq)
+        self.k = k
+        self.lo = np.searchsorted(self.ts, self.ts - window_us, side="right")  # first index inside the window
+        self._next: dict[int, int | None] = {}
+
+    def fires(self, entry: int) -> list[int]:
+        """Firing positions when the last ``entry`` halo events are still buffered."""
+        b = self.h - min(entry, self.h)
+        f = _first_fire(self.lo, self.h, b, self.k)
+        out = []
+        while f is not None:
+            out.append(f)
+            p = f + 1
+            if p not in self._next:  # an empty buffer at p: shared by every entry state
+                self._next[p] = _first_fire(self.lo, p, p, self.k) if p < self.n else None
+            f = self._next[p]
+        return out
+
+    def exit_state(self, entry: int, fires: list[int]) -> int:
+        if fires:
+            return min(self.n - 1 - fires[-1], self.k - 1)
+        return min(entry + (self.n - self.h), self.k - 1)
+
+
+def _exits_fn(k: int, window_us: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_halo_rank", "_us", "id"], kind="mergesort")
-        halo = pdf[pdf["_halo"]]
-        own = pdf[~pdf["_halo"]]
-        if k > 1:
-            halo = halo.iloc[max(0, len(halo) - (k - 1)):]
-        else:
-            halo = halo.iloc[0:0]
-        seq = pd.concat([halo, own])
-        ts = seq["_us"].to_numpy(dtype=np.int64)
-        ids = seq["id"].astype(str).tolist()
-        h, n = len(halo), len(seq)
-        lo = np.searchsorted(ts, ts - window_us, side="right")  # first index still inside the window
-        key, chunk = own["key"].iloc[0], int(own["chunk"].iloc[0])
-
-        next_fire: dict[int, int | None] = {}
-
-        def fires_from_empty(p: int) -> list[int]:
-            """Fires of a fold that starts with an empty buffer at position p (memoised, shared by entry states)."""
-            fires = []
-            while p < n:
-                if p not in next_fire:
-                    next_fire[p] = _first_fire(lo, p, p, k)
-                f = next_fire[p]
-                if f is None:
-                    break
-                fires.append(f)
-                p = f + 1
-            return fires
+        out = []
+        for key, chunk, part in _slices(pdf):
+            c = _Chunk(part, k, window_us)
+            out.append((key, chunk, [c.exit_state(s, c.fires(s)) for s in range(k)]))
+        return pd.DataFrame(out, columns=["key", "chunk", "exits"])
+    return run
+
 
+def _fires_fn(k: int, window_us: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for s in range(k):
-            b = h - min(s, h)
-            f0 = _first_fire(lo, h, b, k)
-            fires = [] if f0 is None else [f0] + fires_from_empty(f0 + 1)
-            exit_state = min(n - 1 - fires[-1], k - 1) if fires else min(s + (n - h), k - 1)
-            out.append((key, chunk, s, "T", exit_state, None, None, None))
-            for f in fires:
-                out.append((key, chunk, s, "F", None, int(ts[f]), ids[f - k + 1:f + 1], ids[f]))
-        return pd.DataFrame(out, columns=["key", "chunk", "entry", "kind", "exit", "trigger_us", "ids",
-                                          "trigger_id"])
+        for key, chunk, part in _slices(pdf):
+            c = _Chunk(part, k, window_us)
+            for f in c.fires(int(part["entry"].iloc[0])):
+                out.append((key, chunk, str(c.ids[f]), int(c.ts[f]), [str(x) for x in c.ids[f - k + 1:f + 1]]))
+        return pd.DataFrame(out, columns=["key", "chunk", "trigger_id", "trigger_us", "ids"])
     return run
 
 
-def _chain_key(k: int):
+def _chain_fn(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        s, out = 0, []
-        key = pdf["key"].iloc[0]
-        for chunk, n_own, cand, exits in zip(pdf["chunk"], pdf["n_own"], pdf["candidate"], pdf["exits"]):
+        pdf = pdf.sort_values(["key", "chunk"], kind="mergesort")
+        out, prev_key, s = [], None, 0
+        for key, chunk, n_own, cand, exits in zip(pdf["key"], pdf["chunk"], pdf["n_own"], pdf["candidate"],
+                                                  pdf["exits"]):
+            if key != prev_key:
+                prev_key, s = key, 0
             if cand:
                 out.append((key, int(chunk), s))
                 s = int(exits[s])
@@ -113,13 +139,21 @@ def _chain_key(k: int):
     return run
 
 
+def _bucket(n_buckets: int, *cols: str):
+    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(n_buckets))
+
+
 def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
                           threshold: int = DEFAULT_THRESHOLD, event_type: str | None = "login_failed",
                           key: F.Column | None = None, width_micros: int | None = None):
     """T3 → (incidents, quarantined events without a key).
 
     ``events``: id, timestamp, type, metadata (the key defaults to metadata['ip']). Incidents carry all buffered
-    event ids in arrival order, owner ``auto-assigned`` and the summary of the reference."""
+    event ids in arrival order, owner ``auto-assigned`` and the summary of the reference.
+
+    Three passes, each a pandas function over hash buckets of (key, chunk) so that one call handles many small
+    chunks while no chunk is split: (1) exit state per entry state of every chunk that can fire, (2) the chain of
+    chunk transitions per key, (3) the fold of every such chunk from its true entry state, emitting the fires."""
     k = int(threshold)
     w_us = int(window_seconds) * 1_000_000
     key = key if key is not None else F.col("metadata")["ip"]
@@ -128,9 +162,16 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
     quarantine = ev.where(F.col("key").isNull())
     ev = ev.where(F.col("key").isNotNull())
 
-    width = max(w_us, width_micros or chunk_width_micros(ev, "timestamp"))
-    ev = ev.withColumn("_us", epoch_micros("timestamp")).withColumn("chunk", F.floor(F.col("_us") / width)
-                                                                     .cast("bigint"))
+    us = epoch_micros("timestamp")
+    stats = ev.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    n_rows = int(stats["n"] or 0)
+    if width_micros is None:
+        span = (int(stats["hi"]) - int(stats["lo"]) + 1) if n_rows else 1
+        width_micros = max(1, span * _ROWS_PER_BUCKET * 4 // max(n_rows, 1))
+    width = max(w_us, int(width_micros))
+    n_buckets = max(ev.sparkSession.sparkContext.defaultParallelism, -(-n_rows // _ROWS_PER_BUCKET))
+
+    ev = ev.withColumn("_us", us).withColumn("chunk", F.floor(F.col("_us") / width).cast("bigint"))
     own = ev.withColumn("_halo", F.lit(False))
     # events in the last `window` of a chunk are the halo of the next chunk
     halo = ev.where(F.col("_us") >= (F.col("chunk") + 1) * width - w_us) \
@@ -143,18 +184,17 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
     counts = counts.withColumn(
         "candidate", (F.col("n_own") + F.least(F.col("n_halo"), F.lit(max(k - 1, 0)))) >= F.lit(k))
     cand = counts.where("candidate").select("key", "chunk")
+    cand_rows = both.join(cand, ["key", "chunk"], "left_semi")
+
+    exits = cand_rows.groupBy(_bucket(n_buckets, "key", "chunk").alias("_b")) \
+        .applyInPandas(_exits_fn(k, w_us), _EXIT_SCHEMA)
+    # only keys with a chunk able to fire need the chain; their chunk table has one row per chunk
+    table = counts.join(cand.select("key").distinct(), "key", "left_semi") \
+        .join(exits, ["key", "chunk"], "left")
+    entries = table.groupBy(_bucket(n_buckets, "key").alias("_b")).applyInPandas(_chain_fn(k), _CHAIN_SCHEMA)
+    fires = cand_rows.join(entries, ["key", "chunk"], "inner") \
+        .groupBy(_bucket(n_buckets, "key", "chunk").alias("_b")).applyInPandas(_fires_fn(k, w_us), _FIRE_SCHEMA)
 
-    folded = both.join(cand, ["key", "chunk"], "left_semi") \
-        .groupBy("key", "chunk").applyInPandas(_fold_chunk(k, w_us), _FOLD_SCHEMA)
-    exits = folded.where(F.col("kind") == "T").groupBy("key", "chunk") \
-        .agg(F.sort_array(F.collect_list(F.struct("entry", "exit"))).alias("_t")) \
-        .select("key", "chunk", F.transform("_t", lambda t: t["exit"]).alias("exits"))
-    # only keys with at least one chunk able to fire need the chain; their chunk table is one row per chunk
-    keys = cand.select("key").distinct()
-    table = counts.join(keys, "key", "left_semi").join(exits, ["key", "chunk"], "left")
-    entries = table.groupBy("key").applyInPandas(_chain_key(k), _CHAIN_SCHEMA)
-
-    fires = folded.where(F.col("kind") == "F").join(entries, ["key", "chunk", "entry"], "left_semi")
     ts_type = events.schema["timestamp"].dataType.simpleString()
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     inc = fires.withColumn("timestamp", F.timestamp_add("MICROSECOND", F.col("trigger_us"), epoch).cast(ts_type))
