@@ -514,3 +514,19 @@ def q_open_incidents(spark, sf_dir):
     tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
     inc = instant_and_accumulated(create_events(tagged, carry=["user_id"]), key="user_id", threshold=3)
     return reports.open_incidents(inc)
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# Streaming (W1-W7): the events table replayed as a file stream
+
+from incidentry.sources.driver_views import logs_from_events  # noqa: E402
+from incidentry.streaming import jobs as sjobs  # noqa: E402
+from incidentry.streaming.sources import events_stream  # noqa: E402
+
+
+@register("stream_error_count_1d", _a1_sql("INTERVAL 1 DAY"))
+def q_stream_error_count_1d(spark, sf_dir):
+    logs = normalize_logs(logs_from_events(events_stream(spark, sf_dir)))
+    counts = sjobs.stream_error_counts(logs, "1 day", "0 seconds")
+    return sjobs.run_and_read(counts, "update", ["window_start", "source"]) \
+        .select("window_start", "window_end", "source", "error_count")

@@ -38,7 +38,11 @@ FROM events
 
 def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw logs: id, timestamp, source (un-normalised), message, metadata, plus user_id / event_id."""
-    ev = read_table(spark, sf_dir, "events")
+    return logs_from_events(read_table(spark, sf_dir, "events"))
+
+
+def logs_from_events(ev: DataFrame) -> DataFrame:
+    """The log projection of an ``events`` frame, batch or streaming."""
     msg = F.col("event_type")
     message = F.when(msg == "error", LOG_MESSAGE_BY_TYPE["error"]) \
         .when(msg == "purchase", LOG_MESSAGE_BY_TYPE["purchase"]) \
