@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from incidentry.functions import det_id, iso_format, lower_strip, strip_ws
 from incidentry.schemas import LOG_SUBMISSION
@@ -74,9 +74,12 @@ def validate_submissions(subs: DataFrame):
 
 def parse_json_logs(lines: DataFrame, value_col: str = "value", schema=LOG_SUBMISSION):
     """Typed parse of JSON text; returns (parsed, corrupt) where corrupt rows keep the original text."""
-    parsed = lines.withColumn("_rec", F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"}))
-    ok = F.col("_rec").isNotNull() & F.col(value_col).isNotNull()
-    good = parsed.where(ok).select(*[c for c in lines.columns if c != value_col], "_rec.*")
+    with_corrupt = StructType(list(schema.fields) + [StructField("corrupt_record", StringType())])
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt_record"}
+    parsed = lines.withColumn("_rec", F.from_json(F.col(value_col), with_corrupt, opts))
+    ok = F.col("_rec").isNotNull() & F.col(value_col).isNotNull() & F.col("_rec.corrupt_record").isNull()
+    good = parsed.where(ok).select(*[c for c in lines.columns if c != value_col],
+                                   *[F.col(f"_rec.{f.name}") for f in schema.fields])
     bad = parsed.where(~ok).drop("_rec").withColumn("reject_reason", F.lit("malformed json"))
     return good, bad
 

@@ -8,7 +8,7 @@ normalised, size-checked result is ever brought to the driver to be compiled int
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -45,8 +45,9 @@ def _keyword_shapes(df: DataFrame) -> tuple[Column, Column]:
 def _ordered(df: DataFrame) -> DataFrame:
     if "rule_order" in df.columns:
         return df.withColumn("rule_order", F.col("rule_order").cast("bigint"))
-    # Without an explicit scan order the rules are ordered by tag name (a scan of a key-value table has none).
-    return df.withColumn("rule_order", F.dense_rank().over(Window.orderBy(F.col("tag").cast("string"))))
+    # Without an explicit scan order (a key-value table scan has none) all rules share one position and ties are
+    # broken by the normalised tag name wherever an order is needed.
+    return df.withColumn("rule_order", F.lit(0).cast("bigint"))
 
 
 def normalize_tag_rules(df: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def tag_rules_from_table(df: DataFrame | None, max_rules: int = 2000):
     rows = collect_bounded(normalize_tag_rules(df), max_rules)
     if rows is None:
         return None
-    rules = [(r["tag"], list(r["keywords"])) for r in sorted(rows, key=lambda r: r["rule_order"])]
+    rules = [(r["tag"], list(r["keywords"])) for r in sorted(rows, key=lambda r: (r["rule_order"], r["tag"]))]
     return rules or DEFAULT_TAG_RULES
 
 
@@ -114,5 +115,5 @@ def event_tags_from_table(df: DataFrame | None, max_tags: int = 10000) -> list[s
     rows = collect_bounded(normalize_model_rules(df), max_tags)
     if rows is None:
         raise ValueError(f"model rules table has more than {max_tags} tags")
-    tags = [r["tag"] for r in sorted(rows, key=lambda r: r["rule_order"])]
+    tags = [r["tag"] for r in sorted(rows, key=lambda r: (r["rule_order"], r["tag"]))]
     return tags or DEFAULT_EVENT_TAGS
