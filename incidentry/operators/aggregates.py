@@ -36,6 +36,20 @@ def running_error_counts(logs: DataFrame, ts_col: str = "timestamp", id_col: str
                                  width_micros=width_micros)
 
 
+def events_per_key(events: DataFrame, key: str = "log_id") -> DataFrame:
+    """A2: number of events per key (all severities), a partial aggregate."""
+    return events.groupBy(key).agg(F.count(F.lit(1)).alias("n_events"))
+
+
+def observed(df: DataFrame, name: str, **conditions):
+    """A5 without an extra pass: attach an ``Observation`` that counts rows (and ``conditions``) while ``df`` is
+    consumed by its real sink; read ``obs.get`` after the action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    exprs = [F.count(F.lit(1)).alias("total")] + [F.count_if(c).alias(k) for k, c in conditions.items()]
+    return df.observe(obs, *exprs), obs
+
+
 def run_counters(df: DataFrame, **conditions) -> DataFrame:
     """A5: one pass of conditional counts, e.g. ``run_counters(tagged, matched=<Column>)`` → total, matched."""
     aggs = [F.count(F.lit(1)).alias("total")]

@@ -530,3 +530,26 @@ def q_stream_error_count_1d(spark, sf_dir):
     counts = sjobs.stream_error_counts(logs, "1 day", "0 seconds")
     return sjobs.run_and_read(counts, "update", ["window_start", "source"]) \
         .select("window_start", "window_end", "source", "error_count")
+
+
+@register("stream_filtered_pipeline", _t2_sql(f"""{_TAGGED_SQL},
+ev AS ({_EVENTS_OF} FROM tagged
+       WHERE list_has_any(tags, ['error', 'warning']) AND list_has_any(tags, ['error', 'critical', 'warning']))""",
+                                              "source", 3))
+def q_stream_filtered_pipeline(spark, sf_dir):
+    raw = logs_from_events(events_stream(spark, sf_dir))
+    inc = sjobs.stream_pipeline(raw, event_tags=["error", "critical", "warning"], key="source", carry=["source"])
+    return _flat_incidents(sjobs.run_and_read(inc))
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# A2 events per key
+
+from incidentry.operators.aggregates import events_per_key  # noqa: E402
+
+
+@register("events_per_log_source", f"""WITH {_TAGGED_SQL}
+SELECT source, count(*) AS n_events FROM tagged GROUP BY source""")
+def q_events_per_log_source(spark, sf_dir):
+    events = create_events(tag_logs(normalize_logs(log_view(spark, sf_dir))), carry=["source"])
+    return events_per_key(events, "source")

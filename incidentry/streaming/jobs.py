@@ -120,6 +120,20 @@ def stream_login_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int
     return counted
 
 
+def stream_pipeline(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",
+                    threshold: int = 3, carry: tuple = ()) -> DataFrame:
+    """The receive → ETL filter → model match → incident chain as one streaming plan. The stateless steps are
+    the batch functions; only the incident rule keeps state."""
+    from incidentry.plans.pipelines import filtered_events
+    events = filtered_events(raw_logs, rules, etl_tags, event_tags, carry=carry)
+    return stream_incidents(events, key=key, threshold=threshold)
+
+
+def console(df: DataFrame, output_mode: str = "append"):
+    """Print a stream (debugging only)."""
+    return df.writeStream.outputMode(output_mode).format("console").option("truncate", "false").start()
+
+
 def replay_table(spark: SparkSession, df: DataFrame, ts_col: str, pieces: int) -> str:
     """Write a batch table as ``pieces`` files in time order (for replay tests of the stream paths)."""
     path = scratch_path(spark, "replay")

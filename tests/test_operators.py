@@ -140,3 +140,24 @@ def test_validation_and_quarantine(spark):
     lines = spark.createDataFrame([('{"id": "1", "source": "s", "message": "m"}',), ("{broken",)], "value STRING")
     good, bad = parse_json_logs(lines)
     assert [r["id"] for r in good.collect()] == ["1"] and bad.count() == 1
+
+
+def test_json_log_files_and_epoch_fallback(spark):
+    import os
+    import uuid
+
+    from incidentry.session import scratch_path
+    from incidentry.sources.logs import read_log_files
+    path = scratch_path(spark, "test-json") + "-" + uuid.uuid4().hex
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "part-0.json"), "w") as fh:
+        fh.write('{"id": "1", "timestamp": "2024-01-01T00:00:05", "source": "a", "message": "ERROR x"}\n')
+        fh.write('{"id": "2", "timestamp": "yesterday", "source": "a", "message": "ok",'
+                 ' "metadata": {"request_id": "req-1"}}\n')
+        fh.write('{"id": \n')
+    logs, bad = read_log_files(spark, path)
+    got = {r["id"]: r for r in logs.collect()}
+    assert got["1"]["event_time"] == dt.datetime(2024, 1, 1, 0, 0, 5)
+    assert got["2"]["event_time"] == dt.datetime(1970, 1, 1)  # unparsable → epoch (P6)
+    assert got["2"]["metadata"] == {"request_id": "req-1"}
+    assert bad.count() == 1
