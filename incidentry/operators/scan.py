@@ -11,6 +11,10 @@ scan runs inside each (key, chunk) partition, and a small per-chunk table carrie
 4. the carry is joined back on (key, chunk); the rows are already partitioned by (key, chunk), so only the small
    chunk table moves.
 
+Without resets (T1) the chunk table is a partial aggregate of the raw rows, so the rows are shuffled and sorted
+once. With resets (T4) each chunk's trailing value depends on the order inside the chunk, so the chunk table is
+aggregated from the windowed rows; the (narrow) rows are then shuffled twice, once per branch.
+
 The chunk width is derived from the data (one aggregate row read on the driver): ``span * target_rows / rows``, so a
 chunk of one key holds at most about ``target_rows`` rows when arrivals are spread over time.
 """
@@ -45,12 +49,14 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
     ts = order[0]
     width = width_micros or chunk_width_micros(df, ts, target_rows)
     key_c = F.col(key)
-    rows = df.withColumns({
+    base = df.withColumns({
         "_v": value.cast("bigint"),
         "_r": F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False),
-        "_c": F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint"),
+        # never null, so the join below infers no extra filter and both uses of `rows` share one exchange
+        "_c": F.coalesce(F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint"), F.lit(0).cast("bigint")),
         "_us": epoch_micros(ts),
     })
+    rows = base
     w_ord = Window.partitionBy(key_c, F.col("_c")).orderBy(*[F.col(c) for c in order])
     w_run = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if gap_micros is not None:
@@ -68,6 +74,16 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
         "_before", F.last(F.when(F.col("_R"), F.col("_cum") - F.col("_v")), ignorenulls=True).over(w_run))
     rows = rows.withColumn("_local", F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0)))
 
+    if reset is None and gap_micros is None:
+        # no resets: the carry is the sum of the earlier chunks, and chunk sums are a partial aggregate of the raw
+        # rows (no sort), so the rows are shuffled and sorted only once, for the window above
+        totals = base.groupBy(key_c.alias("_k"), F.col("_c").alias("_kc")).agg(F.sum("_v").alias("_total"))
+        wk = Window.partitionBy("_k").orderBy("_kc").rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select("_k", "_kc", F.lit(False).alias("_fg"),
+                              F.coalesce(F.sum("_total").over(wk), F.lit(0)).alias("_carry"))
+        joined = rows.join(carry, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_kc")), "inner")
+        return joined.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(out))
+
     chunks = rows.groupBy(key_c.alias("_k"), F.col("_c").alias("_kc")).agg(
         F.sum("_v").alias("_total"),
         F.max(F.col("_R").cast("int")).alias("_anyres"),

@@ -31,7 +31,7 @@ def test_tagger_default_rules(spark):
     assert got == {"2": ["error"], "3": ["warning"], "4": [], "5": ["info"], "6": []}  # 'info' hits 'information'
 
 
-def test_tagger_rules_table_like_dynamodb(spark):
+def test_tagger_rules_from_table(spark):
     rules = spark.createDataFrame([("critical", ["SEV1", "OUTAGE"])], "tag STRING, keywords ARRAY<STRING>")
     got = tags_of(tag_logs(raw(spark, [("2b", T0, "s", "SEV1 incident")]), rules))
     assert got == {"2b": ["critical"]}
