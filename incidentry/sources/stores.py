@@ -53,3 +53,10 @@ def latest_view(spark: SparkSession, path: str, key: str = "id", order: tuple =
 def append_history(events: DataFrame, path: str) -> None:
     """Every event kept, partitioned by day (a time-range read prunes partitions, X3)."""
     _dated(events).write.mode("append").partitionBy("date").parquet(path)
+
+
+def write_quarantine(rejected: DataFrame, path: str) -> None:
+    """Rejected records (``reject_reason`` set by P2 / P3 / J2 / F8) kept apart, by reason and day."""
+    dated = rejected.withColumn("date", F.to_date("timestamp")) if "timestamp" in rejected.columns \
+        else rejected.withColumn("date", F.current_date())
+    dated.write.mode("append").partitionBy("reject_reason", "date").parquet(path)

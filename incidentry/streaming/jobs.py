@@ -129,6 +129,13 @@ def stream_pipeline(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=N
     return stream_incidents(events, key=key, threshold=threshold)
 
 
+def dedupe_exact(stream: DataFrame, key: str = "id", ts_col: str = "timestamp", delay: str = "10 minutes") -> DataFrame:
+    """T5 on a stream for exact duplicates: the first copy of an id within the watermark delay is kept. (Keeping the
+    latest copy of changing rows is the job of the batch_id-partitioned sink + latest-by-key read.)"""
+    return stream.withColumn("_et", event_time(ts_col)).withWatermark("_et", delay) \
+        .dropDuplicatesWithinWatermark([key]).drop("_et")
+
+
 def console(df: DataFrame, output_mode: str = "append"):
     """Print a stream (debugging only)."""
     return df.writeStream.outputMode(output_mode).format("console").option("truncate", "false").start()

@@ -78,3 +78,32 @@ def test_stream_login_counter(spark, replay, ttl):
     got = jobs.run_and_read(jobs.stream_login_counts(att, users_view(spark, SF_MID), ttl))
     want = login_attempt_counts(login_attempts_view(spark, SF_MID), users_view(spark, SF_MID), ttl).where("known")
     assert rows(got, "attempt_id", "attempts") == rows(want, "attempt_id", "attempts")
+
+
+def test_backlog_and_dedupe(spark, replay):
+    from incidentry.plans.reports import stream_backlog
+    ev = _stream(spark, replay, SF_SMALL)
+    logs = logs_from_events(ev)
+    doubled = jobs.dedupe_exact(logs.unionByName(logs), "id", "timestamp", "1 hour")
+    path = jobs.scratch_path(spark, "dedupe")
+    q = jobs.run_to_table(doubled.select("id", "timestamp"), path, "append")
+    q.awaitTermination(300)
+    rows_ = stream_backlog([q])
+    assert rows_ and all(r["input_rows"] is not None for r in rows_)
+    out = spark.read.parquet(path)
+    assert out.count() == out.select("id").distinct().count() == log_view(spark, SF_SMALL).count()
+
+
+def test_history_time_range_prunes_partitions(spark):
+    from incidentry.plans.reports import time_range
+    from incidentry.session import scratch_path
+    from incidentry.sources import stores
+    logs = normalize_logs(log_view(spark, SF_SMALL))
+    path = scratch_path(spark, "history")
+    stores.append_history(logs.select("id", "timestamp", "source"), path)
+    hist = spark.read.parquet(path)
+    recent = time_range(hist, "2024-01-30 00:00:00", 7).where(F.col("date") >= F.lit("2024-01-23").cast("date"))
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    want = time_range(logs, "2024-01-30 00:00:00", 7).count()
+    assert recent.count() == want
