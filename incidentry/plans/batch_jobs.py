@@ -25,7 +25,7 @@ def filtered_events(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=N
     return create_events(model_match(etl_filter(tagged, etl_tags), event_tags), carry=carry)
 
 
-def filtered_pipeline(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",
+def filtered_incidents(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",
                       threshold: int = DEFAULT_THRESHOLD, carry: tuple = ()) -> DataFrame:
     """Filtered events → instant / accumulated incidents."""
     events = filtered_events(raw_logs, rules, etl_tags, event_tags, carry=carry)

@@ -17,7 +17,7 @@ from incidentry.operators.filters import etl_filter, model_match
 from incidentry.operators.incidents import instant_and_accumulated
 from incidentry.operators.normalize import normalize_logs
 from incidentry.operators.tagging import tag_logs
-from incidentry.plans import pipelines
+from incidentry.plans import batch_jobs
 from incidentry.sources.driver_views import LOG_VIEW_SQL, log_view
 from incidentry.sources.tables import read_table
 
@@ -178,7 +178,7 @@ def q_model_match_events(spark, sf_dir):
 SELECT md5('event:' || id) AS id, id AS log_id, 'high' AS severity, 'Event from log: ' || message AS description
 FROM tagged WHERE list_contains(tags, 'error')""")
 def q_error_etl(spark, sf_dir):
-    ev = pipelines.error_etl(log_view(spark, sf_dir))
+    ev = batch_jobs.error_etl(log_view(spark, sf_dir))
     return ev.select("id", "log_id", "severity", "description")
 
 
@@ -196,15 +196,15 @@ def q_incidents_instant_accumulated(spark, sf_dir):
 @register("logs_to_incidents", _t2_sql(f"""{_TAGGED_SQL},
 ev AS ({_EVENTS_OF} FROM tagged)""", "log_id", 3))
 def q_logs_to_incidents(spark, sf_dir):
-    return _flat_incidents(pipelines.logs_to_incidents(log_view(spark, sf_dir)))
+    return _flat_incidents(batch_jobs.logs_to_incidents(log_view(spark, sf_dir)))
 
 
-@register("filtered_pipeline", _t2_sql(f"""{_TAGGED_SQL},
+@register("filtered_incidents", _t2_sql(f"""{_TAGGED_SQL},
 ev AS ({_EVENTS_OF} FROM tagged
        WHERE list_has_any(tags, ['error', 'warning']) AND list_has_any(tags, ['error', 'critical', 'warning']))""",
                                        "source", 3))
-def q_filtered_pipeline(spark, sf_dir):
-    inc = pipelines.filtered_pipeline(log_view(spark, sf_dir), event_tags=["error", "critical", "warning"],
+def q_filtered_incidents(spark, sf_dir):
+    inc = batch_jobs.filtered_incidents(log_view(spark, sf_dir), event_tags=["error", "critical", "warning"],
                                       key="source", carry=["source"])
     return _flat_incidents(inc)
 
@@ -532,13 +532,13 @@ def q_stream_error_count_1d(spark, sf_dir):
         .select("window_start", "window_end", "source", "error_count")
 
 
-@register("stream_filtered_pipeline", _t2_sql(f"""{_TAGGED_SQL},
+@register("stream_filtered_incidents", _t2_sql(f"""{_TAGGED_SQL},
 ev AS ({_EVENTS_OF} FROM tagged
        WHERE list_has_any(tags, ['error', 'warning']) AND list_has_any(tags, ['error', 'critical', 'warning']))""",
                                               "source", 3))
-def q_stream_filtered_pipeline(spark, sf_dir):
+def q_stream_filtered_incidents(spark, sf_dir):
     raw = logs_from_events(events_stream(spark, sf_dir))
-    inc = sjobs.stream_pipeline(raw, event_tags=["error", "critical", "warning"], key="source", carry=["source"])
+    inc = sjobs.stream_incident_chain(raw, event_tags=["error", "critical", "warning"], key="source", carry=["source"])
     return _flat_incidents(sjobs.run_and_read(inc))
 
 

@@ -120,11 +120,11 @@ def stream_login_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int
     return counted
 
 
-def stream_pipeline(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",
+def stream_incident_chain(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",
                     threshold: int = 3, carry: tuple = ()) -> DataFrame:
     """The receive → ETL filter → model match → incident chain as one streaming plan. The stateless steps are
     the batch functions; only the incident rule keeps state."""
-    from incidentry.plans.pipelines import filtered_events
+    from incidentry.plans.batch_jobs import filtered_events
     events = filtered_events(raw_logs, rules, etl_tags, event_tags, carry=carry)
     return stream_incidents(events, key=key, threshold=threshold)
 

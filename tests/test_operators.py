@@ -9,7 +9,7 @@ from incidentry.operators.filters import etl_filter, etl_split, model_match
 from incidentry.operators.incidents import instant_and_accumulated
 from incidentry.operators.normalize import claim_check, normalize_logs, parse_json_logs, validate_submissions
 from incidentry.operators.tagging import tag_by_gram_join, tag_logs
-from incidentry.plans.pipelines import error_etl, logs_to_incidents
+from incidentry.plans.batch_jobs import error_etl, logs_to_incidents
 from incidentry.sources.rules import event_tags_from_table, normalize_tag_rules, tag_rules_from_table
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)
