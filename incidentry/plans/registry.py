@@ -553,3 +553,44 @@ SELECT source, count(*) AS n_events FROM tagged GROUP BY source""")
 def q_events_per_log_source(spark, sf_dir):
     events = create_events(tag_logs(normalize_logs(log_view(spark, sf_dir))), carry=["source"])
     return events_per_key(events, "source")
+
+
+@register("stream_running_error_count", ORACLES["running_error_count"])
+def q_stream_running_error_count(spark, sf_dir):
+    logs = normalize_logs(logs_from_events(events_stream(spark, sf_dir)))
+    return sjobs.run_and_read(sjobs.stream_running_error_counts(logs)) \
+        .select("id", "timestamp", "source", "error_count")
+
+
+@register("stream_brute_force", _t3_sql(86400, 3))
+def q_stream_brute_force(spark, sf_dir):
+    ev = events_stream(spark, sf_dir).where(F.col("event_type") == "error").select(
+        F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"), F.col("ts").alias("timestamp"),
+        F.lit("login_failed").alias("type"), F.create_map(F.lit("ip"), F.col("user_id").cast("string")).alias("metadata"))
+    return _flat_incidents(sjobs.run_and_read(sjobs.stream_brute_force(ev, 86400, 3)))
+
+
+@register("stream_login_attempts_2d", f"""WITH base AS ({_t4_sql(172800)})
+SELECT attempt_id, attempts FROM base WHERE message <> 'Unknown username'""")
+def q_stream_login_attempts_2d(spark, sf_dir):
+    ev = events_stream(spark, sf_dir).where(F.col("event_type").isin("error", "signup"))
+    att = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), "ts",
+                    (F.col("event_type") == "signup").alias("password_ok"), F.col("event_id").alias("attempt_id"))
+    return sjobs.run_and_read(sjobs.stream_login_counts(att, users_view(spark, sf_dir), 172800))
+
+
+@register("tag_pages", """SELECT page_id, array_to_string(list_filter([
+    CASE WHEN contains(lower(html), 'error') OR contains(lower(html), 'exception') THEN 'error' END,
+    CASE WHEN contains(lower(html), 'warn') OR contains(lower(html), 'warning') THEN 'warning' END,
+    CASE WHEN contains(lower(html), 'info') THEN 'info' END,
+    CASE WHEN contains(lower(html), '<script') THEN 'script' END,
+    CASE WHEN contains(lower(html), '<form') OR contains(lower(html), 'password') THEN 'login_form' END],
+    lambda x: x IS NOT NULL), ',') AS tags FROM pages""")
+def q_tag_pages(spark, sf_dir):
+    from incidentry.sources.rules import DEFAULT_TAG_RULES
+    rules = DEFAULT_TAG_RULES + PAGE_RULES
+    return _tags_flat(tag_logs(read_table(spark, sf_dir, "pages"), rules, text_col="html"), "page_id")
+
+
+# Extra markers used on raw web pages, after the default log rules.
+PAGE_RULES = [("script", ["<script"]), ("login_form", ["<form", "password"])]
