@@ -55,6 +55,17 @@ def latency_by_source(logs: DataFrame, exact: bool = False) -> DataFrame:
     )
 
 
+def oldest_unprocessed_age(received: DataFrame, processed: DataFrame, as_of, key: str = "id",
+                           ts_col: str = "timestamp") -> DataFrame:
+    """Per source, how many received records have no processed counterpart yet and the age (seconds at
+    ``as_of``) of the oldest of them. The anti-join is on the unique record id."""
+    end = F.lit(as_of).cast(received.schema[ts_col].dataType)
+    waiting = received.join(processed.select(key), key, "left_anti")
+    return waiting.groupBy("source").agg(
+        F.count(F.lit(1)).alias("unprocessed"),
+        F.max(F.timestamp_diff("SECOND", F.col(ts_col), end)).alias("oldest_age_s"))
+
+
 def stage_funnel(received: DataFrame, valid: DataFrame, tagged: DataFrame, incidents: DataFrame,
                  etl_tags=None, event_tags=None) -> DataFrame:
     """One row per stage (received, valid, tagged, passed, matched, incidents), each stage one pass."""

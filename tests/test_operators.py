@@ -161,3 +161,24 @@ def test_json_log_files_and_epoch_fallback(spark):
     assert got["2"]["event_time"] == dt.datetime(1970, 1, 1)  # unparsable → epoch (P6)
     assert got["2"]["metadata"] == {"request_id": "req-1"}
     assert bad.count() == 1
+
+
+def test_observed_counters_and_fan_out(spark):
+    import os
+
+    from incidentry.operators.aggregates import observed
+    from incidentry.plans.reports import fan_out_write, oldest_unprocessed_age
+    from incidentry.session import scratch_path
+    df = raw(spark, [("e", T0, "s", "ERROR"), ("w", T0, "s", "WARN"), ("n", T0 + dt.timedelta(hours=1), "t", "x")])
+    tagged = tag_logs(df)
+    watched, obs = observed(tagged, "funnel", matched=F.arrays_overlap("tags", F.array(F.lit("error"))))
+    watched.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"total": 3, "matched": 1}
+    path = scratch_path(spark, "fanout")
+    fan_out_write(tagged, path)
+    assert sorted(d for d in os.listdir(path) if d.startswith("route=")) == [
+        "route=error", "route=untagged", "route=warning"]
+    back = spark.read.parquet(path)
+    assert back.where("route = 'error'").count() == 1
+    age = oldest_unprocessed_age(df, df.where("id = 'e'"), "2024-01-01 02:00:00").collect()
+    assert {r["source"]: (r["unprocessed"], r["oldest_age_s"]) for r in age} == {"s": (1, 7200), "t": (1, 3600)}
