@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.functions import det_id, epoch_micros
+from incidentry.session import ensure_checkpoint_dir
 
 # Detector defaults and incident texts.
 DEFAULT_WINDOW_SECONDS = 60
@@ -183,8 +184,12 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
         .where(F.col("n_own") > 0)
     counts = counts.withColumn(
         "candidate", (F.col("n_own") + F.least(F.col("n_halo"), F.lit(max(k - 1, 0)))) >= F.lit(k))
+    # the chunk table and the rows of chunks that can fire feed several branches below: cut their lineage once
+    # (reliable checkpoint in the shared checkpoint folder) instead of re-reading and re-shuffling the events
+    ensure_checkpoint_dir(ev.sparkSession)
+    counts = counts.checkpoint(eager=True)
     cand = counts.where("candidate").select("key", "chunk")
-    cand_rows = both.join(cand, ["key", "chunk"], "left_semi")
+    cand_rows = both.join(cand, ["key", "chunk"], "left_semi").checkpoint(eager=True)
 
     exits = cand_rows.groupBy(_bucket(n_buckets, "key", "chunk").alias("_b")) \
         .applyInPandas(_exits_fn(k, w_us), _EXIT_SCHEMA)

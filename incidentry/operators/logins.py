@@ -27,15 +27,16 @@ def login_attempt_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int
     after the previous attempt (``None``: never); a correct password clears it and answers 0; an unknown username
     answers 0 and never counts. Output adds ``success``, ``attempts`` and the answer ``message``."""
     marked = mark_known_users(attempts, users)
-    known = marked.where("known")
-    counted = segmented_running_sum(
-        known, "username", list(order), (~F.col("password_ok")).cast("int"), "attempts",
+    # unknown users go through the same scan with no increment (their answer is always 0), so the attempts are
+    # neither split nor unioned back
+    failure = (F.col("known") & ~F.col("password_ok")).cast("int")
+    both = segmented_running_sum(
+        marked, "username", list(order), failure, "attempts",
         reset=F.col("password_ok"),
         gap_micros=None if ttl_seconds is None else int(ttl_seconds) * 1_000_000,
         width_micros=width_micros)
-    counted = counted.withColumn("attempts", F.when(F.col("password_ok"), F.lit(0)).otherwise(F.col("attempts")))
-    unknown = marked.where(~F.col("known")).withColumn("attempts", F.lit(0).cast("bigint"))
-    both = counted.unionByName(unknown)
+    both = both.withColumn("attempts", F.when(F.col("password_ok") | ~F.col("known"), F.lit(0).cast("bigint"))
+                           .otherwise(F.col("attempts")))
     message = F.when(~F.col("known"), F.lit(UNKNOWN_USER)) \
         .when(F.col("password_ok"), F.lit(LOGIN_OK)) \
         .otherwise(F.concat(F.lit(WRONG_PASSWORD), F.col("attempts").cast("string")))
