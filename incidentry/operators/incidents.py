@@ -49,15 +49,30 @@ def instant_and_accumulated(events: DataFrame, key: str = "log_id", threshold: i
     raises an *accumulated* incident once the key's count (this event included) reaches ``threshold`` — on that event
     and every later one.
 
-    Plan: the *instant* half is a filter. For the *accumulated* half only the first ``threshold-1`` events of each key
-    matter (they never fire), so they are found with a group-limited window and removed with an anti-join on the
-    unique event id. No step sorts or gathers a whole key."""
-    instant = incident_rows(events.where(_is_high(F.col("severity"))), "instant",
-                            F.concat(F.lit(INSTANT_PREFIX), F.col("description")), key=key)
-    rest = events.where(~_is_high(F.col("severity")))
+    Plan: only the first ``threshold-1`` events of each key can stay silent, so they are found with a group-limited
+    window and marked with a join on the unique event id; everything else is a filter on that mark and the severity.
+    No step sorts or gathers a whole key."""
+    high = _is_high(F.col("severity"))
     if threshold > 1:
-        early = first_per_key(events.select(key, *order), key, threshold - 1, order).select("id")
-        rest = rest.join(early, "id", "left_anti")
-    accumulated = incident_rows(rest, "accumulated",
-                                F.concat(F.lit(ACCUMULATED_PREFIX), F.col(key).cast("string")), key=key)
-    return instant.unionByName(accumulated)
+        early = first_per_key(events.select(key, *order), key, threshold - 1, order) \
+            .select("id", F.lit(True).alias("_early"))
+        marked = events.join(early, "id", "left")
+        fires = high | F.col("_early").isNull()
+    else:
+        marked, fires = events, F.lit(True)
+    # one pass over the events: high → instant, any other event past the first threshold-1 of its key → accumulated
+    fired = marked.where(fires)
+    rule = F.when(high, F.lit("instant")).otherwise(F.lit("accumulated"))
+    summary = F.when(high, F.concat(F.lit(INSTANT_PREFIX), F.col("description"))) \
+        .otherwise(F.concat(F.lit(ACCUMULATED_PREFIX), F.col(key).cast("string")))
+    return fired.select(
+        F.md5(F.concat(F.lit("incident:"), rule, F.lit(":"), F.col("id"))).alias("id"),
+        F.col("timestamp"),
+        F.array(F.col("id")).alias("events"),
+        F.lit(STATUS_OPEN).alias("status"),
+        summary.alias("summary"),
+        F.lit(None).cast("string").alias("owner"),
+        rule.alias("rule"),
+        F.col("id").alias("event_id"),
+        F.col(key).cast("string").alias("key"),
+    )

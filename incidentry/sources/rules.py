@@ -117,3 +117,15 @@ def event_tags_from_table(df: DataFrame | None, max_tags: int = 10000) -> list[s
         raise ValueError(f"model rules table has more than {max_tags} tags")
     tags = [r["tag"] for r in sorted(rows, key=lambda r: (r["rule_order"], r["tag"]))]
     return tags or DEFAULT_EVENT_TAGS
+
+
+def read_rules_table(spark, path: str, fmt: str = "parquet"):
+    """The rules table at ``path``, or None when it cannot be read (missing path, unreadable files), in which
+    case the tagger and the matcher use their default rules, as the application does when its rules store fails."""
+    from pyspark.errors import AnalysisException
+    try:
+        df = spark.read.format(fmt).load(path)
+        df.schema  # noqa: B018 (forces the read of the footer / schema)
+        return df
+    except AnalysisException:
+        return None
