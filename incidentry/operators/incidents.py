@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentry.functions import det_id
 
 # Incident texts and status.
 INSTANT_PREFIX = "Instant incident from event: "
@@ -27,22 +26,6 @@ def first_per_key(df: DataFrame, key: str, n: int, order: tuple[str, ...] = ("ti
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def incident_rows(trigger: DataFrame, rule: str, summary: Column, events: Column | None = None,
-                  owner: Column | None = None, key: str | None = None) -> DataFrame:
-    """P10: incident rows built from a trigger event; id = md5('incident:<rule>:' || trigger id)."""
-    return trigger.select(
-        det_id(f"incident:{rule}", "id").alias("id"),
-        F.col("timestamp"),
-        (events if events is not None else F.array(F.col("id"))).alias("events"),
-        F.lit(STATUS_OPEN).alias("status"),
-        summary.alias("summary"),
-        (owner if owner is not None else F.lit(None).cast("string")).alias("owner"),
-        F.lit(rule).alias("rule"),
-        F.col("id").alias("event_id"),
-        (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
-    )
-
-
 def instant_and_accumulated(events: DataFrame, key: str = "log_id", threshold: int = DEFAULT_THRESHOLD,
                             order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
     """T2. Per key in arrival order every event counts; a ``high`` event raises an *instant* incident; any other event

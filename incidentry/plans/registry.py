@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.functions import iso_format
 from incidentry.operators.events import create_events
 from incidentry.operators.filters import etl_filter, model_match
 from incidentry.operators.incidents import instant_and_accumulated

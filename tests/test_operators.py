@@ -182,3 +182,15 @@ def test_observed_counters_and_fan_out(spark):
     assert back.where("route = 'error'").count() == 1
     age = oldest_unprocessed_age(df, df.where("id = 'e'"), "2024-01-01 02:00:00").collect()
     assert {r["source"]: (r["unprocessed"], r["oldest_age_s"]) for r in age} == {"s": (1, 7200), "t": (1, 3600)}
+
+
+def test_rules_table_read_falls_back(spark):
+    from incidentry.session import scratch_path
+    from incidentry.sources.rules import read_rules_table
+    missing = read_rules_table(spark, scratch_path(spark, "no-such-rules"))
+    assert missing is None
+    df = raw(spark, [("1", T0, "s", "ERROR x")])
+    assert tags_of(tag_logs(df, missing)) == {"1": ["error"]}  # None → default rules
+    path = scratch_path(spark, "rules")
+    spark.createDataFrame([("critical", "ERROR")], "tag STRING, keywords STRING").write.parquet(path)
+    assert tags_of(tag_logs(df, read_rules_table(spark, path))) == {"1": ["critical"]}
