@@ -5,7 +5,7 @@ A tag applies when any of its keywords is a case-insensitive substring of the me
 Rules are configuration: a few tags with a handful of keywords each. When the normalised rule set is small (checked by
 count) it is compiled into one projection — ``array_compact(array(when(<any keyword hit>, tag), ...))`` — so the logs
 are neither shuffled nor joined, and the same expression runs unchanged on a stream. A rule set over the bound takes
-an exact distributed path instead: every keyword is joined on its leading character n-gram against the n-grams of
+an exact distributed path instead: every keyword is joined on its rarest character n-gram against the n-grams of
 the distinct messages, and the candidate pairs are verified with ``contains``.
 """
 
@@ -56,24 +56,35 @@ def tag_by_gram_join(logs: DataFrame, norm_rules: DataFrame, text_col: str = "me
                      n: int = GRAM) -> DataFrame:
     """Exact tagging for rule sets too large to inline.
 
-    A keyword of length L can only be a substring of a text that contains its first min(L, n) characters, so each
-    keyword is equi-joined on that gram against the grams of every distinct lower-cased text, then verified. Work is
-    proportional to the total text length, and the join key is a gram, not the message.
+    A keyword of length L can only be a substring of a text that contains every one of its min(L, n)-character
+    grams, so each keyword is equi-joined on its *rarest* such gram (fewest distinct texts containing it) against the
+    grams of every distinct lower-cased text, and the candidate pairs are verified with ``contains``. Work is
+    proportional to the total text length; common grams ("the") are avoided as join keys whenever the keyword has a
+    rarer one, which keeps the candidate pairs close to the true matches.
     """
     kw = norm_rules.select("rule_order", "tag", F.explode("keywords").alias("kw")) \
         .select("rule_order", "tag", F.lower("kw").alias("kwl")) \
-        .where(F.length("kwl") > 0)
-    kw = kw.withColumn("g", F.least(F.length("kwl"), F.lit(n))) \
-        .withColumn("gram", F.expr("substring(kwl, 1, g)"))
+        .where(F.length("kwl") > 0) \
+        .withColumn("g", F.least(F.length("kwl"), F.lit(n)))
     texts = logs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lm")).distinct()
-    grams = []
-    for g in range(1, n + 1):
-        pos = F.when(F.length("lm") >= g, F.sequence(F.lit(1), F.length("lm") - g + 1)) \
+
+    def grams_of(df: DataFrame, text: str, g: Column | int) -> DataFrame:
+        g = F.lit(g) if isinstance(g, int) else g
+        pos = F.when(F.length(text) >= g, F.sequence(F.lit(1), F.length(text) - g + 1)) \
             .otherwise(F.array().cast("array<int>"))
-        grams.append(texts.select("lm", F.explode(pos).alias("pos"))
-                     .select("lm", F.lit(g).alias("g"), F.expr(f"substring(lm, pos, {g})").alias("gram")))
-    all_grams = reduce(DataFrame.unionByName, grams).distinct()
-    hits = all_grams.join(kw, ["g", "gram"]).where(F.contains(F.col("lm"), F.col("kwl"))) \
+        return df.withColumn("_g", g).withColumn("pos", F.explode(pos)) \
+            .withColumn("gram", F.expr(f"substring({text}, pos, _g)")).drop("pos")
+
+    all_grams = reduce(DataFrame.unionByName,
+                       [grams_of(texts, "lm", g).select("lm", F.col("_g").alias("g"), "gram")
+                        for g in range(1, n + 1)]).distinct()
+    freq = all_grams.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("freq"))
+    kw_grams = grams_of(kw, "kwl", F.col("g")).drop("_g")
+    chosen = kw_grams.join(freq, ["g", "gram"], "left") \
+        .withColumn("freq", F.coalesce("freq", F.lit(0))) \
+        .groupBy("rule_order", "tag", "kwl", "g") \
+        .agg(F.min_by("gram", F.struct("freq", "gram")).alias("gram"))
+    hits = all_grams.join(chosen, ["g", "gram"]).where(F.contains(F.col("lm"), F.col("kwl"))) \
         .select("lm", "rule_order", "tag").distinct()
     tagsets = hits.groupBy("lm").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rule_order", "tag"))), lambda r: r["tag"]).alias("_tags"))

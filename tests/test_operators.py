@@ -194,3 +194,17 @@ def test_rules_table_read_falls_back(spark):
     path = scratch_path(spark, "rules")
     spark.createDataFrame([("critical", "ERROR")], "tag STRING, keywords STRING").write.parquet(path)
     assert tags_of(tag_logs(df, read_rules_table(spark, path))) == {"1": ["critical"]}
+
+
+def test_gram_join_on_conversation_text(spark):
+    from conftest import SF_SMALL
+    from incidentry.plans.registry import DOC_RULES
+    from incidentry.sources.tables import read_table
+    conv = read_table(spark, SF_SMALL, "conversations").select("conv_id", "turn", "text")
+    rules = spark.createDataFrame([(i, t, kws) for i, (t, kws) in enumerate(DOC_RULES + [("x", ["zq", "a"])])],
+                                  "rule_order INT, tag STRING, keywords ARRAY<STRING>")
+    key = ("conv_id", "turn")
+    inline = {tuple(r[k] for k in key): list(r["tags"]) for r in tag_logs(conv, rules, text_col="text").collect()}
+    joined = {tuple(r[k] for k in key): list(r["tags"])
+              for r in tag_by_gram_join(conv, normalize_tag_rules(rules), text_col="text").collect()}
+    assert inline == joined and any(inline.values())
