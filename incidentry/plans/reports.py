@@ -103,3 +103,16 @@ def stream_backlog(queries: list[StreamingQuery]) -> list[dict]:
                         "latest_offset": str(src.get("latestOffset")),
                         "input_rows": src.get("numInputRows")})
     return out
+
+
+def watermark_report(query: StreamingQuery) -> list[dict]:
+    """Per micro-batch, the input rows, the event-time watermark in force and the late-row counter of the stateful
+    operators (Spark fills that counter for some operators only; windowed aggregations filter late rows before it,
+    so compare the output with the input to measure what a window aggregation dropped)."""
+    out = []
+    for prog in query.recentProgress or []:
+        ops = prog.stateOperators or []
+        out.append({"batch_id": prog.batchId, "input_rows": prog.numInputRows,
+                    "watermark": (prog.eventTime or {}).get("watermark"),
+                    "dropped_by_operator": sum(int(o.numRowsDroppedByWatermark or 0) for o in ops)})
+    return out
