@@ -208,3 +208,16 @@ def test_gram_join_on_conversation_text(spark):
     joined = {tuple(r[k] for k in key): list(r["tags"])
               for r in tag_by_gram_join(conv, normalize_tag_rules(rules), text_col="text").collect()}
     assert inline == joined and any(inline.values())
+
+
+def test_critical_only_and_equal_timestamps(spark):
+    # a critical-only log passes the matcher but not the default ETL filter (Q9)
+    rules = [("critical", ["SEV1"]), ("error", ["ERROR"])]
+    df = raw(spark, [("c", T0, "s", "SEV1 outage"), ("e", T0, "s", "ERROR x")])
+    tagged = tag_logs(df, rules)
+    assert sorted(r["id"] for r in model_match(tagged).collect()) == ["c", "e"]
+    assert sorted(r["id"] for r in model_match(etl_filter(tagged)).collect()) == ["e"]
+    # equal timestamps: arrival order falls back to the id
+    ev = spark.createDataFrame([(i, T0, "k", "medium", "d") for i in ["b", "a", "d", "c"]],
+                               "id STRING, timestamp TIMESTAMP_NTZ, log_id STRING, severity STRING, description STRING")
+    assert sorted(r["event_id"] for r in instant_and_accumulated(ev).collect()) == ["c", "d"]
