@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from incidentry.operators.filters import error_message
 from incidentry.operators.scan import segmented_running_sum
+from incidentry.constants import TUMBLING_WINDOW
 
 
-def tumbling_error_counts(logs: DataFrame, window: str = "5 seconds", ts_col: str = "timestamp",
+def tumbling_error_counts(logs: DataFrame, window: str = TUMBLING_WINDOW, ts_col: str = "timestamp",
                           source_col: str = "source", message_col: str = "message") -> DataFrame:
     """Errors per source per tumbling event-time window; only non-empty windows are emitted.
 

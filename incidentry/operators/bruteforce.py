@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 
 from incidentry.functions import det_id, epoch_micros
 from incidentry.session import ensure_checkpoint_dir
+from incidentry.constants import (BRUTE_FORCE_OWNER, BRUTE_FORCE_SUMMARY_MIDDLE, BRUTE_FORCE_SUMMARY_PREFIX,
+                                  BRUTE_FORCE_THRESHOLD, BRUTE_FORCE_WINDOW_SECONDS, FAILED_LOGIN_TYPE,
+                                  STATUS_OPEN)
 
-# Detector defaults and incident texts.
-DEFAULT_WINDOW_SECONDS = 60
-DEFAULT_THRESHOLD = 10
-SUMMARY_PREFIX = "Brute Force Attack: "
-SUMMARY_MIDDLE = " failed logins from "
-OWNER = "auto-assigned"
-RULE = "brute_force"
+DEFAULT_WINDOW_SECONDS = BRUTE_FORCE_WINDOW_SECONDS
+DEFAULT_THRESHOLD = BRUTE_FORCE_THRESHOLD
+SUMMARY_PREFIX = BRUTE_FORCE_SUMMARY_PREFIX
+SUMMARY_MIDDLE = BRUTE_FORCE_SUMMARY_MIDDLE
+OWNER = BRUTE_FORCE_OWNER
+RULE = "brute_force"  # our rule label (not a reference value)
 
 _EXIT_SCHEMA = "key string, chunk bigint, exits array<int>"
 _FIRE_SCHEMA = "key string, chunk bigint, trigger_id string, trigger_us long, ids array<string>"
@@ -145,7 +147,7 @@ def _bucket(n_buckets: int, *cols: str):
 
 
 def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
-                          threshold: int = DEFAULT_THRESHOLD, event_type: str | None = "login_failed",
+                          threshold: int = DEFAULT_THRESHOLD, event_type: str | None = FAILED_LOGIN_TYPE,
                           key: F.Column | None = None, width_micros: int | None = None):
     """T3 → (incidents, quarantined events without a key).
 
@@ -208,7 +210,7 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
         det_id(f"incident:{RULE}", "trigger_id").alias("id"),
         "timestamp",
         F.col("ids").alias("events"),
-        F.lit("open").alias("status"),
+        F.lit(STATUS_OPEN).alias("status"),
         summary.alias("summary"),
         F.lit(OWNER).alias("owner"),
         F.lit(RULE).alias("rule"),

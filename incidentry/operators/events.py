@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.functions import det_id
+from incidentry.constants import DESCRIPTION_PREFIX, ERROR_TAG, EVENT_TYPE, SEVERITY_HIGH, SEVERITY_MEDIUM
 
-EVENT_TYPE = "log_event"
-DESCRIPTION_PREFIX = "Event from log: "
 
 
 def create_events(tagged: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
@@ -16,8 +15,8 @@ def create_events(tagged: DataFrame, carry: list[str] | tuple = ()) -> DataFrame
 
     Ids are md5('event:' || log id) and the event time is the log time (D1, D2), so reruns give the same rows.
     ``carry`` names log columns to keep next to the event (e.g. a correlation key)."""
-    severity = F.when(F.coalesce(F.array_contains("tags", "error"), F.lit(False)), F.lit("high")) \
-        .otherwise(F.lit("medium"))
+    severity = F.when(F.coalesce(F.array_contains("tags", ERROR_TAG), F.lit(False)), F.lit(SEVERITY_HIGH)) \
+        .otherwise(F.lit(SEVERITY_MEDIUM))
     meta = F.col("metadata") if "metadata" in tagged.columns else F.lit(None).cast("map<string,string>")
     return tagged.select(
         det_id("event", "id").alias("id"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.sources.rules import DEFAULT_ETL_TAGS, DEFAULT_EVENT_TAGS
+from incidentry.constants import ERROR_WORD, FAILED_LOGIN_TYPE, SEVERITY_HIGH
 
 
 def tags_overlap(tags: Column, allowed: list[str]) -> Column:
@@ -36,14 +37,14 @@ def model_match(tagged: DataFrame, event_tags: list[str] | None = None, tags_col
 
 def error_message(message: Column) -> Column:
     """F4 (+F6): ``'error' in message.lower()``, null messages never match."""
-    return F.coalesce(F.contains(F.lower(message), F.lit("error")), F.lit(False))
+    return F.coalesce(F.contains(F.lower(message), F.lit(ERROR_WORD)), F.lit(False))
 
 
-def of_type(events: DataFrame, event_type: str = "login_failed") -> DataFrame:
+def of_type(events: DataFrame, event_type: str = FAILED_LOGIN_TYPE) -> DataFrame:
     """F5."""
     return events.where(F.col("type") == event_type)
 
 
 def high_severity(events: DataFrame) -> DataFrame:
     """F9."""
-    return events.where(F.col("severity") == "high")
+    return events.where(F.col("severity") == SEVERITY_HIGH)

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from incidentry.constants import ACCUMULATED_PREFIX, ACCUMULATION_THRESHOLD, INSTANT_PREFIX, SEVERITY_HIGH, STATUS_OPEN
 
 
-# Incident texts and status.
-INSTANT_PREFIX = "Instant incident from event: "
-ACCUMULATED_PREFIX = "Accumulated incident from log "
-STATUS_OPEN = "open"
-DEFAULT_THRESHOLD = 3
+DEFAULT_THRESHOLD = ACCUMULATION_THRESHOLD
 
 
 def _is_high(severity: Column) -> Column:
-    return F.coalesce(severity == F.lit("high"), F.lit(False))
+    return F.coalesce(severity == F.lit(SEVERITY_HIGH), F.lit(False))
 
 
 def first_per_key(df: DataFrame, key: str, n: int, order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:

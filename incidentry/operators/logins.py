@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.operators.scan import segmented_running_sum
+from incidentry.constants import LOGIN_OK, LOGIN_TTL_SECONDS, UNKNOWN_USER, WRONG_PASSWORD
 
-# Counter lifetime and the login answers.
-DEFAULT_TTL_SECONDS = 3600
-UNKNOWN_USER = "Unknown username"
-LOGIN_OK = "Login successful"
-WRONG_PASSWORD = "Wrong password. Attempt #"
+DEFAULT_TTL_SECONDS = LOGIN_TTL_SECONDS
 
 
 def mark_known_users(attempts: DataFrame, users: DataFrame, user_col: str = "username") -> DataFrame:

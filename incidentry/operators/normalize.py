@@ -8,9 +8,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from incidentry.functions import det_id, iso_format, lower_strip, strip_ws
 from incidentry.schemas import LOG_SUBMISSION
+from incidentry.constants import CLAIM_CHECK_PREFIX, CLAIM_CHECK_SUFFIX, RECEIVER_METADATA, UNKNOWN_SOURCE
 
-# Fixed values written into every normalised log's metadata by the receiver.
-RECEIVER_METADATA = {"received_by": "log_receiver", "normalized": "true"}
 
 
 def _has(df: DataFrame, name: str) -> bool:
@@ -45,7 +44,7 @@ def normalize_logs(raw: DataFrame) -> DataFrame:
     out = raw.withColumns({
         "id": log_id,
         "timestamp": ts,
-        "source": lower_strip(F.coalesce(source, F.lit("unknown"))),
+        "source": lower_strip(F.coalesce(source, F.lit(UNKNOWN_SOURCE))),
         "message": strip_ws(F.coalesce(message, F.lit(""))),
         "metadata": F.map_concat(kept, added),
         "received_at": received,
@@ -87,7 +86,7 @@ def parse_json_logs(lines: DataFrame, value_col: str = "value", schema=LOG_SUBMI
 def claim_check(tagged: DataFrame) -> DataFrame:
     """The message published after storing a tagged log."""
     return tagged.select(
-        F.concat(F.lit("logs/"), F.col("id"), F.lit(".json")).alias("s3_key"),
+        F.concat(F.lit(CLAIM_CHECK_PREFIX), F.col("id"), F.lit(CLAIM_CHECK_SUFFIX)).alias("s3_key"),
         F.col("id").alias("log_id"),
         iso_format("timestamp").alias("timestamp"),
         F.col("tags"),

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from incidentry.functions import iso_format
 from incidentry.operators.upsert import latest_per_key
+from incidentry.constants import PRICE_TYPE, SEED_PRODUCTS
 
-# The seed rows of an empty product table.
-SEED_PRODUCTS = [("p1", "Keyboard", "49.99"), ("p2", "Monitor", "199.00"), ("p3", "Mouse", "24.50")]
-PRICE_TYPE = "decimal(12,2)"
 
 
 def to_price(c: Column) -> Column:

@@ -11,15 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
+from incidentry.constants import DEFAULT_ETL_TAGS, DEFAULT_EVENT_TAGS, DEFAULT_TAG_RULES  # noqa: F401
 
-# The built-in rule sets of the application.
-DEFAULT_TAG_RULES: list[tuple[str, list[str]]] = [
-    ("error", ["ERROR", "Exception"]),
-    ("warning", ["WARN", "WARNING"]),
-    ("info", ["INFO"]),
-]
-DEFAULT_EVENT_TAGS: list[str] = ["error", "critical"]
-DEFAULT_ETL_TAGS: list[str] = ["error", "warning"]
 
 _WS = r"(?U)^\s+|\s+$"
 

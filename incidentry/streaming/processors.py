@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from incidentry.constants import ERROR_WORD, SEVERITY_HIGH
 
 
 def _rows(rows, order):
@@ -26,7 +27,7 @@ class RunningErrorCount(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows, ["timestamp", "id"])
         start = self.count.get()[0] if self.count.exists() else 0
-        err = pdf["message"].fillna("").str.lower().str.contains("error", regex=False).astype("int64")
+        err = pdf["message"].fillna("").str.lower().str.contains(ERROR_WORD, regex=False).astype("int64")
         cum = start + err.cumsum()
         self.count.update((int(cum.iloc[-1]),))
         yield pd.DataFrame({"id": pdf["id"], "timestamp": pdf["timestamp"], "source": key[0],
@@ -50,7 +51,7 @@ class EventCounter(StatefulProcessor):
         start = self.count.get()[0] if self.count.exists() else 0
         n = start + np.arange(1, len(pdf) + 1)
         self.count.update((int(n[-1]),))
-        high = (pdf["severity"] == "high").to_numpy()
+        high = (pdf["severity"] == SEVERITY_HIGH).to_numpy()
         rule = np.where(high, "instant", np.where(n >= self.threshold, "accumulated", None))
         fired = rule != None  # noqa: E711 (element-wise)
         out = pdf.loc[fired, ["id", "timestamp", "description"]].copy()
