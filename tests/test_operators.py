@@ -221,3 +221,16 @@ def test_critical_only_and_equal_timestamps(spark):
     ev = spark.createDataFrame([(i, T0, "k", "medium", "d") for i in ["b", "a", "d", "c"]],
                                "id STRING, timestamp TIMESTAMP_NTZ, log_id STRING, severity STRING, description STRING")
     assert sorted(r["event_id"] for r in instant_and_accumulated(ev).collect()) == ["c", "d"]
+
+
+def test_iso_json_keeps_microseconds(spark):
+    import json
+
+    from incidentry.functions import iso_format, to_json_iso
+    df = spark.createDataFrame([("1", dt.datetime(2024, 1, 1, 0, 0, 0, 5)), ("2", dt.datetime(2024, 1, 1))],
+                               "id STRING, timestamp TIMESTAMP_NTZ")
+    got = {r["id"]: (json.loads(r["j"])["timestamp"], r["iso"]) for r in
+           df.select("id", to_json_iso(F.struct("id", "timestamp")).alias("j"), iso_format("timestamp").alias("iso"))
+           .collect()}
+    assert got["1"] == ("2024-01-01T00:00:00.000005", "2024-01-01T00:00:00.000005")
+    assert got["2"][1] == "2024-01-01T00:00:00"  # isoformat() omits a zero fraction
