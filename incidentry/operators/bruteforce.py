@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.functions import det_id, epoch_micros
-from incidentry.session import ensure_checkpoint_dir
+from incidentry.session import ensure_checkpoint_dir, pickle_by_value
 from incidentry.constants import (BRUTE_FORCE_OWNER, BRUTE_FORCE_SUMMARY_MIDDLE, BRUTE_FORCE_SUMMARY_PREFIX,
                                   BRUTE_FORCE_THRESHOLD, BRUTE_FORCE_WINDOW_SECONDS, FAILED_LOGIN_TYPE,
                                   STATUS_OPEN)
@@ -41,6 +41,8 @@ SUMMARY_MIDDLE = BRUTE_FORCE_SUMMARY_MIDDLE
 OWNER = BRUTE_FORCE_OWNER
 RULE = "brute_force"  # our rule label (not a reference value)
 
+pickle_by_value(__name__)  # the pandas functions below run in Python workers
+
 _EXIT_SCHEMA = "key string, chunk bigint, exits array<int>"
 _FIRE_SCHEMA = "key string, chunk bigint, trigger_id string, trigger_us long, ids array<string>"
 _CHAIN_SCHEMA = "key string, chunk bigint, entry int"

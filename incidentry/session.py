@@ -60,3 +60,14 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+
+def pickle_by_value(module_name: str) -> None:
+    """Let cloudpickle ship a module's functions and classes *by value* with the pandas functions / state processors
+    that use them, so neither the Python workers nor Spark's driver-side Python runners have to import this package
+    (it need not be installed on the cluster)."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

@@ -11,6 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from incidentry.constants import ERROR_WORD, SEVERITY_HIGH
+from incidentry.session import pickle_by_value
+
+pickle_by_value(__name__)  # processors are unpickled by Python workers and by Spark's driver-side runner
 
 
 def _rows(rows, order):
