@@ -359,11 +359,13 @@ def _price_merge(spark, sf_dir):
 
 
 @register("apply_price_updates", f"""WITH {_PRODUCTS_SQL}
-SELECT p.id, p.name, COALESCE(CAST(CAST(l.price AS VARCHAR) AS DECIMAL(12,2)), p.price) AS price,
+SELECT p.id, p.name, CAST(COALESCE(CAST(CAST(l.price AS VARCHAR) AS DECIMAL(12,2)), p.price) AS DOUBLE) AS price,
        COALESCE(l.ts, p.updated_at) AS updated_at
 FROM products p LEFT JOIN latest l USING (id)""")
 def q_apply_price_updates(spark, sf_dir):
-    return _price_merge(spark, sf_dir)[0]
+    # the table keeps DECIMAL(12,2); the report shows the price as a float, like the product API
+    merged = _price_merge(spark, sf_dir)[0]
+    return merged.withColumn("price", F.col("price").cast("double"))
 
 
 @register("price_updates_rejected", f"""WITH {_PRODUCTS_SQL}
@@ -378,12 +380,13 @@ def q_price_updates_rejected(spark, sf_dir):
 seed AS (SELECT * FROM (VALUES ('p1', 'Keyboard', CAST('49.99' AS DECIMAL(12,2))),
                                ('p2', 'Monitor', CAST('199.00' AS DECIMAL(12,2))),
                                ('p3', 'Mouse', CAST('24.50' AS DECIMAL(12,2)))) t(id, name, price))
-SELECT id, name, price, updated_at FROM products
+SELECT id, name, CAST(price AS DOUBLE) AS price, updated_at FROM products
 UNION ALL
-SELECT id, name, price, CAST(NULL AS TIMESTAMP) FROM seed s WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.id = s.id)""")
+SELECT id, name, CAST(price AS DOUBLE), CAST(NULL AS TIMESTAMP) FROM seed s
+WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.id = s.id)""")
 def q_seed_products(spark, sf_dir):
     return prod.seed_products(products_view(spark, sf_dir), prod.seed_rows(spark)) \
-        .select("id", "name", "price", "updated_at")
+        .select("id", "name", F.col("price").cast("double").alias("price"), "updated_at")
 
 
 @register("list_products", f"""WITH {_PRODUCTS_SQL}
@@ -506,13 +509,14 @@ def q_stage_funnel(spark, sf_dir):
 @register("open_incidents", f"""WITH {_TAGGED_SQL},
 ev AS ({_EVENTS_OF} FROM tagged),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS rn FROM ev)
-SELECT CASE WHEN severity = 'high' THEN 'instant' ELSE 'accumulated' END AS rule, CAST(timestamp AS DATE) AS day,
+SELECT CASE WHEN severity = 'high' THEN 'instant' ELSE 'accumulated' END AS rule,
+       CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day,
        count(*) AS n
 FROM ranked WHERE severity = 'high' OR rn >= 3 GROUP BY ALL""")
 def q_open_incidents(spark, sf_dir):
     tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
     inc = instant_and_accumulated(create_events(tagged, carry=["user_id"]), key="user_id", threshold=3)
-    return reports.open_incidents(inc)
+    return reports.open_incidents(inc).withColumn("day", F.col("day").cast("string"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
