@@ -597,3 +597,14 @@ def q_tag_pages(spark, sf_dir):
 
 # Extra markers used on raw web pages, after the default log rules.
 PAGE_RULES = [("script", ["<script"]), ("login_form", ["<form", "password"])]
+
+
+@register("claim_check_messages", f"""WITH {_TAGGED_SQL}
+SELECT 'logs/' || id || '.json' AS s3_key, id AS log_id,
+       CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp,
+       array_to_string(tags, ',') AS tags
+FROM tagged""")
+def q_claim_check_messages(spark, sf_dir):
+    msgs = claim_check(tag_logs(normalize_logs(log_view(spark, sf_dir))))
+    return msgs.withColumn("tags", F.array_join("tags", ","))

@@ -82,3 +82,15 @@ def test_tagged_log_store_roundtrip(spark):
     stores.append_history(ev, hist)
     stores.append_history(ev, hist)
     assert spark.read.parquet(hist).count() == 2
+
+
+def test_quarantine_writer(spark):
+    from incidentry.operators.normalize import validate_submissions
+    subs = spark.createDataFrame([("a", "src", "msg", T0), ("b", " ", "msg", T0), ("c", "src", None, None)],
+                                 "id STRING, source STRING, message STRING, timestamp TIMESTAMP_NTZ")
+    _, rejected = validate_submissions(subs)
+    path = scratch_path(spark, "quarantine")
+    stores.write_quarantine(rejected, path)
+    back = spark.read.parquet(path)
+    assert sorted((r["id"], r["reject_reason"]) for r in back.collect()) == [
+        ("b", "missing source"), ("c", "missing message")]
