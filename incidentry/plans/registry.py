@@ -418,9 +418,15 @@ from incidentry.plans import reports  # noqa: E402
 from incidentry.sources.driver_views import submissions_view  # noqa: E402
 
 
-@register("reject_invalid", f"""WITH {_NORM_SQL}
-SELECT 'log-' || CAST(event_id AS VARCHAR) AS id, 'missing message' AS reject_reason FROM events
-WHERE event_id % 50 = 0""")
+_SUBMISSIONS_SQL = f"""subs AS (SELECT id, timestamp, source,
+                        CASE WHEN event_id % 50 = 0 THEN '   ' ELSE message END AS message
+                 FROM ({LOG_VIEW_SQL}))"""
+
+
+@register("reject_invalid", f"""WITH {_SUBMISSIONS_SQL}
+SELECT id, CASE WHEN source IS NULL OR trim(source) = '' THEN 'missing source' ELSE 'missing message' END
+       AS reject_reason
+FROM subs WHERE source IS NULL OR trim(source) = '' OR message IS NULL OR trim(message) = ''""")
 def q_reject_invalid(spark, sf_dir):
     _, rejected = validate_submissions(submissions_view(spark, sf_dir))
     return rejected.select("id", "reject_reason")
@@ -488,11 +494,12 @@ def q_latency_by_source(spark, sf_dir):
     return reports.latency_by_source(logs, exact=True)
 
 
-@register("stage_funnel", f"""WITH {_TAGGED_SQL},
+@register("stage_funnel", f"""WITH {_TAGGED_SQL}, {_SUBMISSIONS_SQL},
 ev AS ({_EVENTS_OF} FROM tagged),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS rn FROM ev)
 SELECT 'received' AS stage, count(*) AS n FROM events
-UNION ALL SELECT 'valid', count(*) FROM events WHERE event_id % 50 <> 0
+UNION ALL SELECT 'valid', count(*) FROM subs WHERE NOT (source IS NULL OR trim(source) = '' OR message IS NULL
+                                                   OR trim(message) = '')
 UNION ALL SELECT 'tagged', count(*) FROM tagged WHERE len(tags) > 0
 UNION ALL SELECT 'passed', count(*) FROM tagged WHERE list_has_any(tags, ['error', 'warning'])
 UNION ALL SELECT 'matched', count(*) FROM tagged
