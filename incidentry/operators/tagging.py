@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from incidentry.sources.rules import DEFAULT_TAG_RULES, normalize_tag_rules, tag_rules_from_table
 
 MAX_INLINE_RULES = 2000
+MAX_INLINE_KEYWORDS = 2000  # keywords compiled into one projection; beyond it the gram join takes over
 GRAM = 3
 
 
@@ -40,16 +41,23 @@ def tags_expr(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
 
 
 def tag_logs(logs: DataFrame, rules=None, text_col: str = "message", out_col: str = "tags",
-             max_inline_rules: int = MAX_INLINE_RULES) -> DataFrame:
-    """J1. ``rules``: None (defaults), a list of (tag, [keywords]) already normalised, or a rules DataFrame."""
+             max_inline_rules: int = MAX_INLINE_RULES, max_inline_keywords: int = MAX_INLINE_KEYWORDS) -> DataFrame:
+    """J1. ``rules``: None (defaults), a list of (tag, [keywords]) already normalised, or a rules DataFrame.
+
+    Rule sets within both bounds are compiled into the projection; larger ones use ``tag_by_gram_join``."""
     if rules is None:
         return logs.withColumn(out_col, tags_expr(F.col(text_col), DEFAULT_TAG_RULES))
     if isinstance(rules, DataFrame):
         inline = tag_rules_from_table(rules, max_inline_rules)
-        if inline is None:
+        if inline is None or sum(len(k) for _, k in inline) > max_inline_keywords:
             return tag_by_gram_join(logs, normalize_tag_rules(rules), text_col, out_col)
         return logs.withColumn(out_col, tags_expr(F.col(text_col), inline))
-    return logs.withColumn(out_col, tags_expr(F.col(text_col), list(rules)))
+    rules = list(rules)
+    if len(rules) > max_inline_rules or sum(len(k) for _, k in rules) > max_inline_keywords:
+        table = logs.sparkSession.createDataFrame(
+            [(i, t, list(k)) for i, (t, k) in enumerate(rules)], "rule_order INT, tag STRING, keywords ARRAY<STRING>")
+        return tag_by_gram_join(logs, table, text_col, out_col)
+    return logs.withColumn(out_col, tags_expr(F.col(text_col), rules))
 
 
 def tag_by_gram_join(logs: DataFrame, norm_rules: DataFrame, text_col: str = "message", out_col: str = "tags",

@@ -234,3 +234,11 @@ def test_iso_json_keeps_microseconds(spark):
            .collect()}
     assert got["1"] == ("2024-01-01T00:00:00.000005", "2024-01-01T00:00:00.000005")
     assert got["2"][1] == "2024-01-01T00:00:00"  # isoformat() omits a zero fraction
+
+
+def test_many_keywords_take_the_gram_join(spark):
+    df = raw(spark, [("1", T0, "s", "alpha beta"), ("2", T0, "s", "gamma"), ("3", T0, "s", "kw7 here")])
+    rules = [("greek", ["alpha", "gamma"]), ("many", [f"kw{i}" for i in range(50)])]
+    inline = tags_of(tag_logs(df, rules))
+    joined = tags_of(tag_logs(df, rules, max_inline_keywords=10))
+    assert inline == joined == {"1": ["greek"], "2": ["greek"], "3": ["many"]}
