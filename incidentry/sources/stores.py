@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampType
 
 from incidentry.functions.timefmt import ISO_MICROS
 from incidentry.operators.upsert import latest_per_key
@@ -32,7 +33,9 @@ def write_tagged_logs(tagged: DataFrame, path: str, batch_id: str | int, fmt: st
 
 def read_tagged_logs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Stored tagged logs, latest copy per id, with the claim-check key ``s3_key``."""
-    schema = TAGGED_LOG.add("received_at", "timestamp").add("date", "date").add("batch_id", "string")
+    # a new StructType: StructType.add would modify the shared schema in place
+    schema = StructType(TAGGED_LOG.fields + [StructField("received_at", TimestampType()),
+                                             StructField("date", DateType()), StructField("batch_id", StringType())])
     df = spark.read.schema(schema).options(**_JSON_TS).format(fmt).load(path)
     latest = latest_per_key(df.drop("date"), "id", ["batch_id", "timestamp"])
     return latest.withColumn("s3_key", F.concat(F.lit("logs/"), F.col("id"), F.lit(".json")))

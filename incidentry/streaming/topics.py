@@ -1,0 +1,82 @@
+"""The receive → ETL filter → model match chain as three streaming queries joined by topics.
+
+Each stage is its own query with its own checkpoint, like the reference's three consumers. A topic is a folder of
+JSON files, one sub-folder per producing micro-batch (``batch_id=N``), written with overwrite so that a retried
+micro-batch replaces its own output; consumers read the folder as a file stream. On a cluster with the Kafka
+connector, ``streaming.sources.kafka_sink`` / ``kafka_stream`` take the place of the folders.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from incidentry.functions.timefmt import ISO_MICROS
+from incidentry.operators.events import create_events, resolve_claim_checks
+from incidentry.operators.filters import etl_filter, model_match
+from incidentry.operators.normalize import claim_check, normalize_logs
+from incidentry.operators.tagging import tag_logs
+from incidentry.schemas import CLAIM_CHECK
+from incidentry.session import scratch_path
+from incidentry.sources import stores
+
+_JSON_TS = {"timestampFormat": ISO_MICROS, "timestampNTZFormat": ISO_MICROS}
+
+
+def publish(batch: DataFrame, topic: str, batch_id: int) -> None:
+    """S3 on a folder topic: the batch's messages as JSON under ``batch_id=N`` (idempotent on retry)."""
+    batch.write.mode("overwrite").options(**_JSON_TS).json(f"{topic}/batch_id={batch_id}")
+
+
+def subscribe(spark: SparkSession, topic: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """S2 on a folder topic."""
+    with_batch = StructType(list(schema.fields) + [StructField("batch_id", LongType())])  # never .add(): it mutates
+    r = spark.readStream.schema(with_batch).options(**_JSON_TS)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.json(topic).drop("batch_id")
+
+
+def _start(df: DataFrame, fn, checkpoint: str, available_now: bool):
+    w = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fn)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
+    return w.start()
+
+
+def start_receiver(raw: DataFrame, store: str, topic: str, rules=None, checkpoint: str | None = None,
+                   available_now: bool = True):
+    """Stage 1: normalise and tag each micro-batch, store the tagged logs (S4), publish claim checks."""
+    tagged = tag_logs(normalize_logs(raw), rules)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        stores.write_tagged_logs(batch, store, batch_id)
+        publish(claim_check(batch), topic, batch_id)
+
+    return _start(tagged, run, checkpoint or scratch_path(raw.sparkSession, "ckpt-receiver"), available_now)
+
+
+def start_etl_filter(spark: SparkSession, store: str, topic_in: str, topic_out: str, allowed_tags=None,
+                     checkpoint: str | None = None, available_now: bool = True):
+    """Stage 2: resolve each claim check against the store (J2), keep allowed tags (F2), republish the key."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        resolved, _ = resolve_claim_checks(batch, stores.read_tagged_logs(spark, store))
+        passed = etl_filter(resolved, allowed_tags)
+        publish(passed.select("s3_key", F.col("id").alias("log_id"), "tags"), topic_out, batch_id)
+
+    return _start(subscribe(spark, topic_in, CLAIM_CHECK), run,
+                  checkpoint or scratch_path(spark, "ckpt-etl"), available_now)
+
+
+def start_matcher(spark: SparkSession, store: str, topic_in: str, events_path: str, event_tags=None,
+                  checkpoint: str | None = None, available_now: bool = True):
+    """Stage 3: resolve again, match (F3), create events (P5) and upsert them into the event store."""
+    schema = StructType([f for f in CLAIM_CHECK.fields if f.name != "timestamp"])
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        resolved, _ = resolve_claim_checks(batch.select("s3_key"), stores.read_tagged_logs(spark, store))
+        events = create_events(model_match(resolved, event_tags))
+        stores.append_batch(events, events_path, batch_id)
+
+    return _start(subscribe(spark, topic_in, schema), run,
+                  checkpoint or scratch_path(spark, "ckpt-match"), available_now)

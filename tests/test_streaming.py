@@ -134,3 +134,26 @@ def test_watermark_report_on_out_of_order_replay(spark):
     # asserted here (the batch result is the reference for those)
     got = spark.read.parquet(out).where(F.col("window_start") >= F.lit(lo).cast("timestamp_ntz"))
     assert got.count() > 0 and hi
+
+
+def test_three_queries_chained_by_topics(spark, replay):
+    from incidentry.operators.filters import etl_filter, model_match
+    from incidentry.session import scratch_path
+    from incidentry.sources import stores
+    from incidentry.streaming import topics
+    base = scratch_path(spark, "topic-chain")
+    store, t1, t2, ev_path = (f"{base}/{x}" for x in ("store", "logs-topic", "filtered-topic", "events"))
+    raw = logs_from_events(_stream(spark, replay, SF_SMALL)).select("id", "timestamp", "source", "message",
+                                                                     "metadata")
+    for q in (topics.start_receiver(raw, store, t1),):
+        q.awaitTermination(300)
+    q = topics.start_etl_filter(spark, store, t1, t2)
+    q.awaitTermination(300)
+    q = topics.start_matcher(spark, store, t2, ev_path)
+    q.awaitTermination(300)
+    got = stores.latest_view(spark, ev_path)
+    tagged = tag_logs(normalize_logs(log_view(spark, SF_SMALL).select("id", "timestamp", "source", "message",
+                                                                        "metadata")))
+    want = create_events(model_match(etl_filter(tagged)))
+    cols = ("id", "log_id", "severity", "description")
+    assert rows(got, *cols) == rows(want, *cols) and len(rows(want, "id")) > 0
