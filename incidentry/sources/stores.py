@@ -58,8 +58,13 @@ def append_history(events: DataFrame, path: str) -> None:
     _dated(events).write.mode("append").partitionBy("date").parquet(path)
 
 
-def write_quarantine(rejected: DataFrame, path: str) -> None:
-    """Rejected records (``reject_reason`` set by P2 / P3 / J2 / F8) kept apart, by reason and day."""
+def write_quarantine(rejected: DataFrame, path: str, batch_id: str | int | None = None) -> None:
+    """Rejected records (``reject_reason`` set by P2 / P3 / J2 / F8) kept apart, by reason and day. With a
+    ``batch_id`` (streams) a retried micro-batch replaces its own output."""
     dated = rejected.withColumn("date", F.to_date("timestamp")) if "timestamp" in rejected.columns \
         else rejected.withColumn("date", F.current_date())
-    dated.write.mode("append").partitionBy("reject_reason", "date").parquet(path)
+    if batch_id is None:
+        dated.write.mode("append").partitionBy("reject_reason", "date").parquet(path)
+    else:
+        (dated.withColumn("batch_id", F.lit(str(batch_id))).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "reject_reason", "date").parquet(path))

@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from incidentry.functions.timefmt import ISO_MICROS
 from incidentry.operators.events import create_events, resolve_claim_checks
 from incidentry.operators.filters import etl_filter, model_match
-from incidentry.operators.normalize import claim_check, normalize_logs
+from incidentry.operators.normalize import claim_check, normalize_logs, validate_submissions
 from incidentry.operators.tagging import tag_logs
 from incidentry.schemas import CLAIM_CHECK
 from incidentry.session import scratch_path
@@ -45,15 +45,18 @@ def _start(df: DataFrame, fn, checkpoint: str, available_now: bool):
 
 
 def start_receiver(raw: DataFrame, store: str, topic: str, rules=None, checkpoint: str | None = None,
-                   available_now: bool = True):
-    """Stage 1: normalise and tag each micro-batch, store the tagged logs (S4), publish claim checks."""
-    tagged = tag_logs(normalize_logs(raw), rules)
-
+                   available_now: bool = True, quarantine: str | None = None):
+    """Stage 1: validate submissions (P2; rejects go to ``quarantine``, X6), normalise and tag the valid ones, store
+    the tagged logs (S4), publish claim checks (P4)."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        stores.write_tagged_logs(batch, store, batch_id)
-        publish(claim_check(batch), topic, batch_id)
-
-    return _start(tagged, run, checkpoint or scratch_path(raw.sparkSession, "ckpt-receiver"), available_now)
+        valid, rejected = validate_submissions(batch)
+        if quarantine:
+            stores.write_quarantine(rejected, quarantine, batch_id)
+        tagged = tag_logs(normalize_logs(valid), rules)
+        stores.write_tagged_logs(tagged, store, batch_id)
+        publish(claim_check(tagged), topic, batch_id)
+
+    return _start(raw, run, checkpoint or scratch_path(raw.sparkSession, "ckpt-receiver"), available_now)
 
 
 def start_etl_filter(spark: SparkSession, store: str, topic_in: str, topic_out: str, allowed_tags=None,

@@ -143,17 +143,20 @@ def test_three_queries_chained_by_topics(spark, replay):
     from incidentry.streaming import topics
     base = scratch_path(spark, "topic-chain")
     store, t1, t2, ev_path = (f"{base}/{x}" for x in ("store", "logs-topic", "filtered-topic", "events"))
-    raw = logs_from_events(_stream(spark, replay, SF_SMALL)).select("id", "timestamp", "source", "message",
-                                                                     "metadata")
-    for q in (topics.start_receiver(raw, store, t1),):
-        q.awaitTermination(300)
+    raw = logs_from_events(_stream(spark, replay, SF_SMALL)).select(
+        "id", "timestamp", "source",
+        F.when(F.col("event_id") % 50 == 0, F.lit(" ")).otherwise(F.col("message")).alias("message"), "metadata")
+    quarantine = f"{base}/quarantine"
+    topics.start_receiver(raw, store, t1, quarantine=quarantine).awaitTermination(300)
+    bad = spark.read.parquet(quarantine)
+    assert bad.count() == read_table(spark, SF_SMALL, "events").where(F.col("event_id") % 50 == 0).count()
     q = topics.start_etl_filter(spark, store, t1, t2)
     q.awaitTermination(300)
     q = topics.start_matcher(spark, store, t2, ev_path)
     q.awaitTermination(300)
     got = stores.latest_view(spark, ev_path)
-    tagged = tag_logs(normalize_logs(log_view(spark, SF_SMALL).select("id", "timestamp", "source", "message",
-                                                                        "metadata")))
+    logs = log_view(spark, SF_SMALL).where(F.col("event_id") % 50 != 0)
+    tagged = tag_logs(normalize_logs(logs.select("id", "timestamp", "source", "message", "metadata")))
     want = create_events(model_match(etl_filter(tagged)))
     cols = ("id", "log_id", "severity", "description")
     assert rows(got, *cols) == rows(want, *cols) and len(rows(want, "id")) > 0
