@@ -7,6 +7,8 @@ arrival order, as in the reference's consumers. State per key is small and bound
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -69,12 +71,15 @@ class EventCounter(StatefulProcessor):
 class BruteForce(StatefulProcessor):
     """Buffer of (ts, id) per key, pruned by age, emptied when it reaches ``threshold``.
 
-    In event-time mode a timer one window after the key's last event clears the buffer, so idle keys leave no
-    state behind."""
+    ``time_mode="event"``: an event's age is measured against the newest event (exact on replay); a timer one window
+    after the key's last event clears the buffer. ``time_mode="processing"``: ages are measured against the wall
+    clock when the rows are handled, as the reference does with ``now()`` (no timers: Spark's processing-time mode
+    does not let an ``availableNow`` query finish here, and stale entries are dropped on the key's next event)."""
 
-    def __init__(self, window_seconds: int = 60, threshold: int = 10):
+    def __init__(self, window_seconds: int = 60, threshold: int = 10, time_mode: str = "event"):
         self.window_us = window_seconds * 1_000_000
         self.k = threshold
+        self.processing = time_mode == "processing"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -84,17 +89,20 @@ class BruteForce(StatefulProcessor):
         pdf = _rows(rows, ["event_us", "id"])
         buf = [(int(t), str(i)) for t, i in self.buf.get()] if self.buf.exists() else []
         fires = []
+        now = int(time.time() * 1_000_000) if self.processing else None  # the wall clock, as the reference
         for t, i in zip(pdf["event_us"].to_numpy(dtype=np.int64), pdf["id"].astype(str)):
-            buf = [(bt, bi) for bt, bi in buf if t - bt < self.window_us]
+            ref = now if self.processing else t
+            buf = [(bt, bi) for bt, bi in buf if ref - bt < self.window_us]
             buf.append((int(t), i))
             if len(buf) >= self.k:
                 fires.append((i, int(t), [bi for _, bi in buf]))
                 buf = []
         if buf:
             self.buf.put(buf)
-            for old in self.handle.listTimers():
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(buf[-1][0] // 1000 + self.window_us // 1000)
+            if not self.processing:
+                for old in self.handle.listTimers():
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(buf[-1][0] // 1000 + self.window_us // 1000)
         else:
             self.buf.clear()
         yield pd.DataFrame(fires, columns=["trigger_id", "trigger_us", "ids"]).assign(key=str(key[0]))

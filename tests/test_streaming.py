@@ -160,3 +160,17 @@ def test_three_queries_chained_by_topics(spark, replay):
     want = create_events(model_match(etl_filter(tagged)))
     cols = ("id", "log_id", "severity", "description")
     assert rows(got, *cols) == rows(want, *cols) and len(rows(want, "id")) > 0
+
+
+def test_stream_brute_force_processing_time(spark, replay):
+    # the replayed events are years old: against the wall clock every buffered event is already stale unless the
+    # window is wider than that, so a 1-day window never fires and a 100-year window fires like the event-time fold
+    # with an unbounded window
+    stale = jobs.run_and_read(jobs.stream_brute_force(_failed(_stream(spark, replay, SF_SMALL)), 86400, 3,
+                                                      time_mode="processing"))
+    assert stale.count() == 0
+    wide_s = 100 * 365 * 86400
+    got = jobs.run_and_read(jobs.stream_brute_force(_failed(_stream(spark, replay, SF_SMALL)), wide_s, 3,
+                                                    time_mode="processing"))
+    want, _ = brute_force_incidents(_failed(read_table(spark, SF_SMALL, "events")), wide_s, 3)
+    assert rows(got, "event_id", "key") == rows(want, "event_id", "key")
