@@ -53,19 +53,21 @@ _EVENTS_OF = """SELECT md5('event:' || id) AS id, timestamp, id AS log_id, 'log_
        'Event from log: ' || message AS description, user_id, source"""
 
 
-def _t2_sql(events_cte: str, key: str, threshold: int) -> str:
-    """T2 oracle: row_number per key + CASE."""
+def _t2_sql(events_cte: str, key: str, threshold: int, since: str | None = None, days: int | None = None) -> str:
+    """T2 oracle: row_number per key + CASE; optionally only incidents in [since - days, since)."""
+    span = "" if since is None else (f"timestamp >= TIMESTAMP '{since}' - INTERVAL {days} DAYS AND "
+                                     f"timestamp < TIMESTAMP '{since}' AND ")
     return f"""WITH {events_cte},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY timestamp, id) AS rn FROM ev)
 SELECT md5('incident:instant:' || id) AS id, timestamp, id AS events, 'open' AS status,
        'Instant incident from event: ' || description AS summary, CAST(NULL AS VARCHAR) AS owner,
        'instant' AS rule, id AS event_id, CAST({key} AS VARCHAR) AS key
-FROM ranked WHERE severity = 'high'
+FROM ranked WHERE {span}severity = 'high'
 UNION ALL
 SELECT md5('incident:accumulated:' || id), timestamp, id, 'open',
        'Accumulated incident from log ' || CAST({key} AS VARCHAR), CAST(NULL AS VARCHAR),
        'accumulated', id, CAST({key} AS VARCHAR)
-FROM ranked WHERE severity <> 'high' AND rn >= {threshold}"""
+FROM ranked WHERE {span}severity <> 'high' AND rn >= {threshold}"""
 
 
 def _flat_incidents(df: DataFrame) -> DataFrame:
@@ -476,9 +478,7 @@ AS_OF = "2024-01-30 00:00:00"
 
 
 @register("time_range_7d", _t2_sql(f"""{_TAGGED_SQL},
-ev AS ({_EVENTS_OF} FROM tagged)""", "user_id", 3).replace(
-    "FROM ranked WHERE", "FROM ranked WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAYS AND "
-    "timestamp < TIMESTAMP '2024-01-30 00:00:00' AND"))
+ev AS ({_EVENTS_OF} FROM tagged)""", "user_id", 3, since=AS_OF, days=7))
 def q_time_range_7d(spark, sf_dir):
     tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
     inc = instant_and_accumulated(create_events(tagged, carry=["user_id"]), key="user_id", threshold=3)
