@@ -16,7 +16,10 @@ once. With resets (T4) each chunk's trailing value depends on the order inside t
 aggregated from the windowed rows; the (narrow) rows are then shuffled twice, once per branch.
 
 The chunk width is derived from the data (one aggregate row read on the driver): ``span * target_rows / rows``, so a
-chunk of one key holds at most about ``target_rows`` rows when arrivals are spread over time.
+chunk of one key holds at most about ``target_rows`` rows when arrivals are spread over time. Only hot keys (more
+than ``max(target_rows, rows / MAX_HOT_KEYS)`` rows, found with a partial aggregate; at most ``MAX_HOT_KEYS`` of
+them, so the list is broadcast) are chunked; every other key is a single chunk, which keeps the chunk table near one
+row per key when keys are many and sparse.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from incidentry.functions import epoch_micros
 
 DEFAULT_TARGET_ROWS = 2_000_000
+MAX_HOT_KEYS = 100_000  # bound on the broadcast list of chunked keys (at most rows / threshold keys qualify)
 
 
 def chunk_width_micros(df: DataFrame, ts_col: str, target_rows: int = DEFAULT_TARGET_ROWS) -> int:
@@ -39,21 +43,43 @@ def chunk_width_micros(df: DataFrame, ts_col: str, target_rows: int = DEFAULT_TA
     return max(1, span * target_rows // int(row["n"]))
 
 
+def hot_keys(df: DataFrame, key: str, n_rows: int, target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+    """Keys holding more than ``max(target_rows, n_rows / MAX_HOT_KEYS)`` rows (a partial aggregate). At most
+    ``MAX_HOT_KEYS`` keys can pass that bar, which is what makes the list safe to broadcast."""
+    bar = max(target_rows, -(-n_rows // MAX_HOT_KEYS))
+    return df.groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n")) \
+        .where(F.col("_n") > bar).select("_hk", F.lit(True).alias("_hot"))
+
+
 def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Column, out: str,
                           reset: Column | None = None, gap_micros: int | None = None,
                           width_micros: int | None = None, target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Running sum of ``value`` per ``key`` in ``order`` (order[0] is the timestamp), restarting at reset rows.
 
     A row restarts the sum (its own value included) when ``reset`` is true, or — with ``gap_micros`` — when it comes
-    ``gap_micros`` or more after the key's previous row. Without resets this is a plain running sum."""
+    ``gap_micros`` or more after the key's previous row. Without resets this is a plain running sum.
+
+    Only hot keys are cut into time chunks; every other key is one chunk, so the chunk table stays about one row per
+    key even when keys are many and sparse. An explicit ``width_micros`` chunks every key (used by tests)."""
     ts = order[0]
-    width = width_micros or chunk_width_micros(df, ts, target_rows)
     key_c = F.col(key)
-    base = df.withColumns({
+    chunk = F.floor(epoch_micros(ts) / F.lit(width_micros or 1)).cast("bigint")
+    if width_micros is None:
+        us = epoch_micros(ts)
+        st = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        n_rows = int(st["n"] or 0)
+        span = (int(st["hi"]) - int(st["lo"]) + 1) if n_rows else 1
+        width = max(1, span * target_rows // max(n_rows, 1))
+        hot = F.broadcast(hot_keys(df, key, n_rows, target_rows))  # ≤ MAX_HOT_KEYS rows by construction
+        df_h = df.join(hot, key_c.eqNullSafe(F.col("_hk")), "left")
+        chunk = F.when(F.col("_hot"), F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint"))
+    else:
+        df_h = df
+    base = df_h.withColumns({
         "_v": value.cast("bigint"),
         "_r": F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False),
-        # never null, so the join below infers no extra filter and both uses of `rows` share one exchange
-        "_c": F.coalesce(F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint"), F.lit(0).cast("bigint")),
+        # never null, so the join below infers no extra filter
+        "_c": F.coalesce(chunk, F.lit(0).cast("bigint")),
         "_us": epoch_micros(ts),
     })
     rows = base

@@ -69,3 +69,17 @@ def test_hot_user_logins(spark):
     a = rows(login_attempt_counts(att, users, 3600, width_micros=HOUR), "attempt_id", "attempts")
     b = rows(login_attempt_counts(att, users, 3600, width_micros=10 ** 15), "attempt_id", "attempts")
     assert a == b
+
+
+@pytest.mark.parametrize("with_resets", [False, True])
+def test_only_hot_keys_are_chunked(spark, with_resets):
+    from incidentry.operators.scan import hot_keys
+    ev = hot_events(spark)
+    n = ev.count()
+    assert [r["_hk"] for r in hot_keys(ev, "k", n, target_rows=1000).collect()] == ["hot"]
+    kw = dict(reset=F.col("event_type") == "signup", gap_micros=2 * HOUR) if with_resets else {}
+    got = segmented_running_sum(ev, "k", ["ts", "event_id"], (F.col("event_type") == "error").cast("int"), "o",
+                                target_rows=1000, **kw)
+    want = segmented_running_sum(ev, "k", ["ts", "event_id"], (F.col("event_type") == "error").cast("int"), "o",
+                                 width_micros=10 ** 15, **kw)
+    assert rows(got, "event_id", "o") == rows(want, "event_id", "o")
