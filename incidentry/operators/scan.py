@@ -19,7 +19,9 @@ The chunk width is derived from the data (one aggregate row read on the driver):
 chunk of one key holds at most about ``target_rows`` rows when arrivals are spread over time. Only hot keys (more
 than ``max(target_rows, rows / MAX_HOT_KEYS)`` rows, found with a partial aggregate; at most ``MAX_HOT_KEYS`` of
 them, so the list is broadcast) are chunked; every other key is a single chunk, which keeps the chunk table near one
-row per key when keys are many and sparse.
+row per key when keys are many and sparse. When no key is hot the scan is a plain per-key window (one shuffle): no
+key is then larger than the bar. Windows and the carry join use a non-null stand-in of the key, so the join keeps
+the window's partitioning and only the chunk table moves.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions import epoch_micros
+from incidentry.session import ensure_checkpoint_dir
 
 DEFAULT_TARGET_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000  # bound on the broadcast list of chunked keys (at most rows / threshold keys qualify)
@@ -62,28 +65,37 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
     Only hot keys are cut into time chunks; every other key is one chunk, so the chunk table stays about one row per
     key even when keys are many and sparse. An explicit ``width_micros`` chunks every key (used by tests)."""
     ts = order[0]
-    key_c = F.col(key)
     chunk = F.floor(epoch_micros(ts) / F.lit(width_micros or 1)).cast("bigint")
+    df_h = df
+    single_chunk = False
     if width_micros is None:
         us = epoch_micros(ts)
         st = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
         n_rows = int(st["n"] or 0)
         span = (int(st["hi"]) - int(st["lo"]) + 1) if n_rows else 1
         width = max(1, span * target_rows // max(n_rows, 1))
-        hot = F.broadcast(hot_keys(df, key, n_rows, target_rows))  # ≤ MAX_HOT_KEYS rows by construction
-        df_h = df.join(hot, key_c.eqNullSafe(F.col("_hk")), "left")
-        chunk = F.when(F.col("_hot"), F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint"))
-    else:
-        df_h = df
+        ensure_checkpoint_dir(df.sparkSession)
+        # computed once (both branches below read it), ≤ MAX_HOT_KEYS rows by construction
+        hot = hot_keys(df, key, n_rows, target_rows).checkpoint(eager=True)
+        if hot.isEmpty():  # no key is big enough to need chunks: a plain per-key window, no carry
+            chunk = F.lit(0).cast("bigint")
+            single_chunk = True
+        else:
+            df_h = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left")
+            chunk = F.when(F.col("_hot"), F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint"))
     base = df_h.withColumns({
         "_v": value.cast("bigint"),
         "_r": F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False),
-        # never null, so the join below infers no extra filter
+        # never null, so the joins below infer no extra filter
         "_c": F.coalesce(chunk, F.lit(0).cast("bigint")),
         "_us": epoch_micros(ts),
+        # a non-null stand-in for the key (plus a null flag): partitioning and the carry join use plain equality on
+        # (_kk, _kn, _c), so the join keeps the window's partitioning instead of re-shuffling the rows
+        "_kk": F.coalesce(F.col(key).cast("string"), F.lit("")),
+        "_kn": F.col(key).isNull(),
     })
     rows = base
-    w_ord = Window.partitionBy(key_c, F.col("_c")).orderBy(*[F.col(c) for c in order])
+    w_ord = Window.partitionBy("_kk", "_kn", "_c").orderBy(*[F.col(c) for c in order])
     w_run = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if gap_micros is not None:
         prev = F.lag("_us").over(w_ord)
@@ -99,25 +111,29 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
     rows = rows.withColumn(
         "_before", F.last(F.when(F.col("_R"), F.col("_cum") - F.col("_v")), ignorenulls=True).over(w_run))
     rows = rows.withColumn("_local", F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0)))
+    if single_chunk:
+        return rows.select(*df.columns, F.col("_local").alias(out))
 
     if reset is None and gap_micros is None:
         # no resets: the carry is the sum of the earlier chunks, and chunk sums are a partial aggregate of the raw
         # rows (no sort), so the rows are shuffled and sorted only once, for the window above
-        totals = base.groupBy(key_c.alias("_k"), F.col("_c").alias("_kc")).agg(F.sum("_v").alias("_total"))
-        wk = Window.partitionBy("_k").orderBy("_kc").rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select("_k", "_kc", F.lit(False).alias("_fg"),
+        totals = base.groupBy(F.col("_kk").alias("_k"), F.col("_kn").alias("_kz"), F.col("_c").alias("_kc")) \
+            .agg(F.sum("_v").alias("_total"))
+        wk = Window.partitionBy("_k", "_kz").orderBy("_kc").rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select("_k", "_kz", "_kc", F.lit(False).alias("_fg"),
                               F.coalesce(F.sum("_total").over(wk), F.lit(0)).alias("_carry"))
-        joined = rows.join(carry, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_kc")), "inner")
+        joined = rows.join(carry, (F.col("_kk") == F.col("_k")) & (F.col("_kn") == F.col("_kz"))
+                           & (F.col("_c") == F.col("_kc")), "inner")
         return joined.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(out))
 
-    chunks = rows.groupBy(key_c.alias("_k"), F.col("_c").alias("_kc")).agg(
+    chunks = rows.groupBy(F.col("_kk").alias("_k"), F.col("_kn").alias("_kz"), F.col("_c").alias("_kc")).agg(
         F.sum("_v").alias("_total"),
         F.max(F.col("_R").cast("int")).alias("_anyres"),
         F.max_by("_local", F.struct(*[F.col(c) for c in order])).alias("_end"),
         F.min("_us").alias("_first"),
         F.max("_us").alias("_last"),
     )
-    wc = Window.partitionBy("_k").orderBy("_kc")
+    wc = Window.partitionBy("_k", "_kz").orderBy("_kc")
     first_gap = F.lit(False)
     if gap_micros is not None:
         prev_last = F.lag("_last").over(wc)
@@ -130,9 +146,10 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
     chunks = chunks.withColumn(
         "_x", F.last(F.when(F.col("_RR"), F.col("_end") - F.col("_cumtot")), ignorenulls=True)
         .over(wc.rowsBetween(Window.unboundedPreceding, -1)))
-    chunks = chunks.select("_k", "_kc", "_fg",
+    chunks = chunks.select("_k", "_kz", "_kc", "_fg",
                            (F.col("_cumtot") - F.col("_total") + F.coalesce(F.col("_x"), F.lit(0))).alias("_carry"))
 
-    joined = rows.join(chunks, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_c") == F.col("_kc")), "inner")
+    joined = rows.join(chunks, (F.col("_kk") == F.col("_k")) & (F.col("_kn") == F.col("_kz"))
+                       & (F.col("_c") == F.col("_kc")), "inner")
     result = F.col("_local") + F.when((F.col("_nres") > 0) | F.col("_fg"), F.lit(0)).otherwise(F.col("_carry"))
     return joined.select(*df.columns, result.alias(out))
