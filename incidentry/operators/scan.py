@@ -13,7 +13,8 @@ scan runs inside each (key, chunk) partition, and a small per-chunk table carrie
 
 Without resets (T1) the chunk table is a partial aggregate of the raw rows, so the rows are shuffled and sorted
 once. With resets (T4) each chunk's trailing value depends on the order inside the chunk, so the chunk table is
-aggregated from the windowed rows; the (narrow) rows are then shuffled twice, once per branch.
+aggregated from the windowed rows and those rows are read twice; only the hot keys' rows take that path, the
+others a plain per-key window.
 
 The chunk width is derived from the data (one aggregate row read on the driver): ``span * target_rows / rows``, so a
 chunk of one key holds at most about ``target_rows`` rows when arrivals are spread over time. Only hot keys (more
@@ -65,24 +66,39 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
     Only hot keys are cut into time chunks; every other key is one chunk, so the chunk table stays about one row per
     key even when keys are many and sparse. An explicit ``width_micros`` chunks every key (used by tests)."""
     ts = order[0]
-    chunk = F.floor(epoch_micros(ts) / F.lit(width_micros or 1)).cast("bigint")
-    df_h = df
-    single_chunk = False
-    if width_micros is None:
-        us = epoch_micros(ts)
-        st = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-        n_rows = int(st["n"] or 0)
-        span = (int(st["hi"]) - int(st["lo"]) + 1) if n_rows else 1
-        width = max(1, span * target_rows // max(n_rows, 1))
-        ensure_checkpoint_dir(df.sparkSession)
-        # computed once (both branches below read it), ≤ MAX_HOT_KEYS rows by construction
-        hot = hot_keys(df, key, n_rows, target_rows).checkpoint(eager=True)
-        if hot.isEmpty():  # no key is big enough to need chunks: a plain per-key window, no carry
-            chunk = F.lit(0).cast("bigint")
-            single_chunk = True
-        else:
-            df_h = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left")
-            chunk = F.when(F.col("_hot"), F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint"))
+    if width_micros is not None:
+        chunk = F.floor(epoch_micros(ts) / F.lit(width_micros)).cast("bigint")
+        return _scan(df, df.columns, key, order, value, out, reset, gap_micros, chunk, single_chunk=False)
+    us = epoch_micros(ts)
+    st = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    n_rows = int(st["n"] or 0)
+    span = (int(st["hi"]) - int(st["lo"]) + 1) if n_rows else 1
+    width = max(1, span * target_rows // max(n_rows, 1))
+    ensure_checkpoint_dir(df.sparkSession)
+    # computed once (every branch below reads it), ≤ MAX_HOT_KEYS rows by construction
+    hot = hot_keys(df, key, n_rows, target_rows).checkpoint(eager=True)
+    if hot.isEmpty():  # no key is big enough to need chunks: a plain per-key window, no carry
+        return _scan(df, df.columns, key, order, value, out, reset, gap_micros, F.lit(0).cast("bigint"),
+                     single_chunk=True)
+    flagged = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left") \
+        .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
+    chunk = F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint")
+    if reset is None and gap_micros is None:
+        # the rows are shuffled once in either case: chunk the hot keys, keep the others whole
+        return _scan(flagged, df.columns, key, order, value, out, reset, gap_micros,
+                     F.when(F.col("_hot"), chunk), single_chunk=False)
+    # with resets the chunked path reads its rows twice, so only the hot keys' rows take it
+    cold = _scan(flagged.where(~F.col("_hot")), df.columns, key, order, value, out, reset, gap_micros,
+                 F.lit(0).cast("bigint"), single_chunk=True)
+    warm = _scan(flagged.where(F.col("_hot")), df.columns, key, order, value, out, reset, gap_micros, chunk,
+                 single_chunk=False)
+    return cold.unionByName(warm)
+
+
+def _scan(df_h: DataFrame, columns: list[str], key: str, order: list[str], value: Column, out: str,
+          reset: Column | None, gap_micros: int | None, chunk: Column, single_chunk: bool) -> DataFrame:
+    """The scan over rows already assigned to chunks (``chunk``); ``single_chunk`` when every key is one chunk."""
+    ts = order[0]
     base = df_h.withColumns({
         "_v": value.cast("bigint"),
         "_r": F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False),
@@ -112,7 +128,7 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
         "_before", F.last(F.when(F.col("_R"), F.col("_cum") - F.col("_v")), ignorenulls=True).over(w_run))
     rows = rows.withColumn("_local", F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0)))
     if single_chunk:
-        return rows.select(*df.columns, F.col("_local").alias(out))
+        return rows.select(*columns, F.col("_local").alias(out))
 
     if reset is None and gap_micros is None:
         # no resets: the carry is the sum of the earlier chunks, and chunk sums are a partial aggregate of the raw
@@ -124,7 +140,7 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
                               F.coalesce(F.sum("_total").over(wk), F.lit(0)).alias("_carry"))
         joined = rows.join(carry, (F.col("_kk") == F.col("_k")) & (F.col("_kn") == F.col("_kz"))
                            & (F.col("_c") == F.col("_kc")), "inner")
-        return joined.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(out))
+        return joined.select(*columns, (F.col("_local") + F.col("_carry")).alias(out))
 
     chunks = rows.groupBy(F.col("_kk").alias("_k"), F.col("_kn").alias("_kz"), F.col("_c").alias("_kc")).agg(
         F.sum("_v").alias("_total"),
@@ -152,4 +168,4 @@ def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Colu
     joined = rows.join(chunks, (F.col("_kk") == F.col("_k")) & (F.col("_kn") == F.col("_kz"))
                        & (F.col("_c") == F.col("_kc")), "inner")
     result = F.col("_local") + F.when((F.col("_nres") > 0) | F.col("_fg"), F.lit(0)).otherwise(F.col("_carry"))
-    return joined.select(*df.columns, result.alias(out))
+    return joined.select(*columns, result.alias(out))
