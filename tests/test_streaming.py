@@ -174,3 +174,20 @@ def test_stream_brute_force_processing_time(spark, replay):
                                                     time_mode="processing"))
     want, _ = brute_force_incidents(_failed(read_table(spark, SF_SMALL, "events")), wide_s, 3)
     assert rows(got, "event_id", "key") == rows(want, "event_id", "key")
+
+
+def test_receiver_restart_from_checkpoint_is_idempotent(spark, replay):
+    from incidentry.session import scratch_path
+    from incidentry.sources import stores
+    from incidentry.streaming import topics
+    base = scratch_path(spark, "restart")
+    store, topic, ckpt = f"{base}/store", f"{base}/topic", f"{base}/ckpt"
+    raw = logs_from_events(_stream(spark, replay, SF_SMALL)).select("id", "timestamp", "source", "message",
+                                                                     "metadata")
+    topics.start_receiver(raw, store, topic, checkpoint=ckpt).awaitTermination(300)
+    first = stores.read_tagged_logs(spark, store).count()
+    files_before = spark.read.json(topic).count()
+    q = topics.start_receiver(raw, store, topic, checkpoint=ckpt)  # restart: nothing new to read
+    q.awaitTermination(300)
+    assert stores.read_tagged_logs(spark, store).count() == first == log_view(spark, SF_SMALL).count()
+    assert spark.read.json(topic).count() == files_before
