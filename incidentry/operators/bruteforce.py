@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions import det_id, epoch_micros
@@ -177,15 +177,15 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
     n_buckets = max(ev.sparkSession.sparkContext.defaultParallelism, -(-n_rows // _ROWS_PER_BUCKET))
 
     ev = ev.withColumn("_us", us).withColumn("chunk", F.floor(F.col("_us") / width).cast("bigint"))
-    own = ev.withColumn("_halo", F.lit(False))
     # events in the last `window` of a chunk are the halo of the next chunk
-    halo = ev.where(F.col("_us") >= (F.col("chunk") + 1) * width - w_us) \
-        .withColumn("chunk", F.col("chunk") + 1).withColumn("_halo", F.lit(True))
-    both = own.unionByName(halo).withColumn("_halo_rank", F.when(F.col("_halo"), 0).otherwise(1))
-
-    counts = both.groupBy("key", "chunk").agg(F.count_if(~F.col("_halo")).alias("n_own"),
-                                               F.count_if(F.col("_halo")).alias("n_halo")) \
-        .where(F.col("n_own") > 0)
+    in_tail = F.col("_us") >= (F.col("chunk") + 1) * width - w_us
+
+    # per (key, chunk): its own events and its tail; the halo of chunk c is the tail of chunk c-1 (a lag over the
+    # chunk table, one row per chunk), so no event is duplicated before we know which chunks can fire
+    counts = ev.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n_own"), F.count_if(in_tail).alias("n_tail"))
+    wk = Window.partitionBy("key").orderBy("chunk")
+    prev_is_adjacent = F.lag("chunk").over(wk) == F.col("chunk") - 1
+    counts = counts.withColumn("n_halo", F.when(prev_is_adjacent, F.lag("n_tail").over(wk)).otherwise(F.lit(0)))
     counts = counts.withColumn(
         "candidate", (F.col("n_own") + F.least(F.col("n_halo"), F.lit(max(k - 1, 0)))) >= F.lit(k))
     # the chunk table and the rows of chunks that can fire feed several branches below: cut their lineage once
@@ -193,7 +193,10 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
     ensure_checkpoint_dir(ev.sparkSession)
     counts = counts.checkpoint(eager=True)
     cand = counts.where("candidate").select("key", "chunk")
-    cand_rows = both.join(cand, ["key", "chunk"], "left_semi").checkpoint(eager=True)
+    own = ev.join(cand, ["key", "chunk"], "left_semi").withColumns({"_halo": F.lit(False), "_halo_rank": F.lit(1)})
+    halo = ev.where(in_tail).withColumn("chunk", F.col("chunk") + 1).join(cand, ["key", "chunk"], "left_semi") \
+        .withColumns({"_halo": F.lit(True), "_halo_rank": F.lit(0)})
+    cand_rows = own.unionByName(halo).checkpoint(eager=True)
 
     exits = cand_rows.groupBy(_bucket(n_buckets, "key", "chunk").alias("_b")) \
         .applyInPandas(_exits_fn(k, w_us), _EXIT_SCHEMA)
