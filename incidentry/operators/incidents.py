@@ -44,7 +44,7 @@ def instant_and_accumulated(events: DataFrame, key: str = "log_id", threshold: i
     fired = marked.where(fires)
     rule = F.when(high, F.lit("instant")).otherwise(F.lit("accumulated"))
     summary = F.when(high, F.concat(F.lit(INSTANT_PREFIX), F.col("description"))) \
-        .otherwise(F.concat(F.lit(ACCUMULATED_PREFIX), F.col(key).cast("string")))
+        .otherwise(F.concat(F.lit(ACCUMULATED_PREFIX), F.coalesce(F.col(key).cast("string"), F.lit("None"))))
     return fired.select(
         F.md5(F.concat(F.lit("incident:"), rule, F.lit(":"), F.col("id"))).alias("id"),
         F.col("timestamp"),

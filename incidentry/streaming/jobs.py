@@ -80,7 +80,7 @@ def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3)
             EventCounter(threshold), "id string, timestamp timestamp_ntz, description string, key string, rule string",
             "Append", "None")
     summary = F.when(F.col("rule") == "instant", F.concat(F.lit(INSTANT_PREFIX), F.col("description"))) \
-        .otherwise(F.concat(F.lit(ACCUMULATED_PREFIX), F.col("key")))
+        .otherwise(F.concat(F.lit(ACCUMULATED_PREFIX), F.coalesce(F.col("key"), F.lit("None"))))
     return fired.select(
         F.md5(F.concat(F.lit("incident:"), F.col("rule"), F.lit(":"), F.col("id"))).alias("id"),
         "timestamp", F.array("id").alias("events"), F.lit("open").alias("status"), summary.alias("summary"),

@@ -242,3 +242,12 @@ def test_many_keywords_take_the_gram_join(spark):
     inline = tags_of(tag_logs(df, rules))
     joined = tags_of(tag_logs(df, rules, max_inline_keywords=10))
     assert inline == joined == {"1": ["greek"], "2": ["greek"], "3": ["many"]}
+
+
+def test_null_keys_share_one_counter(spark):
+    ev = spark.createDataFrame(
+        [(f"e{i}", T0 + dt.timedelta(seconds=i), None, "medium", "d") for i in range(4)],
+        "id STRING, timestamp TIMESTAMP_NTZ, log_id STRING, severity STRING, description STRING")
+    got = sorted((r["event_id"], r["key"], r["summary"]) for r in instant_and_accumulated(ev).collect())
+    # like a dict keyed by None in the application, whose summary prints the key as "None"
+    assert got == [("e2", None, "Accumulated incident from log None"), ("e3", None, "Accumulated incident from log None")]

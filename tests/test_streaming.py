@@ -191,3 +191,11 @@ def test_receiver_restart_from_checkpoint_is_idempotent(spark, replay):
     q.awaitTermination(300)
     assert stores.read_tagged_logs(spark, store).count() == first == log_view(spark, SF_SMALL).count()
     assert spark.read.json(topic).count() == files_before
+
+
+def test_stream_tumbling_5s_matches_batch(spark, replay):
+    logs = normalize_logs(logs_from_events(_stream(spark, replay, SF_MID)))
+    got = jobs.run_and_read(jobs.stream_error_counts(logs, "5 seconds"), "update", ["window_start", "source"])
+    want = tumbling_error_counts(normalize_logs(log_view(spark, SF_MID)), "5 seconds")
+    cols = ("window_start", "window_end", "source", "error_count")
+    assert rows(got, *cols) == rows(want, *cols)
