@@ -72,13 +72,20 @@ def stream_running_error_counts(logs: DataFrame) -> DataFrame:
         RunningErrorCount(), "id string, timestamp timestamp_ntz, source string, error_count long", "Append", "None")
 
 
-def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3) -> DataFrame:
-    """T2 on a stream: the same incident rows as ``instant_and_accumulated``."""
+def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3, idle_seconds: int | None = None,
+                     delay: str = "0 seconds") -> DataFrame:
+    """T2 on a stream: the same incident rows as ``instant_and_accumulated``. ``idle_seconds`` bounds the state: a
+    key quiet for that long (event time, behind a ``delay`` watermark) starts counting again from zero; the timer
+    fires when the watermark passes it, i.e. between micro-batches."""
     use_rocksdb(events.sparkSession)
-    fired = events.select("id", "timestamp", "severity", "description", F.col(key).alias("_key")) \
-        .groupBy("_key").transformWithStateInPandas(
-            EventCounter(threshold), "id string, timestamp timestamp_ntz, description string, key string, rule string",
-            "Append", "None")
+    ev = events.select("id", "timestamp", "severity", "description", F.col(key).alias("_key"),
+                       epoch_micros("timestamp").alias("event_us"), event_time("timestamp").alias("ets"))
+    if idle_seconds is not None:
+        ev = ev.withWatermark("ets", delay)
+    fired = ev.groupBy("_key").transformWithStateInPandas(
+        EventCounter(threshold, idle_seconds),
+        "id string, timestamp timestamp_ntz, description string, key string, rule string",
+        "Append", "None" if idle_seconds is None else "EventTime")
     summary = F.when(F.col("rule") == "instant", F.concat(F.lit(INSTANT_PREFIX), F.col("description"))) \
         .otherwise(F.concat(F.lit(ACCUMULATED_PREFIX), F.coalesce(F.col("key"), F.lit("None"))))
     return fired.select(

@@ -43,12 +43,17 @@ class RunningErrorCount(StatefulProcessor):
 
 
 class EventCounter(StatefulProcessor):
-    """Count per key; high → instant, otherwise accumulated from the ``threshold``-th event on."""
+    """Count per key; high → instant, otherwise accumulated from the ``threshold``-th event on.
 
-    def __init__(self, threshold: int = 3):
+    With ``idle_seconds`` (event-time mode) a key's counter is dropped once the key has had no event for that long, so
+    state does not grow with every key ever seen; without it the counter is kept forever, as in the application."""
+
+    def __init__(self, threshold: int = 3, idle_seconds: int | None = None):
         self.threshold = threshold
+        self.idle_ms = None if idle_seconds is None else idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
@@ -56,6 +61,10 @@ class EventCounter(StatefulProcessor):
         start = self.count.get()[0] if self.count.exists() else 0
         n = start + np.arange(1, len(pdf) + 1)
         self.count.update((int(n[-1]),))
+        if self.idle_ms is not None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(pdf["event_us"].max()) // 1000 + self.idle_ms)
         high = (pdf["severity"] == SEVERITY_HIGH).to_numpy()
         rule = np.where(high, "instant", np.where(n >= self.threshold, "accumulated", None))
         fired = rule != None  # noqa: E711 (element-wise)
@@ -64,6 +73,12 @@ class EventCounter(StatefulProcessor):
         out["rule"] = rule[fired]
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.count.clear()
+        yield pd.DataFrame({"id": pd.Series([], dtype=object), "timestamp": pd.Series([], dtype="datetime64[us]"),
+                            "description": pd.Series([], dtype=object), "key": pd.Series([], dtype=object),
+                            "rule": pd.Series([], dtype=object)})
+
     def close(self) -> None:
         pass
 

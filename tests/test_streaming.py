@@ -199,3 +199,16 @@ def test_stream_tumbling_5s_matches_batch(spark, replay):
     want = tumbling_error_counts(normalize_logs(log_view(spark, SF_MID)), "5 seconds")
     cols = ("window_start", "window_end", "source", "error_count")
     assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_stream_incidents_idle_timeout(spark, replay):
+    def events_of(logs):
+        return create_events(tag_logs(normalize_logs(logs)), carry=["user_id"])
+    stream = events_of(logs_from_events(_stream(spark, replay, SF_SMALL)))
+    batch = instant_and_accumulated(events_of(log_view(spark, SF_SMALL)), key="user_id", threshold=3)
+    # a timeout longer than the data: the same incidents as the batch rule
+    long_ = jobs.run_and_read(jobs.stream_incidents(stream, key="user_id", threshold=3, idle_seconds=10 ** 8))
+    assert rows(long_, "id") == rows(batch, "id")
+    # a short timeout drops quiet keys' counters, so fewer events reach the threshold
+    short = jobs.run_and_read(jobs.stream_incidents(stream, key="user_id", threshold=3, idle_seconds=3600))
+    assert set(rows(short, "id")) <= set(rows(batch, "id"))
