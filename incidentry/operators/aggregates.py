@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from incidentry.operators.filters import error_message
 from incidentry.operators.scan import segmented_running_sum
 from incidentry.constants import TUMBLING_WINDOW
+from incidentry.functions import parse_event_time
 
 
 def tumbling_error_counts(logs: DataFrame, window: str = TUMBLING_WINDOW, ts_col: str = "timestamp",
@@ -16,6 +18,8 @@ def tumbling_error_counts(logs: DataFrame, window: str = TUMBLING_WINDOW, ts_col
 
     A partial (map-side) aggregate: a hot source never gathers its rows in one task. The same function serves batch
     and stream (the stream adds a watermark first, see streaming.aggregates)."""
+    if isinstance(logs.schema[ts_col].dataType, StringType):  # JSON / topic input: P6, unparsable → epoch
+        logs = logs.withColumn(ts_col, parse_event_time(ts_col))
     errors = logs.where(error_message(F.col(message_col)))
     return errors.groupBy(F.window(ts_col, window).alias("window"), F.col(source_col).alias("source")) \
         .agg(F.count(F.lit(1)).alias("error_count")) \

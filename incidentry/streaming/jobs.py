@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from incidentry.functions import det_id, epoch_micros
+from incidentry.functions import det_id, epoch_micros, parse_event_time
 from incidentry.operators.aggregates import tumbling_error_counts
 from incidentry.operators.bruteforce import OWNER, RULE, SUMMARY_MIDDLE, SUMMARY_PREFIX
 from incidentry.operators.incidents import ACCUMULATED_PREFIX, INSTANT_PREFIX
@@ -60,7 +61,11 @@ def run_and_read(df: DataFrame, output_mode: str = "append", latest_key: list[st
 def stream_error_counts(logs: DataFrame, window: str = "5 seconds", delay: str = "0 seconds") -> DataFrame:
     """A1 + W1-W3: tumbling error counts with an event-time watermark; rows later than the watermark are dropped
     (Spark moves the watermark between micro-batches). Window bounds come back as wall-clock NTZ."""
-    timed = logs.withColumn("timestamp", event_time("timestamp")).withWatermark("timestamp", delay)
+    if isinstance(logs.schema["timestamp"].dataType, StringType):  # JSON / topic input: P6, unparsable → epoch
+        timed = logs.withColumn("timestamp", parse_event_time("timestamp"))
+    else:
+        timed = logs.withColumn("timestamp", event_time("timestamp"))
+    timed = timed.withWatermark("timestamp", delay)
     out = tumbling_error_counts(timed, window)
     return out.withColumn("window_start", wall_time("window_start")).withColumn("window_end", wall_time("window_end"))
 

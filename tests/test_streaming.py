@@ -212,3 +212,22 @@ def test_stream_incidents_idle_timeout(spark, replay):
     # a short timeout drops quiet keys' counters, so fewer events reach the threshold
     short = jobs.run_and_read(jobs.stream_incidents(stream, key="user_id", threshold=3, idle_seconds=3600))
     assert set(rows(short, "id")) <= set(rows(batch, "id"))
+
+
+def test_json_stream_counts_with_epoch_fallback(spark):
+    import json
+    import os
+
+    from incidentry.schemas import LOG_SUBMISSION
+    from incidentry.session import scratch_path
+    path = scratch_path(spark, "json-stream")
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "part-0.json"), "w") as fh:
+        for i, (ts, msg) in enumerate([("2024-01-01T00:00:01", "ERROR a"), ("2024-01-01T00:00:03", "error b"),
+                                       ("not a time", "ERROR c"), ("2024-01-01T00:00:07", "fine")]):
+            fh.write(json.dumps({"id": str(i), "timestamp": ts, "source": "s", "message": msg}) + "\n")
+    stream = file_stream(spark, path, LOG_SUBMISSION, "json")
+    got = jobs.run_and_read(jobs.stream_error_counts(stream, "5 seconds"), "update", ["window_start", "source"])
+    counts = sorted((str(r["window_start"]), r["error_count"]) for r in got.collect())
+    assert counts[-1][1] == 2 and len(counts) == 2
+    assert counts[0][0].startswith("1970-01-01")  # the unparsable timestamp lands on the epoch (P6)
