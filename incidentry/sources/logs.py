@@ -13,7 +13,7 @@ from incidentry.schemas import LOG_SUBMISSION
 def read_log_files(spark: SparkSession, path: str, schema=LOG_SUBMISSION):
     """A folder of JSON log lines → (logs, corrupt). The text timestamp is kept, and ``event_time`` holds
     its parsed value with the epoch as fallback (P6), which is what event-time operators use."""
-    lines = spark.read.text(path).withColumnRenamed("value", "value")
+    lines = spark.read.text(path)
     good, bad = parse_json_logs(lines, "value", schema)
     return good.withColumn("event_time", parse_event_time("timestamp")), bad
 
