@@ -36,9 +36,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "_prefix", F.xxhash64(ascii_lower(F.substring("_text", 1, prefix_chars))))
 
     narrow = checkpointed(measured.select("_len", "_prefix"))
-    lengths = narrow.groupBy("_len").count().where("count > 1").select("_len")
-    crowded = checkpointed(narrow.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").count()
-                           .where("count > 1").select("_len", "_prefix", F.lit(True).alias("_crowded")))
+    counted = narrow.groupBy("_len", "_prefix").count()
+    lengths = counted.groupBy("_len").agg(F.sum("count").alias("_rows")).where("_rows > 1").select("_len")
+    crowded = checkpointed(counted.join(lengths, "_len", "left_semi").where("count > 1")
+                           .select("_len", "_prefix", F.lit(True).alias("_crowded")))
 
     full = F.sha2(ascii_lower(F.col("_text")), 256)
     read = F.col("_crowded").isNotNull()
