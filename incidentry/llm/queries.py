@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentry.llm import exact_dedup as exact
-from incidentry.llm import mixing
+from incidentry.llm import line_dedup, mixing
 from incidentry.llm.packing import pack_documents
+from incidentry.llm.permutation_index import nearest
 from incidentry.llm.simhash import simhash_groups
 from incidentry.llm.token_files import read_token_files, token_digest, write_token_files
 from incidentry.session import scratch_path, table_path
@@ -36,6 +37,12 @@ def op1(spark, sf_dir):
     return pack_documents(documents(spark, sf_dir)).drop("ids")
 
 
+@register("op2_permutation_index")
+def op2(spark, sf_dir):
+    vectors = spark.read.parquet(table_path(sf_dir, "embeddings"))
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @register("op3_source_mixing", mixing.oracle_sql())
 def op3(spark, sf_dir):
     return mixing.mix_plan(documents(spark, sf_dir))
@@ -57,3 +64,11 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir), digest_all=True).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op10_site_spread_lines", line_dedup.oracle_sql())
+def op10(spark, sf_dir):
+    cleaned = line_dedup.drop_spread_lines(documents(spark, sf_dir))
+    return cleaned.select("doc_id", F.size(line_dedup.lines_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_lines"),
+                          F.size("removed_lines").cast("long").alias("n_removed"),
+                          F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -1,0 +1,143 @@
+"""Permutation index and site-spread lines against brute force, with edge cases."""
+
+import random
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from incidentry.llm import line_dedup, permutation_index
+from incidentry.llm.permutation_index import footrule, nearest
+from incidentry.llm.queries import ORACLES, QUERIES
+
+
+def brute(ids, vecs, queries, k):
+    out = {}
+    for q in queries:
+        s = (vecs * vecs[ids == q][0]).sum(1)
+        o = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:k]
+        out[q] = [(int(ids[i]), s[i]) for i in o]
+    return out
+
+
+def found(df):
+    out = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out[r.query_id].append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def test_recall_on_whole_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+        ids, vecs = t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(float)
+        want = brute(ids, vecs, ids[ids % 20 == 0], 20)
+        got = found(QUERIES["op2_permutation_index"](spark, f"/root/testdata/{sf}"))
+        assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+        truth = {(q, i): s for q, v in want.items() for i, s in v}
+        hits = sum((q, i) in truth for q, v in got.items() for i, _ in v)
+        assert hits / len(truth) >= 0.9
+        for q, v in got.items():
+            assert v == sorted(v, key=lambda x: (-x[1], x[0]))
+            assert all(abs(s - truth[q, i]) < 1e-12 for i, s in v if (q, i) in truth)
+
+
+def test_ann_edges(spark):
+    good = [(i, [float(np.cos(i)), float(np.sin(i)), 1.0 + i % 3]) for i in range(12)]
+    bad = [(100, None), (120, []), (140, [0.0, 0.0, 0.0]), (160, [1.0, None, 2.0]), (180, [float("nan"), 1.0, 1.0]),
+           (200, [float("inf"), 0.0, 0.0]), (220, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (0, good[0][1])]
+    df = spark.createDataFrame([(*r, "x") for r in good + bad], "vec_id long, embedding array<double>, score string")
+    got = found(nearest(df, df.where("vec_id % 20 = 0"), posted=2))
+    ids, vecs = np.array([r[0] for r in good]), np.array([r[1] for r in good])
+    want = brute(ids, vecs, [0], 20)[0]
+    assert list(got) == [0] and [i for i, _ in got[0]] == [i for i, _ in want] and len(want) == 11
+    assert [s for _, s in got[0]] == pytest.approx([s for _, s in want])
+    none = df.where("vec_id < 0")
+    assert nearest(none, none).count() == 0
+    one = df.where("vec_id = 5")
+    assert nearest(one, one).count() == 0
+
+
+def test_ann_hot_vector_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vecs = rng.normal(size=(900, 16))
+    vecs[::3] = vecs[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(permutation_index, "BLOCK_VECTORS", 50)
+    monkeypatch.setattr(permutation_index, "BLOCK_QUERIES", 7)
+    got = found(nearest(df, df.where("vec_id % 20 = 0")))
+    want = brute(np.arange(900), vecs, list(range(0, 900, 20)), 20)
+    for q in range(0, 900, 60):  # the hot vector's copies: ties to the smaller ids
+        copies = [i for i, _ in got[q] if i % 3 == 0]
+        assert copies and copies == [i for i in range(0, 900, 3) if i != q][:len(copies)]
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def test_footrule_is_the_distance_up_to_a_constant():
+    rng = np.random.default_rng(2)
+    orders = np.array([rng.permutation(20)[:6] for _ in range(50)])
+    full = np.full((50, 20), 6)
+    np.put_along_axis(full, orders, np.arange(6)[None], 1)
+    want = np.abs(full - full[0]).sum(1)
+    got = footrule(full.T.astype(np.int16), orders[0])
+    assert len(set(got - want)) == 1
+
+
+# -- lines -------------------------------------------------------------------------------------------------------------
+
+BOILER = "This site uses cookies to improve your visit."
+
+
+def line_rows():
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        own = f"only on page {i} of this very site {rng.random()}"
+        near = "a line on three sites only, not enough" if i < 3 else f"number {i} has its own second line here"
+        rows.append((i, f"{own}\n  {BOILER}\t\nshort\n{near}\n\n{BOILER}", f"s{i % 12}", "x", 7))
+    rows += [(100, None, "s1", "x", 1), (101, "", None, "x", 1), (None, BOILER, None, None, None),
+             (7, BOILER, "s3", "x", 1), (7, BOILER, "s3", "x", 1), (102, "same site line, many times over\n" * 400, "s0", "x", 2)]
+    return rows
+
+
+def plain_lines(rows, min_sites, min_chars):
+    ws = " \t\n\x0b\x0c\r"
+    sites = defaultdict(set)
+    for _, t, s, *_ in rows:
+        for x in (t or "").split("\n"):
+            if len(x) >= min_chars:
+                sites[x.strip(ws)].add(s)
+    spread = {x for x, v in sites.items() if len(v) >= min_sites}
+    return ["\n".join(x for x in (t or "").split("\n") if len(x) < min_chars or x.strip(ws) not in spread)
+            for _, t, *_ in rows]
+
+
+@pytest.mark.parametrize("min_sites", [1, 3, 4, 10, 12, 13, 14])
+def test_spread_lines_equal_brute_force(spark, min_sites):
+    rows = line_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept_text string, _row_pos int")
+    got = line_dedup.drop_spread_lines(df, min_sites=min_sites)
+    assert got.columns == [*df.columns, "removed_lines", "_kept_text"]
+    assert sorted(r["_kept_text"] for r in got.collect()) == sorted(plain_lines(rows, min_sites, 20))
+
+
+def test_spread_lines_many_sites_and_empty(spark):
+    rows = [(i, f"common {c} line for so many sites", f"site{i}") for c, n in (("a", 400), ("b", 1010), ("c", 990), ("d", 1000), ("e", 1300))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.drop_spread_lines(df, min_sites=1000)
+    assert {r.text[7] for r in got.where("kept_text = ''").collect()} == {"b", "d", "e"}
+    assert {r.text[7] for r in got.where("kept_text <> ''").collect()} == {"a", "c"}
+    assert line_dedup.drop_spread_lines(df.where("doc_id < 0")).count() == 0
+
+
+def test_line_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.sql(ORACLES["op10_site_spread_lines"])
+    got = QUERIES["op10_site_spread_lines"](spark, sf)
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
