@@ -36,6 +36,12 @@ def matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
+    """Vectors with one more component that brings all to the largest norm (squared: ``largest``). A query's is 0, so
+    inner products stay as they are, and the largest is then also the smallest angle."""
+    return np.column_stack((vectors, np.sqrt(np.maximum(0.0, largest - (vectors * vectors).sum(1)))))
+
+
 def pivot_orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of the ``prefix`` pivots of largest inner product, nearest first, ties to the smaller number."""
     return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :prefix].astype("<u2")
@@ -54,6 +60,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` found nearest each row of ``queries`` (same
     columns), by largest inner product in double precision, ties to the smaller id, the query's own id left out.
 
+    Pivot orders are those of the vectors lifted to one norm, so that they follow the inner product, not the angle alone.
     ``pivots`` vectors (those of the smallest hashes of their ids: the documented, bounded sample that the index is
     fitted on) are brought to the driver; every vector is indexed. Each is posted under its first ``posted`` pivots,
     a query reads the files of its own first ``posted`` pivots, and in each cell the ``share`` nearest by footrule are
@@ -68,9 +75,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     valid = usable(vectors, id_col, vector_col)
     asked = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct()
     sample = valid.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    centres = np.array([r.vec for r in sample], dtype=np.float64).reshape(len(sample), -1)
-    if len(centres):
-        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    largest = valid.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
+    centres = lifted(np.array([r.vec for r in sample], dtype=np.float64).reshape(len(sample), -1), largest) if (
+        sample) else np.zeros((0, 1))
     prefix, posted = min(prefix, len(centres)), min(posted, len(centres))
 
     def index(batches):
@@ -78,16 +85,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
             if not len(b):
                 continue
             vec = matrix(b.column(1))
-            order = pivot_orders(vec, centres, prefix)
+            orders = [pivot_orders(lifted(vec, largest), centres, prefix),
+                      pivot_orders(vec, centres[:, :-1], prefix)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x.tobytes() for x in vec], pa.binary()),
-                 pa.array([x.tobytes() for x in order], pa.binary()),
-                 pa.array(order[:, :posted].astype(np.int32).tolist(), pa.list_(pa.int32()))],
-                ["id", "vec", "perm", "files"])
+                 *[pa.array([x.tobytes() for x in o], pa.binary()) for o in orders],
+                 *[pa.array(o[:, :posted].astype(np.int32).tolist(), pa.list_(pa.int32())) for o in orders]],
+                ["id", "vec", "perm", "asked_perm", "files", "asked_files"])
 
-    indexed = checkpointed(valid.mapInArrow(index, "id long, vec binary, perm binary, files array<int>"))
+    built = checkpointed(valid.mapInArrow(index, "id long, vec binary, perm binary, asked_perm binary, "
+                                                 "files array<int>, asked_files array<int>"))
+    indexed = built.select("id", "vec", "perm", "files")
     total = indexed.count()
-    probes = indexed.join(asked, F.col("id") == F.col("query_id"), "left_semi")
+    probes = built.join(asked, F.col("id") == F.col("query_id"), "left_semi").select(
+        "id", "vec", F.col("asked_perm").alias("perm"), F.col("asked_files").alias("files"))
     found = _search(indexed.withColumn("file", F.explode("files")), probes.withColumn("file", F.explode("files")),
                     k, share, len(centres), prefix)
     best = checkpointed(_best(found, k))

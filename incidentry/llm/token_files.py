@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import running_total, text_or_empty
+from incidentry.llm.common import checkpointed, running_total, text_or_empty
 from incidentry.llm.packing import SLICE_CHARS, encoded
 from incidentry.llm.tokens import Encoder
 from incidentry.session import pickle_by_value
@@ -87,7 +87,7 @@ def token_digest(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     rows = files.select(F.col(id_col).alias("_id"), "part", "row", "ids").mapInArrow(
         digest, "_id long, part int, row long, n_tokens long, ids_crc32 long")
-    return running_total(rows, [F.col("part"), F.col("row")], "n_tokens", "start").select(
+    return running_total(checkpointed(rows), [F.col("part"), F.col("row")], "n_tokens", "start").select(
         F.col("_id").alias(id_col), "start", "n_tokens", "ids_crc32")
 
 

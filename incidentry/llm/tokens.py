@@ -58,22 +58,24 @@ class Encoder:
             self.words.clear()
             self.firsts.clear()
         cut = [None if self._whole(x) else self._parts(x) for x in texts]
-        self._learn(self.words, {w for p in cut if p for w in p[1:]}, " " if self.spaced else "")
+        self._learn(self.words, set().union(*[p[1] for p in cut if p]), " " if self.spaced else "")
         self._learn(self.firsts, {p[0] for p in cut if p}, "")
         word, first = self.words.__getitem__, self.firsts.__getitem__
-        return [self._ids([x])[0] if p is None else first(p[0]) + b"".join(map(word, p[1:]))
+        return [self._ids([x])[0] if p is None else first(p[0]) + b"".join(map(word, p[1]))
                 for x, p in zip(texts, cut, strict=True)]
 
     def _whole(self, text: str) -> bool:
         return any(t[:2] in text for t in self.added) and any(t in text.lower() for t in self.added)
 
-    def _parts(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> tuple[str, list[str]]:
+        """The part before the first cut, and those after a cut (the cut space left out)."""
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            return "", text.replace("\n", " ").split(" ")
+        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        return parts.pop(0), parts
 
     def _learn(self, memo: dict[str, bytes], words: set[str], before: str) -> None:
-        new = [w for w in words if w not in memo]
+        new = list(words.difference(memo))
         memo.update(zip(new, self._ids([before + w for w in new]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:

