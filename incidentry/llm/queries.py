@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from incidentry.llm import exact_dedup as exact
 from incidentry.llm import line_dedup, mixing
+from incidentry.llm.crf_language import identify, train_on
+from incidentry.llm.license_scan import scan_licenses
 from incidentry.llm.packing import pack_documents
 from incidentry.llm.permutation_index import nearest
 from incidentry.llm.simhash import simhash_groups
@@ -66,6 +68,17 @@ def op7(spark, sf_dir):
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register("op8_crf_language")
+def op8(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return identify(docs, train_on(docs))
+
+
+@register("op9_patience_licenses")
+def op9(spark, sf_dir):
+    return scan_licenses(documents(spark, sf_dir))
+
+
 @register("op10_site_spread_lines", line_dedup.oracle_sql())
 def op10(spark, sf_dir):
     cleaned = line_dedup.drop_spread_lines(documents(spark, sf_dir))

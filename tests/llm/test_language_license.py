@@ -1,0 +1,127 @@
+"""CRF language ID (held-out accuracy, forward-backward against enumeration) and patience license scans."""
+
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from incidentry.llm import crf_language as crf
+from incidentry.llm import license_scan
+from incidentry.llm.license_scan import TEMPLATES, align, longest_increasing, scan_licenses, words_of
+from incidentry.llm.queries import QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, score string, license int"
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(0)
+    scores, moves, first = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    real = np.array([[1, 1, 1, 1], [1, 1, 0, 0]], bool)
+    posterior, pairs, starts, total = crf.marginals(scores, real, moves, first)
+    want, want_pairs, logs = np.zeros((2, 4, 3)), np.zeros((3, 3)), 0.0
+    for c, n in enumerate((4, 2)):
+        paths = list(itertools.product(range(3), repeat=n))
+        value = np.array([first[p[0]] + sum(scores[c, t, p[t]] for t in range(n))
+                          + sum(moves[p[t], p[t + 1]] for t in range(n - 1)) for p in paths])
+        logs += np.log(np.exp(value).sum())
+        prob = np.exp(value) / np.exp(value).sum()
+        for p, x in zip(paths, prob, strict=True):
+            for t in range(n):
+                want[c, t, p[t]] += x
+            for t in range(n - 1):
+                want_pairs[p[t], p[t + 1]] += x
+    assert np.allclose(posterior[real], want[real]) and np.allclose(pairs, want_pairs)
+    assert np.allclose(starts, want[:, 0].sum(0)) and total == pytest.approx(logs)
+
+
+def test_held_out_accuracy_and_contract(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op8_crf_language"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got.values())
+    assert all(got[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2) for d in docs)
+    judged = [got[d.doc_id].lang_pred == d.lang for d in docs if got[d.doc_id].held_out and d.lang]
+    assert len(judged) > 150 and np.mean(judged) > 0.95
+    kept = crf.keep_identified(spark.read.parquet(f"{sf}/documents.parquet"),
+                               crf.train_on(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert kept.count() > 0.99 * len(docs)
+
+
+def test_language_edges(spark):
+    rng = random.Random(1)
+    vocab = {"aa": "kara toma nila suro peki".split(), "bb": "whist glyph thrum dwelf crwth".split()}
+    rows = [(i, " ".join(rng.choices(vocab[lang], k=40)), lang, "x", 1)
+            for i, lang in enumerate(["aa", "bb"] * 40)]
+    tests = [(1000, None, "aa", None, None), (1001, "", None, "x", 1), (1002, "123 -- !!", None, "x", 1),
+             (None, "kara toma", None, None, None), (1003, "kara " * 60000, None, "x", 1), (1003, "kara " * 9, None, "x", 1),
+             (1004, " ".join(vocab["aa"] * 8 + vocab["bb"] * 2), None, "x", 1)]
+    df = spark.createDataFrame(rows + tests, SCHEMA)
+    model = crf.train_on(df)
+    got = crf.identify(df, model).collect()
+    assert len(got) == len(rows) + len(tests)
+    by = {r.doc_id: r for r in got}
+    assert all((by[i].lang_pred, by[i].score) == ("und", 0.0) for i in (1000, 1001, 1002))
+    assert all(by[i].lang_pred == "aa" for i in (None, 1003, 1004)) and by[None].held_out
+    assert all(by[r[0]].lang_pred == r[2] for r in rows)
+    assert 0.7 < by[1004].score < 0.9
+    switched = crf.label_words(model, "kara toma nila suro whist glyph thrum dwelf crwth glyph")
+    assert [x for _, x in switched] == ["aa"] * 4 + ["bb"] * 6
+    kept = crf.keep_identified(df, model)
+    assert kept.columns == df.columns and kept.count() == len(got) - 3
+    empty = df.where("doc_id < 0")
+    assert crf.train_on(empty) is None and crf.identify(empty, None).count() == 0
+    assert crf.identify(empty, model).count() == 0 and crf.keep_identified(df, None).count() == 0
+    assert {r.lang_pred for r in crf.identify(df, None).collect()} == {"und"}
+
+
+# -- licenses ----------------------------------------------------------------------------------------------------------
+
+def test_longest_increasing_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        pairs = list(enumerate(rng.sample(range(20), rng.randint(0, 8))))
+        best = max((len(c) for n in range(len(pairs) + 1) for c in itertools.combinations(pairs, n)
+                    if all(a[1] < b[1] for a, b in zip(c, c[1:], strict=False))), default=0)
+        got = longest_increasing(pairs)
+        assert len(got) == best and all(a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_align_is_a_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        pairs = align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+        assert align(a, a) == [(i, i) for i in range(len(a))]
+
+
+def test_license_edges(spark):
+    rng = random.Random(4)
+    noise = [rng.choice("the of work license version under and tion er".split()) for _ in range(30000)]
+    mit = TEMPLATES["mit-notice"]
+    edited = mit.replace("free of charge", "gratis").replace("modify, merge,", "modify,")
+    rows = [(0, None), (1, ""), (2, mit), (3, edited), (4, " ".join(noise + [mit.upper()] + noise)),
+            (5, "x\n" + TEMPLATES["gpl-3.0-line"] + "\ny"), (6, "Released under a tree."), (7, " ".join(noise)),
+            (None, TEMPLATES["apache-2.0-header"]), (8, mit + " " + TEMPLATES["isc-notice"]), (2, mit)]
+    df = spark.createDataFrame([(i, t, None, "x", 1) for i, t in rows], SCHEMA)
+    got = scan_licenses(df).collect()
+    want = {0: None, 1: None, 2: "mit-notice", 3: "mit-notice", 4: "mit-notice", 5: "gpl-3.0-line", 6: None, 7: None,
+            None: "apache-2.0-header", 8: "mit-notice"}
+    assert len(got) == len(rows) and all(r.license == want[r.doc_id] for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[2].coverage == 1.0 and by[4].coverage == 1.0 and 0.9 < by[3].coverage < 1.0
+    assert by[4].first_word == 30000 and by[4].last_word == 30000 + len(words_of(mit)) - 1
+    assert scan_licenses(df.where("doc_id > 100")).count() == 0
+
+
+def test_license_query_finds_the_lines(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op9_patience_licenses"](spark, sf).collect()}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        lines = [x for x in d.text.split("\n") if x in license_scan.TEMPLATES.values()]
+        assert (got[d.doc_id].license is not None) >= bool(lines)
+        if lines:
+            assert got[d.doc_id].coverage == 1.0
