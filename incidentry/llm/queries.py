@@ -14,6 +14,7 @@ from incidentry.llm.license_scan import scan_licenses
 from incidentry.llm.packing import pack_documents
 from incidentry.llm.permutation_index import nearest
 from incidentry.llm.simhash import simhash_groups
+from incidentry.llm.suffix_dedup import remove_repeats
 from incidentry.llm.token_files import read_token_files, token_digest, write_token_files
 from incidentry.session import scratch_path, table_path
 
@@ -62,6 +63,12 @@ def op5(spark, sf_dir):
     return token_digest(read_token_files(spark, path))
 
 
+@register("op6_suffix_array_dedup")
+def op6(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op7_progressive_exact_dedup", exact.SQL)
 def op7(spark, sf_dir):
     return exact.exact_dedup(documents(spark, sf_dir), digest_all=True).select(
