@@ -55,35 +55,39 @@ def anchors(data: bytes, length: int) -> np.ndarray:
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix by its first ``depth`` bytes (a power of two, 8 or more; equal prefixes share a rank), by
-    doubling: each round refines only the groups that are not yet single (Larsson-Sadakane)."""
+    """Rank of each suffix by its first ``depth`` bytes (a power of two, 8 or more): the number of smaller ones, so
+    equal prefixes share a rank and ranks are places in the suffix array. By doubling: each round refines only the
+    groups that are not yet single (Larsson-Sadakane)."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8))).tobytes()
     eight = np.empty(n, np.uint64)
     for j in range(8):
         part = np.frombuffer(padded, ">u8", (n + 8 - j) // 8, j)
         eight[j::8] = part[:len(eight[j::8])]
-    rank = np.unique(eight, return_inverse=True)[1].astype(np.int64)
+    rank = np.empty(n, np.int64)
+    open_ = np.argsort(eight)
+    _number(rank, open_, eight[open_], np.zeros(n, np.int64))
     reach = 8
     while reach < depth:
-        sizes = np.bincount(rank)
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))  # ranks are made sparse: places in the suffix array
-        open_ = np.flatnonzero(sizes[rank] > 1)
-        place = first[rank]
-        if len(open_):
-            ahead = np.where(open_ + reach < n, place[np.minimum(open_ + reach, n - 1)], -1)
-            order = np.lexsort((ahead, place[open_]))
-            at, group, ahead = open_[order], place[open_][order], ahead[order]
-            fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])))
-            start = np.flatnonzero(fresh)
-            group_start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            in_group = np.arange(len(at)) - np.repeat(group_start, np.diff(np.append(group_start, len(at))))
-            place[at] = group + np.repeat(in_group[start], np.diff(np.append(start, len(at))))
-        rank = np.unique(place, return_inverse=True)[1].astype(np.int64)
+        open_ = open_[np.bincount(rank, minlength=n)[rank[open_]] > 1]
+        ahead = open_ + reach
+        keys = rank[open_] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(keys)
+        open_, keys = open_[order], keys[order]
+        _number(rank, open_, keys, keys // (n + 1))
         reach *= 2
     return rank
 
 
+def _number(rank: np.ndarray, suffixes: np.ndarray, keys: np.ndarray, group: np.ndarray) -> None:
+    """Give each of the sorted ``suffixes`` its group's rank and the number of those before its own key in the group."""
+    if len(suffixes):
+        place = np.arange(len(suffixes))
+        own = np.maximum.accumulate(np.where(np.concatenate(([True], keys[1:] != keys[:-1])), place, 0))
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), place, 0))
+        rank[suffixes] = group + own - first
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, runs: np.ndarray, length: int) -> np.ndarray:
     """Kasai: common prefix, up to ``length`` bytes, of each suffix of ``order`` with the one before it.
 
@@ -134,15 +138,17 @@ def shard_repeats(contexts: list[bytes], offsets: np.ndarray, groups: np.ndarray
     rank = suffix_ranks(text, depth)
     suffixes = runs[real]
     # by the first `depth` bytes, then by the `depth` bytes that end the string: together its `length` bytes
-    order = suffixes[np.lexsort((rank[suffixes + length - depth], rank[suffixes]))]
+    order = suffixes[np.argsort(rank[suffixes] * (len(text) + 1) + rank[suffixes + length - depth], kind="stable")]
     prefix = common_prefixes(text, order, runs, length)
     name = np.empty(len(text), np.int64)
     name[order] = np.cumsum(prefix < length)
     row, column = np.nonzero(real)
-    keys = np.stack((name[suffixes], groups[row], column))
-    _, which, counts = np.unique(keys, axis=1, return_inverse=True, return_counts=True)
+    keys = (name[suffixes] * (int(groups.max(initial=0)) + 1) + groups[row]) * (half + 1) + column
+    sort = np.argsort(keys)
+    equal = keys[sort][1:] == keys[sort][:-1]
+    again = np.concatenate(([False], equal)) | np.concatenate((equal, [False])) if len(keys) else equal
     out = np.zeros(real.shape, bool)
-    out[row, column] = counts[which.ravel()] > 1
+    out[row[sort], column[sort]] = again
     return out[:, ::-1]
 
 
