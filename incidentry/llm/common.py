@@ -7,7 +7,7 @@ import types
 from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentry.session import ensure_checkpoint_dir, pickle_by_value
@@ -42,6 +42,12 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_lists(df: DataFrame, column: str, limit: int = 3_000_000) -> DataFrame:
+    """The same for a checkpointed table of lists of numbers, by the counted length of all lists."""
+    total = df.agg(F.sum(F.size(column) + 1)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     taken = {c.lower() for c in df.columns}
     while wanted.lower() in taken:
@@ -103,8 +109,4 @@ def slices(rows: int, size: int) -> Iterator[tuple[int, int]]:
         yield start, min(rows, start + size)
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 pickle_by_value(__name__)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import checkpointed, fresh_name, small_side, text_or_empty, with_row_key
+from incidentry.llm.common import checkpointed, fresh_name, small_lists, small_side, text_or_empty, with_row_key
 
 #: log2 of an HLL sketch's registers (relative error about 1.04 / sqrt(2^12) = 1.6 %), and the errors around the
 #: threshold within which sites are counted exactly.
@@ -64,7 +64,8 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, min_chars: int = 20,
     spread = small_side(checkpointed(spread_lines(rows.select("line", "site"), min_sites)))
     removed = (rows.join(spread, "line", "left_semi").groupBy("_k0", "_k1")
                .agg(F.sort_array(F.collect_set("at")).alias("_removed")))
-    removed = small_side(checkpointed(removed.select(F.col("_k0").alias(key[0]), F.col("_k1").alias(key[1]), "_removed")))
+    removed = small_lists(checkpointed(removed.select(F.col("_k0").alias(key[0]), F.col("_k1").alias(key[1]),
+                                                      "_removed")), "_removed")
     gone, left = fresh_name(docs, "removed_lines"), fresh_name(docs, "kept_text")
     numbers = F.coalesce("_removed", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(lines_of(text), lambda line, i: ~F.array_contains(numbers, i)), "\n")

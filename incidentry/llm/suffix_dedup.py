@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import checkpointed, text_or_empty, with_row_key
+from incidentry.llm.common import checkpointed, small_lists, text_or_empty, with_row_key
 from incidentry.session import pickle_by_value, scratch_path
 
 #: Bytes hashed at each position, and surroundings (each 1.5 times the length) of a shard.
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     edges = _edge_spans(rows, wanted, length)
 
     spans = whole.unionByName(edges).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(_listed(checkpointed(spans), "spans"), ["k1", "k2"], "left").select("id", "body", "spans")
+    joined = rows.join(small_lists(checkpointed(spans), "spans", BROADCAST_POSITIONS), ["k1", "k2"], "left").select("id", "body", "spans")
     kind = joined.schema["id"].dataType.simpleString()
 
     def cut(batches):
@@ -250,11 +250,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _listed(lists: DataFrame, column: str) -> DataFrame:
-    total = lists.agg(F.sum(F.size(column))).first()[0] or 0
-    return F.broadcast(lists) if total <= BROADCAST_POSITIONS else lists
-
-
 def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(k1, k2, start, end): what the strings around the anchors of ``wanted`` cover that repeat in other surroundings
     of equal anchors."""
@@ -279,7 +274,7 @@ def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                                               pa.array(columns[7], pa.binary())],
                                              ["k1", "k2", "x", "key", "known", "parts", "salt", "context"])
 
-    contexts = checkpointed(rows.join(_listed(asked, "asked"), ["k1", "k2"]).select("k1", "k2", "body", "asked").mapInArrow(
+    contexts = checkpointed(rows.join(small_lists(asked, "asked", BROADCAST_POSITIONS), ["k1", "k2"]).select("k1", "k2", "body", "asked").mapInArrow(
         fetch, "k1 long, k2 long, x long, key long, known long, parts long, salt long, context binary"))
     shards = max(1, -(-wanted.count() // SHARD_CONTEXTS))
     schema = "k1 long, k2 long, start long, end long"
