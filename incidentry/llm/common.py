@@ -99,9 +99,12 @@ def _before(by: Column, *order: Column):
 
 
 def worker_memo(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, for caches that outlast a task."""
-    holder = sys.modules.setdefault(f"_incidentry_{name}", types.ModuleType(name))
-    return holder.__dict__.setdefault("memo", {})
+    """A dictionary that lives as long as the Python worker, for caches that outlast a task. A worker holds one at a
+    time: asking for another name drops the last one's, so that a job of many stages does not add them up."""
+    holder = sys.modules.setdefault("_incidentry_memo", types.ModuleType("_incidentry_memo")).__dict__
+    if holder.get("name") != name:
+        holder["name"], holder["memo"] = name, {}
+    return holder["memo"]
 
 
 def slices(rows: int, size: int) -> Iterator[tuple[int, int]]:

@@ -16,9 +16,9 @@ from incidentry.llm.common import slices, worker_memo
 from incidentry.session import pickle_by_value
 
 #: Slots of hashed features, words of a chain, and words whose scores a Python worker remembers.
-SLOTS, CHAIN, MEMO_WORDS = 1 << 18, 64, 600_000
+SLOTS, CHAIN, MEMO_WORDS = 1 << 18, 64, 250_000
 #: Documents scored at a time, by characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")

@@ -19,7 +19,7 @@ from incidentry.llm.common import worker_memo
 from incidentry.session import pickle_by_value
 
 #: Words remembered per Python worker (about 200 bytes each); when full the memo starts anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 600_000
 
 #: A space or line feed after white space: such texts are cut by the slower pattern below.
 _ODD = re.compile(r"\s ")
