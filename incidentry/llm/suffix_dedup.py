@@ -152,11 +152,27 @@ def shard_repeats(contexts: list[bytes], offsets: np.ndarray, groups: np.ndarray
     return out[:, ::-1]
 
 
-def string_digests(context: bytes, offset: int, length: int) -> np.ndarray:
-    """64-bit digests of the strings that hold the anchor, by distance; 0 where there is none."""
-    return np.array([xxhash.xxh64_intdigest(context[offset - d:offset - d + length], d) or 1
-                     if d <= offset and offset - d + length <= len(context) else 0
-                     for d in range(length // 2 + 1)], np.uint64)
+def string_digests(contexts: list[bytes], offsets: np.ndarray, length: int) -> np.ndarray:
+    """64-bit polynomial digests of the strings that hold the anchor, mixed with their distance from it (contexts x
+    distances); 0 where there is none. All contexts advance in step."""
+    half = length // 2
+    sizes = np.array([len(c) for c in contexts])
+    width = int(sizes.max(initial=0))
+    text = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in contexts), np.uint8).reshape(len(contexts), width)
+    values = text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93)
+    base, power = np.uint64(0xBF58476D1CE4E5B9), pow(0xBF58476D1CE4E5B9, length, 1 << 64)
+    sums = np.zeros((width + 1, len(contexts)), np.uint64)
+    for i in range(width):
+        sums[i + 1] = sums[i] * base + values[:, i]
+    distance = np.arange(half + 1)
+    start = offsets[:, None] - distance[None]
+    real = (start >= 0) & (start + length <= sizes[:, None])
+    begin, row = np.where(real, start, 0), np.arange(len(contexts))[:, None]
+    found = sums[np.minimum(begin + length, width), row] - sums[begin, row] * np.uint64(power)
+    found ^= found >> np.uint64(31)
+    found *= np.uint64(0x94D049BB133111EB)
+    found ^= (distance + 1).astype(np.uint64)[None] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.where(real, np.maximum(found, np.uint64(1)), np.uint64(0))
 
 
 def _spans(repeated: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -313,8 +329,7 @@ def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     out = out.unionByName(hot.groupBy("key", "salt").applyInArrow(sort_shard, schema))
 
     def digests(table: pa.Table) -> pa.Table:
-        own = np.unique(np.concatenate([string_digests(c, o, length) for c, o in
-                                        zip(table["context"].to_pylist(), offsets(table), strict=True)]))
+        own = np.unique(string_digests(table["context"].to_pylist(), offsets(table), length))
         own = own[own > 0]
         cuts = np.searchsorted(own, (np.arange(1, MERGE_RANGES).astype(np.uint64) * np.uint64(2**64 // MERGE_RANGES)))
         parts = np.split(own, cuts)
@@ -337,9 +352,7 @@ def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def mark(table: pa.Table, lists: pa.Table) -> pa.Table:
         known = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64)
                                                                    for x in lists["shared"].to_pylist()]]))
-        found = [_among(string_digests(c, o, length), known)
-                 for c, o in zip(table["context"].to_pylist(), offsets(table), strict=True)]
-        return spans_table(table, np.array(found).reshape(len(found), -1))
+        return spans_table(table, _among(string_digests(table["context"].to_pylist(), offsets(table), length), known))
 
     return out.unionByName(hot.groupBy("key", "salt").cogroup(shared.groupBy("m_key", "m_salt")).applyInArrow(mark, schema))
 
@@ -347,7 +360,7 @@ def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which ``values`` are in the sorted ``known``, by binary search."""
     if not len(known):
-        return np.zeros(len(values), bool)
+        return np.zeros(values.shape, bool)
     at = np.minimum(np.searchsorted(known, values), len(known) - 1)
     return known[at] == values
 
