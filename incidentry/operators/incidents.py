@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from incidentry.constants import ACCUMULATED_PREFIX, ACCUMULATION_THRESHOLD, INSTANT_PREFIX, SEVERITY_HIGH, STATUS_OPEN
+from incidentry.operators.scan import segmented_running_sum
 
 
 DEFAULT_THRESHOLD = ACCUMULATION_THRESHOLD
@@ -14,33 +15,18 @@ def _is_high(severity: Column) -> Column:
     return F.coalesce(severity == F.lit(SEVERITY_HIGH), F.lit(False))
 
 
-def first_per_key(df: DataFrame, key: str, n: int, order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
-    """The first ``n`` rows of every key in arrival order.
-
-    Written as ``row_number() <= n``: Spark plans it as a partial WindowGroupLimit before the shuffle, so each map
-    task forwards at most ``n`` rows per key and a hot key never lands whole in one task."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-
-
 def instant_and_accumulated(events: DataFrame, key: str = "log_id", threshold: int = DEFAULT_THRESHOLD,
                             order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
     """T2. Per key in arrival order every event counts; a ``high`` event raises an *instant* incident; any other event
     raises an *accumulated* incident once the key's count (this event included) reaches ``threshold`` — on that event
     and every later one.
 
-    Plan: only the first ``threshold-1`` events of each key can stay silent, so they are found with a group-limited
-    window and marked with a join on the unique event id; everything else is a filter on that mark and the severity.
-    No step sorts or gathers a whole key."""
+    Plan: a positional running count per key (``operators.scan``: one shuffle, hot keys cut into chunks, no join), so
+    events may share an id or a log id. ``order`` should be total; rows equal in it count in either order."""
     high = _is_high(F.col("severity"))
-    if threshold > 1:
-        early = first_per_key(events.select(key, *order), key, threshold - 1, order) \
-            .select("id", F.lit(True).alias("_early"))
-        marked = events.join(early, "id", "left")
-        fires = high | F.col("_early").isNull()
-    else:
-        marked, fires = events, F.lit(True)
-    # one pass over the events: high → instant, any other event past the first threshold-1 of its key → accumulated
+    marked = segmented_running_sum(events, key, list(order), F.lit(1), "_position")
+    fires = high | (F.col("_position") >= threshold)
+    # one pass over the events: high → instant, any other event from the threshold-th of its key on → accumulated
     fired = marked.where(fires)
     rule = F.when(high, F.lit("instant")).otherwise(F.lit("accumulated"))
     summary = F.when(high, F.concat(F.lit(INSTANT_PREFIX), F.col("description"))) \

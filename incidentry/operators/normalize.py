@@ -54,7 +54,7 @@ def normalize_logs(raw: DataFrame) -> DataFrame:
 
 
 def validate_submissions(subs: DataFrame):
-    """A submission needs a non-blank ``source`` and ``message`` and, when given, a parsable timestamp.
+    """A submission needs a ``source`` and a ``message`` (blank text is text) and, when given, a parsable timestamp.
 
     Returns (valid, rejected); rejected rows carry ``reject_reason`` and are never dropped silently (X6)."""
     src = F.col("source")
@@ -62,8 +62,8 @@ def validate_submissions(subs: DataFrame):
     ts_bad = F.lit(False)
     if _has(subs, "timestamp") and isinstance(subs.schema["timestamp"].dataType, StringType):
         ts_bad = F.col("timestamp").isNotNull() & F.try_to_timestamp(F.col("timestamp")).isNull()
-    reason = (F.when(src.isNull() | (strip_ws(src) == ""), F.lit("missing source"))
-              .when(msg.isNull() | (strip_ws(msg) == ""), F.lit("missing message"))
+    reason = (F.when(src.isNull(), F.lit("missing source"))
+              .when(msg.isNull(), F.lit("missing message"))
               .when(ts_bad, F.lit("bad timestamp")))
     marked = subs.withColumn("reject_reason", reason)
     valid = marked.where(F.col("reject_reason").isNull()).drop("reject_reason")

@@ -200,6 +200,25 @@ def q_logs_to_incidents(spark, sf_dir):
     return _flat_incidents(batch_jobs.logs_to_incidents(log_view(spark, sf_dir)))
 
 
+@register("incidents_shared_log_ids", f"""WITH {_NORM_SQL},
+tagged AS (SELECT *, 'user-' || user_id || '-' || strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS log_id,
+                  {_DEFAULT_TAGS_SQL} AS tags FROM norm),
+ranked AS (SELECT *, md5('event:' || log_id) AS eid, list_contains(tags, 'error') AS high,
+                  row_number() OVER (PARTITION BY log_id ORDER BY timestamp, event_id) AS rn FROM tagged)
+SELECT md5('incident:' || CASE WHEN high THEN 'instant:' ELSE 'accumulated:' END || eid) AS id, timestamp, eid AS events,
+       'open' AS status, CASE WHEN high THEN 'Instant incident from event: Event from log: ' || message
+                              ELSE 'Accumulated incident from log ' || log_id END AS summary,
+       CAST(NULL AS VARCHAR) AS owner, CASE WHEN high THEN 'instant' ELSE 'accumulated' END AS rule, eid AS event_id,
+       log_id AS key
+FROM ranked WHERE high OR rn >= 3""")
+def q_incidents_shared_log_ids(spark, sf_dir):
+    """T2 with the default key where the logs of a user and day share one log id (and so one event id)."""
+    logs = normalize_logs(log_view(spark, sf_dir)).withColumn(
+        "id", F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("timestamp", "yyyy-MM-dd")))
+    events = create_events(tag_logs(logs), carry=["event_id"]).withColumnRenamed("event_id", "row_id")
+    return _flat_incidents(instant_and_accumulated(events, order=("timestamp", "row_id")))
+
+
 @register("filtered_incidents", _t2_sql(f"""{_TAGGED_SQL},
 ev AS ({_EVENTS_OF} FROM tagged
        WHERE list_has_any(tags, ['error', 'warning']) AND list_has_any(tags, ['error', 'critical', 'warning']))""",
@@ -421,14 +440,14 @@ from incidentry.sources.driver_views import submissions_view  # noqa: E402
 
 
 _SUBMISSIONS_SQL = f"""subs AS (SELECT id, timestamp, source,
-                        CASE WHEN event_id % 50 = 0 THEN '   ' ELSE message END AS message
+                        CASE WHEN event_id % 50 = 0 THEN NULL ELSE message END AS message
                  FROM ({LOG_VIEW_SQL}))"""
 
 
 @register("reject_invalid", f"""WITH {_SUBMISSIONS_SQL}
-SELECT id, CASE WHEN source IS NULL OR trim(source) = '' THEN 'missing source' ELSE 'missing message' END
+SELECT id, CASE WHEN source IS NULL THEN 'missing source' ELSE 'missing message' END
        AS reject_reason
-FROM subs WHERE source IS NULL OR trim(source) = '' OR message IS NULL OR trim(message) = ''""")
+FROM subs WHERE source IS NULL OR message IS NULL""")
 def q_reject_invalid(spark, sf_dir):
     _, rejected = validate_submissions(submissions_view(spark, sf_dir))
     return rejected.select("id", "reject_reason")
@@ -498,8 +517,7 @@ def q_latency_by_source(spark, sf_dir):
 ev AS ({_EVENTS_OF} FROM tagged),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, id) AS rn FROM ev)
 SELECT 'received' AS stage, count(*) AS n FROM events
-UNION ALL SELECT 'valid', count(*) FROM subs WHERE NOT (source IS NULL OR trim(source) = '' OR message IS NULL
-                                                   OR trim(message) = '')
+UNION ALL SELECT 'valid', count(*) FROM subs WHERE NOT (source IS NULL OR message IS NULL)
 UNION ALL SELECT 'tagged', count(*) FROM tagged WHERE len(tags) > 0
 UNION ALL SELECT 'passed', count(*) FROM tagged WHERE list_has_any(tags, ['error', 'warning'])
 UNION ALL SELECT 'matched', count(*) FROM tagged

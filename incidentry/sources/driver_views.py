@@ -64,12 +64,12 @@ def logs_from_events(ev: DataFrame) -> DataFrame:
 
 
 def submissions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log submissions with bad rows for P2 / X6: the message is blanked where event_id % 50 = 0, and a second
+    """Log submissions with bad rows for P2 / X6: the message is null where event_id % 50 = 0, and a second
     arrival time ``received_at = ts + (event_id % 7) seconds`` feeds the latency report (X4)."""
     logs = log_view(spark, sf_dir)
     return logs.select(
         "id", "timestamp", "source",
-        F.when(F.col("event_id") % 50 == 0, F.lit("   ")).otherwise(F.col("message")).alias("message"),
+        F.when(F.col("event_id") % 50 != 0, F.col("message")).alias("message"),
         "metadata", "user_id", "event_id",
         (F.col("timestamp") + F.make_dt_interval(secs=(F.col("event_id") % 7).cast("decimal(18,6)")))
         .alias("received_at"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DateType, LongType, StructField, StructType, TimestampType
 
 from incidentry.functions.timefmt import ISO_MICROS
 from incidentry.operators.upsert import latest_per_key
@@ -22,20 +22,20 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.to_date("timestamp"))
 
 
-def write_tagged_logs(tagged: DataFrame, path: str, batch_id: str | int, fmt: str = "json") -> None:
+def write_tagged_logs(tagged: DataFrame, path: str, batch_id: int, fmt: str = "json") -> None:
     """Tagged logs as JSON (ISO microsecond timestamps, P9) under date=/batch_id=; duplicates of an id inside
     the batch collapse to the last one first."""
     latest = latest_per_key(tagged, "id", ["timestamp"])
-    (_dated(latest).withColumn("batch_id", F.lit(str(batch_id)))
+    (_dated(latest).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**_JSON_TS)
      .partitionBy("date", "batch_id").format(fmt).save(path))
 
 
 def read_tagged_logs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Stored tagged logs, latest copy per id, with the claim-check key ``s3_key``."""
+    """Stored tagged logs, latest copy per id (batch ids are numbers: 10 comes after 9), with the claim-check key ``s3_key``."""
     # a new StructType: StructType.add would modify the shared schema in place
     schema = StructType(TAGGED_LOG.fields + [StructField("received_at", TimestampType()),
-                                             StructField("date", DateType()), StructField("batch_id", StringType())])
+                                             StructField("date", DateType()), StructField("batch_id", LongType())])
     df = spark.read.schema(schema).options(**_JSON_TS).format(fmt).load(path)
     latest = latest_per_key(df.drop("date"), "id", ["batch_id", "timestamp"])
     return latest.withColumn("s3_key", F.concat(F.lit("logs/"), F.col("id"), F.lit(".json")))

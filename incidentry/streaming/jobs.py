@@ -40,13 +40,12 @@ def run_to_table(df: DataFrame, path: str, output_mode: str = "append", checkpoi
     return w.start()
 
 
-def run_and_read(df: DataFrame, output_mode: str = "append", latest_key: list[str] | None = None,
-                 timeout_s: int = 900) -> DataFrame:
+def run_and_read(df: DataFrame, output_mode: str = "append", latest_key: list[str] | None = None) -> DataFrame:
     """Drive a stream to the end of its input and return what it wrote (latest row per key for update mode)."""
     spark = df.sparkSession
     path = scratch_path(spark, "stream-output")
     q = run_to_table(df, path, output_mode)
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
     try:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from incidentry.functions import epoch_micros, to_json_iso
 from incidentry.schemas import LOG_SUBMISSION
@@ -48,9 +49,18 @@ def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, schema=LOG_SUB
     if max_offsets_per_trigger:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     raw = r.load().select(F.col("value").cast("string").alias("value"), "timestamp", "partition", "offset")
-    parsed = raw.withColumn("_rec", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    return parsed.select("_rec.*", F.col("_rec").isNull().alias("_corrupt"), F.col("value").alias("_value"),
-                         F.col("timestamp").alias("_ingest_ts"))
+    return parse_values(raw, schema)
+
+
+def parse_values(raw: DataFrame, schema=LOG_SUBMISSION) -> DataFrame:
+    """The column code of :func:`kafka_stream`, on a stream or a batch of (value, timestamp): the fields of ``schema``,
+    ``_corrupt`` (null or unparsable value), ``_value`` and ``_ingest_ts``."""
+    marked = StructType([*schema.fields, StructField("_bad", StringType())])
+    parsed = raw.withColumn("_rec", F.from_json("value", marked, {"mode": "PERMISSIVE",
+                                                                  "columnNameOfCorruptRecord": "_bad"}))
+    corrupt = F.col("value").isNull() | F.col("_rec").isNull() | F.col("_rec._bad").isNotNull()
+    return parsed.select(*[F.col("_rec")[f.name].alias(f.name) for f in schema.fields], corrupt.alias("_corrupt"),
+                         F.col("value").alias("_value"), F.col("timestamp").alias("_ingest_ts"))
 
 
 def kafka_sink(df: DataFrame, bootstrap: str, topic: str, checkpoint: str, key: str = "id"):

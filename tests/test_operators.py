@@ -131,12 +131,12 @@ def test_normalise_and_claim_check(spark):
 
 def test_validation_and_quarantine(spark):
     subs = spark.createDataFrame([("a", "src", "msg", None), ("b", " ", "msg", None), ("c", "src", None, None),
-                                  ("d", "src", "m", "not a time")],
+                                  ("e", None, "msg", None), ("d", "src", "m", "not a time")],
                                  "id STRING, source STRING, message STRING, timestamp STRING")
     valid, rejected = validate_submissions(subs)
-    assert [r["id"] for r in valid.collect()] == ["a"]
+    assert sorted(r["id"] for r in valid.collect()) == ["a", "b"]  # presence is required, blank text is text
     assert {r["id"]: r["reject_reason"] for r in rejected.collect()} == {
-        "b": "missing source", "c": "missing message", "d": "bad timestamp"}
+        "e": "missing source", "c": "missing message", "d": "bad timestamp"}
     lines = spark.createDataFrame([('{"id": "1", "source": "s", "message": "m"}',), ("{broken",)], "value STRING")
     good, bad = parse_json_logs(lines)
     assert [r["id"] for r in good.collect()] == ["1"] and bad.count() == 1

@@ -17,9 +17,10 @@ def test_tagging_and_filters_are_projections(spark):
         assert "WholeStageCodegen" in plan or "*(" in plan, name
 
 
-def test_accumulated_incidents_use_a_partial_group_limit(spark):
-    plan = executed_plan(spark, "incidents_instant_accumulated")
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_accumulated_incidents_are_one_shuffle_and_no_join(spark):
+    for name in ("incidents_instant_accumulated", "logs_to_incidents", "incidents_shared_log_ids"):
+        plan = executed_plan(spark, name)
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, name
 
 
 def test_running_count_is_one_shuffle_without_hot_keys(spark):
