@@ -151,7 +151,7 @@ def _bucket(n_buckets: int, *cols: str):
 def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
                           threshold: int = DEFAULT_THRESHOLD, event_type: str | None = FAILED_LOGIN_TYPE,
                           key: F.Column | None = None, width_micros: int | None = None):
-    """T3 → (incidents, quarantined events without a key).
+    """T3 → (incidents, quarantined events: without a key or without a time).
 
     ``events``: id, timestamp, type, metadata (the key defaults to metadata['ip']). Incidents carry all buffered
     event ids in arrival order, owner ``auto-assigned`` and the summary of the reference.
@@ -164,8 +164,9 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
     key = key if key is not None else F.col("metadata")["ip"]
     ev = events if event_type is None else events.where(F.col("type") == event_type)
     ev = ev.select(F.col("id").cast("string").alias("id"), F.col("timestamp"), key.cast("string").alias("key"))
-    quarantine = ev.where(F.col("key").isNull())
-    ev = ev.where(F.col("key").isNotNull())
+    lacking = F.col("key").isNull() | F.col("timestamp").isNull()
+    quarantine = ev.where(lacking)
+    ev = ev.where(~lacking)
 
     us = epoch_micros("timestamp")
     stats = ev.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()

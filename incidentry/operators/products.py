@@ -21,11 +21,14 @@ def seed_rows(spark: SparkSession) -> DataFrame:
         .withColumn("price", F.col("price").cast(PRICE_TYPE))
 
 
-def seed_products(existing: DataFrame, seed: DataFrame, only_if_empty: bool = False) -> DataFrame:
+def seed_products(existing: DataFrame, seed: DataFrame, only_if_empty: bool = False,
+                  as_of: Column | None = None) -> DataFrame:
     """Insert seed rows whose id is not present (``ON CONFLICT (id) DO NOTHING``); with ``only_if_empty`` the
-    seeds go in only when the table has no rows at all (A4: one bounded count)."""
-    seed = seed.withColumn("updated_at", F.lit(None).cast(existing.schema["updated_at"].dataType)) \
-        if "updated_at" not in seed.columns else seed
+    seeds go in only when the table has no rows at all (A4: one bounded count). Seeds without an ``updated_at`` get
+    ``as_of`` (default: now, as the table's column does)."""
+    if "updated_at" not in seed.columns:
+        now = F.current_timestamp() if as_of is None else as_of
+        seed = seed.withColumn("updated_at", now.cast(existing.schema["updated_at"].dataType))
     if only_if_empty:
         return existing.unionByName(seed) if existing.isEmpty() else existing
     return existing.unionByName(seed.join(existing.select("id"), "id", "left_anti"))

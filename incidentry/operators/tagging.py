@@ -2,25 +2,21 @@
 
 A tag applies when any of its keywords is a case-insensitive substring of the message; tags come out in rule order.
 
-Rules are configuration: a few tags with a handful of keywords each. When the normalised rule set is small (checked by
-count) it is compiled into one projection — ``array_compact(array(when(<any keyword hit>, tag), ...))`` — so the logs
-are neither shuffled nor joined, and the same expression runs unchanged on a stream. A rule set over the bound takes
-an exact distributed path instead: every keyword is joined on its rarest character n-gram against the n-grams of
-the distinct messages, and the candidate pairs are verified with ``contains``.
+Rules are configuration, as in the application, which holds them all in memory. The default rules are compiled into one
+projection (``array_compact(array(when(<any keyword hit>, tag), ...))``). Given rules, few or many, become two literal
+arrays and one expression over them (``filter(tags, exists(keywords, contains))``). Either way the logs are neither
+shuffled nor joined, the work is linear in their text, and the same expression runs unchanged on a stream.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.sources.rules import DEFAULT_TAG_RULES, normalize_tag_rules, tag_rules_from_table
-
-MAX_INLINE_RULES = 2000
-MAX_INLINE_KEYWORDS = 2000  # keywords compiled into one projection; beyond it the gram join takes over
-GRAM = 3
+from incidentry.sources.rules import DEFAULT_TAG_RULES, tag_rules_from_table
 
 
 def rule_hit(lowered_text: Column, keywords: list[str]) -> Column:
@@ -32,7 +28,7 @@ def rule_hit(lowered_text: Column, keywords: list[str]) -> Column:
 
 
 def tags_expr(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
-    """Ordered tags of ``text`` under an in-memory (small) rule list."""
+    """Ordered tags of ``text`` under a few rules, compiled."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
     hits = [F.when(rule_hit(lowered, kws), F.lit(tag)) for tag, kws in rules]
     if not hits:
@@ -40,63 +36,23 @@ def tags_expr(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def tag_logs(logs: DataFrame, rules=None, text_col: str = "message", out_col: str = "tags",
-             max_inline_rules: int = MAX_INLINE_RULES, max_inline_keywords: int = MAX_INLINE_KEYWORDS) -> DataFrame:
-    """J1. ``rules``: None (defaults), a list of (tag, [keywords]) already normalised, or a rules DataFrame.
+def tags_by_rules(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """Ordered tags of ``text`` under any number of rules. The rules travel as JSON texts, which the optimizer folds into
+    literal arrays, so the expression is as small for thousands of rules as for one."""
+    tags = F.from_json(F.lit(json.dumps([tag for tag, _ in rules], ensure_ascii=False)), "array<string>")
+    words = F.from_json(F.lower(F.lit(json.dumps([list(kws) for _, kws in rules], ensure_ascii=False))),
+                        "array<array<string>>")
+    # the text is lower-cased once, as the one element of an array, not once per keyword
+    lowered = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    found = F.transform(lowered, lambda m: F.filter(
+        tags, lambda _, i: F.exists(F.get(words, i), lambda k: F.contains(m, k))))
+    return F.get(found, 0)
+
 
-    Rule sets within both bounds are compiled into the projection; larger ones use ``tag_by_gram_join``."""
+def tag_logs(logs: DataFrame, rules=None, text_col: str = "message", out_col: str = "tags") -> DataFrame:
+    """J1. ``rules``: None (defaults), a list of (tag, [keywords]) already normalised, or a rules DataFrame."""
     if rules is None:
         return logs.withColumn(out_col, tags_expr(F.col(text_col), DEFAULT_TAG_RULES))
     if isinstance(rules, DataFrame):
-        inline = tag_rules_from_table(rules, max_inline_rules)
-        if inline is None or sum(len(k) for _, k in inline) > max_inline_keywords:
-            return tag_by_gram_join(logs, normalize_tag_rules(rules), text_col, out_col)
-        return logs.withColumn(out_col, tags_expr(F.col(text_col), inline))
-    rules = list(rules)
-    if len(rules) > max_inline_rules or sum(len(k) for _, k in rules) > max_inline_keywords:
-        table = logs.sparkSession.createDataFrame(
-            [(i, t, list(k)) for i, (t, k) in enumerate(rules)], "rule_order INT, tag STRING, keywords ARRAY<STRING>")
-        return tag_by_gram_join(logs, table, text_col, out_col)
-    return logs.withColumn(out_col, tags_expr(F.col(text_col), rules))
-
-
-def tag_by_gram_join(logs: DataFrame, norm_rules: DataFrame, text_col: str = "message", out_col: str = "tags",
-                     n: int = GRAM) -> DataFrame:
-    """Exact tagging for rule sets too large to inline.
-
-    A keyword of length L can only be a substring of a text that contains every one of its min(L, n)-character
-    grams, so each keyword is equi-joined on its *rarest* such gram (fewest distinct texts containing it) against the
-    grams of every distinct lower-cased text, and the candidate pairs are verified with ``contains``. Work is
-    proportional to the total text length; common grams ("the") are avoided as join keys whenever the keyword has a
-    rarer one, which keeps the candidate pairs close to the true matches.
-    """
-    kw = norm_rules.select("rule_order", "tag", F.explode("keywords").alias("kw")) \
-        .select("rule_order", "tag", F.lower("kw").alias("kwl")) \
-        .where(F.length("kwl") > 0) \
-        .withColumn("g", F.least(F.length("kwl"), F.lit(n)))
-    texts = logs.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("lm")).distinct()
-
-    def grams_of(df: DataFrame, text: str, g: Column | int) -> DataFrame:
-        g = F.lit(g) if isinstance(g, int) else g
-        pos = F.when(F.length(text) >= g, F.sequence(F.lit(1), F.length(text) - g + 1)) \
-            .otherwise(F.array().cast("array<int>"))
-        return df.withColumn("_g", g).withColumn("pos", F.explode(pos)) \
-            .withColumn("gram", F.expr(f"substring({text}, pos, _g)")).drop("pos")
-
-    all_grams = reduce(DataFrame.unionByName,
-                       [grams_of(texts, "lm", g).select("lm", F.col("_g").alias("g"), "gram")
-                        for g in range(1, n + 1)]).distinct()
-    freq = all_grams.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("freq"))
-    kw_grams = grams_of(kw, "kwl", F.col("g")).drop("_g")
-    chosen = kw_grams.join(freq, ["g", "gram"], "left") \
-        .withColumn("freq", F.coalesce("freq", F.lit(0))) \
-        .groupBy("rule_order", "tag", "kwl", "g") \
-        .agg(F.min_by("gram", F.struct("freq", "gram")).alias("gram"))
-    hits = all_grams.join(chosen, ["g", "gram"]).where(F.contains(F.col("lm"), F.col("kwl"))) \
-        .select("lm", "rule_order", "tag").distinct()
-    tagsets = hits.groupBy("lm").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rule_order", "tag"))), lambda r: r["tag"]).alias("_tags"))
-    keyed = logs.withColumn("lm", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    out = keyed.join(tagsets, "lm", "left") \
-        .withColumn(out_col, F.coalesce(F.col("_tags"), F.array().cast("array<string>")))
-    return out.drop("lm", "_tags")
+        rules = tag_rules_from_table(rules)
+    return logs.withColumn(out_col, tags_by_rules(F.col(text_col), list(rules)))

@@ -267,11 +267,12 @@ def q_running_error_count(spark, sf_dir):
 # T4 / J3 failed logins
 
 from incidentry.operators.logins import login_attempt_counts  # noqa: E402
-from incidentry.sources.driver_views import login_attempts_view, users_view  # noqa: E402
+from incidentry.sources.driver_views import attempted_username, login_attempts_view, users_view  # noqa: E402
 
-_ATTEMPTS_SQL = """attempts AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS username, ts, event_type = 'signup' AS password_ok,
+_ATTEMPTS_SQL = """attempts AS (SELECT CASE WHEN user_id % 25 = 0 THEN 'x' ELSE 'u' END || CAST(user_id AS VARCHAR) AS username, ts,
+                         event_type = 'signup' AS password_ok,
                          event_id AS attempt_id FROM events WHERE event_type IN ('error', 'signup')),
-users AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS username FROM events WHERE user_id % 25 <> 0),
+users AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS username FROM events),
 marked AS (SELECT a.*, u.username IS NOT NULL AS known FROM attempts a LEFT JOIN users u USING (username))"""
 
 
@@ -365,8 +366,8 @@ def q_latest_event_per_user(spark, sf_dir):
 
 _PRODUCTS_SQL = """products AS (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS id, p_name AS name,
         CAST(CAST(p_retailprice AS VARCHAR) AS DECIMAL(12,2)) AS price, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
-    FROM part WHERE p_partkey % 10 <> 0),
-updates AS (SELECT 'p' || CAST(l_partkey AS VARCHAR) AS id,
+    FROM part),
+updates AS (SELECT CASE WHEN l_partkey % 10 = 0 THEN 'x' ELSE 'p' END || CAST(l_partkey AS VARCHAR) AS id,
         CASE WHEN l_quantity >= 49 THEN -l_extendedprice ELSE l_extendedprice END AS price,
         l_shipdate AS ts, l_orderkey AS seq1, CAST(l_linenumber AS BIGINT) AS seq2 FROM lineitem),
 valid AS (SELECT * FROM updates WHERE price >= 0),
@@ -403,10 +404,11 @@ seed AS (SELECT * FROM (VALUES ('p1', 'Keyboard', CAST('49.99' AS DECIMAL(12,2))
                                ('p3', 'Mouse', CAST('24.50' AS DECIMAL(12,2)))) t(id, name, price))
 SELECT id, name, CAST(price AS DOUBLE) AS price, updated_at FROM products
 UNION ALL
-SELECT id, name, CAST(price AS DOUBLE), CAST(NULL AS TIMESTAMP) FROM seed s
+SELECT id, name, CAST(price AS DOUBLE), TIMESTAMP '2024-01-02 00:00:00' FROM seed s
 WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.id = s.id)""")
 def q_seed_products(spark, sf_dir):
-    return prod.seed_products(products_view(spark, sf_dir), prod.seed_rows(spark)) \
+    as_of = F.lit("2024-01-02 00:00:00")
+    return prod.seed_products(products_view(spark, sf_dir), prod.seed_rows(spark), as_of=as_of) \
         .select("id", "name", F.col("price").cast("double").alias("price"), "updated_at")
 
 
@@ -602,7 +604,7 @@ def q_stream_brute_force(spark, sf_dir):
 SELECT attempt_id, attempts FROM base WHERE message <> 'Unknown username'""")
 def q_stream_login_attempts_2d(spark, sf_dir):
     ev = events_stream(spark, sf_dir).where(F.col("event_type").isin("error", "signup"))
-    att = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), "ts",
+    att = ev.select(attempted_username().alias("username"), "ts",
                     (F.col("event_type") == "signup").alias("password_ok"), F.col("event_id").alias("attempt_id"))
     return sjobs.run_and_read(sjobs.stream_login_counts(att, users_view(spark, sf_dir), 172800))
 

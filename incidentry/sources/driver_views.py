@@ -7,7 +7,7 @@ of each view is kept next to the DataFrame code because the DuckDB oracles run t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentry.sources.tables import read_table
@@ -77,9 +77,9 @@ def submissions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products: ``part`` rows with p_partkey % 10 <> 0, id ``'p' || p_partkey``, price DECIMAL(12,2)."""
+    """Products: every row of ``part``, id ``'p' || p_partkey``, price DECIMAL(12,2)."""
     part = read_table(spark, sf_dir, "part")
-    return part.where(F.col("p_partkey") % 10 != 0).select(
+    return part.select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
         F.col("p_name").alias("name"),
         F.col("p_retailprice").cast("string").cast("decimal(12,2)").alias("price"),
@@ -88,12 +88,14 @@ def products_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_updates_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price updates from ``lineitem``: id ``'p' || l_partkey``; a negative price where l_quantity >= 49; time
-    l_shipdate; ties broken by (l_orderkey, l_linenumber)."""
+    """Price updates from ``lineitem``: id ``'p' || l_partkey``, or the unknown id ``'x' || l_partkey`` where l_partkey
+    is a multiple of 10; a negative price where l_quantity >= 49; time l_shipdate; ties broken by (l_orderkey,
+    l_linenumber)."""
     li = read_table(spark, sf_dir, "lineitem")
     price = F.when(F.col("l_quantity") >= 49, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
+    letter = F.when(F.col("l_partkey") % 10 == 0, "x").otherwise("p")
     return li.select(
-        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"),
+        F.concat(letter, F.col("l_partkey").cast("string")).alias("id"),
         price.alias("price"),
         F.col("l_shipdate").alias("ts"),
         F.col("l_orderkey").alias("seq1"),
@@ -102,11 +104,11 @@ def price_updates_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def login_attempts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Login attempts: error events are wrong passwords, signup events are successful logins; user ``u<user_id>``.
-    Users whose id is a multiple of 25 are not registered (unknown username path, J3)."""
+    """Login attempts: error events are wrong passwords, signup events are successful logins; user
+    :func:`attempted_username`."""
     ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup"))
     return ev.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
+        attempted_username().alias("username"),
         F.col("ts"),
         (F.col("event_type") == "signup").alias("password_ok"),
         F.col("event_id").alias("attempt_id"),
@@ -114,7 +116,12 @@ def login_attempts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered users: every user seen in ``events`` except ids that are multiples of 25."""
+    """Registered users: every user seen in ``events``."""
     ev = read_table(spark, sf_dir, "events")
-    return ev.where(F.col("user_id") % 25 != 0).select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username")).distinct()
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username")).distinct()
+
+
+def attempted_username() -> Column:
+    """The name typed at a login: ``u<user_id>``, misspelt as ``x<user_id>`` (an unknown username, J3) by users whose
+    id is a multiple of 25."""
+    return F.concat(F.when(F.col("user_id") % 25 == 0, "x").otherwise("u"), F.col("user_id").cast("string"))

@@ -3,7 +3,7 @@
 A rules table is any DataFrame with ``tag`` and ``keywords`` columns (``keywords`` either a comma string or an
 array of strings; both shapes may be mixed through a ``keywords_text`` string column next to an array
 ``keywords`` column) and an optional ``rule_order`` column giving scan order. Normalisation runs on Spark; only the
-normalised, size-checked result is ever brought to the driver to be compiled into column expressions.
+normalised rules (one row per tag, configuration that every worker holds) come to the driver, to become literals.
 """
 
 from __future__ import annotations
@@ -80,34 +80,20 @@ def normalize_model_rules(df: DataFrame) -> DataFrame:
     return rows.groupBy("tag").agg(F.min("rule_order").alias("rule_order")).select("rule_order", "tag")
 
 
-def collect_bounded(df: DataFrame, max_rows: int) -> list | None:
-    """Bring a small configuration table to the driver only if it has at most ``max_rows`` rows.
-
-    Returns None when the table is larger, so that the caller takes its distributed path instead.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return rows
-
-
-def tag_rules_from_table(df: DataFrame | None, max_rules: int = 2000):
-    """Normalised rules as an ordered Python list, defaults when nothing usable; None if over ``max_rules``."""
+def tag_rules_from_table(df: DataFrame | None) -> list[tuple[str, list[str]]]:
+    """Normalised rules as an ordered Python list, defaults when nothing usable."""
     if df is None:
         return DEFAULT_TAG_RULES
-    rows = collect_bounded(normalize_tag_rules(df), max_rules)
-    if rows is None:
-        return None
+    rows = normalize_tag_rules(df).collect()
     rules = [(r["tag"], list(r["keywords"])) for r in sorted(rows, key=lambda r: (r["rule_order"], r["tag"]))]
     return rules or DEFAULT_TAG_RULES
 
 
-def event_tags_from_table(df: DataFrame | None, max_tags: int = 10000) -> list[str]:
+def event_tags_from_table(df: DataFrame | None) -> list[str]:
+    """Normalised tags of the matcher in order, defaults when nothing usable."""
     if df is None:
         return DEFAULT_EVENT_TAGS
-    rows = collect_bounded(normalize_model_rules(df), max_tags)
-    if rows is None:
-        raise ValueError(f"model rules table has more than {max_tags} tags")
+    rows = normalize_model_rules(df).collect()
     tags = [r["tag"] for r in sorted(rows, key=lambda r: (r["rule_order"], r["tag"]))]
     return tags or DEFAULT_EVENT_TAGS
 

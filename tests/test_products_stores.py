@@ -86,7 +86,7 @@ def test_tagged_log_store_roundtrip(spark):
 
 def test_quarantine_writer(spark):
     from incidentry.operators.normalize import validate_submissions
-    subs = spark.createDataFrame([("a", "src", "msg", T0), ("b", " ", "msg", T0), ("c", "src", None, None)],
+    subs = spark.createDataFrame([("a", "src", "msg", T0), ("b", None, "msg", T0), ("c", "src", None, None)],
                                  "id STRING, source STRING, message STRING, timestamp TIMESTAMP_NTZ")
     _, rejected = validate_submissions(subs)
     path = scratch_path(spark, "quarantine")

@@ -11,7 +11,8 @@ from incidentry.operators.incidents import instant_and_accumulated
 from incidentry.operators.logins import login_attempt_counts
 from incidentry.operators.normalize import normalize_logs
 from incidentry.operators.tagging import tag_logs
-from incidentry.sources.driver_views import log_view, login_attempts_view, logs_from_events, users_view
+from incidentry.sources.driver_views import (attempted_username, log_view, login_attempts_view, logs_from_events,
+                                             users_view)
 from incidentry.sources.tables import read_table
 from incidentry.streaming import jobs
 from incidentry.streaming.sources import file_stream
@@ -73,7 +74,7 @@ def test_stream_brute_force(spark, replay):
 @pytest.mark.parametrize("ttl", [3600, 172800])
 def test_stream_login_counter(spark, replay, ttl):
     ev = _stream(spark, replay, SF_MID).where(F.col("event_type").isin("error", "signup"))
-    att = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), "ts",
+    att = ev.select(attempted_username().alias("username"), "ts",
                     (F.col("event_type") == "signup").alias("password_ok"), F.col("event_id").alias("attempt_id"))
     got = jobs.run_and_read(jobs.stream_login_counts(att, users_view(spark, SF_MID), ttl))
     want = login_attempt_counts(login_attempts_view(spark, SF_MID), users_view(spark, SF_MID), ttl).where("known")
