@@ -54,24 +54,23 @@ def anchors(data: bytes, length: int) -> np.ndarray:
     return least[np.concatenate(([True], least[1:] != least[:-1]))].astype(np.int64)
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix by its first ``depth`` bytes (a power of two, 8 or more): the number of smaller ones, so
-    equal prefixes share a rank and ranks are places in the suffix array. By doubling: each round refines only the
-    groups that are not yet single (Larsson-Sadakane)."""
-    n = len(text)
+def suffix_ranks(text: np.ndarray, depth: int, step: int = 1) -> np.ndarray:
+    """Rank of each suffix that starts at a multiple of ``step`` (1 or 8), by its first ``depth`` bytes (a power of two,
+    8 or more): the number of smaller ones, so equal prefixes share a rank and ranks are places in the suffix array. By
+    doubling: each round refines only the groups that are not yet single (Larsson-Sadakane)."""
+    n = len(text) // step
     padded = np.concatenate((text, np.zeros(8, np.uint8))).tobytes()
     eight = np.empty(n, np.uint64)
-    for j in range(8):
-        part = np.frombuffer(padded, ">u8", (n + 8 - j) // 8, j)
-        eight[j::8] = part[:len(eight[j::8])]
+    for j in range(8 // step):
+        part = np.frombuffer(padded, ">u8", (len(text) + 8 - j) // 8, j)
+        eight[j::8 // step] = part[:len(eight[j::8 // step])]
     rank = np.empty(n, np.int64)
     open_ = np.argsort(eight)
     _number(rank, open_, eight[open_], np.zeros(n, np.int64))
     reach = 8
     while reach < depth:
         open_ = open_[np.bincount(rank, minlength=n)[rank[open_]] > 1]
-        ahead = open_ + reach
-        keys = rank[open_] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        keys = rank[open_] * (n + 1) + _rank_at(rank, open_ + reach // step)
         order = np.argsort(keys)
         open_, keys = open_[order], keys[order]
         _number(rank, open_, keys, keys // (n + 1))
@@ -79,6 +78,11 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+def _rank_at(rank: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """Ranks from 1, and 0 beyond the end of the text."""
+    return np.where(suffixes < len(rank), rank[np.minimum(suffixes, len(rank) - 1)] + 1, 0)
+
+
 def _number(rank: np.ndarray, suffixes: np.ndarray, keys: np.ndarray, group: np.ndarray) -> None:
     """Give each of the sorted ``suffixes`` its group's rank and the number of those before its own key in the group."""
     if len(suffixes):
@@ -88,13 +92,13 @@ def _number(rank: np.ndarray, suffixes: np.ndarray, keys: np.ndarray, group: np.
         rank[suffixes] = group + own - first
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, runs: np.ndarray, length: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, runs: np.ndarray, length: int, step: int = 1) -> np.ndarray:
     """Kasai: common prefix, up to ``length`` bytes, of each suffix of ``order`` with the one before it.
 
-    ``runs`` (runs x places) are the suffixes of ``order`` by text: the runs advance in step, each carrying its common
-    prefix less one to the next place whenever the neighbour's next suffix still comes before it.
+    ``runs`` (runs x places) are the suffixes of ``order`` by text, ``step`` bytes apart: the runs advance together, each
+    carrying its common prefix less ``step`` to the next place whenever the neighbour's next suffix still comes before it.
     """
-    where = np.full(len(text) + 1, -1, np.int64)
+    where = np.full(len(text) + step, -1, np.int64)
     where[order] = np.arange(len(order))
     padded = np.concatenate((text, np.zeros(length + 8, np.uint8)))
     out = np.zeros(len(order), np.int64)
@@ -104,8 +108,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, runs: np.ndarray, lengt
         here = runs[:, t]
         real = here >= 0
         spot = where[np.where(real, here, len(text))]
-        ahead = where[np.where(before >= 0, before + 1, len(text))]
-        have = np.where((before >= 0) & (ahead >= 0) & (ahead < spot), np.maximum(have - 1, 0), 0)
+        ahead = where[np.where(before >= 0, before + step, len(text))]
+        have = np.where((before >= 0) & (ahead >= 0) & (ahead < spot), np.maximum(have - step, 0), 0)
         before = np.where(real & (spot > 0), order[np.maximum(spot - 1, 0)], -1)
         live = np.flatnonzero(before >= 0)
         while len(live):
@@ -122,34 +126,54 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, runs: np.ndarray, lengt
 _EIGHT = np.arange(8)
 
 
-def shard_repeats(contexts: list[bytes], offsets: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
+def sorted_rows(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte strings (zeros fill them up to ``width``, a multiple of 8), and the common prefix of each with the
+    one before it in that order, from a suffix array over the words of 8 bytes of all of them."""
+    text = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8)
+    places = len(text) // 8
+    depth = 1 << (width.bit_length() - 1)
+    rank = suffix_ranks(text, depth, 8)
+    # by the first `depth` bytes, then by the `depth` bytes that end a string of `width`
+    order = np.argsort(rank * (places + 1) + _rank_at(rank, np.arange(places) + (width - depth) // 8), kind="stable")
+    prefix = common_prefixes(text, order * 8, np.arange(0, len(text), 8).reshape(len(rows), -1), width, 8)
+    heads = np.flatnonzero(order % (width // 8) == 0)  # suffixes that are whole strings
+    least = np.minimum.reduceat(np.append(prefix, 0), np.concatenate((heads[:1], heads + 1)))[:-1]
+    least[0] = 0
+    return order[heads] // (width // 8), least
+
+
+def shard_repeats(contexts: list[bytes], offsets: np.ndarray, length: int) -> np.ndarray:
     """For each context (bytes around an anchor at ``offsets``), which strings of ``length`` bytes that hold the anchor
-    also occur, at the same distance from it, in another context of its group: booleans, contexts x (length/2 + 1),
-    by the anchor's distance from the string's start."""
+    also occur, at the same distance from it, in another context: booleans, contexts x (length/2 + 1), by the anchor's
+    distance from the string's start.
+
+    Contexts lie side by side at their anchors, so a string is a piece that ends before the anchor and one that starts at
+    it. The common prefixes of the sorted right sides name the right pieces of any length, those of the sorted left
+    sides, read backwards, the left pieces; strings are equal when both names are.
+    """
     half = length // 2
-    text = np.frombuffer(b"".join(contexts), np.uint8)
+    if not contexts:
+        return np.zeros((0, half + 1), bool)
+    distance = np.arange(half + 1)
     sizes = np.array([len(c) for c in contexts])
-    begin = np.cumsum(sizes) - sizes
-    distance = np.arange(half, -1, -1)  # by rising position
-    start = offsets[:, None] - distance[None]
-    real = (start >= 0) & (start + length <= sizes[:, None])
-    runs = np.where(real, start + begin[:, None], -1)
-    depth = 1 << (length.bit_length() - 1)
-    rank = suffix_ranks(text, depth)
-    suffixes = runs[real]
-    # by the first `depth` bytes, then by the `depth` bytes that end the string: together its `length` bytes
-    order = suffixes[np.argsort(rank[suffixes] * (len(text) + 1) + rank[suffixes + length - depth], kind="stable")]
-    prefix = common_prefixes(text, order, runs, length)
-    name = np.empty(len(text), np.int64)
-    name[order] = np.cumsum(prefix < length)
+    real = (distance <= offsets[:, None]) & (offsets[:, None] + length - distance <= sizes[:, None])
+
+    def names(sides: list[bytes], pieces: np.ndarray) -> np.ndarray:
+        order, prefix = sorted_rows(sides, -(-int(pieces.max()) // 8) * 8)
+        out = np.empty(real.shape, np.int64)
+        out[order] = np.cumsum(prefix[:, None] < pieces, axis=0)
+        return out
+
+    left = names([c[:o][::-1] for c, o in zip(contexts, offsets.tolist(), strict=True)], distance)
+    right = names([c[o:] for c, o in zip(contexts, offsets.tolist(), strict=True)], length - distance)
     row, column = np.nonzero(real)
-    keys = (name[suffixes] * (int(groups.max(initial=0)) + 1) + groups[row]) * (half + 1) + column
+    keys = ((left * (len(contexts) + 1) + right) * (half + 1) + distance)[real]
     sort = np.argsort(keys)
     equal = keys[sort][1:] == keys[sort][:-1]
     again = np.concatenate(([False], equal)) | np.concatenate((equal, [False])) if len(keys) else equal
     out = np.zeros(real.shape, bool)
     out[row[sort], column[sort]] = again
-    return out[:, ::-1]
+    return out
 
 
 def string_digests(contexts: list[bytes], offsets: np.ndarray, length: int) -> np.ndarray:
@@ -316,8 +340,7 @@ def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             if end < len(order):
                 end = int(np.searchsorted(keys[order], keys[order[end - 1]], "right"))
             part = order[at:end]
-            found[part] = shard_repeats([bodies[i] for i in part], offsets(table)[part],
-                                        np.unique(keys[part], return_inverse=True)[1], length)
+            found[part] = shard_repeats([bodies[i] for i in part], offsets(table)[part], length)
             at = end
         return spans_table(table, found)
 
