@@ -14,16 +14,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import checkpointed, small_lists, text_or_empty, with_row_key
+from incidentry.llm.common import text_or_empty, with_row_key
 from incidentry.session import pickle_by_value, scratch_path
 
 #: Bytes hashed at each position, and surroundings (each 1.5 times the length) of a shard.
 GRAM, SHARD_CONTEXTS = 16, 2048
-#: Tables of lists of positions in documents are broadcast up to this many positions, else joined by shuffle.
-BROADCAST_POSITIONS = 3_000_000
 #: Digest ranges over which the shards of one anchor are merged.
 MERGE_RANGES = 16
 
@@ -238,33 +237,32 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["k1", "k2", "x", "key", "a", "b"])
 
-    path = scratch_path(spark, "suffix-anchors")
-    rows.select("k1", "k2", "body").mapInArrow(find, "k1 long, k2 long, x long, key long, a long, b long").write.option(
-        "compression", "zstd").parquet(path)
-    found = spark.read.parquet(path)
+    found = _written(rows.select("k1", "k2", "body").mapInArrow(
+        find, "k1 long, k2 long, x long, key long, a long, b long"))
 
     twice = found.groupBy("key").count().where("count > 1").select("key")
-    repeated = checkpointed(found.join(twice, "key", "left_semi"))
-    classes = checkpointed(repeated.groupBy("key", "a", "b").agg(F.count("*").alias("n"),
-                                                                F.min(F.struct("k1", "k2", "x")).alias("first")))
+    repeated = _written(found.join(twice, "key", "left_semi"))
+    classes = _written(repeated.groupBy("key", "a", "b").agg(F.count("*").alias("n"),
+                                                            F.min(F.struct("k1", "k2", "x")).alias("first")))
     whole = repeated.join(classes.where("n > 1").select("key", "a", "b"), ["key", "a", "b"], "left_semi").select(
         "k1", "k2", (F.col("x") - half).alias("start"), (F.col("x") + length).alias("end"))
 
     mixed = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).where(
         "kinds > 1 AND fewest = 1").select(F.col("key").alias("mixed_key"), "kinds")
-    wanted = checkpointed(classes.join(mixed, F.col("key") == F.col("mixed_key")).select(
-        "first.*", "key", F.col("n").alias("known"), F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("int").alias("parts")))
-    edges = _edge_spans(rows, wanted, length)
+    wanted = _written(classes.join(mixed, F.col("key") == F.col("mixed_key")).select(
+        "first.*", "key", F.ceil(F.col("kinds") / SHARD_CONTEXTS).cast("int").alias("parts")))
+    compact = _compressed(rows)
+    edges = _edge_spans(compact, wanted, length)
 
     spans = whole.unionByName(edges).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(small_lists(checkpointed(spans), "spans", BROADCAST_POSITIONS), ["k1", "k2"], "left").select("id", "body", "spans")
+    joined = compact.join(_written(spans), ["k1", "k2"], "left").select("id", "body", "spans")
     kind = joined.schema["id"].dataType.simpleString()
 
     def cut(batches):
         for b in batches:
             out = []
             for body, spans_ in zip(b.column(1), b.column(2), strict=True):
-                data = body.as_py()
+                data = zstandard.decompress(body.as_py())
                 change = np.zeros(len(data) + 1, np.int32)
                 if spans_.as_py():
                     ends = spans_.values
@@ -290,32 +288,50 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder (compressed, unlike a checkpoint)."""
+    path = scratch_path(df.sparkSession, "suffix")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _compressed(rows: DataFrame) -> DataFrame:
+    """``rows`` with each body compressed, as it goes through the shuffles."""
+    at = rows.columns.index("body")
+
+    def compress(batches):
+        packer = zstandard.ZstdCompressor()
+        for b in batches:
+            bodies = pa.array([packer.compress(x.as_py()) for x in b.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([bodies if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
+
+    return rows.mapInArrow(compress, rows.schema)
+
+
 def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, start, end): what the strings around the anchors of ``wanted`` cover that repeat in other surroundings
+    """(k1, k2, start, end) from compressed ``rows``: what the strings around the anchors of ``wanted`` cover that repeat in other surroundings
     of equal anchors."""
     half = length // 2
-    asked = checkpointed(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("x", "key", "known", "parts"))
-                                                        .alias("asked")))
+    asked = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("x", "key", "parts")).alias("asked"))
 
     def fetch(batches):
         for b in batches:
-            columns = [[] for _ in range(8)]
+            columns = [[] for _ in range(7)]
             for k1, k2, body, asked_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3),
                                             strict=True):
-                data = body.as_py()
+                data = zstandard.decompress(body.as_py())
                 for a in asked_.as_py():
                     x = a["x"]
                     context = data[max(0, x - half):x + length]
                     salt = xxhash.xxh64_intdigest(context) % a["parts"]
-                    for column, v in zip(columns, (k1, k2, x, a["key"], a["known"], a["parts"], salt, context),
-                                         strict=True):
+                    for column, v in zip(columns, (k1, k2, x, a["key"], a["parts"], salt, context), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:7]],
-                                              pa.array(columns[7], pa.binary())],
-                                             ["k1", "k2", "x", "key", "known", "parts", "salt", "context"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:6]],
+                                              pa.array(columns[6], pa.binary())],
+                                             ["k1", "k2", "x", "key", "parts", "salt", "context"])
 
-    contexts = checkpointed(rows.join(small_lists(asked, "asked", BROADCAST_POSITIONS), ["k1", "k2"]).select("k1", "k2", "body", "asked").mapInArrow(
-        fetch, "k1 long, k2 long, x long, key long, known long, parts long, salt long, context binary"))
+    contexts = _written(rows.join(asked, ["k1", "k2"]).select("k1", "k2", "body", "asked").mapInArrow(
+        fetch, "k1 long, k2 long, x long, key long, parts long, salt long, context binary"))
     shards = max(1, -(-wanted.count() // SHARD_CONTEXTS))
     schema = "k1 long, k2 long, start long, end long"
 

@@ -75,7 +75,6 @@ def test_every_string_has_an_anchor_with_half_of_it_to_the_right():
 @pytest.mark.parametrize("shard", [2048, 7])
 def test_removal_equals_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", shard)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_POSITIONS", 0 if shard == 7 else 10**6)
     texts = cases(random.Random(shard))
     ids = [None if i == 5 else i // 2 for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in zip(ids, texts, strict=True)],
