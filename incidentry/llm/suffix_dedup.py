@@ -23,8 +23,6 @@ from incidentry.session import pickle_by_value, scratch_path
 
 #: Bytes hashed at each position, and surroundings (each 1.5 times the length) of a shard.
 GRAM, SHARD_CONTEXTS = 16, 2048
-#: Digest ranges over which the shards of one anchor are merged.
-MERGE_RANGES = 16
 
 
 def anchors(data: bytes, length: int) -> np.ndarray:
@@ -198,6 +196,14 @@ def string_digests(contexts: list[bytes], offsets: np.ndarray, length: int) -> n
     return np.where(real, np.maximum(found, np.uint64(1)), np.uint64(0))
 
 
+def merge_spans(own: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """A shard's sorted digests by the span of digests in which they meet those of the anchor's other shards; spans
+    without any are left out. There are as many spans as shards, so one span of all shards holds about what one shard
+    has in all spans, however many shards there are."""
+    cuts = np.searchsorted(own, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts))
+    return [(span, x) for span, x in enumerate(np.split(own, cuts)) if len(x)]
+
+
 def _spans(repeated: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte ranges relative to the anchor that the repeated strings (by distance) cover."""
     edge = np.diff(np.concatenate(([0], repeated.astype(np.int8), [0])))
@@ -211,7 +217,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     Overlaps count, and strings are judged on the input. Results are exact but for collisions of 64-bit
     (half strings, only to find candidates) and 128-bit (whole surroundings) hashes; in the merge of an anchor's shards
-    64-bit digests decide. Memory is bounded by a shard's surroundings and by a document's own bytes.
+    64-bit digests decide. Memory is bounded by a shard's surroundings and by a document's own bytes; the shards of
+    an anchor are merged over as many spans of digests as there are shards, each about one shard's digests.
 
     Edge cases: null text counts as empty; texts shorter than ``length`` lose nothing; strings may repeat within one
     document, overlapping themselves (runs of one character); rows repeated with one id are documents of their own, so
@@ -369,13 +376,11 @@ def _edge_spans(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def digests(table: pa.Table) -> pa.Table:
         own = np.unique(string_digests(table["context"].to_pylist(), offsets(table), length))
-        own = own[own > 0]
-        cuts = np.searchsorted(own, (np.arange(1, MERGE_RANGES).astype(np.uint64) * np.uint64(2**64 // MERGE_RANGES)))
-        parts = np.split(own, cuts)
-        return pa.table({"key": pa.array([table["key"][0].as_py()] * MERGE_RANGES, pa.int64()),
-                         "salt": pa.array([table["salt"][0].as_py()] * MERGE_RANGES, pa.int64()),
-                         "span": pa.array(range(MERGE_RANGES), pa.int64()),
-                         "sorted": pa.array([p.tobytes() for p in parts], pa.binary())})
+        dealt = merge_spans(own[own > 0], table["parts"][0].as_py())
+        return pa.table({"key": pa.array([table["key"][0].as_py()] * len(dealt), pa.int64()),
+                         "salt": pa.array([table["salt"][0].as_py()] * len(dealt), pa.int64()),
+                         "span": pa.array([span for span, _ in dealt], pa.int64()),
+                         "sorted": pa.array([x.tobytes() for _, x in dealt], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in table["sorted"].to_pylist()]

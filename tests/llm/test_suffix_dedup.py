@@ -85,6 +85,46 @@ def test_removal_equals_brute_force(spark, monkeypatch, shard):
     assert remove_repeats(df.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("shards", [2, 16, 200])
+def test_merged_spans_hold_about_one_shard(shards):
+    per_shard = 4000
+    rng = np.random.default_rng(shards)
+    held = Counter()
+    for _ in range(shards):
+        own = np.unique(rng.integers(1, 2**64 - 1, per_shard, np.uint64))
+        dealt = suffix_dedup.merge_spans(own, shards)
+        assert (np.concatenate([x for _, x in dealt]) == own).all()
+        for span, x in dealt:
+            held[span] += len(x)
+    assert max(held.values()) < 1.2 * per_shard
+
+
+def test_digests_of_a_hot_anchor_spread_over_the_spans(spark, monkeypatch):
+    """One passage under 600 surroundings, in shards of 4 (150 of them): a merge sees about one shard's digests."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", 4)
+    seen, span_of = spark.sparkContext.accumulator(0), suffix_dedup.merge_spans
+    per_span = [spark.sparkContext.accumulator(0) for _ in range(200)]
+
+    def counted(own, parts):
+        dealt = span_of(own, parts)
+        for span, x in dealt:
+            per_span[span].add(len(x))
+        seen.add(len(own))
+        return dealt
+
+    monkeypatch.setattr(suffix_dedup, "merge_spans", counted)
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(50))
+    texts = ["".join(rng.choice("ijklmnop ") for _ in range(150)) + passage
+             + "".join(rng.choice("qrstuvwx ") for _ in range(150)) for _ in range(600)]
+    texts += texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((str(i), *w) for i, w in enumerate(brute(texts, 64)))
+    assert digest(remove_repeats(df, 64)) == want
+    held = [a.value for a in per_span if a.value]
+    assert len(held) > 16 and max(held) < 4 * seen.value / len(held)
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
