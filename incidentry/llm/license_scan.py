@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,67 +112,110 @@ class Scanner:
         self.templates = [(name, words_of(t)) for name, t in templates.items()]
         self.counts = [Counter(words) for _, words in self.templates]
 
-    def scan(self, text: str | None) -> tuple:
-        """(license, coverage, matched words, first and last word) of the best template: most words covered."""
+    def scan(self, text: str | None) -> list[tuple]:
+        """(license, coverage, matched words, first and last word) of each place of each template, by first word."""
         words = words_of(text or "")
         have = set(words)
-        best = (None, 0.0, 0, None, None)
+        found = []
         for (name, template), counts in zip(self.templates, self.counts, strict=True):
             if not template:
                 continue
             # no alignment can cover more than the words that occur at all
             if sum(n for w, n in counts.items() if w in have) < self.least * len(template):
                 continue
-            pairs = self.densest(words, template)
-            if len(pairs) >= self.least * len(template) and len(pairs) > best[2]:
-                best = (name, len(pairs) / len(template), len(pairs), pairs[0][0], pairs[-1][0])
-        return best
+            found += [(name, len(pairs) / len(template), len(pairs), pairs[0][0], pairs[-1][0])
+                      for pairs in self.places(words, template)]
+        return sorted(found, key=lambda f: f[3:])
 
-    def densest(self, words: list[str], template: list[str]) -> list[tuple[int, int]]:
-        """Alignment of the template with each stretch of the text that may hold it; the one of most pairs.
+    def best(self, found: list[tuple]) -> tuple:
+        """The place of most words covered; of equal ones that of the template named first, then the first."""
+        named = {name: i for i, (name, _) in enumerate(self.templates)}
+        return min(found, key=lambda f: (-f[2], named[f[0]], f[3]), default=(None, 0.0, 0, None, None))
+
+    def places(self, words: list[str], template: list[str]) -> list[list[tuple[int, int]]]:
+        """Alignments of the template with stretches of the text that cover enough of it: those of most pairs first,
+        each between those before it.
 
         Stretches are twice the template long and start at every template length, so any occurrence of up to the
         template's length lies in one of them whole; words far away neither spoil the uniqueness of anchors nor count.
         """
-        size, found = len(template), set(template)
-        hits = [i for i, w in enumerate(words) if w in found]
-        best: list[tuple[int, int]] = []
-        for block in sorted({max(0, i // size - back) for i in hits for back in (0, 1)}):
-            begin = block * size
-            inside = bisect_left(hits, begin + 2 * size) - bisect_left(hits, begin)
-            if inside >= self.least * size:
-                pairs = align(words[begin:begin + 2 * size], template)
-                if len(pairs) > len(best):
-                    best = [(i + begin, j) for i, j in pairs]
-        return best
+        size, vocabulary = len(template), set(template)
+        hits = [i for i, w in enumerate(words) if w in vocabulary]
+
+        def fit(begin: int, end: int) -> list[tuple[int, int]]:
+            inside = bisect_left(hits, end) - bisect_left(hits, begin)
+            pairs = align(words[begin:end], template) if inside >= self.least * size else []
+            return [(i + begin, j) for i, j in pairs] if len(pairs) >= max(1, self.least * size) else []
+
+        taken: list[tuple[int, int]] = []
+        blocks = sorted({max(0, i // size - back) for i in hits for back in (0, 1)})
+        waiting = [(-len(x), x[0][0], x, b * size, b * size + 2 * size)
+                   for b in blocks if (x := fit(b * size, b * size + 2 * size))]
+        heapify(waiting)
+        out = []
+        while waiting:
+            _, first, pairs, begin, end = heappop(waiting)
+            at = bisect_left(taken, (first, 0))
+            near = [t for t in taken[max(0, at - 1):] if t[0] <= pairs[-1][0]] if taken else []
+            if not [t for t in near if t[1] >= first]:
+                insort(taken, (first, pairs[-1][0]))
+                out.append(pairs)
+                continue
+            # what is left of the stretch beside the places taken
+            for a, b in _beside(begin, end, taken):
+                if x := fit(a, b):
+                    heappush(waiting, (-len(x), x[0][0], x, a, b))
+        return out
+
+
+def _beside(begin: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pieces of ``begin`` to ``end`` that no (first, last) of the sorted ``taken`` covers."""
+    out = []
+    for first, last in taken[max(0, bisect_left(taken, (begin, 0)) - 1):]:
+        if first >= end:
+            break
+        if last >= begin:
+            out.append((begin, first))
+            begin = last + 1
+    return [(a, b) for a, b in [*out, (begin, end)] if a < b]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, license, coverage, matched_words, first_word, last_word of each row of ``docs``: the template of
-    which the text covers most words, if it covers ``min_coverage`` of them, else null with coverage 0.
+    """``id_col``, license, coverage, matched_words, first_word, last_word, licenses of each row of ``docs``.
+
+    ``licenses`` is an array of (license, coverage, matched_words, first_word, last_word): every place of every template
+    of which the text covers ``min_coverage`` of the words there, in order of the first word. Places of one template do
+    not overlap; those of different ones may (a long notice can hold a short one). The columns before it are the best
+    of them, that of most words covered, or null with coverage 0.
 
     Words are runs of letters, digits and underscores in lower case; texts are read whole. A template is aligned only
     where enough of its words occur (an exact bound on coverage, so nothing is missed). Nothing is shuffled.
 
     Edge cases: null and empty texts have no license; of templates that match equally many words the first named wins;
-    a notice repeated in a text counts where it is best, then first; an empty table gives no rows; other columns are
+    of a
+    notice repeated in a text the best is where most is covered, then the first; an empty table gives no rows; other columns are
     ignored whatever their names.
     """
     scanner = Scanner(TEMPLATES if templates is None else templates, min_coverage)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
+    names = ["license", "coverage", "matched_words", "first_word", "last_word"]
+    types = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+
     def scan(batches):
         for b in batches:
             found = [scanner.scan(x.as_py()) for x in b.column(1)]
-            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate(
-                (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["_id", "license", "coverage", "matched_words",
-                                                                       "first_word", "last_word"])
-
-    return rows.mapInArrow(scan, f"_id {kind}, license string, coverage double, matched_words long, first_word long, "
-                                 "last_word long").withColumnRenamed("_id", id_col)
+            best = [scanner.best(f) for f in found]
+            columns = [pa.array([f[i] for f in best], t) for i, t in enumerate(types)]
+            every = pa.array([[dict(zip(names, f, strict=True)) for f in fs] for fs in found],
+                             pa.list_(pa.struct(list(zip(names, types, strict=True)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, every], ["_id", *names, "licenses"])
+
+    fields = "license string, coverage double, matched_words long, first_word long, last_word long"
+    each = fields.replace(" ", ":").replace(",:", ",")
+    return rows.mapInArrow(scan, f"_id {kind}, {fields}, licenses array<struct<{each}>>").withColumnRenamed("_id", id_col)
 
 
 pickle_by_value(__name__)

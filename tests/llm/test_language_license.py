@@ -117,6 +117,21 @@ def test_license_edges(spark):
     assert scan_licenses(df.where("doc_id > 100")).count() == 0
 
 
+def license_spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.license, [(x.license, x.first_word, x.last_word) for x in r.licenses])
+            for r in scan_licenses(df).collect()}
+
+
+def test_every_notice_of_a_text_is_returned(spark):
+    mit, isc, rights = (TEMPLATES[k] for k in ("mit-notice", "isc-notice", "all-rights-reserved"))
+    n, k = len(words_of(mit)), len(words_of(isc))
+    got = license_spans(spark, [f"{mit} {isc}", "none", f"{rights} {rights} " * 50, None])
+    assert got[0] == ("mit-notice", [("mit-notice", 0, n - 1), ("isc-notice", n, n + k - 1)])
+    assert got[1] == got[3] == (None, [])
+    assert got[2] == ("all-rights-reserved", [("all-rights-reserved", i, i + 2) for i in range(0, 300, 3)])
+
+
 def test_license_query_finds_the_lines(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op9_patience_licenses"](spark, sf).collect()}
