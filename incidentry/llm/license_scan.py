@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections import Counter
 from heapq import heapify, heappop, heappush
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,12 +72,13 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+def align(text: list[str], template: list[str], open_end: bool = False) -> list[tuple[int, int]]:
     """Pairs (position in text, position in template) of a patience alignment, rising in both.
 
     Within a range of both, equal words at its two ends are paired; then words that are unique in both ranges are
     anchors, of which the longest increasing run stays, and the gaps between anchors are aligned the same way. A gap
-    without anchors gives what its ends gave.
+    without anchors gives what its ends gave. With ``open_end`` the text's end is no end of the template's: words there
+    are not paired because they are last.
     """
     pairs: list[tuple[int, int]] = []
     ranges = [(0, len(text), 0, len(template))]
@@ -85,7 +87,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         while a < b and c < d and text[a] == template[c]:
             pairs.append((a, c))
             a, c = a + 1, c + 1
-        while a < b and c < d and text[b - 1] == template[d - 1]:
+        while a < b and c < d and text[b - 1] == template[d - 1] and not (open_end and b == len(text)):
             b, d = b - 1, d - 1
             pairs.append((b, d))
         if a == b or c == d:
@@ -133,51 +135,78 @@ class Scanner:
         return min(found, key=lambda f: (-f[2], named[f[0]], f[3]), default=(None, 0.0, 0, None, None))
 
     def places(self, words: list[str], template: list[str]) -> list[list[tuple[int, int]]]:
-        """Alignments of the template with stretches of the text that cover enough of it: those of most pairs first,
-        each between those before it.
+        """Alignments of the template with places of the text that cover enough of it: those of most pairs first, each
+        between those before it.
 
-        Stretches are twice the template long and start at every template length, so any occurrence of up to the
-        template's length lies in one of them whole; words far away neither spoil the uniqueness of anchors nor count.
+        An alignment that may leave out ``n`` words of the template pairs at least one of any ``n + 1``: it is sought
+        from each occurrence of the ``n + 1`` that are rarest in the text, by :func:`grown` to both sides, so it
+        depends on the words around and not on where in the text they are.
         """
-        size, vocabulary = len(template), set(template)
-        hits = [i for i, w in enumerate(words) if w in vocabulary]
-
-        def fit(begin: int, end: int) -> list[tuple[int, int]]:
-            inside = bisect_left(hits, end) - bisect_left(hits, begin)
-            pairs = align(words[begin:end], template) if inside >= self.least * size else []
-            return [(i + begin, j) for i, j in pairs] if len(pairs) >= max(1, self.least * size) else []
-
-        taken: list[tuple[int, int]] = []
-        blocks = sorted({max(0, i // size - back) for i in hits for back in (0, 1)})
-        waiting = [(-len(x), x[0][0], x, b * size, b * size + 2 * size)
-                   for b in blocks if (x := fit(b * size, b * size + 2 * size))]
+        size = len(template)
+        least = max(1, ceil(self.least * size))
+        at: dict[str, list[int]] = {w: [] for w in template}
+        for i, w in enumerate(words):
+            if w in at:
+                at[w].append(i)
+        rare = sorted(range(size), key=lambda j: (len(at[template[j]]), j))[:size - least + 1]
+        backwards, turned = words[::-1], template[::-1]
+
+        def fit(i: int, j: int, begin: int, end: int) -> list[tuple[int, int]]:
+            last = len(words) - 1
+            left = grown(backwards, last - i + 1, last - begin + 1, turned, size - j)
+            right = grown(words, i + 1, end, template, j + 1)
+            pairs = [(last - x, size - 1 - y) for x, y in left[::-1]] + [(i, j), *right]
+            return pairs if len(pairs) >= least else []
+
+        waiting: list[tuple] = []
+        whole: set[tuple[int, int]] = set()
+        for i, j in sorted((i, j) for j in rare for i in at[template[j]]):
+            # no alignment through a pair of a whole one is better
+            if (i, j) not in whole and (x := fit(i, j, 0, len(words))):
+                waiting.append((-len(x), x[-1][0] - x[0][0], x[0][0], i, j, x))
+                if len(x) == size:
+                    whole.update(x)
         heapify(waiting)
+        firsts: list[int] = []
+        lasts: list[int] = []
         out = []
         while waiting:
-            _, first, pairs, begin, end = heappop(waiting)
-            at = bisect_left(taken, (first, 0))
-            near = [t for t in taken[max(0, at - 1):] if t[0] <= pairs[-1][0]] if taken else []
-            if not [t for t in near if t[1] >= first]:
-                insort(taken, (first, pairs[-1][0]))
-                out.append(pairs)
+            *_, i, j, pairs = heappop(waiting)
+            k = bisect_left(lasts, i)
+            if k < len(lasts) and firsts[k] <= i:
                 continue
-            # what is left of the stretch beside the places taken
-            for a, b in _beside(begin, end, taken):
-                if x := fit(a, b):
-                    heappush(waiting, (-len(x), x[0][0], x, a, b))
+            begin, end = lasts[k - 1] + 1 if k else 0, firsts[k] if k < len(lasts) else len(words)
+            if begin <= pairs[0][0] and pairs[-1][0] < end:
+                firsts.insert(k, pairs[0][0])
+                lasts.insert(k, pairs[-1][0])
+                out.append(pairs)
+            elif x := fit(i, j, begin, end):  # again, between the places taken
+                heappush(waiting, (-len(x), x[-1][0] - x[0][0], x[0][0], i, j, x))
         return out
 
 
-def _beside(begin: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pieces of ``begin`` to ``end`` that no (first, last) of the sorted ``taken`` covers."""
-    out = []
-    for first, last in taken[max(0, bisect_left(taken, (begin, 0)) - 1):]:
-        if first >= end:
+def grown(text: list[str], begin: int, end: int, template: list[str], start: int) -> list[tuple[int, int]]:
+    """Alignment of ``template`` from ``start`` with ``text`` from ``begin``, both open to the right.
+
+    A stretch holds the rest of the template and as many words again as the template has, so that this many may be
+    inserted; it grows from its last pair as long as further words of the template follow. Stretches with fewer
+    inserted words, in which another notice close by does not spoil the uniqueness of anchors, are tried too.
+    """
+    best: list[tuple[int, int]] = []
+    for inserted in (len(template), len(template) // 4):
+        pairs: list[tuple[int, int]] = []
+        a, c = begin, start
+        while c < len(template) and a < end:
+            more = align(text[a:min(end, a + len(template) - c + inserted)], template[c:], True)
+            if not more:
+                break
+            pairs += [(a + x, c + y) for x, y in more]
+            a, c = pairs[-1][0] + 1, pairs[-1][1] + 1
+        if len(pairs) > len(best):
+            best = pairs
+        if len(best) == len(template) - start:
             break
-        if last >= begin:
-            out.append((begin, first))
-            begin = last + 1
-    return [(a, b) for a, b in [*out, (begin, end)] if a < b]
+    return best
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE,
@@ -189,8 +218,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     not overlap; those of different ones may (a long notice can hold a short one). The columns before it are the best
     of them, that of most words covered, or null with coverage 0.
 
-    Words are runs of letters, digits and underscores in lower case; texts are read whole. A template is aligned only
-    where enough of its words occur (an exact bound on coverage, so nothing is missed). Nothing is shuffled.
+    Words are runs of letters, digits and underscores in lower case; texts are read whole. A template is aligned from
+    every occurrence of its words that are rarest in the text, of which any place of enough coverage has one. A place
+    may hold inserted words, as many as the template has and more if its words go on between them; what is found there
+    is what the patience alignment pairs, wherever in the text it stands. Nothing is shuffled.
 
     Edge cases: null and empty texts have no license; of templates that match equally many words the first named wins;
     of a

@@ -132,6 +132,39 @@ def test_every_notice_of_a_text_is_returned(spark):
     assert got[2] == ("all-rights-reserved", [("all-rights-reserved", i, i + 2) for i in range(0, 300, 3)])
 
 
+def test_places_do_not_depend_on_where_the_notice_begins(spark):
+    rng = random.Random(5)
+    for name in ("isc-notice", "mit-notice", "gpl-3.0-line"):
+        notice = words_of(TEMPLATES[name])
+        size = len(notice)
+        for more in (0.4, 0.7, 1.0, 1.5):  # inserted words, as a share of the template's: at one place, and all over
+            for cuts in ([size // 2] * int(more * size), sorted(rng.choices(range(1, size), k=int(more * size)))):
+                long = list(notice)
+                for c in reversed(cuts):
+                    long.insert(c, "zzz")
+                if more > 1 and len(set(cuts)) == 1:
+                    continue
+                got = license_spans(spark, [" ".join(["pad"] * at + long + ["pad"] * 300) for at in
+                                            (0, 1, size // 3, size // 2, size - 1, size, size + 7, 5 * size + 3)])
+                for at, (_, found) in zip((0, 1, size // 3, size // 2, size - 1, size, size + 7, 5 * size + 3),
+                                          got.values(), strict=True):
+                    assert (name, at, at + len(long) - 1) in found
+
+
+def test_notices_side_by_side_keep_their_words(spark):
+    mit, isc, rights = (TEMPLATES[k] for k in ("mit-notice", "isc-notice", "all-rights-reserved"))
+    n, k = len(words_of(mit)), len(words_of(isc))
+    cut = " ".join(words_of(mit)[:-6])
+    got = license_spans(spark, [f"{isc} by other hands {mit} {'far ' * 500} {mit} {rights}", f"{cut} {mit}",
+                                f"{mit} {cut} {mit}"])
+    second = k + 3 + n + 500
+    assert got[0] == ("mit-notice", [("isc-notice", 0, k - 1), ("mit-notice", k + 3, k + 2 + n),
+                                     ("mit-notice", second, second + n - 1),
+                                     ("all-rights-reserved", second + n, second + n + 2)])
+    assert [x for x in got[1][1] if x[1] >= n - 6] == [("mit-notice", n - 6, 2 * n - 7)] and got[1][1][0][1] == 0
+    assert [x[1] for x in got[2][1]] == [0, n, 2 * n - 6]
+
+
 def test_license_query_finds_the_lines(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op9_patience_licenses"](spark, sf).collect()}
