@@ -16,9 +16,13 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+
+
 def line_hash(line: Column) -> Column:
     """Identity of a line: SHA-256 of it without ASCII white space at its ends."""
-    return F.unhex(F.sha2(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), 256))
+    return F.unhex(F.sha2(trimmed(line), 256))
 
 
 def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -38,13 +42,14 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return estimates.where(sure).select("line").unionByName(exact)
 
 
-def drop_spread_lines(docs: DataFrame, min_sites: int = 10, min_chars: int = 20, id_col: str = "doc_id",
+def drop_spread_lines(docs: DataFrame, min_sites: int = 10, min_chars: int | None = 20, id_col: str = "doc_id",
                       text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with a column ``removed_lines`` (array of line numbers from 0) and ``kept_text``: the text without its
     lines of at least ``min_chars`` characters that occur on ``min_sites`` or more sites.
 
     A line is what stands between line feeds, compared without ASCII white space at its ends. Lines shorter than
-    ``min_chars`` (blank ones among them) are never removed. First (line, site) pairs are reduced on the map side, so a
+    ``min_chars``, white space at their ends included (blank ones among them), are neither counted nor removed; with
+    None every line takes part that is not blank, however short. First (line, site) pairs are reduced on the map side, so a
     line on every page leaves each task once a site; the spread lines are found by :func:`spread_lines`; documents
     meet them as rows (row key, line number, hash), whole texts are not exploded in a shuffle.
 
@@ -58,8 +63,8 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, min_chars: int = 20,
     site = F.when(F.col(site_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(site_col).cast("string"))).cast("long")
     rows = keyed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], site.alias("site"),
                         F.posexplode(lines_of(text)).alias("at", "raw"))
-    rows = rows.where(F.char_length("raw") >= min_chars).select("_k0", "_k1", "site", "at",
-                                                                line_hash(F.col("raw")).alias("line"))
+    takes_part = trimmed(F.col("raw")) != "" if min_chars is None else F.char_length("raw") >= min_chars
+    rows = rows.where(takes_part).select("_k0", "_k1", "site", "at", line_hash(F.col("raw")).alias("line"))
     rows = checkpointed(rows)
     spread = small_side(checkpointed(spread_lines(rows.select("line", "site"), min_sites)))
     removed = (rows.join(spread, "line", "left_semi").groupBy("_k0", "_k1")

@@ -124,6 +124,21 @@ def test_spread_lines_equal_brute_force(spark, min_sites):
     assert sorted(r["_kept_text"] for r in got.collect()) == sorted(plain_lines(rows, min_sites, 20))
 
 
+def test_short_lines_take_part_without_a_length(spark):
+    rows = line_rows() + [(200 + i, f"Les.\n  x {' ' * 30 * (i % 2)}\n{' ' * 40}\n\t\nmine {i}", f"s{i}", "x", 1)
+                          for i in range(12)]
+    ws, sites = " \t\n\x0b\x0c\r", defaultdict(set)
+    for _, t, s, *_ in rows:
+        for x in (t or "").split("\n"):
+            sites[x.strip(ws)].add(s)
+    spread = {x for x, v in sites.items() if x and len(v) >= 12}
+    assert {"Les.", "x", "short", BOILER} <= spread
+    want = ["\n".join(x for x in (t or "").split("\n") if x.strip(ws) not in spread) for _, t, *_ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, c string, d int")
+    got = line_dedup.drop_spread_lines(df, min_sites=12, min_chars=None)
+    assert sorted(r.kept_text for r in got.collect()) == sorted(want)
+
+
 def test_spread_lines_many_sites_and_empty(spark):
     rows = [(i, f"common {c} line for so many sites", f"site{i}") for c, n in (("a", 400), ("b", 1010), ("c", 990), ("d", 1000), ("e", 1300))
             for i in range(n)]
