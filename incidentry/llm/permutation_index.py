@@ -118,6 +118,15 @@ def _best(found: DataFrame, k: int) -> DataFrame:
             .where(F.col("rank") <= k))
 
 
+def may_be_best(rough: np.ndarray, norms: np.ndarray, dimension: int, k: int) -> np.ndarray:
+    """Which products may be among the ``k`` best once computed exactly, copies of one vector all alike: those that
+    reach the k-th within the rounding noise of a BLAS product, which grows with the two vectors' ``norms``
+    (multiplied) and the dimension."""
+    noise = 1e-12 * dimension * norms
+    lowest = rough - noise
+    return rough + noise >= np.partition(lowest, len(lowest) - k)[len(lowest) - k]
+
+
 def _search(postings: DataFrame, probes: DataFrame, k: int, share: float, pivots: int, prefix: int) -> DataFrame:
     """Rows (query_id, vec_id, score) of all cells (file, block of vectors, block of queries)."""
     def blocks(rows, size):
@@ -150,6 +159,7 @@ def _search(postings: DataFrame, probes: DataFrame, k: int, share: float, pivots
             ranks[perm, np.arange(len(ids))[:, None]] = np.arange(prefix, dtype=np.int16)
             asked = np.asarray(queries["q_id"].combine_chunks())
             query_vec, query_perm = _unpack(queries["q_vec"], queries["q_perm"])
+            norms, asked_norms = np.linalg.norm(vec, axis=1), np.linalg.norm(query_vec, axis=1)
             want = max(k + 1, int(np.ceil(share * len(ids))))
             for at in range(0, len(asked), 64):
                 near = query_vec[at:at + 64] @ vec.T
@@ -159,9 +169,8 @@ def _search(postings: DataFrame, probes: DataFrame, k: int, share: float, pivots
                         distance = footrule(ranks, query_perm[at + i])
                         pick = np.flatnonzero(distance <= np.partition(distance, want - 1)[want - 1])
                     pick = pick[ids[pick] != asked[at + i]]
-                    if len(pick) > k:  # rounded, so that equal vectors tie and the smaller ids are met first
-                        rough = -np.round(near[i, pick], 9)
-                        pick = pick[rough <= np.partition(rough, k - 1)[k - 1]]
+                    if len(pick) > k:
+                        pick = pick[may_be_best(near[i, pick], norms[pick] * asked_norms[at + i], vec.shape[1], k)]
                     score = (vec[pick] * query_vec[at + i]).sum(axis=1)
                     top = np.lexsort((ids[pick], -score))[:k]
                     out[0].append(np.full(len(top), asked[at + i]))

@@ -76,6 +76,19 @@ def test_ann_hot_vector_in_blocks(spark, monkeypatch):
     assert hits >= 0.8 * 20 * len(want)  # random vectors of very unequal norms: harder than the tables
 
 
+def test_copies_of_long_vectors_stay_in_the_cut():
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 1e3, 1e6, 1e9):
+        exact = np.concatenate((np.full(5000, 64.0), rng.normal(size=5000))) * scale**2  # 5,000 copies, then others
+        rough = exact * (1 + rng.normal(size=10000) * 1e-15)
+        got = permutation_index.may_be_best(rough, np.full(10000, 64.0) * scale**2, 64, 20)
+        assert got[:5000].all() and not got[5000:].any()
+    rough = rng.normal(size=300)
+    for k in (1, 20, 299):
+        got = permutation_index.may_be_best(rough, np.full(300, 1.0), 8, k)
+        assert got.sum() == k and rough[got].min() > rough[~got].max()
+
+
 def test_footrule_is_the_distance_up_to_a_constant():
     rng = np.random.default_rng(2)
     orders = np.array([rng.permutation(20)[:6] for _ in range(50)])
