@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from incidentry.llm.crf_language import keep_identified, train_on
+from incidentry.llm.crf_language import keep_identified, keep_lettered, train_on
 from incidentry.llm.exact_dedup import drop_exact_copies
 from incidentry.llm.mixing import mix_sources
 from incidentry.llm.packing import pack_documents
@@ -18,8 +18,10 @@ from incidentry.session import scratch_path, table_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language in particular, go."""
-    return keep_identified(docs, train_on(docs))
+    """Documents without letters, or of no language in particular, go. Without labelled texts to learn from, no language
+    can be judged and only those without letters go."""
+    model = train_on(docs)
+    return keep_lettered(docs) if model is None else keep_identified(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,4 +284,15 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     return docs.mapInArrow(keep, docs.schema)
 
 
+def keep_lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text has a letter, columns unchanged: what can be told without a model."""
+    position = docs.columns.index(text_col)
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array([bool(_WORD.search(x.as_py() or "")) for x in b.column(position)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 pickle_by_value(__name__)

@@ -60,6 +60,17 @@ def test_edges_go_through_all_stages(spark):
             docs = out
 
 
+def test_language_stage_without_labels_keeps_lettered_documents(spark):
+    texts = ["one two three", "ÉÉ", "привет", "a" * 25_000, None, "", "12 -- 34", "_ _"]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    for lang, rows in ((None, texts), ("en", ["word " * 5_000, "12 " * 9_000])):  # no labels; too long to learn from
+        docs = spark.createDataFrame([(i, t, lang, "s") for i, t in enumerate(rows)],
+                                     "doc_id long, text string, lang string, source string")
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == ([0, 1, 2, 3] if lang is None else [0])
+
+
 def test_run(spark):
     from incidentry.llm.queries import QUERIES
     assert "pipeline" not in QUERIES
