@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from incidentry.llm import exact_dedup as exact
 from incidentry.llm import line_dedup, mixing
+from incidentry.llm import level_dedup, nra_search
+from incidentry.llm import fill_middle as fim
 from incidentry.llm.crf_language import identify, train_on
 from incidentry.llm.license_scan import scan_licenses
 from incidentry.llm.packing import pack_documents
@@ -92,3 +94,21 @@ def op10(spark, sf_dir):
     return cleaned.select("doc_id", F.size(line_dedup.lines_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_lines"),
                           F.size("removed_lines").cast("long").alias("n_removed"),
                           F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op11_level_substring_dedup", level_dedup.oracle_sql())
+def op11(spark, sf_dir):
+    return level_dedup.remove_repeated_windows(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op12_nra_search", nra_search.oracle_sql())
+def op12(spark, sf_dir):
+    return nra_search.search(documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "benchmark")))
+
+
+@register("op13_wavelet_fill_middle", fim.SQL)
+def op13(spark, sf_dir):
+    return fim.fill_in_middle(documents(spark, sf_dir)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
