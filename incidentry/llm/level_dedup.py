@@ -170,10 +170,12 @@ def _level(docs: DataFrame, levels: list[int], level: int) -> DataFrame:
                 sums = np.add.reduceat(times, heads)[np.cumsum(head) - 1]
                 # one row a digest; rows that have their answer under a spread number (a text known to have whole copies
                 # needs none in the end, but its windows go on to meet those of other texts)
+                told = np.flatnonzero((sums > 1) & ((times == 1) | (not last)))
+                # in the order of the texts, where neighbours have their row in common and compress
+                heads, told = (x[np.argsort(at[x], kind="stable")] for x in (heads, told))
                 publish = np.where(sums > 1, 2, 1)[heads]
                 waits = sums[heads] == 1
-                told = np.flatnonzero((sums > 1) & ((times == 1) | (not last)))
-                value = (np.array([p[1] for p in pieces])[owner] + at - words.first[at]) if last else digest.view(np.int64)
+                value = np.array([p[1] for p in pieces])[owner] + at - words.first[at] if last else np.zeros(len(at), np.int64)
 
                 def column(values, kind, at=heads, told=told):
                     return pa.array(np.concatenate((values[at], values[told])), kind)
@@ -189,7 +191,7 @@ def _level(docs: DataFrame, levels: list[int], level: int) -> DataFrame:
     rows = docs.mapInArrow(find, "d0 long, d1 long, spread long, times tinyint, _k0 long, _k1 long, value long")
     times = F.sum("times").over(Window.partitionBy("d0", "d1", "spread"))
     answered = rows.withColumn("times", times).where("times > 1 AND _k0 IS NOT NULL")
-    return answered.groupBy("_k0", "_k1").agg(F.collect_list("value").alias("_known"))
+    return answered.groupBy("_k0", "_k1").agg(F.collect_list("value" if last else "d0").alias("_known"))
 
 
 NAMES = ["d0", "d1", "spread", "times", "_k0", "_k1", "value"]
