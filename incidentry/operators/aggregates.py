@@ -29,16 +29,16 @@ def tumbling_error_counts(logs: DataFrame, window: str = TUMBLING_WINDOW, ts_col
 
 def running_error_counts(logs: DataFrame, ts_col: str = "timestamp", id_col: str = "id",
                          source_col: str = "source", message_col: str = "message",
-                         width_micros: int | None = None) -> DataFrame:
+                         ranges: int | None = None) -> DataFrame:
     """One row per log with the count of error messages of its source so far (the log itself included).
 
-    Non-error logs are emitted too, with the count unchanged (0 before the first error). Computed with the chunked
+    Non-error logs are emitted too, with the count unchanged (0 before the first error). Computed with the ordered
     scan, so a hot source is spread over many tasks."""
     flagged = logs.select(F.col(id_col).alias("id"), F.col(ts_col).alias("timestamp"),
                           F.col(source_col).alias("source"), F.col(message_col).alias("message"))
     return segmented_running_sum(flagged, "source", ["timestamp", "id"],
                                  error_message(F.col("message")).cast("int"), "error_count",
-                                 width_micros=width_micros)
+                                 ranges=ranges)
 
 
 def events_per_key(events: DataFrame, key: str = "log_id") -> DataFrame:

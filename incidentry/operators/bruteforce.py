@@ -4,18 +4,18 @@ Rule, per key (the ``ip`` of the event metadata), over ``login_failed`` events i
 events whose age is ``window`` or more, append the event, and when the buffer holds ``threshold`` events raise one
 incident with all of them and empty the buffer.
 
-The emptying makes this a fold, not a sliding-window count, and the fold runs along the whole history of a key. To
-keep a hot key off a single task the history is cut into time chunks of at least ``window``:
-
-* the buffer never holds more than ``threshold - 1`` events between arrivals, and only events from the last
-  ``window`` before a chunk can still be in it, so the state entering a chunk is one of ``threshold`` values
-  ("the last s events before the chunk are still buffered", s = 0 .. threshold-1);
-* every chunk that can fire at all is folded once per possible entry state (pandas, with the previous chunk's last
-  ``window`` of events as halo) giving its exit state per entry state; chunks that cannot fire get their transition
-  from counts alone;
-* a per-key pass over the chunk table (one row per chunk, not per event) chains the transitions and gives each
-  chunk its true entry state;
-* each chunk is folded once more from that state and emits its incidents.
+The emptying makes this a fold along the whole history of a key. Written with positions it needs no row-by-row fold:
+
+* an event is a *candidate* if its (threshold-1)-th predecessor lies within the window (a ``lag``);
+* the events that fire are the greedy choice of candidates at least ``threshold`` positions apart, for after a fire the
+  buffer holds only events behind it.
+
+Positions come from the ordered scan (hot keys spread by row count) and are cut into buckets of ``bucket`` positions, each
+with the ``threshold - 1`` events before it. What a bucket hands on is the first position that may fire again, one of
+``threshold`` offsets; so a bucket is a table of ``threshold`` exits, tables compose, and a bucket without candidates
+hands on 0. Buckets compose to groups of ``GROUP_BUCKETS``, groups are chained per key, and the entries go down the
+same way: the longest list in one row is a key's groups (one per ``bucket * GROUP_BUCKETS`` events). Everything is
+DataFrame functions; no chunk of a key's history lies in one task, however dense its events are.
 
 Events without a key are not folded together (the reference would put them all under one ``None`` key); they are
 returned separately for quarantine.
@@ -23,13 +23,11 @@ returned separately for quarantine.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions import det_id, epoch_micros
-from incidentry.session import ensure_checkpoint_dir, pickle_by_value
+from incidentry.operators.scan import segmented_running_sum
 from incidentry.constants import (BRUTE_FORCE_OWNER, BRUTE_FORCE_SUMMARY_MIDDLE, BRUTE_FORCE_SUMMARY_PREFIX,
                                   BRUTE_FORCE_THRESHOLD, BRUTE_FORCE_WINDOW_SECONDS, FAILED_LOGIN_TYPE,
                                   STATUS_OPEN)
@@ -41,176 +39,36 @@ SUMMARY_MIDDLE = BRUTE_FORCE_SUMMARY_MIDDLE
 OWNER = BRUTE_FORCE_OWNER
 RULE = "brute_force"  # our rule label (not a reference value)
 
-pickle_by_value(__name__)  # the pandas functions below run in Python workers
-
-_EXIT_SCHEMA = "key string, chunk bigint, exits array<int>"
-_FIRE_SCHEMA = "key string, chunk bigint, trigger_id string, trigger_us long, ids array<string>"
-_CHAIN_SCHEMA = "key string, chunk bigint, entry int"
-_ROWS_PER_BUCKET = 500_000
-
-
-def _first_fire(lo: np.ndarray, start: int, b: int, k: int):
-    """Fold from position ``start`` with buffer [b, start); return the first firing position or None."""
-    for i in range(start, len(lo)):
-        if lo[i] > b:
-            b = lo[i]
-        if i - b + 1 >= k:
-            return i
-    return None
-
-
-def _slices(pdf: pd.DataFrame):
-    """Yield (key, chunk, sub-frame) for each (key, chunk) of a bucket, rows in (halo first, ts, id) order."""
-    pdf = pdf.sort_values(["key", "chunk", "_halo_rank", "_us", "id"], kind="mergesort").reset_index(drop=True)
-    if pdf.empty:
-        return
-    keys, chunks = pdf["key"].to_numpy(), pdf["chunk"].to_numpy()
-    cut = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
-    bounds = np.concatenate([[0], cut, [len(pdf)]])
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        yield keys[a], int(chunks[a]), pdf.iloc[a:b]
-
-
-class _Chunk:
-    """One (key, chunk): the last k-1 halo events, then the chunk's own events."""
-
-    def __init__(self, part: pd.DataFrame, k: int, window_us: int):
-        halo_mask = part["_halo"].to_numpy()
-        h_all = int(halo_mask.sum())
-        keep = max(0, h_all - max(k - 1, 0))
-        seq = part.iloc[keep:]
-        self.h = h_all - keep
-        self.ts = seq["_us"].to_numpy(dtype=np.int64)
-        self.ids = seq["id"].to_numpy()
-        self.n = len(seq)
-        self.k = k
-        self.lo = np.searchsorted(self.ts, self.ts - window_us, side="right")  # first index inside the window
-        self._next: dict[int, int | None] = {}
-
-    def fires(self, entry: int) -> list[int]:
-        """Firing positions when the last ``entry`` halo events are still buffered."""
-        b = self.h - min(entry, self.h)
-        f = _first_fire(self.lo, self.h, b, self.k)
-        out = []
-        while f is not None:
-            out.append(f)
-            p = f + 1
-            if p not in self._next:  # an empty buffer at p: shared by every entry state
-                self._next[p] = _first_fire(self.lo, p, p, self.k) if p < self.n else None
-            f = self._next[p]
-        return out
-
-    def exit_state(self, entry: int, fires: list[int]) -> int:
-        if fires:
-            return min(self.n - 1 - fires[-1], self.k - 1)
-        return min(entry + (self.n - self.h), self.k - 1)
-
-
-def _exits_fn(k: int, window_us: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, chunk, part in _slices(pdf):
-            c = _Chunk(part, k, window_us)
-            out.append((key, chunk, [c.exit_state(s, c.fires(s)) for s in range(k)]))
-        return pd.DataFrame(out, columns=["key", "chunk", "exits"])
-    return run
-
-
-def _fires_fn(k: int, window_us: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, chunk, part in _slices(pdf):
-            c = _Chunk(part, k, window_us)
-            for f in c.fires(int(part["entry"].iloc[0])):
-                out.append((key, chunk, str(c.ids[f]), int(c.ts[f]), [str(x) for x in c.ids[f - k + 1:f + 1]]))
-        return pd.DataFrame(out, columns=["key", "chunk", "trigger_id", "trigger_us", "ids"])
-    return run
-
-
-def _chain_fn(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "chunk"], kind="mergesort")
-        out, prev_key, s = [], None, 0
-        for key, chunk, n_own, cand, exits in zip(pdf["key"], pdf["chunk"], pdf["n_own"], pdf["candidate"],
-                                                  pdf["exits"]):
-            if key != prev_key:
-                prev_key, s = key, 0
-            if cand:
-                out.append((key, int(chunk), s))
-                s = int(exits[s])
-            else:
-                s = min(s + int(n_own), k - 1)
-        return pd.DataFrame(out, columns=["key", "chunk", "entry"])
-    return run
-
-
-def _bucket(n_buckets: int, *cols: str):
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(n_buckets))
+#: Positions of a bucket, and buckets of a group.
+BUCKET_POSITIONS, GROUP_BUCKETS = 4096, 4096
 
 
 def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
                           threshold: int = DEFAULT_THRESHOLD, event_type: str | None = FAILED_LOGIN_TYPE,
-                          key: F.Column | None = None, width_micros: int | None = None):
+                          key: Column | None = None, bucket: int = BUCKET_POSITIONS, group: int = GROUP_BUCKETS,
+                          ranges: int | None = None):
     """T3 → (incidents, quarantined events: without a key or without a time).
 
     ``events``: id, timestamp, type, metadata (the key defaults to metadata['ip']). Incidents carry all buffered
-    event ids in arrival order, owner ``auto-assigned`` and the summary of the reference.
-
-    Three passes, each a pandas function over hash buckets of (key, chunk) so that one call handles many small
-    chunks while no chunk is split: (1) exit state per entry state of every chunk that can fire, (2) the chain of
-    chunk transitions per key, (3) the fold of every such chunk from its true entry state, emitting the fires."""
+    event ids in arrival order, owner ``auto-assigned`` and the summary of the reference. ``bucket`` (at least the
+    threshold), ``group`` and ``ranges`` say how the history is cut; they do not change the result."""
     k = int(threshold)
-    w_us = int(window_seconds) * 1_000_000
+    bucket = max(int(bucket), k)
     key = key if key is not None else F.col("metadata")["ip"]
     ev = events if event_type is None else events.where(F.col("type") == event_type)
     ev = ev.select(F.col("id").cast("string").alias("id"), F.col("timestamp"), key.cast("string").alias("key"))
     lacking = F.col("key").isNull() | F.col("timestamp").isNull()
     quarantine = ev.where(lacking)
-    ev = ev.where(~lacking)
-
-    us = epoch_micros("timestamp")
-    stats = ev.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    n_rows = int(stats["n"] or 0)
-    if width_micros is None:
-        span = (int(stats["hi"]) - int(stats["lo"]) + 1) if n_rows else 1
-        width_micros = max(1, span * _ROWS_PER_BUCKET * 4 // max(n_rows, 1))
-    width = max(w_us, int(width_micros))
-    n_buckets = max(ev.sparkSession.sparkContext.defaultParallelism, -(-n_rows // _ROWS_PER_BUCKET))
-
-    ev = ev.withColumn("_us", us).withColumn("chunk", F.floor(F.col("_us") / width).cast("bigint"))
-    # events in the last `window` of a chunk are the halo of the next chunk
-    in_tail = F.col("_us") >= (F.col("chunk") + 1) * width - w_us
-
-    # per (key, chunk): its own events and its tail; the halo of chunk c is the tail of chunk c-1 (a lag over the
-    # chunk table, one row per chunk), so no event is duplicated before we know which chunks can fire
-    counts = ev.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n_own"), F.count_if(in_tail).alias("n_tail"))
-    wk = Window.partitionBy("key").orderBy("chunk")
-    prev_is_adjacent = F.lag("chunk").over(wk) == F.col("chunk") - 1
-    counts = counts.withColumn("n_halo", F.when(prev_is_adjacent, F.lag("n_tail").over(wk)).otherwise(F.lit(0)))
-    counts = counts.withColumn(
-        "candidate", (F.col("n_own") + F.least(F.col("n_halo"), F.lit(max(k - 1, 0)))) >= F.lit(k))
-    # the chunk table and the rows of chunks that can fire feed several branches below: cut their lineage once
-    # (reliable checkpoint in the shared checkpoint folder) instead of re-reading and re-shuffling the events
-    ensure_checkpoint_dir(ev.sparkSession)
-    counts = counts.checkpoint(eager=True)
-    cand = counts.where("candidate").select("key", "chunk")
-    own = ev.join(cand, ["key", "chunk"], "left_semi").withColumns({"_halo": F.lit(False), "_halo_rank": F.lit(1)})
-    halo = ev.where(in_tail).withColumn("chunk", F.col("chunk") + 1).join(cand, ["key", "chunk"], "left_semi") \
-        .withColumns({"_halo": F.lit(True), "_halo_rank": F.lit(0)})
-    cand_rows = own.unionByName(halo).checkpoint(eager=True)
-
-    exits = cand_rows.groupBy(_bucket(n_buckets, "key", "chunk").alias("_b")) \
-        .applyInPandas(_exits_fn(k, w_us), _EXIT_SCHEMA)
-    # only keys with a chunk able to fire need the chain; their chunk table has one row per chunk
-    table = counts.join(cand.select("key").distinct(), "key", "left_semi") \
-        .join(exits, ["key", "chunk"], "left")
-    entries = table.groupBy(_bucket(n_buckets, "key").alias("_b")).applyInPandas(_chain_fn(k), _CHAIN_SCHEMA)
-    fires = cand_rows.join(entries, ["key", "chunk"], "inner") \
-        .groupBy(_bucket(n_buckets, "key", "chunk").alias("_b")).applyInPandas(_fires_fn(k, w_us), _FIRE_SCHEMA)
-
-    ts_type = events.schema["timestamp"].dataType.simpleString()
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    inc = fires.withColumn("timestamp", F.timestamp_add("MICROSECOND", F.col("trigger_us"), epoch).cast(ts_type))
+    placed = segmented_running_sum(ev.where(~lacking), "key", ["timestamp", "id"], F.lit(1), "_n", ranges=ranges)
+    placed = placed.select("key", "timestamp", "id", (F.col("_n") - 1).alias("pos"))
+
+    fires = greedy_fires(candidates(placed, k, int(window_seconds) * 1_000_000, bucket), k, bucket, group)
+    # the fire's events are the `threshold` positions that end at it
+    members = fires.select("key", F.col("pos").alias("fire"),
+                           F.explode(F.sequence(F.col("pos") - (k - 1), F.col("pos"))).alias("pos"))
+    inc = (placed.join(members, ["key", "pos"]).groupBy("key", "fire")
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("m"), F.max("timestamp").alias("timestamp"))
+           .withColumn("ids", F.col("m.id")).withColumn("trigger_id", F.element_at("ids", -1)))
     summary = F.concat(F.lit(SUMMARY_PREFIX), F.size("ids").cast("string"), F.lit(SUMMARY_MIDDLE), F.col("key"))
     incidents = inc.select(
         det_id(f"incident:{RULE}", "trigger_id").alias("id"),
@@ -224,3 +82,74 @@ def brute_force_incidents(events: DataFrame, window_seconds: int = DEFAULT_WINDO
         "key",
     )
     return incidents, quarantine
+
+
+def candidates(placed: DataFrame, threshold: int, window_us: int, bucket: int) -> DataFrame:
+    """(key, bucket, offsets): the sorted offsets within each bucket of positions of the events whose
+    (threshold-1)-th predecessor is less than ``window_us`` older; buckets without any are left out."""
+    own = F.floor(F.col("pos") / F.lit(bucket)).cast("bigint")
+    halo = F.pmod(F.col("pos"), F.lit(bucket)) >= F.lit(bucket - (threshold - 1))
+    rows = placed.select("key", "pos", epoch_micros("timestamp").alias("us"),
+                         F.explode(F.when(halo, F.array(own, own + 1)).otherwise(F.array(own))).alias("bucket"))
+    by = Window.partitionBy("key", "bucket").orderBy("pos")
+    oldest = F.lag("us", threshold - 1).over(by) if threshold > 1 else F.col("us")
+    rows = rows.withColumn("oldest", oldest).where(
+        (own == F.col("bucket")) & ((F.col("us") - F.col("oldest")) < F.lit(window_us)))
+    return rows.groupBy("key", "bucket").agg(
+        F.array_sort(F.collect_list(F.pmod(F.col("pos"), F.lit(bucket)).cast("int"))).alias("offsets"))
+
+
+def greedy_fires(cands: DataFrame, threshold: int, bucket: int, group: int) -> DataFrame:
+    """(key, pos) of the greedy choice of candidates at least ``threshold`` positions apart."""
+    entries_of_all = F.sequence(F.lit(0), F.lit(threshold - 1))
+
+    def leave(free: Column, at: Column) -> Column:
+        return F.when(at >= free, at + F.lit(threshold)).otherwise(free)
+
+    # exit of a bucket for each entry: the first offset of the next bucket that may fire
+    tables = cands.select(
+        "key", F.floor(F.col("bucket") / F.lit(group)).cast("bigint").alias("grp"), "bucket",
+        F.transform(entries_of_all, lambda e: F.aggregate(
+            "offsets", e, leave, lambda free: F.greatest(free - F.lit(bucket), F.lit(0)))).alias("exits"))
+    groups = tables.groupBy("key", "grp").agg(F.array_sort(F.collect_list(F.struct("bucket", "exits"))).alias("tables"))
+
+    def through(at: str, end: Column | None):
+        """Fold step and finish over a sorted list of (number, exits): after a hole the entry is 0."""
+        def step(acc: Column, x: Column) -> Column:
+            entry = F.when(x[at] == acc["next"], acc["free"]).otherwise(F.lit(0))
+            return F.struct((x[at] + 1).alias("next"), F.get(x["exits"], entry).alias("free"))
+        return step, lambda acc: F.when(acc["next"] == end, acc["free"]).otherwise(F.lit(0))
+
+    step, finish = through("bucket", (F.col("grp") + 1) * F.lit(group))
+    start = F.col("grp") * F.lit(group)
+    group_tables = groups.select("key", "grp", F.transform(entries_of_all, lambda e: F.aggregate(
+        "tables", F.struct(start.alias("next"), e.alias("free")), step, finish)).alias("exits"))
+    chains = group_tables.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("grp", "exits"))).alias("list"))
+
+    def entered(items: str, at: str, first: Column, free: Column) -> Column:
+        """The entry of each item of a sorted list, as (number, entry) structs."""
+        none = F.array().cast(f"array<struct<{at}:bigint,entry:int>>")
+
+        def walk(acc: Column, x: Column) -> Column:
+            entry = F.when(x[at] == acc["next"], acc["free"]).otherwise(F.lit(0))
+            told = F.array(F.struct(x[at].alias(at), entry.alias("entry")))
+            return F.struct((x[at] + 1).alias("next"), F.get(x["exits"], entry).alias("free"),
+                            F.concat(acc["told"], told).alias("told"))
+        return F.aggregate(items, F.struct(first.alias("next"), free.alias("free"), none.alias("told")), walk,
+                           lambda acc: acc["told"])
+
+    by_group = chains.select("key", F.inline(entered("list", "grp", F.lit(0).cast("bigint"), F.lit(0))))
+    by_bucket = groups.join(by_group, ["key", "grp"]).select(
+        "key", F.inline(entered("tables", "bucket", start, F.col("entry"))))
+    found = cands.join(by_bucket, ["key", "bucket"])
+    none = F.array().cast("array<int>")
+
+    def fire(acc: Column, at: Column) -> Column:
+        fires = at >= acc["free"]
+        return F.struct(F.when(fires, at + F.lit(threshold)).otherwise(acc["free"]).alias("free"),
+                        F.when(fires, F.concat(acc["fired"], F.array(at))).otherwise(acc["fired"]).alias("fired"))
+
+    fired = F.aggregate("offsets", F.struct(F.col("entry").alias("free"), none.alias("fired")), fire,
+                        lambda acc: acc["fired"])
+    return found.select("key", "bucket", F.explode(fired).alias("at")).select(
+        "key", (F.col("bucket") * F.lit(bucket) + F.col("at")).alias("pos"))

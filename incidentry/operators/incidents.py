@@ -21,8 +21,8 @@ def instant_and_accumulated(events: DataFrame, key: str = "log_id", threshold: i
     raises an *accumulated* incident once the key's count (this event included) reaches ``threshold`` — on that event
     and every later one.
 
-    Plan: a positional running count per key (``operators.scan``: one shuffle, hot keys cut into chunks, no join), so
-    events may share an id or a log id. ``order`` should be total; rows equal in it count in either order."""
+    Plan: a positional running count per key (``operators.scan``: one shuffle into ranges of equal row count, no join),
+    so events may share an id or a log id. ``order`` should be total; rows equal in it count in either order."""
     high = _is_high(F.col("severity"))
     marked = segmented_running_sum(events, key, list(order), F.lit(1), "_position")
     fires = high | (F.col("_position") >= threshold)

@@ -19,7 +19,7 @@ def mark_known_users(attempts: DataFrame, users: DataFrame, user_col: str = "use
 
 
 def login_attempt_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int | None = DEFAULT_TTL_SECONDS,
-                         order: tuple[str, str] = ("ts", "attempt_id"), width_micros: int | None = None) -> DataFrame:
+                         order: tuple[str, str] = ("ts", "attempt_id"), ranges: int | None = None) -> DataFrame:
     """T4: per known user in time order, a wrong password increments the counter, which lapses ``ttl_seconds``
     after the previous attempt (``None``: never); a correct password clears it and answers 0; an unknown username
     answers 0 and never counts. Output adds ``success``, ``attempts`` and the answer ``message``."""
@@ -31,7 +31,7 @@ def login_attempt_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int
         marked, "username", list(order), failure, "attempts",
         reset=F.col("password_ok"),
         gap_micros=None if ttl_seconds is None else int(ttl_seconds) * 1_000_000,
-        width_micros=width_micros)
+        ranges=ranges)
     both = both.withColumn("attempts", F.when(F.col("password_ok") | ~F.col("known"), F.lit(0).cast("bigint"))
                            .otherwise(F.col("attempts")))
     message = F.when(~F.col("known"), F.lit(UNKNOWN_USER)) \

@@ -1,28 +1,22 @@
 """Ordered per-key scans that do not gather a key into one task.
 
 A running aggregate over ``Window.partitionBy(key).orderBy(ts)`` sorts each key inside a single task; with one key
-holding a third of the rows that task would hold a third of the data. Here every key is cut into time chunks, the
-scan runs inside each (key, chunk) partition, and a small per-chunk table carries the state across chunk boundaries:
-
-1. rows: ``chunk = epoch_micros(ts) // width``; a window over (key, chunk) gives the local running value;
-2. chunks: one aggregated row per (key, chunk) — totals, whether it resets, its last local value;
-3. carry: a window over the chunk table per key (rows = number of chunks, not rows of data) computes what flows
-   into each chunk;
-4. the carry is joined back on (key, chunk); the rows are already partitioned by (key, chunk), so only the small
-   chunk table moves.
-
-Without resets (T1) the chunk table is a partial aggregate of the raw rows, so the rows are shuffled and sorted
-once. With resets (T4) each chunk's trailing value depends on the order inside the chunk, so the chunk table is
-aggregated from the windowed rows and those rows are read twice; only the hot keys' rows take that path, the
-others a plain per-key window.
-
-The chunk width is derived from the data (one aggregate row read on the driver): ``span * target_rows / rows``, so a
-chunk of one key holds at most about ``target_rows`` rows when arrivals are spread over time. Only hot keys (more
-than ``max(target_rows, rows / MAX_HOT_KEYS)`` rows, found with a partial aggregate; at most ``MAX_HOT_KEYS`` of
-them, so the list is broadcast) are chunked; every other key is a single chunk, which keeps the chunk table near one
-row per key when keys are many and sparse. When no key is hot the scan is a plain per-key window (one shuffle): no
-key is then larger than the bar. Windows and the carry join use a non-null stand-in of the key, so the join keeps
-the window's partitioning and only the chunk table moves.
+holding a third of the rows that task would hold a third of the data. Here the rows, in (key, order) order, are cut into
+ranges of about equal *row count*, so neither a hot key, nor a burst of one key within a microsecond, nor a row at the
+epoch among later ones makes a range large:
+
+1. bounds: the quantiles of a uniform sample of (key, order) values, the ``SAMPLE_PER_RANGE * ranges`` of the smallest
+   hashes (a distributed top-k), as one array;
+2. rows: each row finds its range by bisection on the bounds and is shuffled once, straight to the partition of that
+   number; a window over (range, key) gives the local running value without moving rows again;
+3. carry: a key goes on from one range into the next only if it is the key of the bound between them, so the state
+   that crosses ranges is one composable entry per (range, such key) — sum, whether it resets, sum after the last
+   reset, first and last time; at most two entries a range. A window per key over those entries gives what flows into
+   each range, as one array with an entry per range;
+4. a row adds its range's carry if its key is the one that was cut there and nothing has reset since.
+
+Bounds and carry are scalar subqueries of the one plan: no job runs while the DataFrame is built, nothing is
+checkpointed, and no join touches the rows. The ``order`` columns should be total; equal rows share a range.
 """
 
 from __future__ import annotations
@@ -31,141 +25,126 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from incidentry.functions import epoch_micros
-from incidentry.session import ensure_checkpoint_dir
 
-DEFAULT_TARGET_ROWS = 2_000_000
-MAX_HOT_KEYS = 100_000  # bound on the broadcast list of chunked keys (at most rows / threshold keys qualify)
+#: Sampled rows per range: a range's size is then within a few tens of percent of the mean.
+SAMPLE_PER_RANGE = 64
 
 
-def chunk_width_micros(df: DataFrame, ts_col: str, target_rows: int = DEFAULT_TARGET_ROWS) -> int:
-    """Chunk width (µs) so that a chunk holds about ``target_rows`` rows of the whole table."""
-    us = epoch_micros(ts_col)
-    row = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if row is None or row["n"] == 0 or row["lo"] is None:
-        return 1 << 40
-    span = int(row["hi"]) - int(row["lo"]) + 1
-    return max(1, span * target_rows // int(row["n"]))
+def range_bounds(df: DataFrame, columns: list[str], ranges: int) -> DataFrame:
+    """One row, one column ``bounds``: ``ranges - 1`` ascending structs of ``columns`` that cut ``df`` into ranges of
+    about equal row count (an empty array for an empty table)."""
+    sample = df.select(F.struct(*columns).alias("b")).orderBy(F.xxhash64("b"), "b").limit(SAMPLE_PER_RANGE * ranges)
+    picked = sample.agg(F.array_sort(F.collect_list("b")).alias("s"))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)),
+                      lambda i: F.get("s", F.floor(i * F.size("s") / F.lit(ranges)).cast("int")))
+    return picked.select(F.when(F.size("s") > 0, cut).otherwise(F.slice("s", 1, 0)).alias("bounds"))
 
 
-def hot_keys(df: DataFrame, key: str, n_rows: int, target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
-    """Keys holding more than ``max(target_rows, n_rows / MAX_HOT_KEYS)`` rows (a partial aggregate). At most
-    ``MAX_HOT_KEYS`` keys can pass that bar, which is what makes the list safe to broadcast."""
-    bar = max(target_rows, -(-n_rows // MAX_HOT_KEYS))
-    return df.groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n")) \
-        .where(F.col("_n") > bar).select("_hk", F.lit(True).alias("_hot"))
+def with_range(df: DataFrame, columns: list[str], ranges: int, into: str = "_p") -> DataFrame:
+    """``df`` with the number of the range (0 to ``ranges - 1``) of each row in ``into``, and whether the row's first
+    column is the key cut at its range's lower (``_from``) or upper (``_onto``) bound."""
+    if ranges < 2:
+        return df.withColumns({into: F.lit(0), "_from": F.lit(False), "_onto": F.lit(False)})
+    found = df.withColumns({"_bounds": range_bounds(df, columns, ranges).scalar(), "_x": F.struct(*columns),
+                            into: F.lit(0)})
+    step = 1 << ((ranges - 1).bit_length() - 1)
+    while step:  # bisection, unrolled: each step is a projection of the same stage
+        reached = F.get("_bounds", F.col(into) + F.lit(step - 1)) <= F.col("_x")
+        found = found.withColumn(into, F.col(into) + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    # a value the optimizer must not copy: a filter on these flags would otherwise be pushed below the bisection with all
+    # of its steps written out once more in each
+    key, settled = F.col(columns[0]), F.spark_partition_id() >= 0
+
+    def cut_at(bound: Column) -> Column:
+        return settled & bound.isNotNull() & key.eqNullSafe(bound.getField(columns[0]))
+
+    lower = F.when(F.col(into) > 0, F.get("_bounds", F.col(into) - F.lit(1)))
+    found = found.withColumns({"_from": cut_at(lower), "_onto": cut_at(F.get("_bounds", F.col(into)))})
+    return found.drop("_bounds", "_x")
 
 
 def segmented_running_sum(df: DataFrame, key: str, order: list[str], value: Column, out: str,
                           reset: Column | None = None, gap_micros: int | None = None,
-                          width_micros: int | None = None, target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+                          ranges: int | None = None) -> DataFrame:
     """Running sum of ``value`` per ``key`` in ``order`` (order[0] is the timestamp), restarting at reset rows.
 
     A row restarts the sum (its own value included) when ``reset`` is true, or — with ``gap_micros`` — when it comes
-    ``gap_micros`` or more after the key's previous row. Without resets this is a plain running sum.
-
-    Only hot keys are cut into time chunks; every other key is one chunk, so the chunk table stays about one row per
-    key even when keys are many and sparse. An explicit ``width_micros`` chunks every key (used by tests)."""
-    ts = order[0]
-    if width_micros is not None:
-        chunk = F.floor(epoch_micros(ts) / F.lit(width_micros)).cast("bigint")
-        return _scan(df, df.columns, key, order, value, out, reset, gap_micros, chunk, single_chunk=False)
-    us = epoch_micros(ts)
-    st = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    n_rows = int(st["n"] or 0)
-    span = (int(st["hi"]) - int(st["lo"]) + 1) if n_rows else 1
-    width = max(1, span * target_rows // max(n_rows, 1))
-    ensure_checkpoint_dir(df.sparkSession)
-    # computed once (every branch below reads it), ≤ MAX_HOT_KEYS rows by construction
-    hot = hot_keys(df, key, n_rows, target_rows).checkpoint(eager=True)
-    if hot.isEmpty():  # no key is big enough to need chunks: a plain per-key window, no carry
-        return _scan(df, df.columns, key, order, value, out, reset, gap_micros, F.lit(0).cast("bigint"),
-                     single_chunk=True)
-    flagged = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hk")), "left") \
-        .withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
-    chunk = F.floor(epoch_micros(ts) / F.lit(width)).cast("bigint")
-    if reset is None and gap_micros is None:
-        # the rows are shuffled once in either case: chunk the hot keys, keep the others whole
-        return _scan(flagged, df.columns, key, order, value, out, reset, gap_micros,
-                     F.when(F.col("_hot"), chunk), single_chunk=False)
-    # with resets the chunked path reads its rows twice, so only the hot keys' rows take it
-    cold = _scan(flagged.where(~F.col("_hot")), df.columns, key, order, value, out, reset, gap_micros,
-                 F.lit(0).cast("bigint"), single_chunk=True)
-    warm = _scan(flagged.where(F.col("_hot")), df.columns, key, order, value, out, reset, gap_micros, chunk,
-                 single_chunk=False)
-    return cold.unionByName(warm)
-
-
-def _scan(df_h: DataFrame, columns: list[str], key: str, order: list[str], value: Column, out: str,
-          reset: Column | None, gap_micros: int | None, chunk: Column, single_chunk: bool) -> DataFrame:
-    """The scan over rows already assigned to chunks (``chunk``); ``single_chunk`` when every key is one chunk."""
-    ts = order[0]
-    base = df_h.withColumns({
+    ``gap_micros`` or more after the key's previous row. Without resets this is a plain running sum. ``ranges``
+    defaults to ``spark.sql.shuffle.partitions``. A null key is a key of its own."""
+    if ranges is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    resets = reset is not None or gap_micros is not None
+    ranged = with_range(df.withColumns({
         "_v": value.cast("bigint"),
         "_r": F.coalesce(reset, F.lit(False)) if reset is not None else F.lit(False),
-        # never null, so the joins below infer no extra filter
-        "_c": F.coalesce(chunk, F.lit(0).cast("bigint")),
-        "_us": epoch_micros(ts),
-        # a non-null stand-in for the key (plus a null flag): partitioning and the carry join use plain equality on
-        # (_kk, _kn, _c), so the join keeps the window's partitioning instead of re-shuffling the rows
-        "_kk": F.coalesce(F.col(key).cast("string"), F.lit("")),
-        "_kn": F.col(key).isNull(),
-    })
-    rows = base
-    w_ord = Window.partitionBy("_kk", "_kn", "_c").orderBy(*[F.col(c) for c in order])
-    w_run = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if gap_micros is not None:
-        prev = F.lag("_us").over(w_ord)
-        gap_reset = prev.isNotNull() & ((F.col("_us") - prev) >= F.lit(gap_micros))
-        rows = rows.withColumn("_R", F.col("_r") | gap_reset)
+    }), [key, *order], ranges)
+
+    rows = _local_sums(ranged.repartitionById(ranges, "_p"), key, order, gap_micros)
+    local = F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0))
+    if ranges < 2:
+        return rows.select(*df.columns, local.alias(out))
+
+    # what crosses ranges: one entry per range and cut key, from those keys' rows alone
+    edge = ranged.where("_from OR _onto").select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o{i}")
+                                                                           for i, c in enumerate(order)],
+                                                 "_v", "_r", "_p", "_from")
+    names = [f"_o{i}" for i in range(len(order))]
+    if resets:
+        edge = _local_sums(edge.repartitionById(ranges, "_p"), "_k", names, gap_micros)
+        entries = edge.groupBy("_p", "_k", "_from").agg(
+            F.sum("_v").alias("_total"), F.max("_R").alias("_any"),
+            F.max_by(F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0)), F.struct(*names)).alias("_end"),
+            F.min(epoch_micros("_o0")).alias("_first"), F.max(epoch_micros("_o0")).alias("_last"))
     else:
-        rows = rows.withColumn("_R", F.col("_r"))
-    rows = rows.withColumns({
-        "_cum": F.sum("_v").over(w_run),
-        "_nres": F.sum(F.col("_R").cast("int")).over(w_run),
-    })
-    # running sum just before the latest reset row of this chunk (null while none has been seen)
-    rows = rows.withColumn(
-        "_before", F.last(F.when(F.col("_R"), F.col("_cum") - F.col("_v")), ignorenulls=True).over(w_run))
-    rows = rows.withColumn("_local", F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0)))
-    if single_chunk:
-        return rows.select(*columns, F.col("_local").alias(out))
-
-    if reset is None and gap_micros is None:
-        # no resets: the carry is the sum of the earlier chunks, and chunk sums are a partial aggregate of the raw
-        # rows (no sort), so the rows are shuffled and sorted only once, for the window above
-        totals = base.groupBy(F.col("_kk").alias("_k"), F.col("_kn").alias("_kz"), F.col("_c").alias("_kc")) \
-            .agg(F.sum("_v").alias("_total"))
-        wk = Window.partitionBy("_k", "_kz").orderBy("_kc").rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select("_k", "_kz", "_kc", F.lit(False).alias("_fg"),
-                              F.coalesce(F.sum("_total").over(wk), F.lit(0)).alias("_carry"))
-        joined = rows.join(carry, (F.col("_kk") == F.col("_k")) & (F.col("_kn") == F.col("_kz"))
-                           & (F.col("_c") == F.col("_kc")), "inner")
-        return joined.select(*columns, (F.col("_local") + F.col("_carry")).alias(out))
-
-    chunks = rows.groupBy(F.col("_kk").alias("_k"), F.col("_kn").alias("_kz"), F.col("_c").alias("_kc")).agg(
-        F.sum("_v").alias("_total"),
-        F.max(F.col("_R").cast("int")).alias("_anyres"),
-        F.max_by("_local", F.struct(*[F.col(c) for c in order])).alias("_end"),
-        F.min("_us").alias("_first"),
-        F.max("_us").alias("_last"),
-    )
-    wc = Window.partitionBy("_k", "_kz").orderBy("_kc")
-    first_gap = F.lit(False)
+        entries = edge.groupBy("_p", "_k", "_from").agg(F.sum("_v").alias("_total"))
+    carry = _carry(entries, resets, gap_micros)
+    rows = rows.withColumn("_in", F.get(carry.scalar(), F.col("_p")))
+    flows = F.col("_from") & F.col("_in").isNotNull()
+    if resets:
+        flows = flows & (F.col("_nres") == 0) & ~F.coalesce(F.col("_in._gap"), F.lit(False))
+    return rows.select(*df.columns, (local + F.when(flows, F.coalesce(F.col("_in._carry"), F.lit(0)))
+                                     .otherwise(F.lit(0))).alias(out))
+
+
+def _local_sums(rows: DataFrame, key: str, order: list[str], gap_micros: int | None) -> DataFrame:
+    """Per (range, key) in order: running sum ``_cum``, restarts so far ``_nres``, whether the row restarts ``_R`` and
+    the running sum just before the latest restart ``_before`` (null while there was none)."""
+    by = Window.partitionBy("_p", key).orderBy(*order)
+    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    restarts = F.col("_r")
     if gap_micros is not None:
-        prev_last = F.lag("_last").over(wc)
-        first_gap = prev_last.isNotNull() & ((F.col("_first") - prev_last) >= F.lit(gap_micros))
-    chunks = chunks.withColumn("_fg", first_gap)
-    chunks = chunks.withColumns({
-        "_RR": (F.col("_anyres") > 0) | F.col("_fg"),
-        "_cumtot": F.sum("_total").over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    })
-    chunks = chunks.withColumn(
-        "_x", F.last(F.when(F.col("_RR"), F.col("_end") - F.col("_cumtot")), ignorenulls=True)
-        .over(wc.rowsBetween(Window.unboundedPreceding, -1)))
-    chunks = chunks.select("_k", "_kz", "_kc", "_fg",
-                           (F.col("_cumtot") - F.col("_total") + F.coalesce(F.col("_x"), F.lit(0))).alias("_carry"))
-
-    joined = rows.join(chunks, (F.col("_kk") == F.col("_k")) & (F.col("_kn") == F.col("_kz"))
-                       & (F.col("_c") == F.col("_kc")), "inner")
-    result = F.col("_local") + F.when((F.col("_nres") > 0) | F.col("_fg"), F.lit(0)).otherwise(F.col("_carry"))
-    return joined.select(*columns, result.alias(out))
+        us, before = epoch_micros(order[0]), F.lag(epoch_micros(order[0])).over(by)
+        restarts = restarts | (before.isNotNull() & ((us - before) >= F.lit(gap_micros)))
+    rows = rows.withColumns({"_R": restarts, "_cum": F.sum("_v").over(so_far)})
+    return rows.withColumns({
+        "_nres": F.sum(F.col("_R").cast("int")).over(so_far),
+        "_before": F.last(F.when(F.col("_R"), F.col("_cum") - F.col("_v")), ignorenulls=True).over(so_far)})
+
+
+def _carry(entries: DataFrame, resets: bool, gap_micros: int | None) -> DataFrame:
+    """One row, one column: an array with, per range, what flows into it (``_carry``, and ``_gap``: the time before it
+    ends it), or null; ranges behind the last entry are left out. ``entries`` are at most two a range."""
+    by_key = Window.partitionBy("_k").orderBy("_p")
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    entries = entries.withColumn("_sum", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    if not resets:
+        state = entries.withColumns({"_carry": F.col("_sum"), "_gap": F.lit(False)})
+    else:
+        gap = F.lit(False)
+        if gap_micros is not None:
+            last = F.lag("_last").over(by_key)
+            gap = last.isNotNull() & ((F.col("_first") - last) >= F.lit(gap_micros))
+        entries = entries.withColumn("_gap", gap)
+        # sum at a range's end, less all sums up to there: what a later range adds its earlier sums to
+        ended = F.when(F.col("_any") | F.col("_gap"), F.col("_end") - F.col("_sum") - F.col("_total"))
+        state = entries.withColumn("_ended", ended)
+        since = F.last("_ended", ignorenulls=True).over(before)
+        state = state.withColumn("_carry", F.col("_sum") + F.coalesce(since, F.lit(0)))
+    found = state.where("_from").agg(F.array_sort(F.collect_list(
+        F.struct("_p", F.struct("_carry", "_gap").alias("_in")))).alias("s"))
+    # nulls for the ranges between two entries, so that an entry stands at its range's number
+    return found.select(F.flatten(F.transform("s", lambda x, i: F.concat(
+        F.array_repeat(F.lit(None).cast("struct<_carry:bigint,_gap:boolean>"),
+                       x["_p"] - F.coalesce(F.get("s", i - 1)["_p"], F.lit(-1)) - 1),
+        F.array(x["_in"])))).alias("carry"))

@@ -1,5 +1,6 @@
-"""The chunked fold must equal a direct fold of the rule, whatever the chunk width."""
+"""The greedy choice of candidates must equal a direct fold of the rule, however the history is cut."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -27,12 +28,12 @@ def direct_fold(rows, window_s, k):
     return sorted(fired)
 
 
-@pytest.mark.parametrize("window_s,k,width_h", [(86400, 3, 24), (86400, 3, 100), (43200, 2, 12), (172800, 4, 48),
-                                                (3600 * 30, 3, 31)])
-def test_chunked_fold_matches_direct(spark, window_s, k, width_h):
+@pytest.mark.parametrize("window_s,k,bucket,group", [(86400, 3, 3, 2), (86400, 3, 4096, 4096), (43200, 2, 5, 3),
+                                                     (172800, 4, 7, 1), (3600 * 30, 3, 16, 4), (86400, 1, 4, 2)])
+def test_greedy_choice_matches_direct(spark, window_s, k, bucket, group):
     ev = failed_login_events(spark, SF_MID)
     inc, quarantine = brute_force_incidents(ev, window_seconds=window_s, threshold=k,
-                                            width_micros=width_h * 3600 * 1_000_000)
+                                            bucket=bucket, group=group)
     got = sorted((r["key"], r["event_id"], tuple(r["events"])) for r in inc.collect())
     src = ev.select("id", "timestamp", F.col("metadata")["ip"].alias("key")).collect()
     assert got == direct_fold(src, window_s, k)
@@ -56,3 +57,27 @@ def test_edges_age_equal_window_and_reset(spark):
     assert sorted(tuple(r["events"]) for r in inc2.collect()) == [("e1", "e2", "e3"), ("e4", "e5", "e6")]
     s = inc.collect()[0]
     assert s["summary"] == "Brute Force Attack: 3 failed logins from a" and s["owner"] == "auto-assigned"
+
+
+def test_dense_history_over_many_buckets_and_groups(spark):
+    """One key whose events are all candidates, with holes now and then: entries cross buckets and groups."""
+    rng = random.Random(4)
+    at, data = 0, []
+    for i in range(3000):
+        at += 500 if rng.random() < 0.01 else rng.randint(0, 9)
+        data.append((f"e{i:05d}", at, rng.choice(["a", "a", "a", "b"])))
+    df = spark.createDataFrame(data, "id STRING, s INT, ip STRING").select(
+        "id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("timestamp"),
+        F.lit("login_failed").alias("type"), F.create_map(F.lit("ip"), F.col("ip")).alias("metadata"))
+    src = df.select("id", "timestamp", F.col("metadata")["ip"].alias("key")).collect()
+    for k, bucket, group in [(10, 10, 2), (10, 32, 8), (3, 100, 3), (7, 4096, 4096)]:
+        inc, _ = brute_force_incidents(df, 60, k, bucket=bucket, group=group, ranges=5)
+        got = sorted((r["key"], r["event_id"], tuple(r["events"])) for r in inc.collect())
+        assert got == direct_fold(src, 60, k)
+
+
+def test_no_python_stage(spark, capsys):
+    ev = failed_login_events(spark, SF_MID)
+    brute_force_incidents(ev, 86400, 3)[0].explain()
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan

@@ -17,15 +17,14 @@ def test_tagging_and_filters_are_projections(spark):
         assert "WholeStageCodegen" in plan or "*(" in plan, name
 
 
-def test_accumulated_incidents_are_one_shuffle_and_no_join(spark):
-    for name in ("incidents_instant_accumulated", "logs_to_incidents", "incidents_shared_log_ids"):
+def test_ordered_scans_shuffle_the_rows_once_and_join_nothing(spark):
+    """The rows go straight to the partition of their range; bounds and carry are scalar subqueries."""
+    for name in ("incidents_instant_accumulated", "logs_to_incidents", "incidents_shared_log_ids",
+                 "running_error_count"):
         plan = executed_plan(spark, name)
-        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, name
-
-
-def test_running_count_is_one_shuffle_without_hot_keys(spark):
-    plan = executed_plan(spark, "running_error_count")
-    assert plan.count("Exchange hashpartitioning") == 1
+        assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "Join" not in plan, name
+        rows_part = plan.split("Exchange shufflepartitionidpassthrough")[0]
+        assert "Window" in rows_part, name
 
 
 def test_latest_per_key_is_a_partial_aggregate(spark):

@@ -1,4 +1,4 @@
-"""The chunked scan must equal a plain per-key window whatever the chunk width."""
+"""The ordered scan must equal a plain per-key window whatever the number of ranges."""
 
 import pytest
 from pyspark.sql import Window
@@ -11,13 +11,10 @@ from incidentry.operators.normalize import normalize_logs
 from incidentry.operators.scan import segmented_running_sum
 from incidentry.sources.driver_views import log_view, login_attempts_view, users_view
 
-HOUR = 3_600_000_000
-
-
-@pytest.mark.parametrize("width", [HOUR, 7 * HOUR, 10 ** 15])
-def test_running_error_count_any_width(spark, width):
+@pytest.mark.parametrize("ranges", [1, 2, 7, 64])
+def test_running_error_count_any_ranges(spark, ranges):
     logs = normalize_logs(log_view(spark, SF_MID))
-    got = running_error_counts(logs, width_micros=width).select("id", "error_count")
+    got = running_error_counts(logs, ranges=ranges).select("id", "error_count")
     w = Window.partitionBy("source").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = logs.select("id", F.sum(F.contains(F.lower("message"), F.lit("error")).cast("int")).over(w)
                        .cast("bigint").alias("error_count"))
@@ -41,10 +38,10 @@ def _brute_logins(attempts, users, ttl):
 
 
 @pytest.mark.parametrize("ttl", [3600, 172800, None])
-@pytest.mark.parametrize("width", [HOUR, 5 * HOUR, 10 ** 15])
-def test_login_counter_any_width(spark, ttl, width):
+@pytest.mark.parametrize("ranges", [1, 5, 48])
+def test_login_counter_any_ranges(spark, ttl, ranges):
     att, users = login_attempts_view(spark, SF_MID), users_view(spark, SF_MID)
-    got = login_attempt_counts(att, users, ttl_seconds=ttl, width_micros=width).select("attempt_id", "attempts")
+    got = login_attempt_counts(att, users, ttl_seconds=ttl, ranges=ranges).select("attempt_id", "attempts")
     assert rows(got) == rows(_brute_logins(att, users, ttl))
 
 
@@ -54,9 +51,9 @@ def test_reset_and_gap_edges(spark):
             ("a", 35, 1, False), ("a", 45, 1, False), (None, 1, 1, False), (None, 2, 1, False)]
     df = spark.createDataFrame(data, "k STRING, s INT, v INT, r BOOLEAN") \
         .withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).withColumn("id", F.col("s"))
-    for width in (1_000_000, 7_000_000, 10 ** 12):
+    for ranges in (1, 2, 3, 8, 20):
         out = segmented_running_sum(df, "k", ["ts", "id"], F.col("v"), "o", reset=F.col("r"),
-                                    gap_micros=10_000_000, width_micros=width)
+                                    gap_micros=10_000_000, ranges=ranges)
         got = {(r["k"], r["s"]): r["o"] for r in out.collect()}
         assert got[("a", 0)] == 1 and got[("a", 10)] == 1  # gap of exactly 10 s restarts
         assert got[("a", 20)] == 0 and got[("a", 25)] == 1
