@@ -107,6 +107,18 @@ def worker_memo(name: str) -> dict:
     return holder["memo"]
 
 
+def trim_memory() -> None:
+    """Give freed memory of this Python worker back to the system: workers outlive the stages they serve."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this system
+        pass
+
+
 def slices(rows: int, size: int) -> Iterator[tuple[int, int]]:
     for start in range(0, rows, size):
         yield start, min(rows, start + size)

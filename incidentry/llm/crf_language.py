@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import slices, worker_memo
+from incidentry.llm.common import slices, trim_memory, worker_memo
 from incidentry.session import pickle_by_value
 
 #: Slots of hashed features, words of a chain, and words whose scores a Python worker remembers.
@@ -25,8 +25,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (Unicode category L), in lower case; other numbers and marks separate them."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in ("".join(c if c.isalpha() else " " for c in f).split())]
 
 
 def features(word: str, lexicon: set[str]) -> list[int]:
@@ -171,25 +174,30 @@ class Scorer:
     """Language posteriors of texts, with a memo of word scores that outlasts a task."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.table = model, {}, np.zeros((0, len(model.languages)))
+        self.model, self.rows, self.table = model, {}, np.zeros((MEMO_WORDS, len(model.languages)))
 
     @staticmethod
-    def of(model: Model) -> Scorer:
+    def of(plain: tuple) -> Scorer:
+        """The worker's scorer of the model whose fields are ``plain``."""
         memo = worker_memo("crf")
-        if model.name not in memo:
+        if plain[-1] not in memo:
             memo.clear()
-            memo[model.name] = Scorer(model)
-        return memo[model.name]
+            memo[plain[-1]] = Scorer(Model(*plain))
+        return memo[plain[-1]]
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean posterior of each language over the words of each text, and the number of words."""
-        if len(self.rows) > MEMO_WORDS:
-            self.rows, self.table = {}, self.table[:0]
         words = [words_of(t) for t in texts]
-        new = list(set().union(*words).difference(self.rows))
+        every = set().union(*words)
+        new = list(every.difference(self.rows))
+        if len(self.rows) + len(new) > len(self.table):
+            self.rows, new = {}, list(every)
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), self.table.shape[1]))
         if new:
-            self.table = np.concatenate((self.table, self.model.emissions(new)))
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            begin, end = len(self.rows), len(self.rows) + len(new)
+            self.table[begin:end] = self.model.emissions(new)
+            self.rows.update(zip(new, range(begin, end), strict=True))
         sizes = np.array([len(w) for w in words], np.int64)
         chains = -(-sizes // CHAIN)
         begin = np.concatenate(([0], np.cumsum(chains)[:-1])) * CHAIN
@@ -219,8 +227,14 @@ def label_words(model: Model, text: str) -> list[tuple[str, str]]:
     return out
 
 
-def _predict(batch_texts, model: Model):
+def _plain(model: Model) -> tuple:
+    """The fields of a model: a broadcast of them can be read where this package is not installed."""
+    return (model.languages, model.weights, model.moves, model.first, model.lexicon, model.name)
+
+
+def _predict(batch_texts, plain: tuple):
     texts = batch_texts.to_pylist()
+    languages = plain[0]
     lengths = [len(t or "") for t in texts]
     langs: list[str] = []
     scores: list[float] = []
@@ -230,9 +244,9 @@ def _predict(batch_texts, model: Model):
         while end < len(texts) and (end == at or size + lengths[end] <= SLICE_CHARS):
             size += lengths[end]
             end += 1
-        mean, sizes = Scorer.of(model).scores(texts[at:end])
+        mean, sizes = Scorer.of(plain).scores(texts[at:end])
         best = mean.argmax(axis=1)
-        langs += [model.languages[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)]
+        langs += [languages[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)]
         scores += np.where(sizes > 0, np.minimum(mean[np.arange(len(best)), best], 1.0), 0.0).tolist()
         at = end
     return langs, scores
@@ -254,7 +268,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     if model is None:
         return rows.select(F.col("_id").alias(id_col), "held_out", F.lit(UNDETERMINED).alias("lang_pred"),
                            F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def predict(batches):
@@ -262,6 +276,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             langs, scores = _predict(b.column(2), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()),
                                               pa.array(scores, pa.float64())], ["_id", "held_out", "lang_pred", "score"])
+        trim_memory()
 
     return rows.mapInArrow(predict, f"_id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed(
         "_id", id_col)
@@ -272,7 +287,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
     keeps code-switched texts; it rejects those without letters or of no language in particular."""
     if model is None:
         return docs.where(F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(_plain(model))
     position = docs.columns.index(text_col)
 
     def keep(batches):
@@ -280,6 +295,7 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             langs, scores = _predict(b.column(position), shared.value)
             yield b.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in zip(langs, scores, strict=True)],
                                     pa.bool_()))
+        trim_memory()
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -290,7 +306,7 @@ def keep_lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def keep(batches):
         for b in batches:
-            yield b.filter(pa.array([bool(_WORD.search(x.as_py() or "")) for x in b.column(position)], pa.bool_()))
+            yield b.filter(pa.array([any(map(str.isalpha, x.as_py() or "")) for x in b.column(position)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -12,14 +12,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: longs, a <> b), root being the component's smallest node.
 
     Every step is a partial aggregate and a join on the node; a node with very many links costs one row per map task in
-    the aggregate, and its join partition is split by AQE. Links are checkpointed after each round (two steps), and
-    only their number and the sum of their hashes reach the driver, to see that nothing changed.
+    the aggregate. Links are checkpointed after each round (two steps), and only their number and the exact sums of two
+    64-bit hashes of each reach the driver, to see that nothing changed.
     """
     links = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         links = checkpointed(_small_star(_large_star(links)))
-        now = tuple(links.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_003).cast("long"))).first())
+        now = tuple(links.agg(F.count("*"), *[F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+                                                   for c in (("a", "b"), ("b", "a"))]).first())
         if now == state:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -273,7 +273,8 @@ c AS (SELECT x.row, doc_id, word, x.pos,
              coalesce(max(r.pos) OVER (PARTITION BY x.row ORDER BY x.pos), -{length}) > x.pos - {length} AS gone
       FROM x LEFT JOIN r ON x.row = r.row AND x.pos = r.pos)
 SELECT any_value(d.doc_id) AS doc_id, count(pos) AS n_words, coalesce(sum(gone::INT), 0)::BIGINT AS n_removed,
-       sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256,
+       coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept
 FROM d LEFT JOIN c USING (row) GROUP BY d.row
 """
 

@@ -42,14 +42,14 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return estimates.where(sure).select("line").unionByName(exact)
 
 
-def drop_spread_lines(docs: DataFrame, min_sites: int = 10, min_chars: int | None = 20, id_col: str = "doc_id",
+def drop_spread_lines(docs: DataFrame, min_sites: int = 10, min_chars: int | None = None, id_col: str = "doc_id",
                       text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with a column ``removed_lines`` (array of line numbers from 0) and ``kept_text``: the text without its
-    lines of at least ``min_chars`` characters that occur on ``min_sites`` or more sites.
+    lines that occur on ``min_sites`` or more sites.
 
-    A line is what stands between line feeds, compared without ASCII white space at its ends. Lines shorter than
-    ``min_chars``, white space at their ends included (blank ones among them), are neither counted nor removed; with
-    None every line takes part that is not blank, however short. First (line, site) pairs are reduced on the map side, so a
+    A line is what stands between line feeds, compared without ASCII white space at its ends. Every line takes part that
+    is not blank, however short; ``min_chars`` can leave out, from counting and removal, those shorter than that
+    without the white space at their ends. First (line, site) pairs are reduced on the map side, so a
     line on every page leaves each task once a site; the spread lines are found by :func:`spread_lines`; documents
     meet them as rows (row key, line number, hash), whole texts are not exploded in a shuffle.
 
@@ -63,31 +63,31 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 10, min_chars: int | Non
     site = F.when(F.col(site_col).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(site_col).cast("string"))).cast("long")
     rows = keyed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], site.alias("site"),
                         F.posexplode(lines_of(text)).alias("at", "raw"))
-    takes_part = trimmed(F.col("raw")) != "" if min_chars is None else F.char_length("raw") >= min_chars
+    takes_part = F.char_length(trimmed(F.col("raw"))) >= max(1, min_chars or 1)
     rows = rows.where(takes_part).select("_k0", "_k1", "site", "at", line_hash(F.col("raw")).alias("line"))
     rows = checkpointed(rows)
     spread = small_side(checkpointed(spread_lines(rows.select("line", "site"), min_sites)))
+    found = fresh_name(keyed, "_removed")
     removed = (rows.join(spread, "line", "left_semi").groupBy("_k0", "_k1")
-               .agg(F.sort_array(F.collect_set("at")).alias("_removed")))
+               .agg(F.sort_array(F.collect_set("at")).alias(found)))
     removed = small_lists(checkpointed(removed.select(F.col("_k0").alias(key[0]), F.col("_k1").alias(key[1]),
-                                                      "_removed")), "_removed")
+                                                      found)), found)
     gone, left = fresh_name(docs, "removed_lines"), fresh_name(docs, "kept_text")
-    numbers = F.coalesce("_removed", F.array().cast("array<int>"))
+    numbers = F.coalesce(found, F.array().cast("array<int>"))
     kept = F.array_join(F.filter(lines_of(text), lambda line, i: ~F.array_contains(numbers, i)), "\n")
     return (keyed.join(removed, key, "left").withColumn(gone, numbers)
-            .withColumn(left, F.when(F.size(numbers) == 0, text).otherwise(kept)).drop("_removed", *key))
+            .withColumn(left, F.when(F.size(numbers) == 0, text).otherwise(kept)).drop(found, *key))
 
 
-def oracle_sql(min_sites: int = 10, min_chars: int = 20) -> str:
+def oracle_sql(min_sites: int = 10) -> str:
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw,
              generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-h AS (SELECT *, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line,
-             length(raw) >= {min_chars} AS counts FROM l),
-s AS (SELECT line FROM h WHERE counts GROUP BY line
+h AS (SELECT *, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line FROM l),
+s AS (SELECT line FROM h WHERE line <> '' GROUP BY line
       HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= {min_sites}),
-m AS (SELECT h.*, counts AND line IN (SELECT line FROM s) AS gone FROM h)
+m AS (SELECT h.*, line IN (SELECT line FROM s) AS gone FROM h)
 SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_removed,
        sha256(coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import text_or_empty
+from incidentry.llm.common import text_or_empty, trim_memory
 from incidentry.llm.tokens import Encoder
 from incidentry.session import pickle_by_value
 
@@ -50,8 +50,9 @@ def pack_pieces(lengths: list[int], capacity: int, linear: float = 1.0, quadrati
 
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, capacity: int = 2048,
                    id_col: str = "doc_id", text_col: str = "text", linear: float = 1.0,
-                   quadratic: float = 1 / 256) -> DataFrame:
-    """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost, ids.
+                   quadratic: float = 1 / 256, with_ids: bool = True) -> DataFrame:
+    """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost and, ``with_ids``,
+    the ids themselves (they leave the Python worker only then).
 
     A document is its token ids and ``end_id``. Runs of ``capacity`` ids fill sequences of their own; the rests are
     pooled within the task (at most ``POOL_PIECES``) and packed by :func:`pack_pieces`, so a pool pads less than one
@@ -63,6 +64,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
     ``docs`` are ignored whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+    width = len(NAMES) if with_ids else len(NAMES) - 1
 
     def pieces(batches):
         encoder = Encoder.of(tokenizer)
@@ -85,9 +87,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
             pool.clear()
 
         def batch():
-            columns = list(zip(*out, strict=True))
+            columns = list(zip(*out, strict=True))[:width]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW, strict=True)], NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW[:width], strict=True)],
+                                              NAMES[:width])
 
         for rows_in in batches:
             for ident, ids in encoded(rows_in, encoder):
@@ -107,9 +110,10 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
             flush()
         if out:
             yield batch()
+        trim_memory()
 
     return rows.mapInArrow(pieces, "_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-                                   "sequence_id long, offset long, cost double, ids binary"
+                                   "sequence_id long, offset long, cost double" + ", ids binary" * with_ids
                            ).withColumnRenamed("_id", id_col)
 
 

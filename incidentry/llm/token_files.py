@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentry.llm.common import checkpointed, running_total, text_or_empty
+from incidentry.llm.common import checkpointed, running_total, text_or_empty, trim_memory
 from incidentry.llm.packing import SLICE_CHARS, encoded
 from incidentry.llm.tokens import Encoder
 from incidentry.session import pickle_by_value
@@ -59,6 +59,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
                     idents, pieces, size = [], [], 0
             if idents:
                 yield batch(idents, [a + b for a, b in zip(pieces[::2], pieces[1::2], strict=True)])
+        trim_memory()
 
     (ordered.mapInArrow(encode, "_id long, part int, row long, ids array<int>").withColumnRenamed("_id", id_col)
      .write.option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01")

@@ -3,8 +3,10 @@
 The file of a tokenizer is a parameter: a path, or the name of a file of the ``public_tokenizers`` package, which is
 then looked up on the executor. A text is cut at spaces that follow a non-space character. Both kinds of tokenizer
 used here start a new pre-token there, so the ids of the parts, each encoded by the library and remembered,
-concatenate to the ids of the text (``tests/llm`` compares with encoding whole texts). A text that may hold an added
-token's string is encoded whole.
+concatenate to the ids of the text (``tests/llm`` compares with encoding whole texts). A part that is new is cut again
+where Latin letters end: letters, the punctuation behind them and single line feeds are pre-tokens of their own, and new
+stems are encoded many at a time as one text, to be told apart by the tokens that begin or end a word. A text that may
+hold an added token's string is encoded whole.
 """
 
 from __future__ import annotations
@@ -18,12 +20,17 @@ import numpy as np
 from incidentry.llm.common import worker_memo
 from incidentry.session import pickle_by_value
 
-#: Words remembered per Python worker (about 200 bytes each); when full the memo starts anew.
-MEMO_WORDS = 600_000
+#: Entries (words and stems) remembered per Python worker, about 200 bytes each; when full the memo starts anew.
+MEMO_WORDS = 400_000
+#: Stems encoded as one text.
+JOINED = 500
 
 #: A space or line feed after white space: such texts are cut by the slower pattern below.
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+#: Latin letters (all of them letters in any version of Unicode, and in composed form), and what may follow a stem.
+_STEM = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_TAIL = ".,;:!?)"
 
 
 def load_tokenizer(name: str):
@@ -45,6 +52,10 @@ class Encoder:
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
+        self.marks = np.zeros(names[-1][0] + 1, bool)  # tokens that begin (byte level) or end (word level) a word
+        self.marks[[i for i, t in names if (t.startswith("\u0120") if self.spaced else t.endswith("</w>"))]] = True
 
     @staticmethod
     def of(name: str) -> Encoder:
@@ -54,9 +65,9 @@ class Encoder:
         return memo[name]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.firsts) > MEMO_WORDS:
-            self.words.clear()
-            self.firsts.clear()
+        if len(self.words) + len(self.firsts) + len(self.units) > MEMO_WORDS:
+            for memo in (self.words, self.firsts, self.units):
+                memo.clear()
         cut = [None if self._whole(x) else self._parts(x) for x in texts]
         self._learn(self.words, set().union(*[p[1] for p in cut if p]), " " if self.spaced else "")
         self._learn(self.firsts, {p[0] for p in cut if p}, "")
@@ -76,7 +87,47 @@ class Encoder:
 
     def _learn(self, memo: dict[str, bytes], words: set[str], before: str) -> None:
         new = list(words.difference(memo))
-        memo.update(zip(new, self._ids([before + w for w in new]), strict=True))
+        cut = [self._units(w, before) for w in new]
+        self._learn_units(set().union(*[u for u in cut if u]).difference(self.units))
+        whole = iter(self._ids([before + w for w, u in zip(new, cut, strict=True) if u is None]))
+        unit = self.units.__getitem__
+        memo.update((w, next(whole) if u is None else b"".join(map(unit, u))) for w, u in zip(new, cut, strict=True))
+
+    def _units(self, word: str, before: str) -> list[str] | None:
+        """Pre-tokens of ``before + word`` if it is stems, each with punctuation behind it, between single line feeds."""
+        out: list[str] = []
+        for part in word.split("\n"):
+            stem = part.rstrip(_TAIL)
+            if not _STEM.fullmatch(stem):
+                return None
+            if out:
+                out.append("\n")
+            if not self.spaced and stem.isascii():
+                stem = stem.lower()
+            out.append(before + stem if not out else stem)
+            if len(part) > len(stem):
+                out.append(part[len(stem):])
+        return out
+
+    def _learn_units(self, new: set[str]) -> None:
+        led, bare, rest = [], [], []
+        for u in new:
+            (led if u[0] == " " else bare if u[0].isalpha() else rest).append(u)
+        if not self.spaced:
+            led, bare = bare, led
+        for at in range(0, len(led), JOINED):
+            part = led[at:at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part) if self.spaced else " ".join(part)],
+                                                            add_special_tokens=False)[0].ids, "<u4")
+            marks = np.flatnonzero(self.marks[ids])
+            cuts = np.append(marks, len(ids)) if self.spaced else np.append(0, marks + 1)
+            if len(cuts) != len(part) + 1:  # not as expected: one by one
+                rest += part
+                continue
+            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
+            self.units.update((u, raw[a:b]) for u, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        rest += bare
+        self.units.update(zip(rest, self._ids(rest), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)

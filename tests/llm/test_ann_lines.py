@@ -116,15 +116,15 @@ def line_rows():
     return rows
 
 
-def plain_lines(rows, min_sites, min_chars):
+def plain_lines(rows, min_sites, min_chars=1):
     ws = " \t\n\x0b\x0c\r"
     sites = defaultdict(set)
     for _, t, s, *_ in rows:
         for x in (t or "").split("\n"):
-            if len(x) >= min_chars:
+            if len(x.strip(ws)) >= min_chars:
                 sites[x.strip(ws)].add(s)
     spread = {x for x, v in sites.items() if len(v) >= min_sites}
-    return ["\n".join(x for x in (t or "").split("\n") if len(x) < min_chars or x.strip(ws) not in spread)
+    return ["\n".join(x for x in (t or "").split("\n") if x.strip(ws) not in spread)
             for _, t, *_ in rows]
 
 
@@ -134,7 +134,17 @@ def test_spread_lines_equal_brute_force(spark, min_sites):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept_text string, _row_pos int")
     got = line_dedup.drop_spread_lines(df, min_sites=min_sites)
     assert got.columns == [*df.columns, "removed_lines", "_kept_text"]
-    assert sorted(r["_kept_text"] for r in got.collect()) == sorted(plain_lines(rows, min_sites, 20))
+    assert sorted(r["_kept_text"] for r in got.collect()) == sorted(plain_lines(rows, min_sites))
+    longer = line_dedup.drop_spread_lines(df, min_sites=min_sites, min_chars=20).collect()
+    assert sorted(r["_kept_text"] for r in longer) == sorted(plain_lines(rows, min_sites, 20))
+
+
+def test_spread_lines_beside_a_column_of_the_same_name(spark):
+    rows = [(i, "all sites\nown %d" % i, f"s{i}", 7, "k") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _removed int, removed_lines string")
+    got = line_dedup.drop_spread_lines(df)
+    assert got.columns == [*df.columns, "_removed_lines", "kept_text"]
+    assert {(r["_removed"], r["removed_lines"], tuple(r["_removed_lines"])) for r in got.collect()} == {(7, "k", (0,))}
 
 
 def test_short_lines_take_part_without_a_length(spark):

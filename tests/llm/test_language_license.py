@@ -36,6 +36,37 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(starts, want[:, 0].sum(0)) and total == pytest.approx(logs)
 
 
+def test_identify_equals_enumeration(spark, monkeypatch):
+    """Whole predictions on a tiny model against the sum over all labellings of each chain."""
+    monkeypatch.setattr(crf, "CHAIN", 4)
+    rng = random.Random(2)
+    vocab = {"aa": "kara toma nila".split(), "bb": "whist glyph thrum".split(), "cc": "övö ñiñ kara".split()}
+    model = crf.fit([(lang, " ".join(rng.choices(ws, k=60))) for lang, ws in vocab.items()], rounds=5)
+    every = [w for ws in vocab.values() for w in ws] + ["neuwort"]
+    texts = [" ".join(rng.choices(every, k=rng.randint(1, 9))) for _ in range(30)] + ["½ ² Ⅷ ①", "1 kara², toma"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in crf.identify(df, model).collect()}
+    for i, text in enumerate(texts):
+        words = ["".join(c for c in w if c.isalpha()) for w in text.split()]
+        words = [w for w in words if w]
+        mean = np.zeros(3)
+        for at in range(0, len(words), 4):
+            chain = words[at:at + 4]
+            emitted = [model.weights[crf.features(w, model.lexicon)].astype(float).sum(0) for w in chain]
+            paths = list(itertools.product(range(3), repeat=len(chain)))
+            value = np.array([model.first[p[0]] + sum(e[x] for e, x in zip(emitted, p, strict=True))
+                              + sum(model.moves[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+            prob = np.exp(value - value.max())
+            for p, x in zip(paths, prob / prob.sum(), strict=True):
+                for label in p:
+                    mean[label] += x / len(words)
+        if not words:
+            assert got[i] == ("und", 0.0)
+        else:
+            assert got[i][1] == pytest.approx(mean.max(), abs=1e-6)
+            assert got[i][0] == model.languages[int(mean.argmax())]
+
+
 def test_held_out_accuracy_and_contract(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op8_crf_language"](spark, sf).collect()}
