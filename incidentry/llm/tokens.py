@@ -20,8 +20,8 @@ import numpy as np
 from incidentry.llm.common import worker_memo
 from incidentry.session import pickle_by_value
 
-#: Entries (words and stems) remembered per Python worker, about 200 bytes each; when full the memo starts anew.
-MEMO_WORDS = 400_000
+#: Words and stems remembered per Python worker, about 150 bytes each; a full memo starts anew.
+MEMO_WORDS, MEMO_UNITS = 600_000, 200_000
 #: Stems encoded as one text.
 JOINED = 500
 
@@ -31,6 +31,7 @@ _CUT = re.compile(r"(?<=\S) ")
 #: Latin letters (all of them letters in any version of Unicode, and in composed form), and what may follow a stem.
 _STEM = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _TAIL = ".,;:!?)"
+_SIMPLE = re.compile(f"({_STEM.pattern})([{_TAIL}]*)")
 
 
 def load_tokenizer(name: str):
@@ -65,9 +66,11 @@ class Encoder:
         return memo[name]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.firsts) + len(self.units) > MEMO_WORDS:
-            for memo in (self.words, self.firsts, self.units):
-                memo.clear()
+        if len(self.words) + len(self.firsts) > MEMO_WORDS:
+            self.words.clear()
+            self.firsts.clear()
+        if len(self.units) > MEMO_UNITS:
+            self.units.clear()
         cut = [None if self._whole(x) else self._parts(x) for x in texts]
         self._learn(self.words, set().union(*[p[1] for p in cut if p]), " " if self.spaced else "")
         self._learn(self.firsts, {p[0] for p in cut if p}, "")
@@ -91,11 +94,20 @@ class Encoder:
         self._learn_units(set().union(*[u for u in cut if u]).difference(self.units))
         whole = iter(self._ids([before + w for w, u in zip(new, cut, strict=True) if u is None]))
         unit = self.units.__getitem__
-        memo.update((w, next(whole) if u is None else b"".join(map(unit, u))) for w, u in zip(new, cut, strict=True))
+        for w, u in zip(new, cut, strict=True):
+            memo[w] = next(whole) if u is None else unit(u[0]) if len(u) == 1 else b"".join(map(unit, u))
 
     def _units(self, word: str, before: str) -> list[str] | None:
         """Pre-tokens of ``before + word`` if it is stems, each with punctuation behind it, between single line feeds."""
+        simple = _SIMPLE.fullmatch(word)
+        if simple:
+            stem, tail = simple.groups()
+            if not self.spaced and stem.isascii():
+                stem = stem.lower()
+            return [before + stem, tail] if tail else [before + stem]
         out: list[str] = []
+        if "\n" not in word:
+            return None
         for part in word.split("\n"):
             stem = part.rstrip(_TAIL)
             if not _STEM.fullmatch(stem):
