@@ -572,6 +572,35 @@ def q_stream_filtered_incidents(spark, sf_dir):
     return _flat_incidents(sjobs.run_and_read(inc))
 
 
+#: A replay's files may come in any order, so its streams wait for the closing row; and the test that lets it through.
+REPLAY_DELAY = "36500 days"
+CLOSING = "event_type IS NULL OR "
+
+
+def events_replay(spark: SparkSession, sf_dir: str, files: int = 4) -> DataFrame:
+    """``events`` as a stream of several micro-batches."""
+    return sjobs.replayed(read_table(spark, sf_dir, "events"), ["ts", "event_id"], files)
+
+
+@register("stream_late_rows", """WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS wave FROM events),
+bar AS (SELECT max(ts) - INTERVAL 10 DAYS AS bar FROM e WHERE wave = 0)
+SELECT event_id, wave = 1 AND ts < bar AS late,
+       CASE WHEN wave = 1 AND ts < bar THEN 'late' END AS reject_reason FROM e, bar""")
+def q_stream_late_rows(spark, sf_dir):
+    """W3 / X6 on an out-of-order replay: every seventh event arrives in a second micro-batch; those more than ten days
+    behind the newest of the first go to quarantine, the others on; together they are the input."""
+    from incidentry.session import scratch_path
+    from incidentry.streaming.late import route_late, split_late
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts")
+    path = scratch_path(spark, "late-replay")
+    ev.where("event_id % 7 <> 0").coalesce(1).write.parquet(path)
+    ev.where("event_id % 7 = 0").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    on_time, late = split_late(sjobs.run_and_read(route_late(stream, "ts", 10 * 86400)))
+    return late.select("event_id", F.lit(True).alias("late"), "reject_reason").unionByName(
+        on_time.select("event_id", F.lit(False).alias("late"), F.lit(None).cast("string").alias("reject_reason")))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # A2 events per key
 
@@ -587,26 +616,26 @@ def q_events_per_log_source(spark, sf_dir):
 
 @register("stream_running_error_count", ORACLES["running_error_count"])
 def q_stream_running_error_count(spark, sf_dir):
-    logs = normalize_logs(logs_from_events(events_stream(spark, sf_dir)))
-    return sjobs.run_and_read(sjobs.stream_running_error_counts(logs)) \
+    logs = normalize_logs(logs_from_events(events_replay(spark, sf_dir)))
+    return sjobs.run_and_read(sjobs.stream_running_error_counts(logs, reorder=REPLAY_DELAY)) \
         .select("id", "timestamp", "source", "error_count")
 
 
 @register("stream_brute_force", _t3_sql(86400, 3))
 def q_stream_brute_force(spark, sf_dir):
-    ev = events_stream(spark, sf_dir).where(F.col("event_type") == "error").select(
+    ev = events_replay(spark, sf_dir).where(CLOSING + "event_type = 'error'").select(
         F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"), F.col("ts").alias("timestamp"),
         F.lit("login_failed").alias("type"), F.create_map(F.lit("ip"), F.col("user_id").cast("string")).alias("metadata"))
-    return _flat_incidents(sjobs.run_and_read(sjobs.stream_brute_force(ev, 86400, 3)))
+    return _flat_incidents(sjobs.run_and_read(sjobs.stream_brute_force(ev, 86400, 3, reorder=REPLAY_DELAY)))
 
 
 @register("stream_login_attempts_2d", f"""WITH base AS ({_t4_sql(172800)})
 SELECT attempt_id, attempts FROM base WHERE message <> 'Unknown username'""")
 def q_stream_login_attempts_2d(spark, sf_dir):
-    ev = events_stream(spark, sf_dir).where(F.col("event_type").isin("error", "signup"))
+    ev = events_replay(spark, sf_dir).where(CLOSING + "event_type IN ('error', 'signup')")
     att = ev.select(attempted_username().alias("username"), "ts",
                     (F.col("event_type") == "signup").alias("password_ok"), F.col("event_id").alias("attempt_id"))
-    return sjobs.run_and_read(sjobs.stream_login_counts(att, users_view(spark, sf_dir), 172800))
+    return sjobs.run_and_read(sjobs.stream_login_counts(att, users_view(spark, sf_dir), 172800, reorder=REPLAY_DELAY))
 
 
 @register("tag_pages", """SELECT page_id, array_to_string(list_filter([

@@ -18,6 +18,7 @@ from incidentry.operators.bruteforce import OWNER, RULE, SUMMARY_MIDDLE, SUMMARY
 from incidentry.operators.incidents import ACCUMULATED_PREFIX, INSTANT_PREFIX
 from incidentry.operators.upsert import latest_per_key
 from incidentry.session import scratch_path
+from incidentry.streaming.ordered import CLOSING_TIME, EventTimeOrdered, closing_row, watermarked
 from incidentry.streaming.processors import BruteForce, EventCounter, LoginCounter, RunningErrorCount
 from incidentry.streaming.sources import event_time, use_rocksdb, wall_time
 
@@ -69,11 +70,25 @@ def stream_error_counts(logs: DataFrame, window: str = "5 seconds", delay: str =
     return out.withColumn("window_start", wall_time("window_start")).withColumn("window_end", wall_time("window_end"))
 
 
-def stream_running_error_counts(logs: DataFrame) -> DataFrame:
-    """T1 on a stream."""
+def stream_running_error_counts(logs: DataFrame, reorder: str | None = None) -> DataFrame:
+    """T1 on a stream (W4), in arrival order or, with ``reorder`` (a delay, e.g. "10 minutes"), in event-time order."""
     use_rocksdb(logs.sparkSession)
-    return logs.select("id", "timestamp", "source", "message").groupBy("source").transformWithStateInPandas(
-        RunningErrorCount(), "id string, timestamp timestamp_ntz, source string, error_count long", "Append", "None")
+    schema = "id string, timestamp timestamp_ntz, source string, error_count long"
+    if reorder is None:
+        return logs.select("id", "timestamp", "source", "message").groupBy("source").transformWithStateInPandas(
+            RunningErrorCount(), schema, "Append", "None")
+    rows = watermarked(logs.select("id", "source", "message", epoch_micros("timestamp").alias("event_us"),
+                                   event_time("timestamp").alias("ets")), "ets", reorder)
+    ordered = EventTimeOrdered(RunningErrorCount("event_us"),
+                               [("event_us", "long"), ("id", "string"), ("message", "string")], ["event_us", "id"])
+    counted = rows.groupBy("source").transformWithStateInPandas(
+        ordered, "id string, event_us long, source string, error_count long", "Append", "EventTime")
+    return counted.select("id", from_micros("event_us").alias("timestamp"), "source", "error_count")
+
+
+def from_micros(us: str):
+    """Microseconds since the epoch as a wall-clock TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", F.col(us), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3, idle_seconds: int | None = None,
@@ -99,24 +114,34 @@ def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3,
 
 
 def stream_brute_force(events: DataFrame, window_seconds: int = 60, threshold: int = 10,
-                       delay: str = "0 seconds", time_mode: str = "event") -> DataFrame:
-    """T3 on a stream (W5). ``time_mode="event"`` (default, exact on replay; a timer clears the buffer of an idle key)
-    or ``"processing"`` (ages against the wall clock, as the reference)."""
+                       delay: str = "0 seconds", time_mode: str = "event", reorder: str | None = None) -> DataFrame:
+    """T3 on a stream (W5). ``time_mode="event"`` (default; a timer clears the buffer of an idle key) or ``"processing"``
+    (ages against the wall clock, as the reference). Rows are taken as they arrive or, with ``reorder`` (a delay), in
+    event-time order: then the result is that of the batch rule for any arrival within the delay."""
     use_rocksdb(events.sparkSession)
     ev = events.where(F.col("type") == "login_failed").select(
         F.col("id").cast("string").alias("id"), event_time("timestamp").alias("ts"),
         epoch_micros("timestamp").alias("event_us"), F.col("metadata")["ip"].alias("key"))
-    ev = ev.where(F.col("key").isNotNull())
-    if time_mode == "event":
-        ev = ev.withWatermark("ts", delay)
+    processor = BruteForce(window_seconds, threshold, time_mode)
+    if reorder is not None:
+        time_mode = "event"
+        processor = EventTimeOrdered(BruteForce(window_seconds, threshold), [("event_us", "long"), ("id", "string")],
+                                     ["event_us", "id"])
+        ev = ev.withWatermark("ts", reorder)
+        # reads the time as well, so that it stays behind the watermark, which a closing row (without a key) must reach
+        ev = ev.where(F.when(F.col("ts") < F.lit(CLOSING_TIME).cast("timestamp"), F.col("key").isNotNull())
+                      .otherwise(F.lit(False)))
+    else:
+        ev = ev.where(F.col("key").isNotNull())
+        if time_mode == "event":
+            ev = ev.withWatermark("ts", delay)
     fired = ev.groupBy("key").transformWithStateInPandas(
-        BruteForce(window_seconds, threshold, time_mode),
+        processor,
         "trigger_id string, trigger_us long, ids array<string>, key string",
         "Append", "EventTime" if time_mode == "event" else "None")
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return fired.select(
         det_id(f"incident:{RULE}", "trigger_id").alias("id"),
-        F.timestamp_add("MICROSECOND", F.col("trigger_us"), epoch).alias("timestamp"),
+        from_micros("trigger_us").alias("timestamp"),
         F.col("ids").alias("events"), F.lit("open").alias("status"),
         F.concat(F.lit(SUMMARY_PREFIX), F.size("ids").cast("string"), F.lit(SUMMARY_MIDDLE), F.col("key"))
         .alias("summary"),
@@ -124,19 +149,26 @@ def stream_brute_force(events: DataFrame, window_seconds: int = 60, threshold: i
 
 
 def stream_login_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int | None = 3600,
-                        delay: str = "0 seconds") -> DataFrame:
-    """T4 on a stream (W6): stream-static join with the users table (J3), then the keyed counter."""
+                        delay: str = "0 seconds", reorder: str | None = None) -> DataFrame:
+    """T4 on a stream (W6): stream-static join with the users table (J3), then the keyed counter, in arrival order or,
+    with ``reorder`` (a delay), in event-time order."""
     use_rocksdb(attempts.sparkSession)
-    names = users.select("username").distinct().withColumn("known", F.lit(True))
-    marked = attempts.join(names, "username", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    known = marked.where("known").select("username", event_time("ts").alias("ets"), "attempt_id", "password_ok",
-                                         epoch_micros("ts").alias("event_us"))
-    if ttl_seconds is not None:
-        known = known.withWatermark("ets", delay)
-    counted = known.groupBy("username").transformWithStateInPandas(
-        LoginCounter(ttl_seconds), "attempt_id long, attempts long", "Append",
-        "None" if ttl_seconds is None else "EventTime")
-    return counted
+    # never null, so that the join puts no filter below the watermark
+    name = F.coalesce("username", F.lit("")).alias("username")
+    names = users.where("username IS NOT NULL").select(name).distinct().withColumn("known", F.lit(True))
+    timed = attempts.select(name, event_time("ts").alias("ets"), "attempt_id", "password_ok",
+                            epoch_micros("ts").alias("event_us"))
+    processor = LoginCounter(ttl_seconds)
+    if reorder is not None:  # the watermark stands before the join, so that a closing row without a user moves it
+        timed = watermarked(timed, "ets", reorder)
+        processor = EventTimeOrdered(processor, [("event_us", "long"), ("attempt_id", "long"),
+                                                 ("password_ok", "boolean")], ["event_us", "attempt_id"])
+    elif ttl_seconds is not None:
+        timed = timed.withWatermark("ets", delay)
+    marked = timed.join(names, "username", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return marked.where("known").groupBy("username").transformWithStateInPandas(
+        processor, "attempt_id long, attempts long", "Append",
+        "None" if ttl_seconds is None and reorder is None else "EventTime")
 
 
 def stream_incident_chain(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",
@@ -160,6 +192,17 @@ def console(df: DataFrame, output_mode: str = "append"):
     return df.writeStream.outputMode(output_mode).format("console").option("truncate", "false").start()
 
 
+def replayed(df: DataFrame, order: list[str], files: int) -> DataFrame:
+    """``df`` as a stream: its rows written as ``files`` files of consecutive ``order`` values by one job, behind them a
+    closing row (``streaming.ordered``), read back one file a micro-batch. ``order[0]`` is the event time. For history
+    that shall run through the streaming jobs; files may arrive in any order, so give the jobs a ``reorder`` delay."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "replayed")
+    df.repartitionByRange(files, *order).write.parquet(path)
+    closing_row(df, order[0]).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
 def replay_table(spark: SparkSession, df: DataFrame, ts_col: str, pieces: int) -> str:
     """Write a batch table as ``pieces`` files in time order (for replay tests of the stream paths)."""
     path = scratch_path(spark, "replay")

@@ -26,16 +26,19 @@ def _rows(rows, order):
 class RunningErrorCount(StatefulProcessor):
     """Per source, the number of error messages so far; one output row per input row."""
 
+    def __init__(self, time: str = "timestamp"):
+        self.time = time
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, ["timestamp", "id"])
+        pdf = _rows(rows, [self.time, "id"])
         start = self.count.get()[0] if self.count.exists() else 0
         err = pdf["message"].fillna("").str.lower().str.contains(ERROR_WORD, regex=False).astype("int64")
         cum = start + err.cumsum()
         self.count.update((int(cum.iloc[-1]),))
-        yield pd.DataFrame({"id": pdf["id"], "timestamp": pdf["timestamp"], "source": key[0],
+        yield pd.DataFrame({"id": pdf["id"], self.time: pdf[self.time], "source": key[0],
                             "error_count": cum.astype("int64")})
 
     def close(self) -> None:
