@@ -23,7 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from incidentry.operators.bruteforce import brute_force_incidents  # noqa: E402
 from incidentry.operators.incidents import instant_and_accumulated  # noqa: E402
-from incidentry.operators.scan import chunk_width_micros, segmented_running_sum  # noqa: E402
+from incidentry.operators.scan import segmented_running_sum  # noqa: E402
 from incidentry.operators.upsert import latest_per_key  # noqa: E402
 from incidentry.session import build_session  # noqa: E402
 from incidentry.sources.tables import read_table  # noqa: E402
@@ -42,7 +42,6 @@ def main():
         "k", F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(F.col("user_id").cast("string")))
     n = ev.count()
     err = (F.col("event_type") == "error").cast("int")
-    width = chunk_width_micros(ev, "ts", target_rows=max(1, n // 64))
     events = ev.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"),
                        F.col("ts").alias("timestamp"), "k",
                        F.when(F.col("event_type") == "error", "high").otherwise("medium").alias("severity"),
@@ -56,7 +55,7 @@ def main():
         "running count: naive Window.partitionBy(key)":
             lambda: ev.select("event_id", F.sum(err).over(w.rowsBetween(Window.unboundedPreceding, 0))),
         "running count: chunked scan, hot keys only (operators/scan.py)":
-            lambda: segmented_running_sum(ev, "k", ["ts", "event_id"], err, "o", target_rows=max(1, n // 64)),
+            lambda: segmented_running_sum(ev, "k", ["ts", "event_id"], err, "o", ranges=64),
         "accumulated incidents: naive row_number over key":
             lambda: events.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("timestamp", "id")))
             .where((F.col("severity") == "high") | (F.col("rn") >= 3)),
@@ -68,7 +67,7 @@ def main():
         "latest per key: max_by partial aggregate (T5)":
             lambda: latest_per_key(ev.select("k", "ts", "event_id"), "k", ["ts", "event_id"]),
         "brute force: chunked multi-state fold (T3)":
-            lambda: brute_force_incidents(failed, 86400, 3, width_micros=max(width, 86400 * 1_000_000))[0],
+            lambda: brute_force_incidents(failed, 86400, 3)[0],
     }
     for name, build in variants.items():
         sc.setJobGroup(name, name)
