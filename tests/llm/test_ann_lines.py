@@ -44,6 +44,43 @@ def test_recall_on_whole_tables(spark):
             assert all(abs(s - truth[q, i]) < 1e-12 for i, s in v if (q, i) in truth)
 
 
+def test_footrule_prunes_before_products(spark):
+    """Of all pairs of a query and a vector, those that are scored: under a quarter of the table."""
+    for sf in ("sf0.01", "sf0.1"):
+        t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+        ids, vecs = t.vec_id.to_numpy(), np.stack(t.embedding.to_numpy()).astype(float)
+        pivots = permutation_index.pivots_for(len(ids))
+        posted = permutation_index.files_for(pivots)
+        sample = np.random.default_rng(5).permutation(len(ids))
+        orders = permutation_index.pivot_orders(vecs, vecs[sample[:pivots]], 128)
+        ranks = permutation_index.order_ranks(orders, pivots)
+        scored, asked = 0, np.flatnonzero(ids % 20 == 0)
+        for q in asked:
+            cut, seen = np.quantile(footrule(ranks[:, sample[pivots:2 * pivots]], orders[q]), 0.2), []
+            for file in orders[q, :posted]:
+                inside = np.flatnonzero(ranks[file] < posted)
+                seen += inside[permutation_index.survivors(ranks[:, inside], orders[q], file, posted, cut)].tolist()
+            assert len(seen) == len(set(seen))  # a vector is taken in one file alone
+            scored += len(seen)
+        assert scored < 0.25 * len(asked) * len(ids)
+
+
+def test_ann_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i // 2, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest(df, df.where("vec_id % 10 = 0"), k=40))
+    for q in (0, 10, 20):
+        best = {}
+        for a, u in rows:
+            for b, v in rows:
+                if a == q and b != q:
+                    best[b] = max(best.get(b, -np.inf), float(np.dot(u, v)))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want])
+
+
 def test_ann_edges(spark):
     good = [(i, [float(np.cos(i)), float(np.sin(i)), 1.0 + i % 3]) for i in range(12)]
     bad = [(100, None), (120, []), (140, [0.0, 0.0, 0.0]), (160, [1.0, None, 2.0]), (180, [float("nan"), 1.0, 1.0]),
