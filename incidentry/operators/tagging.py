@@ -4,8 +4,9 @@ A tag applies when any of its keywords is a case-insensitive substring of the me
 
 Rules are configuration, as in the application, which holds them all in memory. The default rules are compiled into one
 projection (``array_compact(array(when(<any keyword hit>, tag), ...))``). Given rules, few or many, become two literal
-arrays and one expression over them (``filter(tags, exists(keywords, contains))``). Either way the logs are neither
-shuffled nor joined, the work is linear in their text, and the same expression runs unchanged on a stream.
+arrays and one expression over them (``filter(tags, exists(keywords, contains))``) up to ``TESTED_KEYWORDS`` keywords, and
+one automaton over all of them beyond (``operators.multimatch``), with equal tags. Either way the logs are neither shuffled
+nor joined, the work is linear in their text, and the same expression runs unchanged on a stream.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from incidentry.operators.multimatch import tags_by_automaton
 from incidentry.sources.rules import DEFAULT_TAG_RULES, tag_rules_from_table
 
+#: Up to this many keywords are tested one by one; more are sought together.
+TESTED_KEYWORDS = 64
+
 
 def rule_hit(lowered_text: Column, keywords: list[str]) -> Column:
     """F1 for one rule: OR of substring tests against the lower-cased text."""
@@ -55,4 +60,6 @@ def tag_logs(logs: DataFrame, rules=None, text_col: str = "message", out_col: st
         return logs.withColumn(out_col, tags_expr(F.col(text_col), DEFAULT_TAG_RULES))
     if isinstance(rules, DataFrame):
         rules = tag_rules_from_table(rules)
-    return logs.withColumn(out_col, tags_by_rules(F.col(text_col), list(rules)))
+    rules = list(rules)
+    many = sum(len(words) for _, words in rules) > TESTED_KEYWORDS
+    return logs.withColumn(out_col, (tags_by_automaton if many else tags_by_rules)(F.col(text_col), rules))
