@@ -46,15 +46,15 @@ def q_keyed_store_lookup(spark, sf_dir):
     """The events go into a store by user as four batches in time order, two of them compacted; then the
     users of many signups are looked up."""
     ev = read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    path, order = scratch_path(spark, "keyed-store"), ("ts", "event_id")
+    path, order, buckets = scratch_path(spark, "keyed-store"), ("ts", "event_id"), 8
     ends = ["2024-01-08", "2024-01-15", "2024-01-22", "9999-01-01"]
     for i, (start, end) in enumerate(zip(["0001-01-01", *ends], ends, strict=False)):
         batch = ev.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
                          (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
-        keyed_store.write_batch(batch, path, i, "user_id", order)
-    keyed_store.compact(spark, path, 1, "user_id", order)
+        keyed_store.write_batch(batch, path, i, "user_id", order, buckets)
+    keyed_store.compact(spark, path, 1, "user_id", order, buckets)
     asked = ev.where("event_type = 'signup'").groupBy("user_id").count().where("count >= 12")
-    return keyed_store.lookup(asked, path, "user_id", order).select("user_id", "event_id", "ts", "event_type")
+    return keyed_store.lookup(asked, path, "user_id", order, buckets).select("user_id", "event_id", "ts", "event_type")
 
 
 @register("latency_rollup_by_source", f"""WITH lat AS (

@@ -1,5 +1,6 @@
 """Batch = stream parity: the events table replayed as time-ordered files, one file per micro-batch."""
 
+import folder_topics
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def replay(spark):
     paths = {}
     for sf in (SF_SMALL, SF_MID):
         ev = read_table(spark, sf, "events")
-        paths[sf] = (jobs.replay_table(spark, ev, "ts", 4), ev.schema)
+        paths[sf] = (folder_topics.replay_table(spark, ev, "ts", 4), ev.schema)
     return paths
 
 
@@ -141,20 +142,24 @@ def test_three_queries_chained_by_topics(spark, replay):
     from incidentry.operators.filters import etl_filter, model_match
     from incidentry.session import scratch_path
     from incidentry.sources import stores
-    from incidentry.streaming import topics
     base = scratch_path(spark, "topic-chain")
     store, t1, t2, ev_path = (f"{base}/{x}" for x in ("store", "logs-topic", "filtered-topic", "events"))
     raw = logs_from_events(_stream(spark, replay, SF_SMALL)).select(
         "id", "timestamp", "source",
         F.when(F.col("event_id") % 50 != 0, F.col("message")).alias("message"), "metadata")
     quarantine = f"{base}/quarantine"
-    topics.start_receiver(raw, store, t1, quarantine=quarantine).awaitTermination(300)
+    folder_topics.start_receiver(raw, store, t1, quarantine=quarantine).awaitTermination(300)
     bad = spark.read.parquet(quarantine)
     assert bad.count() == read_table(spark, SF_SMALL, "events").where(F.col("event_id") % 50 == 0).count()
-    q = topics.start_etl_filter(spark, store, t1, t2)
+    q = folder_topics.start_etl_filter(spark, store, t1, t2)
     q.awaitTermination(300)
-    q = topics.start_matcher(spark, store, t2, ev_path)
+    q = folder_topics.start_matcher(spark, store, t2, ev_path)
     q.awaitTermination(300)
+    unknown = spark.read.json(t1).limit(1).withColumn("s3_key", F.lit("logs/unknown.json"))
+    folder_topics.publish(unknown.select("s3_key", "log_id", "timestamp", "tags"), t1, 1000)
+    lost = f"{base}/unresolved"
+    folder_topics.start_etl_filter(spark, store, t1, f"{base}/again", quarantine=lost).awaitTermination(300)
+    assert [r.s3_key for r in spark.read.parquet(lost).collect()] == ["logs/unknown.json"]
     got = stores.latest_view(spark, ev_path)
     logs = log_view(spark, SF_SMALL).where(F.col("event_id") % 50 != 0)
     tagged = tag_logs(normalize_logs(logs.select("id", "timestamp", "source", "message", "metadata")))
@@ -179,18 +184,17 @@ def test_stream_brute_force_processing_time(spark, replay):
 
 def test_receiver_restart_from_checkpoint_is_idempotent(spark, replay):
     from incidentry.session import scratch_path
-    from incidentry.sources import stores
-    from incidentry.streaming import topics
+    from incidentry.sources import keyed_store
     base = scratch_path(spark, "restart")
     store, topic, ckpt = f"{base}/store", f"{base}/topic", f"{base}/ckpt"
     raw = logs_from_events(_stream(spark, replay, SF_SMALL)).select("id", "timestamp", "source", "message",
                                                                      "metadata")
-    topics.start_receiver(raw, store, topic, checkpoint=ckpt).awaitTermination(300)
-    first = stores.read_tagged_logs(spark, store).count()
+    folder_topics.start_receiver(raw, store, topic, checkpoint=ckpt).awaitTermination(300)
+    first = keyed_store.read_latest(spark, store, "s3_key").count()
     files_before = spark.read.json(topic).count()
-    q = topics.start_receiver(raw, store, topic, checkpoint=ckpt)  # restart: nothing new to read
+    q = folder_topics.start_receiver(raw, store, topic, checkpoint=ckpt)  # restart: nothing new to read
     q.awaitTermination(300)
-    assert stores.read_tagged_logs(spark, store).count() == first == log_view(spark, SF_SMALL).count()
+    assert keyed_store.read_latest(spark, store, "s3_key").count() == first == log_view(spark, SF_SMALL).count()
     assert spark.read.json(topic).count() == files_before
 
 
