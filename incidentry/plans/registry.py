@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentry.operators.events import create_events
-from incidentry.operators.filters import etl_filter, model_match
+from incidentry.operators.filters import etl_filter, model_match, tags_overlap
 from incidentry.operators.incidents import instant_and_accumulated
 from incidentry.operators.normalize import normalize_logs
 from incidentry.operators.tagging import tag_logs
@@ -438,7 +438,8 @@ def q_get_product(spark, sf_dir):
 from incidentry.operators.normalize import claim_check, validate_submissions  # noqa: E402
 from incidentry.operators.events import resolve_claim_checks  # noqa: E402
 from incidentry.plans import reports  # noqa: E402
-from incidentry.sources.driver_views import submissions_view  # noqa: E402
+from incidentry.sources.driver_views import submissions_view, submitted_message  # noqa: E402
+from incidentry.sources.rules import DEFAULT_ETL_TAGS, DEFAULT_EVENT_TAGS  # noqa: E402
 
 
 _SUBMISSIONS_SQL = f"""subs AS (SELECT id, timestamp, source,
@@ -526,11 +527,14 @@ UNION ALL SELECT 'matched', count(*) FROM tagged
           WHERE list_has_any(tags, ['error', 'warning']) AND list_has_any(tags, ['error', 'critical'])
 UNION ALL SELECT 'incidents', count(*) FROM ranked WHERE severity = 'high' OR rn >= 3""")
 def q_stage_funnel(spark, sf_dir):
-    subs = submissions_view(spark, sf_dir)
-    valid, _ = validate_submissions(subs)
-    tagged = tag_logs(normalize_logs(log_view(spark, sf_dir)))
-    inc = instant_and_accumulated(create_events(tagged, carry=["user_id"]), key="user_id", threshold=3)
-    return reports.stage_funnel(subs, valid, tagged, inc)
+    """One scan: whether a row's submission was valid is marked before it is normalised and tagged."""
+    logs = log_view(spark, sf_dir).withColumn("submitted", F.col("source").isNotNull() & submitted_message().isNotNull())
+    tagged = tag_logs(normalize_logs(logs))
+    passed, matched = tags_overlap(F.col("tags"), DEFAULT_ETL_TAGS), tags_overlap(F.col("tags"), DEFAULT_EVENT_TAGS)
+    stages = {"received": F.lit(True), "valid": F.col("submitted"), "tagged": F.size("tags") > 0, "passed": passed,
+              "matched": passed & matched}
+    return reports.funnel_in_one_pass(tagged, stages, F.lit(True), F.array_contains("tags", "error"), "user_id",
+                                      ["timestamp", "id"])
 
 
 @register("open_incidents", f"""WITH {_TAGGED_SQL},
@@ -567,8 +571,11 @@ ev AS ({_EVENTS_OF} FROM tagged
        WHERE list_has_any(tags, ['error', 'warning']) AND list_has_any(tags, ['error', 'critical', 'warning']))""",
                                               "source", 3))
 def q_stream_filtered_incidents(spark, sf_dir):
-    raw = logs_from_events(events_stream(spark, sf_dir))
-    inc = sjobs.stream_incident_chain(raw, event_tags=["error", "critical", "warning"], key="source", carry=["source"])
+    ev = events_replay(spark, sf_dir)
+    # the closing row counts as an error, so that it comes through the filters to the watermark
+    raw = logs_from_events(ev.withColumn("event_type", F.coalesce("event_type", F.lit("error"))))
+    inc = sjobs.stream_incident_chain(raw, event_tags=["error", "critical", "warning"], key="source", carry=["source"],
+                                      reorder=REPLAY_DELAY)
     return _flat_incidents(sjobs.run_and_read(inc))
 
 

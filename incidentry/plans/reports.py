@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -84,6 +84,38 @@ def stage_funnel(received: DataFrame, valid: DataFrame, tagged: DataFrame, incid
     return reduce(DataFrame.unionByName, parts)
 
 
+def funnel_in_one_pass(logs: DataFrame, stages: dict[str, Column], event: Column, high: Column, key: str,
+                       order: list[str], threshold: int = 3, salts: int = 256) -> DataFrame:
+    """X5 / A5 from one scan: one row (stage, n) for each of ``stages`` (conditions on a row) and for ``incidents``, the
+    number of rows that ``instant_and_accumulated`` would raise for the rows where ``event`` holds.
+
+    Of a key's events every ``high`` one raises an incident, and of the others all but those among its first
+    ``threshold - 1`` in ``order``. So only a key's first events are needed beside the counts: each of ``salts`` parts of
+    a key keeps its own first ones (at most ``threshold - 1``), and the key's are the first of these. A hot key is spread
+    over ``salts`` tasks, and what meets in one row is at most ``salts * (threshold - 1)`` small structs.
+
+    Edge cases: null conditions count as false; null keys are one key; rows that are not events raise nothing; an empty
+    table gives every stage with 0."""
+    def flag(condition):
+        return F.coalesce(condition, F.lit(False))
+    at = F.struct(*[F.col(c) for c in order])
+    rows = logs.select(F.col(key).alias("k"), F.pmod(F.xxhash64(at), F.lit(salts)).alias("salt"), at.alias("at"),
+                       flag(event).alias("event"), flag(high).alias("high"),
+                       *[flag(c).alias(f"s_{name}") for name, c in stages.items()])
+    first = Window.partitionBy("k", "salt").orderBy(F.col("event").desc(), "at")
+    counts = {f"s_{name}": F.count_if(F.col(f"s_{name}")) for name in stages} | {"events": F.count_if("event")}
+    early = F.collect_list(F.when(F.col("event") & (F.col("place") < threshold), F.struct("at", "high")))
+    parts = rows.withColumn("place", F.row_number().over(first)).groupBy("k", "salt").agg(
+        *[c.alias(n) for n, c in counts.items()], early.alias("early"))
+    keys = parts.groupBy("k").agg(*[F.sum(n).alias(n) for n in counts],
+                                  F.slice(F.array_sort(F.flatten(F.collect_list("early"))), 1, threshold - 1).alias("early"))
+    quiet = F.size(F.filter("early", lambda e: ~e["high"]))
+    sums = keys.agg(*[F.coalesce(F.sum(f"s_{name}"), F.lit(0)).alias(name) for name in stages],
+                    F.coalesce(F.sum(F.col("events") - quiet), F.lit(0)).alias("incidents"))
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("n"))
+                                          for n in [*stages, "incidents"]])))
+
+
 def open_incidents(incidents: DataFrame) -> DataFrame:
     """Open incidents counted by rule and day."""
     return incidents.where(F.col("status") == "open") \

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from incidentry.operators.normalize import normalize_logs
+from incidentry.functions import iso_format, parse_event_time, to_json_iso
+from incidentry.operators import products as prod
+from incidentry.operators.normalize import normalize_logs, parse_json_logs
 from incidentry.operators.tagging import tag_logs
 from incidentry.plans import rollups
 from incidentry.plans.history import requested_rows
-from incidentry.plans.registry import register
+from incidentry.plans.registry import _PRODUCTS_SQL, register
 from incidentry.session import scratch_path
 from incidentry.sources import keyed_store, stores
-from incidentry.sources.driver_views import LOG_VIEW_SQL, submissions_view
+from incidentry.sources.driver_views import LOG_VIEW_SQL, log_view, logs_from_events, products_view, submissions_view
 from incidentry.sources.tables import read_table
-from incidentry.streaming import jobs
+from incidentry.streaming import backlog, jobs
 from incidentry.streaming.changes import stream_changes
 
 
@@ -100,3 +103,73 @@ def q_stream_latest_per_user(spark, sf_dir):
     feed = jobs.run_and_read(stream_changes(ev, "user_id", "ts", "event_id"), latest_key=["user_id"])
     rows = feed.select("user_id", F.from_json("after", "event_id long, ts timestamp_ntz, event_type string").alias("a"))
     return rows.select("user_id", "a.event_id", "a.ts", "a.event_type")
+
+
+#: The waves of a replay: events up to each day, the last one open.
+WAVES = ["2024-01-08", "2024-01-15", "2024-01-22", "9999-01-01"]
+
+
+@register("stream_backlog", """WITH waves AS (SELECT unnest([0, 1, 2, 3]) AS trigger),
+e AS (SELECT CASE WHEN ts < '2024-01-08' THEN 0 WHEN ts < '2024-01-15' THEN 1 WHEN ts < '2024-01-22' THEN 2 ELSE 3 END AS wave
+      FROM events)
+SELECT CAST(trigger AS BIGINT) AS trigger, 'logOffset' AS partition, CAST(trigger AS BIGINT) AS end_offset,
+       CAST(3 - trigger AS BIGINT) AS lag, CASE WHEN trigger > 0 THEN CAST(1 AS BIGINT) END AS drained,
+       count(wave) FILTER (wave = trigger) AS input_rows, count(wave) FILTER (wave > trigger) AS rows_waiting
+FROM waves LEFT JOIN e ON true GROUP BY trigger""")
+def q_stream_backlog(spark, sf_dir):
+    """The events arrive as four files and are tagged one file a trigger; the listener's table gives the lag."""
+    ev = read_table(spark, sf_dir, "events")
+    feed, out, table = (scratch_path(spark, kind) for kind in ("waves", "tagged", "progress"))
+    for start, end in zip(["0001-01-01", *WAVES], WAVES, strict=False):
+        ev.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) &
+                 (F.col("ts") < F.lit(end).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", "1").parquet(feed)
+    tagged = tag_logs(normalize_logs(logs_from_events(stream))).select("id", "tags")
+    listener = backlog.ProgressTable(spark, table)
+    spark.streams.addListener(listener)
+    try:
+        query = jobs.run_to_table(tagged, out, query_name="tagging")
+        query.awaitTermination()
+        if not listener.wait_for(query):
+            raise TimeoutError("the progress of the stream was not written")
+    finally:
+        spark.streams.removeListener(listener)
+    found = backlog.backlog(backlog.offsets(backlog.read_progress(spark, table)))
+    later = Window.partitionBy("query_id", "source", "partition").orderBy("trigger").rowsBetween(
+        1, Window.unboundedFollowing)
+    return found.select("trigger", "partition", "end_offset", "lag", "drained", "input_rows",
+                        F.coalesce(F.sum("input_rows").over(later), F.lit(0)).alias("rows_waiting"))
+
+
+@register("json_logs", f"""SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN id END AS id,
+       CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 7 = 0 THEN TIMESTAMP '1970-01-01 00:00:00' ELSE timestamp END
+       AS event_time, CASE WHEN event_id % 50 <> 0 THEN source END AS source,
+       CASE WHEN event_id % 50 <> 0 THEN message END AS message,
+       CASE WHEN event_id % 50 <> 0 THEN CAST(user_id AS VARCHAR) END AS ip,
+       CASE WHEN event_id % 50 = 0 THEN 'malformed json' END AS reject_reason
+FROM ({LOG_VIEW_SQL})""")
+def q_json_logs(spark, sf_dir):
+    """Logs as JSON text and back; every 50th text is cut off, the time of every 7th is no time."""
+    logs = log_view(spark, sf_dir)
+    time = F.when(F.col("event_id") % 7 == 0, F.lit("some day")).otherwise(iso_format("timestamp"))
+    text = to_json_iso(F.struct("id", time.alias("timestamp"), "source", "message", "metadata"))
+    lines = logs.select("event_id", F.when(F.col("event_id") % 50 == 0, F.left(text, F.length(text) - 5))
+                        .otherwise(text).alias("value"))
+    good, bad = parse_json_logs(lines)
+    kept = good.select("event_id", "id", parse_event_time("timestamp").cast("timestamp_ntz").alias("event_time"), "source",
+                       "message", F.col("metadata")["ip"].alias("ip"), F.lit(None).cast("string").alias("reject_reason"))
+    return kept.unionByName(bad.select("event_id", "reject_reason"), allowMissingColumns=True)
+
+
+@register("seed_products_if_empty", f"""WITH {_PRODUCTS_SQL},
+seed AS (SELECT * FROM (VALUES ('p1', 'Keyboard', 49.99), ('p2', 'Monitor', 199.00), ('p3', 'Mouse', 24.50)) t(id, name, price))
+SELECT 'filled' AS table_name, id, name, CAST(price AS DOUBLE) AS price FROM products
+UNION ALL SELECT 'empty', id, name, CAST(price AS DOUBLE) FROM seed""")
+def q_seed_products_if_empty(spark, sf_dir):
+    """A4: the seeds go into a table without rows only."""
+    filled = products_view(spark, sf_dir)
+    tables = {"filled": filled, "empty": filled.where("price < 0")}
+    seeded = [prod.seed_products(t, prod.seed_rows(spark), only_if_empty=True)
+              .select(F.lit(name).alias("table_name"), "id", "name", F.col("price").cast("double").alias("price"))
+              for name, t in tables.items()]
+    return seeded[0].unionByName(seeded[1])

@@ -69,13 +69,18 @@ def submissions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = log_view(spark, sf_dir)
     return logs.select(
         "id", "timestamp", "source",
-        F.when(F.col("event_id") % 50 != 0, F.col("message")).alias("message"),
+        submitted_message().alias("message"),
         "metadata", "user_id", "event_id",
         (F.col("timestamp") + F.make_dt_interval(secs=(F.col("event_id") % 7).cast("decimal(18,6)")))
         .alias("received_at"),
     )
 
 
+def submitted_message() -> Column:
+    """The message as submitted: null where event_id % 50 = 0."""
+    return F.when(F.col("event_id") % 50 != 0, F.col("message"))
+
+
 def products_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products: every row of ``part``, id ``'p' || p_partkey``, price DECIMAL(12,2)."""
     part = read_table(spark, sf_dir, "part")

@@ -8,6 +8,10 @@ normalised rules (one row per tag, configuration that every worker holds) come t
 
 from __future__ import annotations
 
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -99,12 +103,15 @@ def event_tags_from_table(df: DataFrame | None) -> list[str]:
 
 
 def read_rules_table(spark, path: str, fmt: str = "parquet"):
-    """The rules table at ``path``, or None when it cannot be read (missing path, unreadable files), in which
-    case the tagger and the matcher use their default rules, as the application does when its rules store fails."""
-    from pyspark.errors import AnalysisException
+    """The rules table at ``path``, or None when it cannot be read (missing path, unreadable footer or data), in which
+    case the tagger and the matcher use their default rules, as the application does when its rules store fails.
+
+    Rules are configuration and come to the driver whole in any case (``tag_rules_from_table``), so they are read here
+    once: a damaged data file shows here, not in the job that tags the logs."""
     try:
         df = spark.read.format(fmt).load(path)
-        df.schema  # noqa: B018 (forces the read of the footer / schema)
-        return df
-    except AnalysisException:
+        return spark.createDataFrame(df.collect(), df.schema)
+    except (PySparkException, Py4JJavaError) as failure:
+        logging.getLogger(__name__).warning("rules table %s not readable, default rules: %s", path,
+                                                str(failure).splitlines()[0])
         return None

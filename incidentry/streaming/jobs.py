@@ -92,19 +92,28 @@ def from_micros(us: str):
 
 
 def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3, idle_seconds: int | None = None,
-                     delay: str = "0 seconds") -> DataFrame:
-    """T2 on a stream: the same incident rows as ``instant_and_accumulated``. ``idle_seconds`` bounds the state: a
-    key quiet for that long (event time, behind a ``delay`` watermark) starts counting again from zero; the timer
-    fires when the watermark passes it, i.e. between micro-batches."""
+                     delay: str = "0 seconds", reorder: str | None = None) -> DataFrame:
+    """T2 on a stream: the same incident rows as ``instant_and_accumulated``, in arrival order or, with ``reorder`` (a
+    delay), in event-time order. ``idle_seconds`` bounds the state: a key quiet for that long (event time, behind a
+    ``delay`` watermark) starts counting again from zero; the timer fires when the watermark passes it, i.e. between
+    micro-batches."""
     use_rocksdb(events.sparkSession)
     ev = events.select("id", "timestamp", "severity", "description", F.col(key).alias("_key"),
                        epoch_micros("timestamp").alias("event_us"), event_time("timestamp").alias("ets"))
-    if idle_seconds is not None:
-        ev = ev.withWatermark("ets", delay)
-    fired = ev.groupBy("_key").transformWithStateInPandas(
-        EventCounter(threshold, idle_seconds),
-        "id string, timestamp timestamp_ntz, description string, key string, rule string",
-        "Append", "None" if idle_seconds is None else "EventTime")
+    if reorder is not None:
+        ordered = EventTimeOrdered(EventCounter(threshold, idle_seconds, "event_us"),
+                                   [("event_us", "long"), ("id", "string"), ("severity", "string"),
+                                    ("description", "string")], ["event_us", "id"])
+        fired = watermarked(ev, "ets", reorder).groupBy("_key").transformWithStateInPandas(
+            ordered, "id string, event_us long, description string, key string, rule string", "Append", "EventTime")
+        fired = fired.withColumn("timestamp", from_micros("event_us"))
+    else:
+        if idle_seconds is not None:
+            ev = ev.withWatermark("ets", delay)
+        fired = ev.groupBy("_key").transformWithStateInPandas(
+            EventCounter(threshold, idle_seconds),
+            "id string, timestamp timestamp_ntz, description string, key string, rule string",
+            "Append", "None" if idle_seconds is None else "EventTime")
     summary = F.when(F.col("rule") == "instant", F.concat(F.lit(INSTANT_PREFIX), F.col("description"))) \
         .otherwise(F.concat(F.lit(ACCUMULATED_PREFIX), F.coalesce(F.col("key"), F.lit("None"))))
     return fired.select(
@@ -172,12 +181,12 @@ def stream_login_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int
 
 
 def stream_incident_chain(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",
-                    threshold: int = 3, carry: tuple = ()) -> DataFrame:
+                    threshold: int = 3, carry: tuple = (), reorder: str | None = None) -> DataFrame:
     """The receive → ETL filter → model match → incident chain as one streaming plan. The stateless steps are
-    the batch functions; only the incident rule keeps state."""
+    the batch functions; only the incident rule keeps state (``reorder``: see ``stream_incidents``)."""
     from incidentry.plans.batch_jobs import filtered_events
     events = filtered_events(raw_logs, rules, etl_tags, event_tags, carry=carry)
-    return stream_incidents(events, key=key, threshold=threshold)
+    return stream_incidents(events, key=key, threshold=threshold, reorder=reorder)
 
 
 def dedupe_exact(stream: DataFrame, key: str = "id", ts_col: str = "timestamp", delay: str = "10 minutes") -> DataFrame:

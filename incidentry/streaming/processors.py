@@ -51,8 +51,8 @@ class EventCounter(StatefulProcessor):
     With ``idle_seconds`` (event-time mode) a key's counter is dropped once the key has had no event for that long, so
     state does not grow with every key ever seen; without it the counter is kept forever, as in the application."""
 
-    def __init__(self, threshold: int = 3, idle_seconds: int | None = None):
-        self.threshold = threshold
+    def __init__(self, threshold: int = 3, idle_seconds: int | None = None, time: str = "timestamp"):
+        self.threshold, self.time = threshold, time
         self.idle_ms = None if idle_seconds is None else idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -60,7 +60,7 @@ class EventCounter(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, ["timestamp", "id"])
+        pdf = _rows(rows, [self.time, "id"])
         start = self.count.get()[0] if self.count.exists() else 0
         n = start + np.arange(1, len(pdf) + 1)
         self.count.update((int(n[-1]),))
@@ -71,14 +71,15 @@ class EventCounter(StatefulProcessor):
         high = (pdf["severity"] == SEVERITY_HIGH).to_numpy()
         rule = np.where(high, "instant", np.where(n >= self.threshold, "accumulated", None))
         fired = rule != None  # noqa: E711 (element-wise)
-        out = pdf.loc[fired, ["id", "timestamp", "description"]].copy()
+        out = pdf.loc[fired, ["id", self.time, "description"]].copy()
         out["key"] = None if key[0] is None else str(key[0])
         out["rule"] = rule[fired]
         yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.count.clear()
-        yield pd.DataFrame({"id": pd.Series([], dtype=object), "timestamp": pd.Series([], dtype="datetime64[us]"),
+        none = pd.Series([], dtype="datetime64[us]" if self.time == "timestamp" else "int64")
+        yield pd.DataFrame({"id": pd.Series([], dtype=object), self.time: none,
                             "description": pd.Series([], dtype=object), "key": pd.Series([], dtype=object),
                             "rule": pd.Series([], dtype=object)})
 
