@@ -1,37 +1,37 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a memo per word.
+"""Token ids of whole texts by the ``tokenizers`` library, with a memo per pre-token.
 
 The file of a tokenizer is a parameter: a path, or the name of a file of the ``public_tokenizers`` package, which is
-then looked up on the executor. A text is cut at spaces that follow a non-space character. Both kinds of tokenizer
-used here start a new pre-token there, so the ids of the parts, each encoded by the library and remembered,
-concatenate to the ids of the text (``tests/llm`` compares with encoding whole texts). A part that is new is cut again
-where Latin letters end: letters, the punctuation behind them and single line feeds are pre-tokens of their own, and new
-stems are encoded many at a time as one text, to be told apart by the tokens that begin or end a word. A text that may
-hold an added token's string is encoded whole.
+then looked up on the executor. A text of common characters is cut into pre-tokens as the tokenizer's own rule cuts it; each
+new one goes through the library's model and is remembered, and the ids of the pre-tokens concatenate to those of the text
+(``tests/llm`` compares with encoding whole texts). A text with other characters, with an added token's string, or for a
+tokenizer of another rule is encoded whole by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
 
 import numpy as np
 
 from incidentry.llm.common import worker_memo
 from incidentry.session import pickle_by_value
 
-#: Words and stems remembered per Python worker, about 150 bytes each; a full memo starts anew.
-MEMO_WORDS, MEMO_UNITS = 600_000, 200_000
-#: Stems encoded as one text.
-JOINED = 500
+#: Pre-tokens remembered per Python worker, about 150 bytes each; a full memo starts anew.
+MEMO_UNITS = 600_000
 
-#: A space or line feed after white space: such texts are cut by the slower pattern below.
-_ODD = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S) ")
-#: Latin letters (all of them letters in any version of Unicode, and in composed form), and what may follow a stem.
-_STEM = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_TAIL = ".,;:!?)"
-_SIMPLE = re.compile(f"({_STEM.pattern})([{_TAIL}]*)")
+#: Texts without these are cut here: what stays are white space, letters, digits and marks that every version of
+#: Unicode and every engine of regular expressions sorts alike, in composed form, and whose lower case is among them.
+_UNSURE = re.compile("[^\t\n\r -~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u012f"
+                     "\u0131-\u017f\u0218-\u021b\u2010-\u2027\u2030-\u205e]")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\u0218-\u021b"
+#: How the two kinds of tokenizer cut such texts, and the rules as their files name them.
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_WORD_LEVEL = re.compile(rf"{_ENDINGS}|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_WORD_RULE = _ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
 def load_tokenizer(name: str):
@@ -43,20 +43,44 @@ def load_tokenizer(name: str):
     return Tokenizer.from_file(name)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for what follows 255, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _Units(dict):
+    """Ids (bytes) by pre-token; a new one is looked up in the model."""
+
+    def __init__(self, model, size: int):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(size)]
+
+    def __missing__(self, unit: str) -> bytes:
+        shown = unit if unit.isascii() and unit.isalnum() else unit.encode().decode("latin-1").translate(self.letters)
+        of = self.bytes_of
+        found = self[unit] = b"".join([of[t.id] for t in self.model.tokenize(shown)])
+        return found
+
+
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids (bytes). ``spaced``: a word's ids depend on a space before it (byte
-    level); else white space is dropped and line feeds cut as well (word level)."""
+    """Texts to little-endian unsigned 32-bit ids (bytes)."""
 
     def __init__(self, name: str):
         self.tokenizer = load_tokenizer(name)
-        self.spaced = self.tokenizer.normalizer is None
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
-        self.marks = np.zeros(names[-1][0] + 1, bool)  # tokens that begin (byte level) or end (word level) a word
-        self.marks[[i for i, t in names if (t.startswith("\u0120") if self.spaced else t.endswith("</w>"))]] = True
+        self.units = _Units(self.tokenizer.model, self.tokenizer.get_vocab_size())
+        self.lower, self.rule = False, None
+        file = json.loads(self.tokenizer.to_str())
+        cut, normal = file["pre_tokenizer"] or {}, file["normalizer"]
+        if cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and normal is None:
+            self.rule = _BYTE_LEVEL
+        elif normal and [n["type"] for n in normal.get("normalizers", [])] == _WORD_NORMALIZERS:
+            first = (cut.get("pretokenizers") or [{}])[0]
+            if first.get("pattern") == {"Regex": _WORD_RULE} and first["behavior"] == "Removed" and first["invert"]:
+                self.lower, self.rule = True, _WORD_LEVEL
 
     @staticmethod
     def of(name: str) -> Encoder:
@@ -66,84 +90,22 @@ class Encoder:
         return memo[name]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.firsts) > MEMO_WORDS:
-            self.words.clear()
-            self.firsts.clear()
-        if len(self.units) > MEMO_UNITS:
-            self.units.clear()
-        cut = [None if self._whole(x) else self._parts(x) for x in texts]
-        self._learn(self.words, set().union(*[p[1] for p in cut if p]), " " if self.spaced else "")
-        self._learn(self.firsts, {p[0] for p in cut if p}, "")
-        word, first = self.words.__getitem__, self.firsts.__getitem__
-        return [self._ids([x])[0] if p is None else first(p[0]) + b"".join(map(word, p[1]))
-                for x, p in zip(texts, cut, strict=True)]
-
-    def _whole(self, text: str) -> bool:
-        return any(t[:2] in text for t in self.added) and any(t in text.lower() for t in self.added)
-
-    def _parts(self, text: str) -> tuple[str, list[str]]:
-        """The part before the first cut, and those after a cut (the cut space left out)."""
-        if not self.spaced:
-            return "", text.replace("\n", " ").split(" ")
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        return parts.pop(0), parts
-
-    def _learn(self, memo: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words.difference(memo))
-        cut = [self._units(w, before) for w in new]
-        self._learn_units(set().union(*[u for u in cut if u]).difference(self.units))
-        whole = iter(self._ids([before + w for w, u in zip(new, cut, strict=True) if u is None]))
-        unit = self.units.__getitem__
-        for w, u in zip(new, cut, strict=True):
-            memo[w] = next(whole) if u is None else unit(u[0]) if len(u) == 1 else b"".join(map(unit, u))
-
-    def _units(self, word: str, before: str) -> list[str] | None:
-        """Pre-tokens of ``before + word`` if it is stems, each with punctuation behind it, between single line feeds."""
-        simple = _SIMPLE.fullmatch(word)
-        if simple:
-            stem, tail = simple.groups()
-            if not self.spaced and stem.isascii():
-                stem = stem.lower()
-            return [before + stem, tail] if tail else [before + stem]
-        out: list[str] = []
-        if "\n" not in word:
-            return None
-        for part in word.split("\n"):
-            stem = part.rstrip(_TAIL)
-            if not _STEM.fullmatch(stem):
-                return None
-            if out:
-                out.append("\n")
-            if not self.spaced and stem.isascii():
-                stem = stem.lower()
-            out.append(before + stem if not out else stem)
-            if len(part) > len(stem):
-                out.append(part[len(stem):])
+        unit, out = self.units.__getitem__, []
+        for text in texts:
+            if len(self.units) > MEMO_UNITS:
+                self.units.clear()
+            if self.rule is None or _UNSURE.search(text) or self._added_in(text):
+                out.append(self._whole(text))
+            else:
+                out.append(b"".join(map(unit, self.rule.findall(text.lower() if self.lower else text))))
         return out
 
-    def _learn_units(self, new: set[str]) -> None:
-        led, bare, rest = [], [], []
-        for u in new:
-            (led if u[0] == " " else bare if u[0].isalpha() else rest).append(u)
-        if not self.spaced:
-            led, bare = bare, led
-        for at in range(0, len(led), JOINED):
-            part = led[at:at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part) if self.spaced else " ".join(part)],
-                                                            add_special_tokens=False)[0].ids, "<u4")
-            marks = np.flatnonzero(self.marks[ids])
-            cuts = np.append(marks, len(ids)) if self.spaced else np.append(0, marks + 1)
-            if len(cuts) != len(part) + 1:  # not as expected: one by one
-                rest += part
-                continue
-            raw, cuts = ids.tobytes(), (cuts * 4).tolist()
-            self.units.update((u, raw[a:b]) for u, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        rest += bare
-        self.units.update(zip(rest, self._ids(rest), strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _added_in(self, text: str) -> bool:
+        return any(t[:2] in text for t in self.added) and any(t in text.lower() for t in self.added)
+
+    def _whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, "<u4").tobytes()
 
 
 pickle_by_value(__name__)

@@ -208,6 +208,9 @@ def test_encoder_equals_whole_text_encoding(spark, name):
     rng = random.Random(3)
     alphabet = list("ab'sStéÉ ,.!<|>0 1²\n\t\r\x0b\x0c\x1c\x85  　​́Σς  ")
     texts += ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(3000)]
+    plain = list("abcDEf 'strevmdl 1 23.,;:!?\n\t\r  ßÄéÈñ«»¿’“—…őŞſșŸÐ¤§·")
+    texts += ["".join(rng.choices(plain, k=rng.randint(0, 60))) for _ in range(6000)]
+    assert Encoder(name).rule is not None
     tok = load_tokenizer(name)
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert Encoder(name).encode(texts) == want
