@@ -19,7 +19,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Both refinements and the final grouping are partial aggregates (a hot group leaves each map task as one row), and
     the full texts are not shuffled while the crowded prefix groups fit a broadcast; beyond that they are joined by
-    shuffle, with AQE splitting skewed groups.
+    shuffle. The groups go back to their rows in the same way: by broadcast within a counted limit, else by a shuffled join
+    of two checkpointed tables, whose skewed groups AQE splits.
 
     Edge cases: null text counts as empty, empty texts equal each other; null ids rank lowest (a group of null ids
     has a null keep_id); rows repeated with one id count one by one and exactly one of them stays; an empty table
@@ -49,9 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 (full if digest_all else F.when(read, full)).alias("_digest")))
 
     suspects = digests.where("_read")
-    groups = (suspects.groupBy("_len", "_digest")
-              .agg(F.max(F.struct("_id", k1, k2)).alias("_top"), F.count("*").alias("_size")).where("_size > 1"))
-    paired = suspects.join(groups, ["_len", "_digest"], "left").select(
+    groups = checkpointed(suspects.groupBy("_len", "_digest")
+                          .agg(F.max(F.struct("_id", k1, k2)).alias("_top"), F.count("*").alias("_size")).where("_size > 1"))
+    paired = suspects.join(small_side(groups), ["_len", "_digest"], "left").select(
         "_id", k1, k2, "_digest",
         F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_top._id")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
