@@ -18,7 +18,7 @@ from incidentry.operators.bruteforce import OWNER, RULE, SUMMARY_MIDDLE, SUMMARY
 from incidentry.operators.incidents import ACCUMULATED_PREFIX, INSTANT_PREFIX
 from incidentry.operators.upsert import latest_per_key
 from incidentry.session import scratch_path
-from incidentry.streaming.ordered import CLOSING_TIME, EventTimeOrdered, closing_row, watermarked
+from incidentry.streaming.ordered import CLOSING_TIME, closing_row, in_event_time_order, watermarked
 from incidentry.streaming.processors import BruteForce, EventCounter, LoginCounter, RunningErrorCount
 from incidentry.streaming.sources import event_time, use_rocksdb, wall_time
 
@@ -79,10 +79,8 @@ def stream_running_error_counts(logs: DataFrame, reorder: str | None = None) ->
             RunningErrorCount(), schema, "Append", "None")
     rows = watermarked(logs.select("id", "source", "message", epoch_micros("timestamp").alias("event_us"),
                                    event_time("timestamp").alias("ets")), "ets", reorder)
-    ordered = EventTimeOrdered(RunningErrorCount("event_us"),
-                               [("event_us", "long"), ("id", "string"), ("message", "string")], ["event_us", "id"])
-    counted = rows.groupBy("source").transformWithStateInPandas(
-        ordered, "id string, event_us long, source string, error_count long", "Append", "EventTime")
+    counted = in_event_time_order(rows, "source", RunningErrorCount("event_us"), ["event_us", "id"],
+                                  "id string, event_us long, source string, error_count long")
     return counted.select("id", from_micros("event_us").alias("timestamp"), "source", "error_count")
 
 
@@ -101,11 +99,10 @@ def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3,
     ev = events.select("id", "timestamp", "severity", "description", F.col(key).alias("_key"),
                        epoch_micros("timestamp").alias("event_us"), event_time("timestamp").alias("ets"))
     if reorder is not None:
-        ordered = EventTimeOrdered(EventCounter(threshold, idle_seconds, "event_us"),
-                                   [("event_us", "long"), ("id", "string"), ("severity", "string"),
-                                    ("description", "string")], ["event_us", "id"])
-        fired = watermarked(ev, "ets", reorder).groupBy("_key").transformWithStateInPandas(
-            ordered, "id string, event_us long, description string, key string, rule string", "Append", "EventTime")
+        waiting = watermarked(ev, "ets", reorder).drop("timestamp").withColumnRenamed("_key", "key")
+        fired = in_event_time_order(waiting, "key",
+                                    EventCounter(threshold, idle_seconds, "event_us"), ["event_us", "id"],
+                                    "id string, event_us long, description string, key string, rule string")
         fired = fired.withColumn("timestamp", from_micros("event_us"))
     else:
         if idle_seconds is not None:
@@ -131,23 +128,20 @@ def stream_brute_force(events: DataFrame, window_seconds: int = 60, threshold: i
     ev = events.where(F.col("type") == "login_failed").select(
         F.col("id").cast("string").alias("id"), event_time("timestamp").alias("ts"),
         epoch_micros("timestamp").alias("event_us"), F.col("metadata")["ip"].alias("key"))
-    processor = BruteForce(window_seconds, threshold, time_mode)
+    schema = "trigger_id string, trigger_us long, ids array<string>, key string"
     if reorder is not None:
-        time_mode = "event"
-        processor = EventTimeOrdered(BruteForce(window_seconds, threshold), [("event_us", "long"), ("id", "string")],
-                                     ["event_us", "id"])
         ev = ev.withWatermark("ts", reorder)
         # reads the time as well, so that it stays behind the watermark, which a closing row (without a key) must reach
         ev = ev.where(F.when(F.col("ts") < F.lit(CLOSING_TIME).cast("timestamp"), F.col("key").isNotNull())
                       .otherwise(F.lit(False)))
+        fired = in_event_time_order(ev, "key", BruteForce(window_seconds, threshold), ["event_us", "id"], schema)
     else:
         ev = ev.where(F.col("key").isNotNull())
         if time_mode == "event":
             ev = ev.withWatermark("ts", delay)
-    fired = ev.groupBy("key").transformWithStateInPandas(
-        processor,
-        "trigger_id string, trigger_us long, ids array<string>, key string",
-        "Append", "EventTime" if time_mode == "event" else "None")
+        fired = ev.groupBy("key").transformWithStateInPandas(
+            BruteForce(window_seconds, threshold, time_mode), schema, "Append",
+            "EventTime" if time_mode == "event" else "None")
     return fired.select(
         det_id(f"incident:{RULE}", "trigger_id").alias("id"),
         from_micros("trigger_us").alias("timestamp"),
@@ -167,17 +161,16 @@ def stream_login_counts(attempts: DataFrame, users: DataFrame, ttl_seconds: int
     names = users.where("username IS NOT NULL").select(name).distinct().withColumn("known", F.lit(True))
     timed = attempts.select(name, event_time("ts").alias("ets"), "attempt_id", "password_ok",
                             epoch_micros("ts").alias("event_us"))
-    processor = LoginCounter(ttl_seconds)
     if reorder is not None:  # the watermark stands before the join, so that a closing row without a user moves it
         timed = watermarked(timed, "ets", reorder)
-        processor = EventTimeOrdered(processor, [("event_us", "long"), ("attempt_id", "long"),
-                                                 ("password_ok", "boolean")], ["event_us", "attempt_id"])
     elif ttl_seconds is not None:
         timed = timed.withWatermark("ets", delay)
     marked = timed.join(names, "username", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    return marked.where("known").groupBy("username").transformWithStateInPandas(
-        processor, "attempt_id long, attempts long", "Append",
-        "None" if ttl_seconds is None and reorder is None else "EventTime")
+    known, schema = marked.where("known").drop("known"), "attempt_id long, attempts long"
+    if reorder is not None:
+        return in_event_time_order(known, "username", LoginCounter(ttl_seconds), ["event_us", "attempt_id"], schema)
+    return known.groupBy("username").transformWithStateInPandas(
+        LoginCounter(ttl_seconds), schema, "Append", "None" if ttl_seconds is None else "EventTime")
 
 
 def stream_incident_chain(raw_logs: DataFrame, rules=None, etl_tags=None, event_tags=None, key: str = "log_id",

@@ -1,15 +1,22 @@
 """Event-time order for keyed stream processors.
 
 Inside a stream the processors of ``streaming.processors`` fold rows as they arrive. :class:`EventTimeOrdered` puts any of
-them behind a waiting list in state: a key's rows are appended to it batch by batch as they come, and an event-time timer
-hands them to the processor in (time, id) order once the watermark has passed them. What comes out is then that of the
-batch operator whatever the order of arrival within the watermark's delay and however the input is cut into
+them behind a waiting list in state: rows are appended to it batch by batch as they come, and an event-time timer
+hands them, key by key, to the processor in (time, id) order once the watermark has passed them. What comes out is then
+that of the batch operator whatever the order of arrival within the watermark's delay and however the input is cut into
 micro-batches; what waits is bounded by the delay, not by the micro-batch. Rows later than the watermark do not get here:
 Spark drops them, unless ``streaming.late`` has taken them aside before.
+
+Keys are dealt to shards, the stream's grouping key: each call into the state store costs about as much as folding a key's
+rows, so a shard's keys share one waiting list and one timer, and an own entry in state is read and written only for the
+keys that rows or timers reach.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,21 +28,54 @@ pickle_by_value(__name__)
 
 #: Rows handed to the processor at a time.
 HANDED_ROWS = 10_000
+#: Shards of a stream's keys: a task holds the ready rows of one shard.
+SHARDS = 256
 #: A row at this time or later only closes a stream: it moves the watermark past all others and is not processed.
 CLOSING_TIME = "9000-01-01 00:00:00"
 
 
+class _KeyState:
+    """The state of the key at hand as the wrapped processor sees it: a value state (``single``) or a list state."""
+
+    def __init__(self, single: bool):
+        self.single, self.rows = single, []
+
+    def exists(self) -> bool:
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0] if self.single else iter(self.rows)
+
+    def update(self, row) -> None:
+        self.rows = [tuple(row)]
+
+    def put(self, rows) -> None:
+        self.rows = [tuple(r) for r in rows]
+
+    def appendList(self, rows) -> None:
+        self.rows = self.rows + [tuple(r) for r in rows]
+
+    def clear(self) -> None:
+        self.rows = []
+
+
 class _InnerHandle:
-    """What the wrapped processor sees of its handle: its states, and one timer that the wrapper keeps for it."""
+    """What the wrapped processor sees of its handle: one state, and one timer, of the key at hand."""
 
-    def __init__(self, handle: StatefulProcessorHandle):
-        self._handle, self.timer = handle, None
+    def __init__(self):
+        self.state, self.schema, self.timer = None, None, None
 
     def getValueState(self, name, schema, *rest):
-        return self._handle.getValueState(name, schema, *rest)
+        return self._only(schema, True)
 
     def getListState(self, name, schema, *rest):
-        return self._handle.getListState(name, schema, *rest)
+        return self._only(schema, False)
+
+    def _only(self, schema, single):
+        if self.state is not None:
+            raise ValueError("a processor behind EventTimeOrdered has one state")
+        self.state, self.schema = _KeyState(single), schema
+        return self.state
 
     def listTimers(self):
         return [] if self.timer is None else [self.timer]
@@ -48,22 +88,27 @@ class _InnerHandle:
 
 
 class EventTimeOrdered(StatefulProcessor):
-    """``inner`` with its rows in event-time order. ``columns``: (name, SQL type) of the rows' columns, ``order`` those to
-    sort by, the first of them microseconds."""
+    """``inner`` with its rows in event-time order. ``columns``: (name, SQL type) of the rows' columns, of which ``key`` is
+    the inner processor's key and ``order`` are those to sort by, the first of them microseconds. An inner processor with a
+    ``fold`` (see ``streaming.processors``) gets tuples, any other pandas frames."""
 
-    def __init__(self, inner: StatefulProcessor, columns: list[tuple[str, str]], order: list[str]):
-        self.inner, self.columns, self.order = inner, columns, order
+    def __init__(self, inner: StatefulProcessor, key: str, columns: list[tuple[str, str]], order: list[str]):
+        self.inner, self.key, self.columns, self.order = inner, key, columns, order
+        self.names = [n for n, _ in columns]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.view = handle, _InnerHandle(handle)
-        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in self.columns))
-        self.idle = handle.getValueState("idle", "at long")  # the inner processor's timer
+        self.handle, self.view = handle, _InnerHandle()
         self.inner.init(self.view)
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} {t}" for n, t in self.columns))
+        # per key: the inner processor's timer and state
+        self.held = handle.getMapState("held", f"{self.key} {dict(self.columns)[self.key]}",
+                                       f"timer long, state array<struct<{self.view.schema}>>")
+        self.idle = handle.getValueState("idle", "at long")  # no inner timer of the shard is earlier
 
     def handleInputRows(self, key, rows, timerValues):
-        names, first = [n for n, _ in self.columns], None
+        first = None
         for pdf in rows:
-            part = pdf[names].astype(object).where(pdf[names].notna(), None)
+            part = pdf[self.names].astype(object).where(pdf[self.names].notna(), None)
             self.waiting.appendList(list(part.itertuples(index=False, name=None)))
             low = int(pdf[self.order[0]].min())
             first = low if first is None else min(first, low)
@@ -73,34 +118,88 @@ class EventTimeOrdered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        at = [n for n, _ in self.columns].index(self.order[0])
-        ready = [r for r in rows if r[at] < passed * 1000]
-        rest = [r for r in rows if r[at] >= passed * 1000]
-        if rest:
+        at, of = self.names.index(self.order[0]), self.names.index(self.key)
+        ready, rest, waited = {}, [], False
+        for row in self.waiting.get():
+            waited = True
+            if row[at] < passed * 1000:
+                ready.setdefault(row[of], []).append(tuple(row))
+            else:
+                rest.append(tuple(row))
+        if ready and rest:
             self.waiting.put(rest)
-        elif rows:
+        elif waited and not rest:
             self.waiting.clear()
-        self.view.timer = self.idle.get()[0] if self.idle.exists() else None
-        if ready:
-            pdf = pd.DataFrame(ready, columns=[n for n, _ in self.columns]).sort_values(self.order, kind="mergesort")
-            for start in range(0, len(pdf), HANDED_ROWS):
-                yield from self.inner.handleInputRows(key, iter([pdf.iloc[start:start + HANDED_ROWS]]), timerValues)
-        if self.view.timer is not None and self.view.timer <= passed:
-            self.view.timer = None
-            yield from self.inner.handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        if self.view.timer is None:
-            if self.idle.exists():
-                self.idle.clear()
+        idle = self.idle.get()[0] if self.idle.exists() else None
+        due = []
+        if idle is not None and idle <= passed:
+            timers = {k[0]: v[0] for k, v in self.held.iterator() if v[0] is not None and k[0] not in ready}
+            due = [k for k, timer in timers.items() if timer <= passed]
+            left = [timer for timer in timers.values() if timer > passed]
         else:
-            self.idle.update((int(self.view.timer),))
-            self._wake(int(self.view.timer))
-        if rest:
-            self._wake(min(r[at] for r in rest) // 1000 + 1)
-
-    def _wake(self, at: int) -> None:
-        """One timer a key, at the earliest of what it waits for."""
-        known = list(self.handle.listTimers())
+            left = [] if idle is None else [idle]
+        handed = self._handed(ready, due, left, passed, timerValues, expiredTimerInfo)
+        yield from self._framed(handed) if hasattr(self.inner, "fold") else self._gathered(handed)
+        if left:
+            self.idle.update((int(min(left)),))
+        elif idle is not None:
+            self.idle.clear()
+        wakes = [int(t) for t in left] + [r[at] // 1000 + 1 for r in rest]
+        if wakes:
+            self._wake(min(wakes), passed)
+
+    def _handed(self, ready, due, left, passed, timerValues, expiredTimerInfo) -> Iterator:
+        """What the inner processor makes of the ``ready`` rows by key and of the keys ``due`` without rows (frames, or
+        tuples if it folds); their timers to come are added to ``left``."""
+        folds = hasattr(self.inner, "fold")
+        places = [self.names.index(n) for n in self.inner.FOLDED] if folds else []
+        for key in [*ready, *due]:
+            known = self.held.getValue((key,))
+            self.view.timer, state = (None, None) if known is None else known
+            self.view.state.put(state or [])
+            if key in ready and folds:
+                rows = [tuple(r[i] for i in places) for r in ready[key]]
+                yield from self.inner.fold((key,), sorted(rows, key=_nulls_last))
+            elif key in ready:
+                pdf = pd.DataFrame(ready[key], columns=self.names).drop(columns=self.key) \
+                    .sort_values(self.order, kind="mergesort")
+                for start in range(0, len(pdf), HANDED_ROWS):
+                    yield from self.inner.handleInputRows((key,), iter([pdf.iloc[start:start + HANDED_ROWS]]),
+                                                          timerValues)
+            if self.view.timer is not None and self.view.timer <= passed:
+                self.view.timer = None
+                yield from self.inner.handleExpiredTimer((key,), timerValues, expiredTimerInfo)
+            if self.view.timer is not None:
+                left.append(self.view.timer)
+            if self.view.timer is not None or self.view.state.exists():
+                self.held.updateValue((key,), (self.view.timer, self.view.state.rows))
+            elif known is not None:
+                self.held.removeKey((key,))
+
+    def _framed(self, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        """Tuples of the inner processor's ``OUT`` as frames (of objects, so that no value is changed)."""
+        while some := list(islice(rows, HANDED_ROWS)):
+            yield pd.DataFrame(some, columns=list(self.inner.OUT), dtype=object)
+
+    @staticmethod
+    def _gathered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of ``parts`` in fewer frames; frames of different types stay apart, so that no value is changed."""
+        some, n = [], 0
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            if some and (n + len(pdf) > HANDED_ROWS or list(pdf.dtypes) != list(some[0].dtypes)):
+                yield pd.concat(some, ignore_index=True)
+                some, n = [], 0
+            some.append(pdf)
+            n += len(pdf)
+        if some:
+            yield pd.concat(some, ignore_index=True)
+
+    def _wake(self, at: int, passed: int | None = None) -> None:
+        """One timer a shard, at the earliest of what it waits for. While a timer is handled, it is still listed and goes
+        afterwards: those that the watermark has ``passed`` don't count."""
+        known = [t for t in self.handle.listTimers() if passed is None or t > passed]
         if known and min(known) <= at:
             return
         for old in known:
@@ -111,6 +210,20 @@ class EventTimeOrdered(StatefulProcessor):
         self.inner.close()
 
 
+def _nulls_last(row: tuple) -> tuple:
+    return tuple((x is None, x) for x in row[:2])
+
+
+def in_event_time_order(rows: DataFrame, key: str, inner: StatefulProcessor, order: list[str], schema: str,
+                        shards: int | None = None) -> DataFrame:
+    """``inner``, keyed by ``key``, over watermarked ``rows`` in event-time order. ``order``: the columns to sort by, the
+    first of them microseconds; the other columns but the key and the watermark's go to ``inner`` as well."""
+    columns = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if f.dataType.typeName() != "timestamp"]
+    shard = F.pmod(F.xxhash64(key), F.lit(shards or SHARDS)).cast("int").alias("shard_no")
+    return rows.select("*", shard).groupBy("shard_no").transformWithStateInPandas(
+        EventTimeOrdered(inner, key, columns, order), schema, "Append", "EventTime")
+
+
 def watermarked(df: DataFrame, time: str, delay: str) -> DataFrame:
     """``df`` with a watermark ``delay`` behind ``time``; a closing row moves it and goes no further. (The filter reads the
     time column, so it stays behind the watermark.)"""

@@ -3,6 +3,9 @@
 Rows of one key inside a micro-batch are handled in (timestamp, id) order; across micro-batches the order is the
 arrival order, as in the reference's consumers. State per key is small and bounded: a counter, or at most
 ``threshold - 1`` buffered events for the brute-force rule.
+
+The rules whose keys are many with few rows each (T3, T4) fold plain tuples: ``fold(key, rows)`` takes tuples of
+``FOLDED``, sorted by the first two, and returns tuples of ``OUT``. A pandas frame a key costs more than its rows.
 """
 
 from __future__ import annotations
@@ -140,6 +143,8 @@ class LoginCounter(StatefulProcessor):
     The lapse is checked on event time, and (in event-time mode) a timer at last-attempt + ttl drops the state of
     idle users, as the reference's expiring counter does."""
 
+    FOLDED, OUT = ("event_us", "attempt_id", "password_ok"), ("attempt_id", "attempts")
+
     def __init__(self, ttl_seconds: int | None = 3600):
         self.ttl_us = None if ttl_seconds is None else ttl_seconds * 1_000_000
 
@@ -149,17 +154,20 @@ class LoginCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows, ["event_us", "attempt_id"])
+        done = self.fold(key, zip(pdf["event_us"].tolist(), pdf["attempt_id"], pdf["password_ok"], strict=True))
+        yield pd.DataFrame({"attempt_id": pdf["attempt_id"], "attempts": np.array([n for _, n in done], dtype="int64")})
+
+    def fold(self, key, rows) -> list[tuple]:
         n, last = (self.state.get() if self.state.exists() else (0, None))
         out = []
-        for us, ok in zip(pdf["event_us"].to_numpy(dtype=np.int64), pdf["password_ok"].to_numpy()):
+        for us, attempt_id, ok in rows:
             if ok:
-                n, last = 0, int(us)
-                out.append(0)
-                continue
-            if last is None or n == 0 or (self.ttl_us is not None and us - last >= self.ttl_us):
-                n = 0
-            n, last = n + 1, int(us)
-            out.append(n)
+                n, last = 0, us
+            else:
+                if last is None or n == 0 or (self.ttl_us is not None and us - last >= self.ttl_us):
+                    n = 0
+                n, last = n + 1, us
+            out.append((attempt_id, n))
         if n == 0:
             self.state.clear()
         else:
@@ -168,11 +176,11 @@ class LoginCounter(StatefulProcessor):
                 for old in self.handle.listTimers():
                     self.handle.deleteTimer(old)
                 self.handle.registerTimer((last + self.ttl_us) // 1000)
-        yield pd.DataFrame({"attempt_id": pdf["attempt_id"], "attempts": np.asarray(out, dtype="int64")})
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.state.clear()
-        yield pd.DataFrame({"attempt_id": pd.Series([], dtype="int64"), "attempts": pd.Series([], dtype="int64")})
+        yield from ()
 
     def close(self) -> None:
         pass
