@@ -98,6 +98,8 @@ class BruteForce(StatefulProcessor):
     clock when the rows are handled, as the reference does with ``now()`` (no timers: Spark's processing-time mode
     does not let an ``availableNow`` query finish here, and stale entries are dropped on the key's next event)."""
 
+    FOLDED, OUT = ("event_us", "id"), ("trigger_id", "trigger_us", "ids", "key")
+
     def __init__(self, window_seconds: int = 60, threshold: int = 10, time_mode: str = "event"):
         self.window_us = window_seconds * 1_000_000
         self.k = threshold
@@ -109,15 +111,18 @@ class BruteForce(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _rows(rows, ["event_us", "id"])
+        yield pd.DataFrame(self.fold(key, zip(pdf["event_us"].tolist(), pdf["id"], strict=True)), columns=self.OUT)
+
+    def fold(self, key, rows) -> list[tuple]:
         buf = [(int(t), str(i)) for t, i in self.buf.get()] if self.buf.exists() else []
         fires = []
         now = int(time.time() * 1_000_000) if self.processing else None  # the wall clock, as the reference
-        for t, i in zip(pdf["event_us"].to_numpy(dtype=np.int64), pdf["id"].astype(str)):
+        for t, i in rows:
             ref = now if self.processing else t
             buf = [(bt, bi) for bt, bi in buf if ref - bt < self.window_us]
-            buf.append((int(t), i))
+            buf.append((t, str(i)))
             if len(buf) >= self.k:
-                fires.append((i, int(t), [bi for _, bi in buf]))
+                fires.append((str(i), t, [bi for _, bi in buf], str(key[0])))
                 buf = []
         if buf:
             self.buf.put(buf)
@@ -127,11 +132,11 @@ class BruteForce(StatefulProcessor):
                 self.handle.registerTimer(buf[-1][0] // 1000 + self.window_us // 1000)
         else:
             self.buf.clear()
-        yield pd.DataFrame(fires, columns=["trigger_id", "trigger_us", "ids"]).assign(key=str(key[0]))
+        return fires
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.buf.clear()
-        yield pd.DataFrame(columns=["trigger_id", "trigger_us", "ids", "key"])
+        yield from ()
 
     def close(self) -> None:
         pass

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from incidentry.operators.bruteforce import brute_force_incidents
 from incidentry.operators.logins import login_attempt_counts
 from incidentry.streaming import jobs, ordered
 
@@ -52,6 +53,18 @@ def test_login_counts_by_shards(spark, tries, delay):
     assert held <= ordered.SHARDS < USERS or delay == "1 second"  # where rows wait, not the keys' own entries
 
 
+@pytest.mark.parametrize("delay", ["1 second", "3650 days"])
+def test_brute_force_by_shards(spark, tries, delay):
+    def failed(df):
+        return df.select(F.col("attempt_id").cast("string").alias("id"), F.col("ts").alias("timestamp"),
+                         F.lit("login_failed").alias("type"), F.create_map(F.lit("ip"), "username").alias("metadata"))
+    stream = in_pieces(tries, 4)
+    got, held = run(jobs.stream_brute_force(failed(stream), 11 * 86400, 3, reorder=delay))
+    want, _ = brute_force_incidents(failed(tries), 11 * 86400, 3)
+    assert rows(got, "event_id", "events", "key") == rows(want, "event_id", "events", "key") != []
+    assert held <= ordered.SHARDS < USERS or delay == "1 second"  # where rows wait, not the keys' own entries
+
+
 def test_idle_keys_of_a_shard_lapse_alone(spark, tries, monkeypatch):
     """Counters with an idle timeout: the same whether a key has a shard of its own or shares one with all others, the
     null key included; without the timeout more incidents."""
