@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 from incidentry.functions import det_id, epoch_micros, parse_event_time
 from incidentry.operators.aggregates import tumbling_error_counts
 from incidentry.operators.bruteforce import OWNER, RULE, SUMMARY_MIDDLE, SUMMARY_PREFIX
+from incidentry.operators.filters import error_message
 from incidentry.operators.incidents import ACCUMULATED_PREFIX, INSTANT_PREFIX
 from incidentry.operators.upsert import latest_per_key
 from incidentry.session import scratch_path
@@ -74,12 +75,13 @@ def stream_running_error_counts(logs: DataFrame, reorder: str | None = None) ->
     """T1 on a stream (W4), in arrival order or, with ``reorder`` (a delay, e.g. "10 minutes"), in event-time order."""
     use_rocksdb(logs.sparkSession)
     schema = "id string, timestamp timestamp_ntz, source string, error_count long"
+    error = error_message(F.col("message")).alias("error")  # the state holds this, not the texts
     if reorder is None:
-        return logs.select("id", "timestamp", "source", "message").groupBy("source").transformWithStateInPandas(
+        return logs.select("id", "timestamp", "source", error).groupBy("source").transformWithStateInPandas(
             RunningErrorCount(), schema, "Append", "None")
-    rows = watermarked(logs.select("id", "source", "message", epoch_micros("timestamp").alias("event_us"),
+    rows = watermarked(logs.select("id", "source", error, epoch_micros("timestamp").alias("event_us"),
                                    event_time("timestamp").alias("ets")), "ets", reorder)
-    counted = in_event_time_order(rows, "source", RunningErrorCount("event_us"), ["event_us", "id"],
+    counted = in_event_time_order(rows, "source", RunningErrorCount("event_us", in_order=True), ["event_us", "id"],
                                   "id string, event_us long, source string, error_count long")
     return counted.select("id", from_micros("event_us").alias("timestamp"), "source", "error_count")
 
@@ -101,7 +103,7 @@ def stream_incidents(events: DataFrame, key: str = "log_id", threshold: int = 3,
     if reorder is not None:
         waiting = watermarked(ev, "ets", reorder).drop("timestamp").withColumnRenamed("_key", "key")
         fired = in_event_time_order(waiting, "key",
-                                    EventCounter(threshold, idle_seconds, "event_us"), ["event_us", "id"],
+                                    EventCounter(threshold, idle_seconds, "event_us", in_order=True), ["event_us", "id"],
                                     "id string, event_us long, description string, key string, rule string")
         fired = fired.withColumn("timestamp", from_micros("event_us"))
     else:
@@ -194,12 +196,20 @@ def console(df: DataFrame, output_mode: str = "append"):
     return df.writeStream.outputMode(output_mode).format("console").option("truncate", "false").start()
 
 
+#: Rows of a file of a replay, so that a micro-batch is read by several tasks.
+REPLAYED_ROWS = 500_000
+
+
 def replayed(df: DataFrame, order: list[str], files: int) -> DataFrame:
-    """``df`` as a stream: its rows written as ``files`` files of consecutive ``order`` values by one job, behind them a
-    closing row (``streaming.ordered``), read back one file a micro-batch. ``order[0]`` is the event time. For history
-    that shall run through the streaming jobs; files may arrive in any order, so give the jobs a ``reorder`` delay."""
+    """``df`` as a stream of ``files`` micro-batches: its rows written in ranges of consecutive ``order`` values by one job
+    of as many tasks as the session shuffles with (``files`` at least), behind them a closing row (``streaming.ordered``).
+    ``order[0]`` is the event time. For history that shall run through the streaming jobs; files may arrive in any order,
+    so give the jobs a ``reorder`` delay."""
     spark = df.sparkSession
     path = scratch_path(spark, "replayed")
-    df.repartitionByRange(files, *order).write.parquet(path)
+    ranges = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartitionByRange(ranges, *order).write.option("maxRecordsPerFile", REPLAYED_ROWS).parquet(path)
+    written = len(spark.read.schema(df.schema).parquet(path).inputFiles())
     closing_row(df, order[0]).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    at_a_time = max(1, -(-written // files))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", str(at_a_time)).parquet(path)

@@ -15,31 +15,31 @@ import time
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from incidentry.constants import ERROR_WORD, SEVERITY_HIGH
+from incidentry.constants import SEVERITY_HIGH
 from incidentry.session import pickle_by_value
 
 pickle_by_value(__name__)  # processors are unpickled by Python workers and by Spark's driver-side runner
 
 
-def _rows(rows, order):
+def _rows(rows, order, in_order=False):
     pdf = pd.concat(list(rows), ignore_index=True)
-    return pdf.sort_values(list(order), kind="mergesort").reset_index(drop=True)
+    return pdf if in_order else pdf.sort_values(list(order), kind="mergesort").reset_index(drop=True)
 
 
 class RunningErrorCount(StatefulProcessor):
-    """Per source, the number of error messages so far; one output row per input row."""
+    """Per source, the number of error messages (rows with ``error``) so far; one output row per input row.
+    ``in_order``: rows come sorted."""
 
-    def __init__(self, time: str = "timestamp"):
-        self.time = time
+    def __init__(self, time: str = "timestamp", in_order: bool = False):
+        self.time, self.in_order = time, in_order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, [self.time, "id"])
+        pdf = _rows(rows, [self.time, "id"], self.in_order)
         start = self.count.get()[0] if self.count.exists() else 0
-        err = pdf["message"].fillna("").str.lower().str.contains(ERROR_WORD, regex=False).astype("int64")
-        cum = start + err.cumsum()
+        cum = start + pdf["error"].astype("int64").cumsum()
         self.count.update((int(cum.iloc[-1]),))
         yield pd.DataFrame({"id": pdf["id"], self.time: pdf[self.time], "source": key[0],
                             "error_count": cum.astype("int64")})
@@ -52,10 +52,12 @@ class EventCounter(StatefulProcessor):
     """Count per key; high → instant, otherwise accumulated from the ``threshold``-th event on.
 
     With ``idle_seconds`` (event-time mode) a key's counter is dropped once the key has had no event for that long, so
-    state does not grow with every key ever seen; without it the counter is kept forever, as in the application."""
+    state does not grow with every key ever seen; without it the counter is kept forever, as in the application.
+    ``in_order``: rows come sorted."""
 
-    def __init__(self, threshold: int = 3, idle_seconds: int | None = None, time: str = "timestamp"):
-        self.threshold, self.time = threshold, time
+    def __init__(self, threshold: int = 3, idle_seconds: int | None = None, time: str = "timestamp",
+                 in_order: bool = False):
+        self.threshold, self.time, self.in_order = threshold, time, in_order
         self.idle_ms = None if idle_seconds is None else idle_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -63,7 +65,7 @@ class EventCounter(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, [self.time, "id"])
+        pdf = _rows(rows, [self.time, "id"], self.in_order)
         start = self.count.get()[0] if self.count.exists() else 0
         n = start + np.arange(1, len(pdf) + 1)
         self.count.update((int(n[-1]),))
